@@ -134,6 +134,81 @@ SELECT event_id AS id, concat('jti-', event_id) AS jti,
 FROM {events} WHERE event_type = 'view'""",
 }
 
+# Request batches derived from the driver tables (one row per distinct
+# (order, line number); lineitem alone has no unique key). They feed the
+# state machines with many requests per booking, in time order.
+VIEW_SQL.update({
+    "refund_requests": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_orderkey AS booking_id,
+       min(l_suppkey) % 10 AS admin_id,
+       CASE WHEN l_linenumber = 2 THEN NULL
+            WHEN l_linenumber = 5 THEN CAST(0 AS DECIMAL(12,2))
+            ELSE CAST(min(l_extendedprice) AS DECIMAL(12,2)) END AS amount,
+       CASE WHEN l_linenumber = 4 THEN '' ELSE concat('reason ', l_linenumber) END AS reason,
+       bool_or(l_returnflag = 'R') AS force,
+       min(o_orderdate) + INTERVAL '20' HOUR * l_linenumber AS requested_at,
+       (min(l_partkey) % 7 <> 0) AS gw_ok,
+       concat('GW-', l_orderkey * 10 + l_linenumber) AS gw_reference,
+       CASE WHEN min(l_partkey) % 7 = 0 THEN 'declined by gateway' END AS gw_error
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
+GROUP BY l_orderkey, l_linenumber""",
+    "cancel_requests": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_orderkey AS booking_id,
+       CASE WHEN l_linenumber = 3 THEN min(o_custkey) + 1 ELSE min(o_custkey) END AS user_id,
+       CASE WHEN l_linenumber = 1 THEN '  changed plans ' WHEN l_linenumber = 2 THEN '   ' END AS reason,
+       min(o_orderdate) + INTERVAL '10' HOUR * l_linenumber AS requested_at,
+       (min(l_partkey) % 5 <> 0) AS gw_ok,
+       concat('GW-', l_orderkey * 10 + l_linenumber) AS gw_reference,
+       CASE WHEN min(l_partkey) % 5 = 0 THEN 'timeout' END AS gw_error
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
+GROUP BY l_orderkey, l_linenumber""",
+    "booking_patches": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_orderkey AS booking_id,
+       CASE l_linenumber % 4 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'confirmed' WHEN 2 THEN '' ELSE 'bogus' END AS status,
+       (l_linenumber % 3 = 0) AS has_notes,
+       CASE WHEN l_linenumber = 6 THEN NULL ELSE concat('  note ', l_linenumber, ' ') END AS admin_notes,
+       min(o_orderdate) + INTERVAL '1' DAY * l_linenumber AS requested_at
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
+GROUP BY l_orderkey, l_linenumber""",
+    "supplier_refs": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, concat('TXN-', l_orderkey) AS payment_reference,
+       concat('SUP-', l_orderkey, '-', l_linenumber) AS supplier_reference,
+       CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE concat('S', l_linenumber) END AS supplier_status,
+       min(o_orderdate) + INTERVAL '1' HOUR * l_linenumber AS requested_at
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
+GROUP BY l_orderkey, l_linenumber""",
+    # gateway receipts as raw JSON form posts (retries share a transaction id)
+    "receipts_raw": """
+SELECT event_id AS id, ts AS created_at,
+       concat('{{"decision":"', CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'DECLINE'
+                                   WHEN 'click' THEN 'Cancel' ELSE '' END,
+              '","transaction_id":"', CASE WHEN user_id % 40 = 0 THEN '' ELSE concat('PAY-', user_id, '-', CAST(floor(value) AS BIGINT) % 5) END,
+              '","req_amount":"', CASE WHEN event_id % 9 = 0 THEN '' ELSE concat(' ', CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), 'EUR') END,
+              '","auth_amount":"', CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR),
+              '","req_currency":"', CASE WHEN user_id % 3 = 0 THEN '' ELSE 'USD' END,
+              '","hs_user_id":"', CASE WHEN user_id % 4 = 0 THEN 'x' ELSE concat(user_id, 'u') END,
+              '","merchant_defined_data10":"', user_id,
+              '","hs_total_adults":"', CASE WHEN event_id % 6 = 0 THEN '' ELSE concat(1 + event_id % 3, '') END,
+              '","merchant_defined_data12":"', event_id % 2,
+              '","hs_is_refundable":"', CASE WHEN event_id % 5 = 0 THEN '0' ELSE '' END,
+              '","hs_lead_first_name":"', CASE WHEN event_id % 7 = 0 THEN '' ELSE concat('Ann', user_id) END,
+              '","req_bill_to_surname":"', concat('Lee', user_id % 13),
+              '","hs_check_in_date":"', CAST(CAST(ts AS DATE) AS VARCHAR),
+              '","hs_product_title":"', CASE WHEN event_id % 8 = 0 THEN '' ELSE concat('Tour ', user_id % 17) END,
+              '"}}') AS payload
+FROM {events} WHERE event_type <> 'view'""",
+    "blog_drafts": """
+SELECT doc_id AS draft_id,
+       CASE WHEN doc_id % 5 = 0 THEN concat('Post ', doc_id % 7)
+            WHEN doc_id % 5 = 1 THEN concat(upper(lang), ' & ', source, '!')
+            ELSE concat(source, ' - ', lang, ' ', doc_id % 4) END AS title,
+       substr(text, 1, 80) AS content,
+       CASE WHEN doc_id % 2 = 0 THEN 'published' ELSE 'draft' END AS status,
+       doc_id % 10 AS author_admin_id,
+       TIMESTAMP_NTZ '2024-02-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id % 97) AS requested_at
+FROM {documents}""",
+})
+
 _PLACEHOLDER = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
 
 

@@ -32,9 +32,9 @@ def main(argv):
         r["sec"] = round(time.time() - t, 2)
         if r["status"] not in ("ok", "rows-only"):
             bad += 1
-            print(json.dumps(r, default=str)[:3000])
+            print("PROBLEM " + json.dumps(r, default=str)[:2500])
         else:
-            print(f"{r['status']:9s} {name:40s} rows={r.get('spark_rows')} {r['sec']}s")
+            print(f"RESULT {r['status']:9s} {name:40s} rows={r.get('spark_rows')} {r['sec']}s")
     print(f"-- {bad} problems")
     spark.stop()
 
