@@ -73,7 +73,6 @@ def compare(spark, name: str, fn, sql: str | None, sf_dir: str, con=None) -> dic
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
-    d_types = [str(t) for t in con.execute(f"DESCRIBE {sql}").fetchdf()["column_type"]] if False else None
     out["oracle_rows"] = len(d_rows)
     out["cols_match"] = sorted(s_cols) == sorted(d_cols)
     if not out["cols_match"]:
@@ -88,8 +87,9 @@ def compare(spark, name: str, fn, sql: str | None, sf_dir: str, con=None) -> dic
         order_d = sorted(range(len(d_cols)), key=lambda i: d_cols[i])
         ss = sorted(tuple(_norm(r[i]) for i in order_s) for r in s_rows)
         ds = sorted(tuple(_norm(r[i]) for i in order_d) for r in d_rows)
-        only_s = [r for r in ss if r not in set(ds)][:3]
-        only_d = [r for r in ds if r not in set(ss)][:3]
+        sset, dset = set(ss), set(ds)
+        only_s = [r for r in ss if r not in dset][:3]
+        only_d = [r for r in ds if r not in sset][:3]
         out["sample_spark_only"], out["sample_oracle_only"] = only_s, only_d
         out["sorted_cols"] = sorted(s_cols)
     return out

@@ -192,24 +192,28 @@ def _cancel_batch(spark, sf):
 
 _CANCEL_R = f"""
 SELECT q.*, b.id AS b_id, b.status AS b_status, b.payment_amount AS b_paid, b.currency AS b_currency,
-       (b.id IS NOT NULL AND CAST(b.user_id AS VARCHAR) = CAST(q.user_id AS VARCHAR)) AS owner_ok,
+       coalesce(b.id IS NOT NULL AND CAST(b.user_id AS VARCHAR) = CAST(q.user_id AS VARCHAR), false) AS owner_ok,
        NOT coalesce(b.status IN ('cancelled', 'refunded'), false) AS is_open,
        {policy_sql('q.requested_at', 'b.')} IN ('eligible', 'no_paid_at') AS eligible
 FROM cancel_requests q LEFT JOIN bookings b ON b.id = q.booking_id"""
+_CANCEL_W = """
+SELECT booking_id, request_id AS w_id, requested_at AS w_at FROM r a
+WHERE owner_ok AND is_open AND NOT EXISTS (
+  SELECT 1 FROM r b WHERE b.booking_id = a.booking_id AND b.owner_ok AND b.is_open
+    AND (b.requested_at < a.requested_at OR (b.requested_at = a.requested_at AND b.request_id < a.request_id)))"""
 _CANCEL_O = """
 SELECT r.*,
   CASE WHEN NOT owner_ok THEN 'not_found'
-       WHEN NOT is_open OR EXISTS (SELECT 1 FROM r w WHERE w.booking_id = r.booking_id AND w.owner_ok AND w.is_open
-                    AND (w.requested_at < r.requested_at OR (w.requested_at = r.requested_at AND w.request_id < r.request_id)))
+       WHEN NOT is_open OR r.requested_at > w.w_at OR (r.requested_at = w.w_at AND r.request_id > w.w_id)
             THEN 'already_closed'
        WHEN NOT eligible THEN 'cancelled'
        WHEN NOT coalesce(gw_ok, false) THEN 'cancelled_gateway_failed'
        ELSE 'refunded' END AS outcome
-FROM r"""
+FROM r LEFT JOIN w ON w.booking_id = r.booking_id"""
 
 
 @register("cancel_outcomes", with_views(["bookings", "cancel_requests"], """
-SELECT request_id, booking_id, outcome FROM o""", r=_CANCEL_R, o=_CANCEL_O))
+SELECT request_id, booking_id, outcome FROM o""", r=_CANCEL_R, w=_CANCEL_W, o=_CANCEL_O))
 def cancel_outcomes(spark, sf):
     return _cancel_batch(spark, sf)[1]
 
@@ -224,7 +228,7 @@ SELECT b.id,
        CASE WHEN w.outcome = 'refunded' THEN w.gw_reference END AS refund_reference,
        w.requested_at AS updated_at
 FROM bookings b LEFT JOIN (SELECT * FROM o WHERE outcome IN ('cancelled', 'refunded', 'cancelled_gateway_failed')) w
-  ON w.booking_id = b.id""", r=_CANCEL_R, o=_CANCEL_O))
+  ON w.booking_id = b.id""", r=_CANCEL_R, w=_CANCEL_W, o=_CANCEL_O))
 def cancel_bookings(spark, sf):
     return _cancel_batch(spark, sf)[0].select(
         "id", "status", "payment_status", "cancelled_at", "cancelled_by", "cancellation_reason", "refund_amount",
@@ -241,7 +245,7 @@ SELECT (SELECT coalesce(max(id), 0) FROM refund_events) + o.request_id * 4 + e.s
 FROM o JOIN (VALUES (0, 'requested', 'all'), (1, 'gateway_initiated', 'refunded'), (2, 'completed', 'refunded'),
                     (1, 'gateway_failed', 'cancelled_gateway_failed')) AS e(seq, action, kind)
   ON e.kind = 'all' OR e.kind = o.outcome
-WHERE o.outcome IN ('cancelled', 'refunded', 'cancelled_gateway_failed')""", r=_CANCEL_R, o=_CANCEL_O))
+WHERE o.outcome IN ('cancelled', 'refunded', 'cancelled_gateway_failed')""", r=_CANCEL_R, w=_CANCEL_W, o=_CANCEL_O))
 def cancel_events(spark, sf):
     return _cancel_batch(spark, sf)[2]
 

@@ -79,7 +79,7 @@ def first_receipt(spark, sf):
 
 @register("create_bookings", with_views(["receipts_raw", "bookings"], """
 SELECT (SELECT coalesce(max(id), 0) FROM bookings) + f.id AS id,
-       concat('BS-', CAST(epoch_ms(f.created_at) AS VARCHAR), '-', upper(substr(sha256(f.transaction_id), 1, 8))) AS booking_reference,
+       concat('BS-', CAST(epoch_us(f.created_at) // 1000 AS VARCHAR), '-', upper(substr(sha256(f.transaction_id), 1, 8))) AS booking_reference,
        f.user_id, f.booking_type, 'confirmed' AS status, 'paid' AS payment_status,
        coalesce(f.amount, CAST(0 AS DECIMAL(12,2))) AS payment_amount, f.currency,
        f.transaction_id AS payment_reference, f.lead_first_name, f.lead_last_name,
@@ -105,13 +105,23 @@ def create_bookings_idempotent(spark, sf):
     return I.create_bookings(b2, rc).agg(F.count(F.lit(1)).alias("n_new"))
 
 
+_LOGIN_EMAILS = """
+SELECT id, attempted_at,
+       CASE WHEN id % 2 = 0 THEN email ELSE replace(email, 'example.com', 'example.org') END AS email
+FROM otp_attempts"""
+
+
 @register("insert_ignore_users", with_views(["users", "otp_attempts"], """
-SELECT email, id, attempted_at FROM otp_attempts a
+SELECT email, id, attempted_at FROM la a
 WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.email = a.email)
-  AND NOT EXISTS (SELECT 1 FROM otp_attempts b WHERE b.email = a.email
-                  AND (b.attempted_at < a.attempted_at OR (b.attempted_at = a.attempted_at AND b.id < a.id)))"""))
+  AND NOT EXISTS (SELECT 1 FROM la b WHERE b.email = a.email
+                  AND (b.attempted_at < a.attempted_at OR (b.attempted_at = a.attempted_at AND b.id < a.id)))""",
+                                           la=_LOGIN_EMAILS))
 def insert_ignore_users(spark, sf):
-    new = bridge(spark, sf, "otp_attempts").select("email", "id", "attempted_at")
+    a = bridge(spark, sf, "otp_attempts")
+    new = a.select(F.when(F.col("id") % 2 == 0, F.col("email"))
+                   .otherwise(F.replace("email", F.lit("example.com"), F.lit("example.org"))).alias("email"),
+                   "id", "attempted_at")
     return insert_ignore(bridge(spark, sf, "users"), new, ["email"], ["attempted_at", "id"])
 
 
@@ -127,7 +137,7 @@ SELECT id,
   CAST(epoch_us(TIMESTAMP '{BOOKINGS_AS_OF}') - epoch_us(created_at) AS DOUBLE) / CAST(3600000000 AS DOUBLE) AS hours_since,
   created_at + INTERVAL '10' MINUTE AS otp_expires_at,
   created_at + INTERVAL '30' DAY AS user_token_expires_at,
-  concat('BS-', CAST(epoch_ms(created_at) AS VARCHAR), '-', upper(substr(sha256(payment_reference), 1, 8))) AS new_reference
+  concat('BS-', CAST(epoch_us(created_at) // 1000 AS VARCHAR), '-', upper(substr(sha256(payment_reference), 1, 8))) AS new_reference
 FROM bookings"""))
 def scalars_bookings(spark, sf):
     b = bridge(spark, sf, "bookings")

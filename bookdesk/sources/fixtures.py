@@ -183,8 +183,8 @@ SELECT event_id AS id, ts AS created_at,
        concat('{{"decision":"', CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'DECLINE'
                                    WHEN 'click' THEN 'Cancel' ELSE '' END,
               '","transaction_id":"', CASE WHEN user_id % 40 = 0 THEN '' ELSE concat('PAY-', user_id, '-', CAST(floor(value) AS BIGINT) % 5) END,
-              '","req_amount":"', CASE WHEN event_id % 9 = 0 THEN '' ELSE concat(' ', CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), 'EUR') END,
-              '","auth_amount":"', CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR),
+              '","req_amount":"', CASE WHEN event_id % 9 = 0 THEN '' ELSE concat(' ', CAST(CAST(value AS DECIMAL(12,2)) AS STRING), 'EUR') END,
+              '","auth_amount":"', CAST(CAST(value AS DECIMAL(12,2)) AS STRING),
               '","req_currency":"', CASE WHEN user_id % 3 = 0 THEN '' ELSE 'USD' END,
               '","hs_user_id":"', CASE WHEN user_id % 4 = 0 THEN 'x' ELSE concat(user_id, 'u') END,
               '","merchant_defined_data10":"', user_id,
@@ -193,7 +193,7 @@ SELECT event_id AS id, ts AS created_at,
               '","hs_is_refundable":"', CASE WHEN event_id % 5 = 0 THEN '0' ELSE '' END,
               '","hs_lead_first_name":"', CASE WHEN event_id % 7 = 0 THEN '' ELSE concat('Ann', user_id) END,
               '","req_bill_to_surname":"', concat('Lee', user_id % 13),
-              '","hs_check_in_date":"', CAST(CAST(ts AS DATE) AS VARCHAR),
+              '","hs_check_in_date":"', CAST(CAST(ts AS DATE) AS STRING),
               '","hs_product_title":"', CASE WHEN event_id % 8 = 0 THEN '' ELSE concat('Tour ', user_id % 17) END,
               '"}}') AS payload
 FROM {events} WHERE event_type <> 'view'""",
