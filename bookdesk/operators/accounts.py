@@ -200,17 +200,17 @@ def set_user_status(u: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFr
 
 # M7 ---------------------------------------------------------------------
 def upsert_admins(a: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seeds(email, password_hash, name, role, seeded_at): by e-mail, refresh
-    hash/name/role and re-activate; unseen e-mails are inserted."""
+    """seeds(seed_id, email, password_hash, name, role, seeded_at): by
+    e-mail (normalised), refresh hash/name/role and re-activate; unseen
+    e-mails are inserted with id ``max(id) + seed_id``."""
     from .mutate import upsert
-    s = latest_per_key(seeds.withColumn("email", norm_email(F.col("email"))), ["email"], ["seeded_at"])
-    s = s.withColumn("_seq", F.xxhash64("email"))
+    s = latest_per_key(seeds.withColumn("email", norm_email(F.col("email"))), ["email"], ["seeded_at", "seed_id"])
     sets = {"password_hash": F.col("n_password_hash"), "name": F.col("n_name"), "role": F.col("n_role"),
             "status": F.lit("active"), "updated_at": F.col("n_seeded_at")}
     ins = {"email": F.col("n_email"), "password_hash": F.col("n_password_hash"), "name": F.col("n_name"),
            "role": F.coalesce(F.col("n_role"), F.lit("admin")), "status": F.lit("active"),
            "created_at": F.col("n_seeded_at"), "updated_at": F.col("n_seeded_at")}
-    return upsert(a, s.drop("_seq"), "email", sets, ins, id_offset=F.abs(F.xxhash64("n_email")) % F.lit(10**12) + 1)
+    return upsert(a, s, "email", sets, ins, id_offset=F.col("n_seed_id"))
 
 
 # M8 ---------------------------------------------------------------------
@@ -239,8 +239,9 @@ def login_users(u: DataFrame, logins: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # M9 ---------------------------------------------------------------------
 def revoke_tokens(t: DataFrame, logouts: DataFrame) -> DataFrame:
-    """logouts(jti, logged_out_at): revoked_at = the first logout time
-    (already revoked tokens keep their stamp)."""
+    """logouts(jti, logged_out_at): a logout passes the token check only
+    while the token is unrevoked, so the earliest one wins; revoked_at is
+    the earlier of the stored stamp and the first logout."""
     lo = logouts.groupBy("jti").agg(F.min("logged_out_at").alias("_out"))
     j = t.join(lo, "jti", "left")
-    return j.withColumn("revoked_at", F.coalesce(F.col("revoked_at"), F.col("_out"))).select(*t.columns)
+    return j.withColumn("revoked_at", F.least(F.col("revoked_at"), F.col("_out"))).select(*t.columns)

@@ -65,15 +65,14 @@ def apply_patches(base: DataFrame, patches: DataFrame, key: str, rules: dict[str
     per_key = ok.groupBy(key).agg(*aggs)
 
     j = base.join(per_key, base[base_key] == per_key[key], "left")
+    if extra is not None:  # sees the old values next to the new ones (_v_*)
+        j = extra(j)
     sets = {}
     for col in rules:
         sets[col] = F.when(F.coalesce(F.col(f"_h_{col}"), F.lit(False)), F.col(f"_v_{col}")).otherwise(F.col(col))
     if touch and touch in base.columns:
         sets[touch] = F.when(F.col("_touched").isNotNull(), F.col("_touched")).otherwise(F.col(touch))
-    out = j.withColumns(sets)
-    if extra is not None:
-        out = extra(out)
-    return out.select(*base.columns), outcomes
+    return j.withColumns(sets).select(*base.columns), outcomes
 
 
 def insert_ignore(base: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:

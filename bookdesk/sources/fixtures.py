@@ -207,6 +207,41 @@ SELECT doc_id AS draft_id,
        doc_id % 10 AS author_admin_id,
        TIMESTAMP_NTZ '2024-02-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id % 97) AS requested_at
 FROM {documents}""",
+    "token_requests": """
+SELECT event_id AS request_id, concat('jti-', event_id - event_id % 2) AS jti,
+       ts + INTERVAL '1' HOUR * (event_id % 50) AS requested_at
+FROM {events}""",
+    "profile_patches": """
+SELECT event_id AS request_id, user_id, ts AS requested_at,
+       (event_id % 3 = 0) AS has_first, CASE WHEN event_id % 6 = 0 THEN '' ELSE concat('F', event_id % 9) END AS first_middle_name,
+       (event_id % 5 = 0) AS has_last, CASE WHEN event_id % 10 = 0 THEN NULL ELSE concat('L', event_id % 7) END AS last_name,
+       (event_id % 2 = 0) AS has_city, concat('City', event_id % 11) AS city_of_residence,
+       (event_id % 7 = 0) AS has_dob, CAST(CAST(ts AS DATE) AS STRING) AS date_of_birth
+FROM {events} WHERE event_type = 'click'""",
+    "profile_forms": """
+SELECT event_id AS form_id, user_id, ts AS submitted_at,
+       concat(' Ann', user_id % 13, ' ') AS first_middle_name, concat('Lee', event_id % 5) AS last_name,
+       CASE WHEN event_id % 2 = 0 THEN NULL ELSE concat('+1', event_id) END AS mobile_number,
+       CASE WHEN event_id % 3 = 0 THEN NULL ELSE '+1' END AS mobile_country_code,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'Seychelles' END AS country,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(CAST(ts AS DATE) AS STRING) END AS date_of_birth,
+       CASE event_id % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN 'other' END AS gender
+FROM {events} WHERE event_type = 'signup'""",
+    "status_changes": """
+SELECT event_id AS request_id, user_id, ts AS requested_at,
+       CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'inactive' WHEN 2 THEN 'suspended' ELSE 'deleted' END AS status
+FROM {events} WHERE event_type = 'error'""",
+    "admin_seeds": """
+SELECT s_suppkey AS seed_id,
+       CASE WHEN s_suppkey % 2 = 0 THEN concat('admin', s_suppkey, '@example.com')
+            ELSE concat('  Ops', s_suppkey, '@Example.com ') END AS email,
+       concat('hash-', s_suppkey) AS password_hash, concat('Seeded ', s_name) AS name,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'super_admin' ELSE 'admin' END AS role,
+       TIMESTAMP_NTZ '2024-03-01 00:00:00' + INTERVAL '1' MINUTE * s_suppkey AS seeded_at
+FROM {supplier}""",
+    "logouts": """
+SELECT concat('jti-', event_id) AS jti, ts + INTERVAL '1' HOUR * (event_id % 12) AS logged_out_at
+FROM {events} WHERE event_type = 'view'""",
 })
 
 _PLACEHOLDER = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
