@@ -223,3 +223,99 @@ def stamp_email_sent(m: DataFrame, receipts: DataFrame) -> DataFrame:
         "email_sent": F.when(hit, F.lit(True)).otherwise(F.coalesce(F.col("email_sent"), F.lit(False))),
         "email_sent_at": F.when(hit, F.col("_sent")).otherwise(F.col("email_sent_at")),
     }).select(*m.columns)
+
+
+# R8 ---------------------------------------------------------------------
+QUERY_STATUSES = ("new", "in_progress", "resolved", "closed")
+
+
+def apply_query_patches(q: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """patches(request_id, query_id, admin_id, patch map<status, admin_notes>,
+    requested_at): a truthy status is written; in_progress/resolved/closed
+    also take the handler, resolved/closed stamp handled_at; admin_notes is
+    written when present. Returns (queries', outcomes)."""
+    from .mutate import apply_patches
+    st = F.element_at("patch", F.lit("status"))
+    has_status = F.coalesce(st, F.lit("")) != ""
+    p = patches.withColumn("_outcome", F.when(has_status & ~st.isin(*QUERY_STATUSES), "invalid_status")
+                           .when(~has_status & ~F.map_contains_key("patch", F.lit("admin_notes")), "no_fields"))
+    rules = {
+        "status": (lambda m: F.nullif(F.element_at(m, F.lit("status")), F.lit("")), "value"),
+        "handled_by_admin_id": (lambda m: F.when(F.element_at(m, F.lit("status")).isin("in_progress", "resolved", "closed"),
+                                                 F.col("admin_id")), "value"),
+        "handled_at": (lambda m: F.when(F.element_at(m, F.lit("status")).isin("resolved", "closed"),
+                                        F.col("requested_at")), "value"),
+        "admin_notes": (lambda m: F.trim(F.element_at(m, F.lit("admin_notes"))), "present"),
+    }
+    return apply_patches(conform_queries(q), p, "query_id", rules)
+
+
+# R7 ---------------------------------------------------------------------
+def apply_thread_events(q: DataFrame, m: DataFrame, events: DataFrame, as_of: str):
+    """events(event_id, query_id, kind 'user'|'admin', sender_id, message,
+    status, admin_notes, has_notes, at): user messages (only on the sender's
+    own thread) and admin replies, in ``(at, event_id)`` order.
+
+    The per-thread fold collapses to aggregates: a user message sets status
+    'new' unless the thread was closed, which is decided by the last admin
+    reply before the trailing user messages (or the stored status when there
+    is none). Returns (queries', new messages incl. first-message backfill,
+    outcomes)."""
+    q = conform_queries(q)
+    owners = q.select(F.col("id").alias("_qid"), F.col("user_id").alias("_owner"))
+    e = events.join(owners, events["query_id"] == owners["_qid"], "left")
+    text = F.trim(F.col("message"))
+    outcome = (F.when(F.col("_qid").isNull(), "not_found")
+               .when((F.col("kind") == "user")
+                     & ~F.coalesce(F.col("_owner").cast("string") == F.col("sender_id").cast("string"), F.lit(False)),
+                     "not_found")
+               .when(F.coalesce(text, F.lit("")) == "", "invalid")
+               .when((F.col("kind") == "admin") & F.coalesce(~F.col("status").isin(*QUERY_STATUSES), F.lit(False)),
+                     "invalid_status")
+               .otherwise("applied"))
+    e = e.withColumn("outcome", outcome)
+    outcomes = e.select("event_id", "query_id", "outcome")
+    ok = e.filter(F.col("outcome") == "applied")
+
+    order = F.struct("at", "event_id")
+    is_user, is_admin = F.col("kind") == "user", F.col("kind") == "admin"
+    admin_status = F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("in_progress"))
+    agg = ok.groupBy("query_id").agg(
+        F.max("at").alias("_t"),
+        F.max_by(F.col("kind"), order).alias("_last_kind"),
+        F.max_by(admin_status, F.when(is_admin, order)).alias("_last_admin_status"),
+        F.max_by(F.col("sender_id"), F.when(is_admin, order)).alias("_last_admin"),
+        F.max(F.when(is_admin, order)).isNotNull().alias("_any_admin"),
+        F.max(F.when(is_user, order)).isNotNull().alias("_any_user"),
+        F.max_by(text, F.when(is_user, order)).alias("_last_user_text"),
+        F.max_by(F.trim(F.col("admin_notes")), F.when(is_admin & F.col("has_notes"), order)).alias("_notes"),
+        F.max(F.when(is_admin & F.col("has_notes"), order)).isNotNull().alias("_has_notes"),
+        F.max_by(F.col("at"), F.when(is_admin & admin_status.isin("resolved", "closed"), order)).alias("_handled"),
+    )
+    j = q.join(agg, q["id"] == agg["query_id"], "left")
+    hit = F.col("query_id").isNotNull()
+    before_users = F.when(F.col("_any_admin"), F.col("_last_admin_status")).otherwise(F.col("status"))
+    new_status = (F.when(F.col("_last_kind") == "admin", F.col("_last_admin_status"))
+                  .when(before_users == "closed", "closed").otherwise("new"))
+    sets = {
+        "status": new_status,
+        "message": F.when(F.col("_any_user"), F.col("_last_user_text")).otherwise(F.col("message")),
+        "admin_last_seen_at": F.when(F.col("_any_user"), F.lit(None)).otherwise(F.col("admin_last_seen_at")),
+        "user_last_seen_at": F.when(F.col("_any_admin"), F.lit(None)).otherwise(F.col("user_last_seen_at")),
+        "admin_notes": F.when(F.col("_has_notes"), F.col("_notes")).otherwise(F.col("admin_notes")),
+        "handled_by_admin_id": F.when(F.col("_any_admin"), F.col("_last_admin")).otherwise(F.col("handled_by_admin_id")),
+        "handled_at": F.coalesce(F.col("_handled"), F.col("handled_at")),
+        "updated_at": F.col("_t"),
+    }
+    q2 = j.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in sets.items()}).select(*q.columns)
+
+    touched = ok.select(F.col("query_id").alias("id")).distinct()
+    backfill = backfill_first_message(q.join(touched, "id", "left_semi"), m, as_of)
+    seen_ids = m.select("id").unionByName(backfill.select("id"))
+    new_msgs = ok.select(
+        next_ids(seen_ids, F.col("event_id")).alias("id"), "query_id", F.col("kind").alias("sender_type"),
+        F.when(is_user, F.col("sender_id")).alias("sender_user_id"),
+        F.when(is_admin, F.col("sender_id")).alias("sender_admin_id"),
+        text.alias("message"), F.lit(False).alias("email_sent"),
+        F.lit(None).cast("timestamp_ntz").alias("email_sent_at"), F.col("at").alias("created_at"))
+    return q2, backfill.unionByName(new_msgs), outcomes

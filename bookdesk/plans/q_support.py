@@ -209,3 +209,123 @@ def stamp_email_sent(spark, sf):
         F.col("id").alias("message_id"), (F.col("created_at") + F.expr("INTERVAL 5 MINUTES")).alias("sent_at"),
         F.lit(True).alias("ok"))
     return S.stamp_email_sent(m, receipts).select("id", "email_sent", "email_sent_at")
+
+
+# R7 / R8 ------------------------------------------------------------------
+def _thread_batch(spark, sf):
+    q, m = bridge(spark, sf, "queries"), bridge(spark, sf, "query_messages")
+    return S.apply_thread_events(q, m, bridge(spark, sf, "thread_events"), EVENTS_AS_OF)
+
+
+_EV_OK = """
+SELECT e.*, trim(e.message) AS text FROM thread_events e JOIN queries q ON q.id = e.query_id
+WHERE NOT (e.kind = 'user' AND NOT coalesce(CAST(q.user_id AS VARCHAR) = CAST(e.sender_id AS VARCHAR), false))
+  AND coalesce(trim(e.message), '') <> ''
+  AND NOT (e.kind = 'admin' AND coalesce(e.status NOT IN ('new', 'in_progress', 'resolved', 'closed'), false))"""
+
+
+def _last(expr: str, cond: str = "true") -> str:
+    return f"""(SELECT {expr} FROM ok o WHERE o.query_id = q.id AND {cond}
+             ORDER BY o.at DESC, o.event_id DESC LIMIT 1)"""
+
+
+_ADMIN_ST = "coalesce(nullif(o.status, ''), 'in_progress')"
+_EV_AGG = f"""
+SELECT q.id,
+  EXISTS (SELECT 1 FROM ok o WHERE o.query_id = q.id) AS hit,
+  EXISTS (SELECT 1 FROM ok o WHERE o.query_id = q.id AND o.kind = 'admin') AS any_admin,
+  EXISTS (SELECT 1 FROM ok o WHERE o.query_id = q.id AND o.kind = 'user') AS any_user,
+  EXISTS (SELECT 1 FROM ok o WHERE o.query_id = q.id AND o.kind = 'admin' AND o.has_notes) AS has_notes,
+  {_last('o.kind')} AS last_kind,
+  {_last(_ADMIN_ST, "o.kind = 'admin'")} AS last_admin_status,
+  {_last('o.sender_id', "o.kind = 'admin'")} AS last_admin,
+  {_last('o.text', "o.kind = 'user'")} AS last_user_text,
+  {_last('trim(o.admin_notes)', "o.kind = 'admin' AND o.has_notes")} AS notes,
+  {_last('o.at', "o.kind = 'admin' AND " + _ADMIN_ST + " IN ('resolved', 'closed')")} AS handled,
+  (SELECT max(o.at) FROM ok o WHERE o.query_id = q.id) AS t
+FROM queries q"""
+
+
+@register("thread_events_queries", with_views(["queries", "thread_events"], """
+SELECT q.id,
+  CASE WHEN NOT g.hit THEN q.status WHEN g.last_kind = 'admin' THEN g.last_admin_status
+       WHEN (CASE WHEN g.any_admin THEN g.last_admin_status ELSE q.status END) = 'closed' THEN 'closed' ELSE 'new' END AS status,
+  CASE WHEN g.any_user THEN g.last_user_text ELSE q.message END AS message,
+  CASE WHEN g.any_user THEN NULL ELSE q.admin_last_seen_at END AS admin_last_seen_at,
+  CASE WHEN g.any_admin THEN NULL ELSE q.user_last_seen_at END AS user_last_seen_at,
+  CASE WHEN g.has_notes THEN g.notes END AS admin_notes,
+  CASE WHEN g.any_admin THEN g.last_admin ELSE q.handled_by_admin_id END AS handled_by_admin_id,
+  g.handled AS handled_at,
+  CASE WHEN g.hit THEN g.t ELSE q.updated_at END AS updated_at
+FROM queries q JOIN g ON g.id = q.id""", ok=_EV_OK, g=_EV_AGG))
+def thread_events_queries(spark, sf):
+    return _thread_batch(spark, sf)[0].select(
+        "id", "status", "message", "admin_last_seen_at", "user_last_seen_at", "admin_notes", "handled_by_admin_id",
+        "handled_at", "updated_at")
+
+
+@register("thread_events_messages", with_views(["queries", "query_messages", "thread_events"], f"""
+SELECT (SELECT coalesce(max(id), 0) FROM query_messages) + q.id AS id, q.id AS query_id, 'user' AS sender_type,
+       CASE WHEN q.user_id <> 0 THEN q.user_id END AS sender_user_id, CAST(NULL AS BIGINT) AS sender_admin_id,
+       q.message, coalesce(q.created_at, {AS_OF_SQL}) AS created_at
+FROM queries q WHERE EXISTS (SELECT 1 FROM ok o WHERE o.query_id = q.id)
+  AND NOT EXISTS (SELECT 1 FROM query_messages x WHERE x.query_id = q.id)
+UNION ALL
+SELECT greatest((SELECT coalesce(max(id), 0) FROM query_messages),
+                (SELECT coalesce(max((SELECT coalesce(max(id), 0) FROM query_messages) + q.id), 0) FROM queries q
+                 WHERE EXISTS (SELECT 1 FROM ok o WHERE o.query_id = q.id)
+                   AND NOT EXISTS (SELECT 1 FROM query_messages x WHERE x.query_id = q.id))) + o.event_id,
+       o.query_id, o.kind, CASE WHEN o.kind = 'user' THEN o.sender_id END,
+       CASE WHEN o.kind = 'admin' THEN o.sender_id END, o.text, o.at
+FROM ok o""", ok=_EV_OK))
+def thread_events_messages(spark, sf):
+    return _thread_batch(spark, sf)[1].select("id", "query_id", "sender_type", "sender_user_id", "sender_admin_id",
+                                              "message", "created_at")
+
+
+@register("thread_events_outcomes", with_views(["queries", "thread_events"], """
+SELECT e.event_id, e.query_id,
+  CASE WHEN q.id IS NULL THEN 'not_found'
+       WHEN e.kind = 'user' AND NOT coalesce(CAST(q.user_id AS VARCHAR) = CAST(e.sender_id AS VARCHAR), false) THEN 'not_found'
+       WHEN coalesce(trim(e.message), '') = '' THEN 'invalid'
+       WHEN e.kind = 'admin' AND coalesce(e.status NOT IN ('new', 'in_progress', 'resolved', 'closed'), false) THEN 'invalid_status'
+       ELSE 'applied' END AS outcome
+FROM thread_events e LEFT JOIN queries q ON q.id = e.query_id"""))
+def thread_events_outcomes(spark, sf):
+    return _thread_batch(spark, sf)[2]
+
+
+def _query_patches(spark, sf):
+    p = bridge(spark, sf, "query_patches")
+    entries = F.array(F.struct(F.lit("status").alias("k"), F.col("status").alias("v"), F.lit(True).alias("h")),
+                      F.struct(F.lit("admin_notes").alias("k"), F.col("admin_notes").alias("v"),
+                               F.col("has_notes").alias("h")))
+    patch = F.map_from_entries(F.transform(F.filter(entries, lambda e: e["h"]), lambda e: F.struct(e["k"], e["v"])))
+    return p.select("request_id", "query_id", "admin_id", "requested_at", patch.alias("patch"))
+
+
+_QP_OK = """
+SELECT p.* FROM query_patches p JOIN queries q ON q.id = p.query_id
+WHERE NOT (p.status <> '' AND p.status NOT IN ('new', 'in_progress', 'resolved', 'closed'))
+  AND (p.status <> '' OR p.has_notes)"""
+
+
+def _qp_last(expr: str, cond: str) -> str:
+    return f"""(SELECT {expr} FROM ok p WHERE p.query_id = q.id AND {cond}
+             ORDER BY p.requested_at DESC, p.request_id DESC LIMIT 1)"""
+
+
+@register("apply_query_patches", with_views(["queries", "query_patches"], f"""
+SELECT q.id,
+  coalesce({_qp_last('p.status', "p.status <> ''")}, q.status) AS status,
+  CASE WHEN EXISTS (SELECT 1 FROM ok p WHERE p.query_id = q.id AND p.status IN ('in_progress', 'resolved', 'closed'))
+       THEN {_qp_last('p.admin_id', "p.status IN ('in_progress', 'resolved', 'closed')")} ELSE q.handled_by_admin_id END
+    AS handled_by_admin_id,
+  {_qp_last('p.requested_at', "p.status IN ('resolved', 'closed')")} AS handled_at,
+  {_qp_last('trim(p.admin_notes)', 'p.has_notes')} AS admin_notes,
+  coalesce((SELECT max(p.requested_at) FROM ok p WHERE p.query_id = q.id), q.updated_at) AS updated_at
+FROM queries q""", ok=_QP_OK))
+def apply_query_patches(spark, sf):
+    q = bridge(spark, sf, "queries")
+    return S.apply_query_patches(q, _query_patches(spark, sf))[0].select(
+        "id", "status", "handled_by_admin_id", "handled_at", "admin_notes", "updated_at")

@@ -242,6 +242,30 @@ FROM {supplier}""",
     "logouts": """
 SELECT concat('jti-', event_id) AS jti, ts + INTERVAL '1' HOUR * (event_id % 12) AS logged_out_at
 FROM {events} WHERE event_type = 'view'""",
+    "thread_events": """
+SELECT conv_id * 100 + turn + 50 AS event_id, conv_id AS query_id,
+       CASE WHEN role = 'user' THEN 'user' ELSE 'admin' END AS kind,
+       CASE WHEN role = 'user' THEN CASE WHEN turn = 3 THEN conv_id % 100 + 1 ELSE conv_id % 100 END
+            ELSE conv_id % 10 END AS sender_id,
+       CASE WHEN turn = 5 THEN '   ' ELSE text END AS message,
+       CASE turn % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN 'closed' WHEN 4 THEN 'bogus' END AS status,
+       (turn % 3 = 0) AS has_notes, concat(' note ', turn, ' ') AS admin_notes,
+       TIMESTAMP_NTZ '2024-02-01 00:00:00' + INTERVAL '1' HOUR * conv_id + INTERVAL '1' MINUTE * turn AS at
+FROM {conversations} WHERE turn >= 1""",
+    "query_patches": """
+SELECT conv_id * 100 + turn AS request_id, conv_id AS query_id, (conv_id + turn) % 10 + 1 AS admin_id,
+       CASE turn % 6 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'resolved' WHEN 2 THEN '' WHEN 3 THEN 'closed'
+                     WHEN 4 THEN 'new' ELSE 'bogus' END AS status,
+       (turn % 2 = 0) AS has_notes, concat('  handled ', turn) AS admin_notes,
+       TIMESTAMP_NTZ '2024-02-10 00:00:00' + INTERVAL '1' MINUTE * (conv_id + turn) AS requested_at
+FROM {conversations}""",
+    "blog_patches": """
+SELECT event_id AS request_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 10 + event_id % 10 AS blog_id,
+       ts AS requested_at,
+       CASE WHEN event_id % 4 = 0 THEN '  ' ELSE concat('Title ', event_id) END AS title,
+       (event_id % 3 = 0) AS has_excerpt, concat(' excerpt ', event_id % 5, ' ') AS excerpt,
+       CASE event_id % 5 WHEN 0 THEN 'published' WHEN 1 THEN 'draft' WHEN 2 THEN 'archived' ELSE '' END AS status
+FROM {events} WHERE event_type = 'purchase'""",
 })
 
 _PLACEHOLDER = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
