@@ -178,6 +178,6 @@ def stream_refund_expiry(bookings: DataFrame, watermark: str = "1 hour") -> Data
         (F.col("payment_status") == "paid") & F.coalesce(F.col("is_refundable"), F.lit(True))
         & (F.coalesce(F.col("refund_window_hours"), F.lit(24)) > 0))
     b = b.withWatermark("created_at", watermark).withColumn(
-        "_exp_ms", F.unix_millis(F.col("created_at")) + F.coalesce(F.col("refund_window_hours"), F.lit(24)) * 3600000)
+        "_exp_ms", F.unix_millis(F.col("created_at")) + F.coalesce(F.col("refund_window_hours"), F.lit(24)).cast("bigint") * F.lit(3600000))
     return b.groupBy("id").applyInPandasWithState(
         _expiry, "booking_id long, expires_at timestamp", "exp_ms long", "append", GroupStateTimeout.EventTimeTimeout)
