@@ -14,13 +14,29 @@ from ..plans.strategy import next_ids
 from .mutate import first_per_key
 
 
+# Fields of the gateway form post the receipt reads (fixed names).
+RECEIPT_FIELDS = [
+    "decision", "req_transaction_uuid", "transaction_uuid", "transaction_id", "req_amount", "auth_amount",
+    "req_currency", "message", "hs_lead_first_name", "req_bill_to_forename", "merchant_defined_data7",
+    "hs_lead_last_name", "req_bill_to_surname", "merchant_defined_data8", "hs_lead_email", "req_bill_to_email",
+    "merchant_defined_data2", "hs_lead_mobile", "merchant_defined_data9", "hs_booking_type",
+    "merchant_defined_data1", "hs_user_id", "merchant_defined_data10", "hs_check_in_date", "merchant_defined_data5",
+    "hs_check_out_date", "merchant_defined_data6", "hs_travel_date", "hs_total_adults", "merchant_defined_data11",
+    "hs_total_children", "merchant_defined_data12", "hs_is_refundable", "merchant_defined_data13",
+    "hs_refund_window_hours", "merchant_defined_data14", "hs_product_title", "merchant_defined_data3",
+    "hs_product_code", "merchant_defined_data4",
+]
+_RECEIPT_DDL = "struct<" + ",".join(f"`{k}`:string" for k in RECEIPT_FIELDS) + ">"
+
+
 def _f(name: str):
-    return F.element_at(F.col("_p"), F.lit(name))
+    return F.col(f"_p.{name}")
 
 
 def parse_receipts(raw: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """raw(id, created_at, payload JSON text) → typed receipt columns."""
-    p = raw.withColumn("_p", F.from_json(F.col(payload_col), "map<string,string>"))
+    """raw(id, created_at, payload JSON text) → typed receipt columns. The
+    payload is parsed once into a struct of just the fields read."""
+    p = raw.withColumn("_p", F.from_json(F.col(payload_col), _RECEIPT_DDL))
     adults = js_int(falsy_coalesce(_f("hs_total_adults"), _f("merchant_defined_data11"), default="1"))
     children = js_int(falsy_coalesce(_f("hs_total_children"), _f("merchant_defined_data12"), default="0"))
     check_in = falsy_coalesce(_f("hs_check_in_date"), _f("merchant_defined_data5"))
