@@ -66,14 +66,24 @@ SELECT o_orderkey AS id,
        concat('{{"nights":', o_orderkey % 14, '}}') AS details,
        o_orderdate AS created_at
 FROM {orders}""",
+    # Same rows as the FIXTURES.md view (orders × 4 actions under the same
+    # conditions), written as a UNION ALL so no plan needs a cross join.
     "refund_events": """
-SELECT o_orderkey * 4 + seq AS id, o_orderkey AS booking_id,
-       CASE WHEN seq = 2 THEN NULL ELSE o_orderkey % 10 END AS admin_id,
-       action, CAST(o_totalprice AS DECIMAL(12,2)) AS amount,
-       o_orderdate + INTERVAL '1' HOUR + INTERVAL '1' MINUTE * seq AS created_at
-FROM {orders} CROSS JOIN (VALUES (0, 'requested'), (1, 'gateway_initiated'), (2, 'completed'), (3, 'gateway_failed')) AS a(seq, action)
-WHERE o_orderstatus = 'F'
-  AND ((o_orderkey % 2 = 0 AND seq < 3) OR (o_orderkey % 2 = 1 AND seq = 0) OR (o_orderkey % 4 = 1 AND seq = 3))""",
+SELECT o_orderkey * 4 + 0 AS id, o_orderkey AS booking_id, o_orderkey % 10 AS admin_id, 'requested' AS action,
+       CAST(o_totalprice AS DECIMAL(12,2)) AS amount, o_orderdate + INTERVAL '1' HOUR AS created_at
+FROM {orders} WHERE o_orderstatus = 'F' AND (o_orderkey % 2 = 0 OR o_orderkey % 2 = 1)
+UNION ALL
+SELECT o_orderkey * 4 + 1, o_orderkey, o_orderkey % 10, 'gateway_initiated', CAST(o_totalprice AS DECIMAL(12,2)),
+       o_orderdate + INTERVAL '1' HOUR + INTERVAL '1' MINUTE
+FROM {orders} WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0
+UNION ALL
+SELECT o_orderkey * 4 + 2, o_orderkey, CAST(NULL AS BIGINT), 'completed', CAST(o_totalprice AS DECIMAL(12,2)),
+       o_orderdate + INTERVAL '1' HOUR + INTERVAL '2' MINUTE
+FROM {orders} WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0
+UNION ALL
+SELECT o_orderkey * 4 + 3, o_orderkey, o_orderkey % 10, 'gateway_failed', CAST(o_totalprice AS DECIMAL(12,2)),
+       o_orderdate + INTERVAL '1' HOUR + INTERVAL '3' MINUTE
+FROM {orders} WHERE o_orderstatus = 'F' AND o_orderkey % 4 = 1""",
     "queries": """
 SELECT conv_id AS id,
        CASE WHEN conv_id % 9 = 0 THEN NULL ELSE conv_id % 100 END AS user_id,
