@@ -16,6 +16,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def epoch_micros(col) -> Column:
+    """Microseconds since 1970-01-01 of a zone-less timestamp, without going
+    through the session time zone."""
+    return F.timestamp_diff("MICROSECOND", epoch(), _c(col))
+
+
 def ts(value: str) -> Column:
     """A zone-less timestamp literal."""
     return F.lit(value).cast("timestamp_ntz")
@@ -150,7 +156,8 @@ ADMIN_TOKEN_TTL_MINUTES = 24 * 60
 def booking_reference(created_at, seed) -> Column:
     """``BS-<epoch millis>-<8 upper hex>``; the hex part hashes ``seed`` so a
     re-run mints the same reference."""
-    return F.concat(F.lit("BS-"), F.unix_millis(_c(created_at).cast("timestamp")).cast("string"), F.lit("-"),
+    millis = F.floor(epoch_micros(created_at) / F.lit(1000)).cast("bigint")
+    return F.concat(F.lit("BS-"), millis.cast("string"), F.lit("-"),
                     F.upper(F.substring(F.sha2(_c(seed).cast("string"), 256), 1, 8)))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.scalars import norm_email, otp_hash
+from ..functions.scalars import epoch_micros, norm_email, otp_hash
 from ..plans.strategy import next_ids
 from .mutate import apply_patches, first_per_key, latest_per_key
 
@@ -118,7 +118,7 @@ def otp_rate_limit(requests: DataFrame, cooldown_seconds: int = 60, ts_col: str
     by (email, time, id) inside each partition; a vectorised pass carries
     only (current e-mail, next allowed time) between batches, so memory is
     constant even for an e-mail holding a large share of the rows."""
-    r = requests.select("id", "email", F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_us"))
+    r = requests.select("id", "email", epoch_micros(F.col(ts_col)).alias("_us"))
     ordered = r.repartition("email").sortWithinPartitions("email", "_us", "id")
     ids = ordered.mapInPandas(_greedy(int(cooldown_seconds * 1_000_000)), "id bigint")
     return requests.join(ids, "id", "left_semi")
