@@ -41,21 +41,59 @@ def _root_of(c):
 
 
 def _fold_slugs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact sequential slug assignment for one root (used only for roots
-    where a draft's own slug already ends in -<n>)."""
-    taken = set(pdf.loc[pdf["kind"] == 0, "slug"])
-    drafts = pdf[pdf["kind"] == 1].sort_values(["requested_at", "draft_id"])
+    """Exact sequential slug assignment for one root whose drafts include a
+    slug ending in -<n>. Existing slugs arrive as runs [lo, hi] of taken
+    suffix numbers per base (0 = the base itself), so the group holds the
+    root's drafts plus a handful of intervals, not the existing rows."""
+    runs: dict[str, list[tuple[int, int]]] = {}
+    for r in pdf[pdf["kind"] == 0].itertuples():
+        runs.setdefault(r.base, []).append((int(r.lo), int(r.hi)))
+    for v in runs.values():
+        v.sort()
+    taken_now: set[str] = set()
+
+    def name(base: str, n: int) -> str:
+        return base if n == 0 else f"{base}-{n}"
+
+    def free(base: str, n: int) -> bool:
+        for lo, hi in runs.get(base, ()):
+            if lo <= n <= hi:
+                return False
+        return name(base, n) not in taken_now
+
     out = []
-    for _, r in drafts.iterrows():
-        cand, n = r["slug"], 1
-        while cand in taken:
-            cand = f"{r['slug']}-{n}"
-            n += 1
-        taken.add(cand)
-        out.append((r["draft_id"], cand))
+    start: dict[str, int] = {}  # taken sets only grow, so a base's next free number never decreases
+    for r in pdf[pdf["kind"] == 1].sort_values(["requested_at", "draft_id"]).itertuples():
+        n = start.get(r.base, 0)
+        while True:
+            jump = next((hi + 1 for lo, hi in runs.get(r.base, ()) if lo <= n <= hi), None)
+            if jump is not None:
+                n = jump
+            elif not free(r.base, n):
+                n += 1
+            else:
+                break
+        slug_ = name(r.base, n)
+        start[r.base] = n + 1
+        taken_now.add(slug_)
+        out.append((int(r.draft_id), slug_))
     return pd.DataFrame(out, columns=["draft_id", "final_slug"])
 
 
+def _taken_numbers(existing: DataFrame, bases: DataFrame) -> DataFrame:
+    """(base, t) for every existing slug that is a candidate of ``base``:
+    the base itself (t = 0) or ``base-<t>``."""
+    ex = existing.select(F.col("slug").alias("ex_slug"))
+    ex_parsed = ex.select(
+        "ex_slug",
+        F.regexp_extract("ex_slug", r"^(.*)-([1-9][0-9]*)$", 1).alias("pre"),
+        F.regexp_extract("ex_slug", r"^(.*)-([1-9][0-9]*)$", 2).alias("num"))
+    t0 = ex_parsed.select(F.col("ex_slug").alias("base"), F.lit(0).cast("bigint").alias("t"))
+    tn = ex_parsed.filter(F.col("pre") != "").select(
+        F.col("pre").alias("base"), F.col("num").try_cast("bigint").alias("t")).filter(F.col("t") >= 1)
+    return t0.unionByName(tn).join(bases, "base", "left_semi").distinct()
+
+
 def assign_slugs(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     """drafts(draft_id, slug, requested_at) → (draft_id, final_slug) with the
     shop's rule: try ``s``, then ``s-1``, ``s-2``… against existing slugs and
@@ -73,16 +111,7 @@ def assign_slugs(existing: DataFrame, drafts: DataFrame) -> DataFrame:
 
     # taken candidate numbers per base of the simple drafts
     bases = simple.select(F.col("slug").alias("base")).distinct()
-    ex = existing.select(F.col("slug").alias("ex_slug"))
-    # ex_slug is base itself (0) or base-<n> (n); match on the prefix before the last -n
-    ex_parsed = ex.select(
-        "ex_slug",
-        F.regexp_extract("ex_slug", r"^(.*)-([1-9][0-9]*)$", 1).alias("pre"),
-        F.regexp_extract("ex_slug", r"^(.*)-([1-9][0-9]*)$", 2).alias("num"))
-    t0 = ex_parsed.select(F.col("ex_slug").alias("base"), F.lit(0).cast("bigint").alias("t"))
-    tn = ex_parsed.filter(F.col("pre") != "").select(
-        F.col("pre").alias("base"), F.col("num").try_cast("bigint").alias("t")).filter(F.col("t") >= 1)
-    taken = t0.unionByName(tn).join(bases, "base", "left_semi").distinct()
+    taken = _taken_numbers(existing, bases)
     wt = Window.partitionBy("base").orderBy("t")
     g = taken.withColumn("key", F.col("t") - F.row_number().over(wt) + 1).select(
         "base", "key", F.lit(1).alias("is_taken"), F.lit(None).cast("bigint").alias("draft_id"))
@@ -99,12 +128,20 @@ def assign_slugs(existing: DataFrame, drafts: DataFrame) -> DataFrame:
         "draft_id",
         F.when(m == 0, F.col("base")).otherwise(F.concat(F.col("base"), F.lit("-"), m.cast("string"))).alias("final_slug"))
 
-    # exact fold for mixed roots
-    md = d.join(mixed, "root", "left_semi").select("root", "slug", "requested_at", "draft_id", F.lit(1).alias("kind"))
-    me = (existing.select(F.col("slug"), _root_of(F.col("slug")).alias("root")).join(mixed, "root", "left_semi")
-          .select("root", "slug", F.lit(None).cast(d.schema["requested_at"].dataType).alias("requested_at"),
-                  F.lit(None).cast("bigint").alias("draft_id"), F.lit(0).alias("kind")))
-    folded = md.unionByName(me).groupBy("root").applyInPandas(_fold_slugs, "draft_id bigint, final_slug string")
+    # exact fold for mixed roots: drafts + runs of taken numbers per base
+    md = d.join(mixed, "root", "left_semi")
+    mbases = md.select("root", F.col("slug").alias("base")).distinct()
+    mt = _taken_numbers(existing, mbases.select("base")).join(mbases, "base")
+    wr = Window.partitionBy("root", "base").orderBy("t")
+    runs = (mt.withColumn("_g", F.col("t") - F.row_number().over(wr)).groupBy("root", "base", "_g")
+            .agg(F.min("t").alias("lo"), F.max("t").alias("hi")))
+    rt = d.schema["requested_at"].dataType
+    fold_in = md.select("root", F.col("slug").alias("base"), "requested_at", "draft_id",
+                        F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi"),
+                        F.lit(1).alias("kind")).unionByName(
+        runs.select("root", "base", F.lit(None).cast(rt).alias("requested_at"), F.lit(None).cast("bigint").alias("draft_id"),
+                    "lo", "hi", F.lit(0).alias("kind")))
+    folded = fold_in.groupBy("root").applyInPandas(_fold_slugs, "draft_id bigint, final_slug string")
     return simple_out.unionByName(folded)
 
 

@@ -230,3 +230,17 @@ def test_inbox_order_and_backfill(spark):
     inbox = S.support_inbox(q, m, a, as_of=EVENTS_AS_OF)
     assert inbox.filter(F.col("message_count") == 0).count() == 0
     assert inbox.count() == q.count()
+
+
+def test_unique_slugs_randomised_against_brute_force(spark):
+    rnd = random.Random(11)
+    t0 = ts("2024-01-01 00:00:00")
+    bases = ["foo", "foo-1", "foo-2", "foo-1-1", "bar", "bar-10", "x"]
+    existing = sorted({rnd.choice(["foo", "bar", "x"]) + ("" if rnd.random() < 0.2 else f"-{rnd.randrange(1, 15)}")
+                       for _ in range(25)} | {f"post-{i}" for i in range(1, 200)})
+    drafts = [(i, rnd.choice(bases + ["post"]), t0 + dt.timedelta(seconds=rnd.randrange(50))) for i in range(120)]
+    ex = spark.createDataFrame([(s,) for s in existing], "slug string")
+    d = spark.createDataFrame(drafts, "draft_id bigint, slug string, requested_at timestamp_ntz")
+    got = {r.draft_id: r.final_slug for r in T.assign_slugs(ex, d).collect()}
+    assert got == brute_slugs(existing, drafts)
+    assert len(set(got.values())) == len(got) and not set(got.values()) & set(existing)
