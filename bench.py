@@ -25,7 +25,7 @@ from bookdesk.session import build_session  # noqa: E402
 HEADLINE = [
     "support_inbox", "support_inbox_user", "support_inbox_page", "refund_eligibility", "trips_with_eligibility",
     "admin_refund_outcomes", "admin_refund_events", "cancel_outcomes", "user_currency_totals",
-    "user_booking_summary", "booking_context", "bookings_page", "voucher_lines", "parse_receipts",
+    "user_booking_summary", "user_booking_lists", "booking_context", "bookings_page", "voucher_lines", "parse_receipts",
     "create_bookings", "otp_outcomes", "otp_rate_limit", "patch_users", "patch_bookings", "thread_events_queries",
     "check_constraints_bookings", "create_blogs", "email_outbox",
 ]

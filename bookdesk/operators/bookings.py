@@ -37,21 +37,27 @@ def booking_detail(b: DataFrame, u: DataFrame) -> DataFrame:
 
 
 # J3 ---------------------------------------------------------------------
-def booking_context(b: DataFrame) -> DataFrame:
-    """For each booking of a known user, every booking of that user (long
-    form: booking_id, other_id, other_reference, other_status,
-    other_created_at, other_rank newest first). Guests get none.
-
-    Long form on purpose: the output is the user's booking count squared,
-    so it is produced by a join on user_id rather than gathered into one
-    array per booking."""
-    own = b.filter(F.col("user_id").isNotNull())
-    mine = own.select(F.col("id").alias("booking_id"), "user_id")
-    ranked = own.select(
-        "user_id", F.col("id").alias("other_id"), F.col("booking_reference").alias("other_reference"),
-        F.col("status").alias("other_status"), F.col("created_at").alias("other_created_at"))
-    return mine.join(ranked, "user_id").select("booking_id", "user_id", "other_id", "other_reference",
-                                               "other_status", "other_created_at")
+def user_booking_lists(b: DataFrame) -> DataFrame:
+    """Each known user's bookings newest first (user_id, other_id,
+    other_reference, other_status, other_created_at, position). Linear in
+    the bookings; guests (user_id NULL) have no list."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("user_id").orderBy(F.col("other_created_at").desc(), F.col("other_id").desc())
+    return (b.filter(F.col("user_id").isNotNull())
+            .select("user_id", F.col("id").alias("other_id"), F.col("booking_reference").alias("other_reference"),
+                    F.col("status").alias("other_status"), F.col("created_at").alias("other_created_at"))
+            .withColumn("position", F.row_number().over(w)))
+
+
+def booking_context(b: DataFrame, viewed: DataFrame) -> DataFrame:
+    """For a batch of viewed bookings (viewed.booking_id), every booking of
+    the same user, newest first. The output grows with the views, never
+    with all pairs of a user's bookings."""
+    v = (viewed.select(F.col("booking_id")).distinct()
+         .join(b.select(F.col("id").alias("booking_id"), "user_id"), "booking_id")
+         .filter(F.col("user_id").isNotNull()))
+    return v.join(user_booking_lists(b), "user_id").select(
+        "booking_id", "user_id", "other_id", "other_reference", "other_status", "other_created_at", "position")
 
 
 # A4 / A5 ----------------------------------------------------------------

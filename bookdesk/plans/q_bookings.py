@@ -50,12 +50,27 @@ def booking_detail(spark, sf):
         "mobile_number", "nationality")
 
 
-@register("booking_context", with_views(["bookings"], """
-SELECT b.id AS booking_id, b.user_id, o.id AS other_id, o.booking_reference AS other_reference,
-       o.status AS other_status, o.created_at AS other_created_at
-FROM bookings b JOIN bookings o ON o.user_id = b.user_id WHERE b.user_id IS NOT NULL"""))
+@register("user_booking_lists", with_views(["bookings"], """
+SELECT user_id, id AS other_id, booking_reference AS other_reference, status AS other_status,
+       created_at AS other_created_at,
+       CAST((SELECT count(*) FROM bookings o WHERE o.user_id = b.user_id
+             AND (o.created_at > b.created_at OR (o.created_at = b.created_at AND o.id >= b.id))) AS INTEGER) AS position
+FROM bookings b WHERE user_id IS NOT NULL"""))
+def user_booking_lists(spark, sf):
+    return B.user_booking_lists(_b(spark, sf))
+
+
+# viewed bookings: detail pages opened while handling payment attempts
+@register("booking_context", with_views(["bookings", "payment_attempts"], """
+SELECT v.booking_id, b.user_id, o.id AS other_id, o.booking_reference AS other_reference, o.status AS other_status,
+       o.created_at AS other_created_at,
+       CAST(row_number() OVER (PARTITION BY v.booking_id ORDER BY o.created_at DESC, o.id DESC) AS INTEGER) AS position
+FROM (SELECT DISTINCT user_id * 7 AS booking_id FROM payment_attempts) v
+JOIN bookings b ON b.id = v.booking_id JOIN bookings o ON o.user_id = b.user_id
+WHERE b.user_id IS NOT NULL"""))
 def booking_context(spark, sf):
-    return B.booking_context(_b(spark, sf))
+    viewed = bridge(spark, sf, "payment_attempts").select((F.col("user_id") * 7).alias("booking_id"))
+    return B.booking_context(_b(spark, sf), viewed)
 
 
 # A4 / A5 ----------------------------------------------------------------
