@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import epoch_micros, norm_email, otp_hash
-from ..plans.strategy import next_ids
+from ..plans.strategy import broadcast_if_small, next_ids
 from .mutate import apply_patches, first_per_key, latest_per_key
 
 
@@ -176,7 +176,7 @@ def complete_profiles(u: DataFrame, forms: DataFrame) -> DataFrame:
     are set, the other five keep the old value when NULL; last form wins."""
     f = latest_per_key(forms, ["user_id"], ["submitted_at"])
     n = f.select(*[F.col(c).alias(f"_n_{c}") for c in f.columns])
-    j = u.join(n, u["id"] == n["_n_user_id"], "left")
+    j = u.join(broadcast_if_small(n), u["id"] == n["_n_user_id"], "left")
     hit = F.col("_n_user_id").isNotNull()
     sets = {"first_middle_name": F.trim(F.col("_n_first_middle_name")), "last_name": F.trim(F.col("_n_last_name")),
             "is_profile_complete": F.lit(True), "updated_at": F.col("_n_submitted_at")}
@@ -243,5 +243,5 @@ def revoke_tokens(t: DataFrame, logouts: DataFrame) -> DataFrame:
     while the token is unrevoked, so the earliest one wins; revoked_at is
     the earlier of the stored stamp and the first logout."""
     lo = logouts.groupBy("jti").agg(F.min("logged_out_at").alias("_out"))
-    j = t.join(lo, "jti", "left")
+    j = t.join(broadcast_if_small(lo), "jti", "left")
     return j.withColumn("revoked_at", F.least(F.col("revoked_at"), F.col("_out"))).select(*t.columns)

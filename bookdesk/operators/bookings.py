@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import DEFAULTS, schema
+from ..plans.strategy import broadcast_if_small
 from .mutate import apply_patches, latest_per_key
 
 
@@ -97,7 +98,7 @@ def attach_supplier(b: DataFrame, refs: DataFrame) -> DataFrame:
     last = latest_per_key(refs, ["payment_reference"], ["requested_at", "request_id"])
     r = last.select(F.col("payment_reference").alias("_pref"), F.col("supplier_reference").alias("_sref"),
                     F.col("supplier_status").alias("_sstat"), F.col("requested_at").alias("_t"))
-    j = b.join(r, b["payment_reference"] == r["_pref"], "left")
+    j = b.join(broadcast_if_small(r), b["payment_reference"] == r["_pref"], "left")
     hit = F.col("_pref").isNotNull()
     return j.withColumns({
         "supplier_reference": F.when(hit, F.col("_sref")).otherwise(F.col("supplier_reference")),
@@ -131,7 +132,7 @@ def patch_bookings(b: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFra
 def stamp_vouchers(b: DataFrame, runs: DataFrame) -> DataFrame:
     """runs(booking_id, generated_at): voucher_path = voucher-<ref>.pdf."""
     r = runs.groupBy("booking_id").agg(F.max("generated_at").alias("_g"))
-    j = b.join(r, b["id"] == r["booking_id"], "left")
+    j = b.join(broadcast_if_small(r), b["id"] == r["booking_id"], "left")
     hit = F.col("_g").isNotNull()
     return j.withColumns({
         "voucher_path": F.when(hit, F.concat(F.lit("voucher-"), F.col("booking_reference"), F.lit(".pdf")))

@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.strategy import next_ids
+from ..plans.strategy import broadcast_if_small, next_ids
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -48,7 +48,10 @@ def apply_patches(base: DataFrame, patches: DataFrame, key: str, rules: dict[str
     Returns (next state, outcomes(request_id, key, outcome))."""
     if "_outcome" not in patches.columns:
         patches = patches.withColumn("_outcome", F.lit(None).cast("string"))
-    keys = base.select(F.col(base_key).alias("_bk"))
+    # existing keys among the requested ones: the base key column is only
+    # probed against the (size-checked, broadcast) request keys, not shuffled
+    wanted = patches.select(F.col(key).alias("_bk")).distinct()
+    keys = base.select(F.col(base_key).alias("_bk")).join(broadcast_if_small(wanted), "_bk", "left_semi")
     checked = patches.join(keys, patches[key] == keys["_bk"], "left")
     outcome = F.coalesce(F.col("_outcome"), F.when(F.col("_bk").isNull(), F.lit("not_found")), F.lit("updated"))
     checked = checked.withColumn("outcome", outcome)
@@ -64,7 +67,7 @@ def apply_patches(base: DataFrame, patches: DataFrame, key: str, rules: dict[str
         aggs.append(F.max(F.when(applies, order)).isNotNull().alias(f"_h_{col}"))
     per_key = ok.groupBy(key).agg(*aggs)
 
-    j = base.join(per_key, base[base_key] == per_key[key], "left")
+    j = base.join(broadcast_if_small(per_key), base[base_key] == per_key[key], "left")
     if extra is not None:  # sees the old values next to the new ones (_v_*)
         j = extra(j)
     sets = {}
@@ -106,18 +109,19 @@ def upsert(base: DataFrame, rows: DataFrame, key: str, set_cols: dict[str, Colum
 
 
 def delete_rows(parent: DataFrame, ids: DataFrame, id_col: str = "id", ids_col: str = "id") -> DataFrame:
-    """Remove parent rows whose id is listed (anti-join)."""
-    d = ids.select(F.col(ids_col).alias("_del")).distinct()
+    """Remove parent rows whose id is listed (anti-join; the id list is
+    broadcast when its estimated size allows)."""
+    d = broadcast_if_small(ids.select(F.col(ids_col).alias("_del")).distinct())
     return parent.join(d, parent[id_col] == d["_del"], "left_anti")
 
 
 def cascade_delete(child: DataFrame, ids: DataFrame, fk: str, ids_col: str = "id") -> DataFrame:
-    d = ids.select(F.col(ids_col).alias("_del")).distinct()
+    d = broadcast_if_small(ids.select(F.col(ids_col).alias("_del")).distinct())
     return child.join(d, child[fk] == d["_del"], "left_anti")
 
 
 def set_null_on_delete(child: DataFrame, ids: DataFrame, fk: str, ids_col: str = "id") -> DataFrame:
-    d = ids.select(F.col(ids_col).alias("_del")).distinct()
+    d = broadcast_if_small(ids.select(F.col(ids_col).alias("_del")).distinct())
     j = child.join(d, child[fk] == d["_del"], "left")
     return j.withColumn(fk, F.when(F.col("_del").isNotNull(), F.lit(None).cast(child.schema[fk].dataType))
                         .otherwise(F.col(fk))).select(*child.columns)

@@ -204,7 +204,7 @@ def mark_seen(q: DataFrame, visits: DataFrame, side: str = "admin") -> DataFrame
     col = "admin_last_seen_at" if side == "admin" else "user_last_seen_at"
     v = visits.groupBy("query_id").agg(F.max("visited_at").alias("_seen"))
     q = conform_queries(q)
-    j = q.join(v, q["id"] == v["query_id"], "left")
+    j = q.join(broadcast_if_small(v), q["id"] == v["query_id"], "left")
     hit = F.col("_seen").isNotNull()
     return j.withColumns({
         col: F.when(hit, F.col("_seen")).otherwise(F.col(col)),
@@ -217,7 +217,7 @@ def stamp_email_sent(m: DataFrame, receipts: DataFrame) -> DataFrame:
     """receipts(message_id, sent_at, ok): mark messages whose mail went out."""
     r = (receipts.filter(F.col("ok")).groupBy("message_id").agg(F.max("sent_at").alias("_sent")))
     m = conform_messages(m)
-    j = m.join(r, m["id"] == r["message_id"], "left")
+    j = m.join(broadcast_if_small(r), m["id"] == r["message_id"], "left")
     hit = F.col("_sent").isNotNull()
     return j.withColumns({
         "email_sent": F.when(hit, F.lit(True)).otherwise(F.coalesce(F.col("email_sent"), F.lit(False))),
@@ -292,7 +292,7 @@ def apply_thread_events(q: DataFrame, m: DataFrame, events: DataFrame, as_of: st
         F.max(F.when(is_admin & F.col("has_notes"), order)).isNotNull().alias("_has_notes"),
         F.max_by(F.col("at"), F.when(is_admin & admin_status.isin("resolved", "closed"), order)).alias("_handled"),
     )
-    j = q.join(agg, q["id"] == agg["query_id"], "left")
+    j = q.join(broadcast_if_small(agg), q["id"] == agg["query_id"], "left")
     hit = F.col("query_id").isNotNull()
     before_users = F.when(F.col("_any_admin"), F.col("_last_admin_status")).otherwise(F.col("status"))
     new_status = (F.when(F.col("_last_kind") == "admin", F.col("_last_admin_status"))
