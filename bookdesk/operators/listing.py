@@ -109,8 +109,8 @@ def lookup(df: DataFrame, key: str, values: DataFrame, values_key: str | None =
 def owned_by(df: DataFrame, requests: DataFrame, id_col: str = "id", owner_col: str = "user_id") -> DataFrame:
     """Rows visible to the requesting owner: requests(request_id, row_id, user_id).
     Ids compare as text; a NULL owner never matches. One row per request."""
-    r = requests.select("request_id", F.col("row_id").cast("string").alias("_rid"),
-                        F.col("user_id").cast("string").alias("_uid"))
+    r = broadcast_if_small(requests.select("request_id", F.col("row_id").cast("string").alias("_rid"),
+                                           F.col("user_id").cast("string").alias("_uid")))
     return r.join(df, (F.col("_rid") == F.col(id_col).cast("string"))
                   & (F.col("_uid") == F.col(owner_col).cast("string")), "inner").drop("_rid", "_uid")
 

@@ -262,7 +262,8 @@ def apply_thread_events(q: DataFrame, m: DataFrame, events: DataFrame, as_of: st
     is none). Returns (queries', new messages incl. first-message backfill,
     outcomes)."""
     q = conform_queries(q)
-    owners = q.select(F.col("id").alias("_qid"), F.col("user_id").alias("_owner"))
+    wanted = broadcast_if_small(events.select(F.col("query_id").alias("id")).distinct())
+    owners = q.join(wanted, "id", "left_semi").select(F.col("id").alias("_qid"), F.col("user_id").alias("_owner"))
     e = events.join(owners, events["query_id"] == owners["_qid"], "left")
     text = F.trim(F.col("message"))
     outcome = (F.when(F.col("_qid").isNull(), "not_found")
