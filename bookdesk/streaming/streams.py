@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ingest import attempt_rows, parse_receipts
+from ..operators.mutate import first_per_key
 from ..session import ensure_checkpoint_dir
 
 
@@ -83,7 +84,9 @@ def foreach_batch_insert(table_path: str, key: str = "payment_reference"):
             fresh = batch.join(seen, key, "left_anti")
         except Exception:  # first batch: no table yet
             fresh = batch
-        fresh.dropDuplicates([key]).write.mode("append").parquet(table_path)
+        order = [c for c in ("created_at", "id") if c in fresh.columns]
+        firsts = first_per_key(fresh, [key], order) if order else fresh.dropDuplicates([key])
+        firsts.write.mode("append").parquet(table_path)
     return run
 
 

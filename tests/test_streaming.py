@@ -100,3 +100,21 @@ def test_refund_expiry_stream(spark, scratch):
     got_ids = got.select(F.col("booking_id").alias("id"))
     assert got_ids.exceptAll(want.select("id")).count() == 0
     assert got_ids.count() >= closed.filter(F.col("exp") < F.lit(last) - F.expr("INTERVAL 30 DAYS")).count()
+
+
+def test_foreach_batch_insert_is_idempotent_across_replays(spark, scratch):
+    raw = bridge(spark, MEDIUM, "receipts_raw")
+    path = f"{scratch}/receipts_fb"
+    write_slices(raw, path, "created_at")
+    table = f"{scratch}/bookings_table"
+    accepted = I.first_receipt(I.parse_receipts(raw)).select(F.col("transaction_id").alias("payment_reference"))
+    for run_no in range(2):  # the second run replays every file into the same table
+        src = T.read_stream(spark, path, T.RAW_RECEIPT_DDL, max_files_per_trigger=1)
+        rows = (I.parse_receipts(src).filter((F.col("decision") == "ACCEPT") & (F.col("transaction_id") != ""))
+                .select(F.col("transaction_id").alias("payment_reference"), "id", "created_at"))
+        q = (rows.writeStream.foreachBatch(T.foreach_batch_insert(table))
+             .option("checkpointLocation", f"{scratch}/ck_fb_{run_no}").trigger(availableNow=True).start())
+        q.awaitTermination(300)
+    stored = spark.read.parquet(table)
+    assert stored.count() == accepted.count()
+    assert stored.select("payment_reference").distinct().count() == stored.count()

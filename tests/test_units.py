@@ -244,3 +244,16 @@ def test_unique_slugs_randomised_against_brute_force(spark):
     got = {r.draft_id: r.final_slug for r in T.assign_slugs(ex, d).collect()}
     assert got == brute_slugs(existing, drafts)
     assert len(set(got.values())) == len(got) and not set(got.values()) & set(existing)
+
+
+def test_reply_mail_addresses_and_cc(spark):
+    from bookdesk.operators import documents as D
+    q = spark.createDataFrame([(1, "Ann", " ann@x.org ", ""), (2, None, "not-an-address", "Trip")],
+                              "id bigint, name string, email string, subject string")
+    r = spark.createDataFrame([(10, 1, "hello"), (20, 2, "hi")], "message_id bigint, query_id bigint, message string")
+    out = {x.message_id: x for x in D.reply_mails(q, r, cc=" ops@x.org, nobody ,, b@y.com ", brand="Desk").collect()}
+    assert out[10].to_addr == "ann@x.org" and out[10].error is None
+    assert out[10].subject == "Reply to your query · Your Desk query — Desk"
+    assert out[10].cc == "ops@x.org, b@y.com" and out[10].greeting_name == "Ann"
+    assert out[20].to_addr is None and out[20].error == "Recipient email is missing or invalid"
+    assert out[20].greeting_name == "Traveler"
