@@ -14,6 +14,9 @@ from ..plans.strategy import next_ids
 from .mutate import first_per_key
 
 
+# Fixed value: the gateway name stored on attempts and bookings.
+GATEWAY = "cybersource"
+
 # Fields of the gateway form post the receipt reads (fixed names).
 RECEIPT_FIELDS = [
     "decision", "req_transaction_uuid", "transaction_uuid", "transaction_id", "req_amount", "auth_amount",
@@ -79,7 +82,7 @@ def attempt_rows(receipts: DataFrame) -> DataFrame:
     """The payment_attempts audit row of every receipt (S5 appends it)."""
     return receipts.select(
         "id", F.lit(None).cast("bigint").alias("booking_id"), "transaction_uuid", "decision",
-        F.lit("cybersource").alias("gateway"), F.col("transaction_id").alias("gateway_reference"), "amount",
+        F.lit(GATEWAY).alias("gateway"), F.col("transaction_id").alias("gateway_reference"), "amount",
         "currency", "message", "raw_payload", "created_at")
 
 
@@ -98,7 +101,7 @@ def create_bookings(b: DataFrame, receipts: DataFrame) -> DataFrame:
     firsts = first_receipt(receipts)
     seen = b.select(F.col("payment_reference").alias("transaction_id")).distinct()
     fresh = firsts.join(seen, "transaction_id", "left_anti")
-    details = F.to_json(F.struct(F.lit("cybersource").alias("gateway"), F.col("raw_payload").alias("raw")))
+    details = F.to_json(F.struct(F.lit(GATEWAY).alias("gateway"), F.col("raw_payload").alias("raw")))
     return fresh.select(
         next_ids(b, F.col("id")).alias("id"),
         booking_reference(F.col("created_at"), F.col("transaction_id")).alias("booking_reference"),
@@ -109,6 +112,6 @@ def create_bookings(b: DataFrame, receipts: DataFrame) -> DataFrame:
         F.col("travel_date").try_cast("date").alias("travel_date"),
         "total_travellers", "total_adults", "total_children",
         F.coalesce(F.col("amount"), F.lit(0).cast("decimal(12,2)")).alias("payment_amount"), "currency",
-        F.lit("cybersource").alias("payment_gateway"), F.col("transaction_id").alias("payment_reference"),
+        F.lit(GATEWAY).alias("payment_gateway"), F.col("transaction_id").alias("payment_reference"),
         details.alias("details"), "is_refundable", "refund_window_hours",
         F.col("created_at"), F.col("created_at").alias("updated_at"), F.col("id").alias("attempt_id"))

@@ -233,7 +233,7 @@ SELECT event_id AS form_id, user_id, ts AS submitted_at,
        concat(' Ann', user_id % 13, ' ') AS first_middle_name, concat('Lee', event_id % 5) AS last_name,
        CASE WHEN event_id % 2 = 0 THEN NULL ELSE concat('+1', event_id) END AS mobile_number,
        CASE WHEN event_id % 3 = 0 THEN NULL ELSE '+1' END AS mobile_country_code,
-       CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'Seychelles' END AS country,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'Mauritius' END AS country,
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(CAST(ts AS DATE) AS STRING) END AS date_of_birth,
        CASE event_id % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN 'other' END AS gender
 FROM {events} WHERE event_type = 'signup'""",
