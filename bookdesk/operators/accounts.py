@@ -24,18 +24,18 @@ def latest_otp(otps: DataFrame) -> DataFrame:
 # J7 ---------------------------------------------------------------------
 def latest_before(attempts: DataFrame, otps: DataFrame, a_ts: str = "attempted_at") -> DataFrame:
     """Backward as-of join: for each attempt the newest OTP of its e-mail
-    issued at or before it (a tie counts as before). One shuffle by e-mail
-    of the union of both sides and a running ``last(ignorenulls)``; no
-    pairing of attempts with codes."""
-    o = otps.select("email", F.col("created_at").alias("_t"), F.lit(0).alias("_kind"), F.col("id").alias("_oid"),
-                    F.lit(None).cast("bigint").alias("_aid"))
-    a = attempts.select("email", F.col(a_ts).alias("_t"), F.lit(1).alias("_kind"),
-                        F.lit(None).cast("bigint").alias("_oid"), F.col("id").alias("_aid"))
-    w = (Window.partitionBy("email").orderBy("_t", "_kind", F.coalesce("_oid", "_aid"))
+    issued at or before it (a tie counts as before). The attempts (with all
+    their columns) and the codes are unioned, shuffled once by e-mail and
+    scanned with a running ``last(ignorenulls)``; no pairing of attempts with
+    codes and no second pass over the attempts."""
+    cols = attempts.columns
+    o = otps.select("email", F.col("created_at").alias("_t"), F.lit(0).alias("_kind"), F.col("id").alias("_oid"))
+    a = attempts.select(*cols, F.col(a_ts).alias("_t"), F.lit(1).alias("_kind"),
+                        F.lit(None).cast("bigint").alias("_oid"))
+    w = (Window.partitionBy("email").orderBy("_t", "_kind", F.coalesce("_oid", F.col("id")))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tagged = o.unionByName(a).withColumn("otp_id", F.last("_oid", ignorenulls=True).over(w))
-    pairs = tagged.filter(F.col("_kind") == 1).select(F.col("_aid").alias("attempt_id"), "otp_id")
-    return attempts.join(pairs, attempts["id"] == pairs["attempt_id"], "left").drop("attempt_id")
+    tagged = a.unionByName(o, allowMissingColumns=True).withColumn("otp_id", F.last("_oid", ignorenulls=True).over(w))
+    return tagged.filter(F.col("_kind") == 1).select(*cols, "otp_id")
 
 
 # R5 ---------------------------------------------------------------------
