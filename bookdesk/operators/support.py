@@ -320,3 +320,33 @@ def apply_thread_events(q: DataFrame, m: DataFrame, events: DataFrame, as_of: st
         text.alias("message"), F.lit(False).alias("email_sent"),
         F.lit(None).cast("timestamp_ntz").alias("email_sent_at"), F.col("at").alias("created_at"))
     return q2, backfill.unionByName(new_msgs), outcomes
+
+
+# R7 (opening event) ---------------------------------------------------------
+EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+QUERY_SOURCE = "user_queries_panel"  # fixed value stored on threads opened by users
+
+
+def open_queries(q: DataFrame, m: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """forms(form_id, user_id, name, email, mobile, subject, category,
+    message, submitted_at): a valid form (name, subject, message non-empty
+    after trim, e-mail shaped) opens a thread in status 'new' with its first
+    'user' message. Returns (new threads, new messages, outcomes)."""
+    name, subject, text = (F.trim(F.col(c)) for c in ("name", "subject", "message"))
+    ok = ((F.coalesce(name, F.lit("")) != "") & (F.coalesce(subject, F.lit("")) != "")
+          & (F.coalesce(text, F.lit("")) != "") & F.coalesce(F.col("email").rlike(EMAIL_SHAPE), F.lit(False)))
+    f = forms.withColumn("outcome", F.when(ok, "opened").otherwise("invalid"))
+    outcomes = f.select("form_id", "outcome")
+    good = f.filter(F.col("outcome") == "opened")
+    threads = good.select(
+        next_ids(q, F.col("form_id")).alias("id"), "user_id", name.alias("name"), "email",
+        F.nullif(F.trim(F.col("mobile")), F.lit("")).alias("mobile"), subject.alias("subject"),
+        F.coalesce(F.nullif(F.trim(F.col("category")), F.lit("")), F.lit("general")).alias("category"),
+        text.alias("message"), F.lit(QUERY_SOURCE).alias("source"), F.lit("new").alias("status"),
+        F.col("submitted_at").alias("created_at"), F.col("submitted_at").alias("updated_at"),
+        F.col("form_id"))
+    msgs = threads.select(
+        next_ids(m, F.col("form_id")).alias("id"), F.col("id").alias("query_id"), F.lit("user").alias("sender_type"),
+        F.col("user_id").alias("sender_user_id"), F.lit(None).cast("bigint").alias("sender_admin_id"), "message",
+        F.lit(False).alias("email_sent"), F.lit(None).cast("timestamp_ntz").alias("email_sent_at"), "created_at")
+    return threads.drop("form_id"), msgs, outcomes

@@ -329,3 +329,30 @@ def apply_query_patches(spark, sf):
     q = bridge(spark, sf, "queries")
     return S.apply_query_patches(q, _query_patches(spark, sf))[0].select(
         "id", "status", "handled_by_admin_id", "handled_at", "admin_notes", "updated_at")
+
+
+_QF_OK = """
+SELECT * FROM query_forms WHERE coalesce(trim(name), '') <> '' AND coalesce(trim(subject), '') <> ''
+  AND coalesce(trim(message), '') <> '' AND coalesce(regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$'), false)"""
+
+
+@register("open_queries", with_views(["queries", "query_forms"], """
+SELECT (SELECT coalesce(max(id), 0) FROM queries) + f.form_id AS id, f.user_id, trim(f.name) AS name, f.email,
+       nullif(trim(f.mobile), '') AS mobile, trim(f.subject) AS subject,
+       coalesce(nullif(trim(f.category), ''), 'general') AS category, trim(f.message) AS message,
+       'user_queries_panel' AS source, 'new' AS status, f.submitted_at AS created_at, f.submitted_at AS updated_at
+FROM ok f""", ok=_QF_OK))
+def open_queries(spark, sf):
+    q, m = bridge(spark, sf, "queries"), bridge(spark, sf, "query_messages")
+    return S.open_queries(q, m, bridge(spark, sf, "query_forms"))[0]
+
+
+@register("open_queries_messages", with_views(["queries", "query_messages", "query_forms"], """
+SELECT (SELECT coalesce(max(id), 0) FROM query_messages) + f.form_id AS id,
+       (SELECT coalesce(max(id), 0) FROM queries) + f.form_id AS query_id, 'user' AS sender_type,
+       f.user_id AS sender_user_id, trim(f.message) AS message, f.submitted_at AS created_at
+FROM ok f""", ok=_QF_OK))
+def open_queries_messages(spark, sf):
+    q, m = bridge(spark, sf, "queries"), bridge(spark, sf, "query_messages")
+    return S.open_queries(q, m, bridge(spark, sf, "query_forms"))[1].select(
+        "id", "query_id", "sender_type", "sender_user_id", "message", "created_at")

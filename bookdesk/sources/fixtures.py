@@ -262,6 +262,15 @@ SELECT conv_id * 100 + turn + 50 AS event_id, conv_id AS query_id,
        (turn % 3 = 0) AS has_notes, concat(' note ', turn, ' ') AS admin_notes,
        TIMESTAMP_NTZ '2024-02-01 00:00:00' + INTERVAL '1' HOUR * conv_id + INTERVAL '1' MINUTE * turn AS at
 FROM {conversations} WHERE turn >= 1""",
+    "query_forms": """
+SELECT event_id AS form_id, user_id, ts AS submitted_at,
+       CASE WHEN event_id % 9 = 0 THEN '  ' ELSE concat(' Name', user_id) END AS name,
+       CASE WHEN event_id % 7 = 0 THEN 'not-an-email' ELSE concat('user', user_id, '@example.com') END AS email,
+       CASE WHEN event_id % 2 = 0 THEN ' ' ELSE concat('+248', user_id) END AS mobile,
+       concat('Subject ', event_id % 12) AS subject,
+       CASE WHEN event_id % 3 = 0 THEN '' ELSE 'hotel' END AS category,
+       concat('Need help with booking ', event_id, ' ') AS message
+FROM {events} WHERE event_type = 'signup'""",
     "query_patches": """
 SELECT conv_id * 100 + turn AS request_id, conv_id AS query_id, (conv_id + turn) % 10 + 1 AS admin_id,
        CASE turn % 6 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'resolved' WHEN 2 THEN '' WHEN 3 THEN 'closed'
