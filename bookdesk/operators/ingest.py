@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import booking_reference, falsy_coalesce, js_float, js_int, norm_decision
-from ..plans.strategy import next_ids
+from ..plans.strategy import broadcast_if_small, next_ids
 from .mutate import first_per_key
 
 
@@ -115,3 +115,72 @@ def create_bookings(b: DataFrame, receipts: DataFrame) -> DataFrame:
         F.lit(GATEWAY).alias("payment_gateway"), F.col("transaction_id").alias("payment_reference"),
         details.alias("details"), "is_refundable", "refund_window_hours",
         F.col("created_at"), F.col("created_at").alias("updated_at"), F.col("id").alias("attempt_id"))
+
+
+# M1 (booking webhook) + S3 validators ------------------------------------------
+BOOKING_TYPES = ("hotel", "package", "tour", "transfer", "flight", "excursion", "rentcar", "attraction")
+EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+
+
+def booking_request_outcomes(b: DataFrame, reqs: DataFrame) -> DataFrame:
+    """reqs(request_id, user_id, booking_type, lead_first_name, lead_last_name,
+    lead_email, lead_mobile, product_title, payment_amount, currency,
+    payment_gateway, payment_reference, refund_window_hours, requested_at):
+    invalid (validator fails) → exists (payment_reference already booked, or
+    an earlier request of the batch took it) → created."""
+    t = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
+    valid = (F.coalesce(F.col("booking_type").isin(*BOOKING_TYPES), F.lit(False))
+             & t("lead_first_name") & t("lead_last_name") & t("lead_mobile") & t("product_title")
+             & t("payment_gateway") & t("payment_reference")
+             & F.coalesce(F.col("lead_email").rlike(EMAIL_SHAPE), F.lit(False))
+             & F.coalesce(F.col("payment_amount") >= 0, F.lit(False))
+             & F.coalesce(F.col("refund_window_hours").between(0, 720), F.lit(True)))
+    r = reqs.withColumn("_valid", valid)
+    seen = broadcast_if_small(
+        b.select(F.col("payment_reference").alias("_ref")).join(
+            broadcast_if_small(reqs.select(F.col("payment_reference").alias("_ref")).distinct()), "_ref", "left_semi")
+        .distinct())
+    r = r.join(seen, F.col("payment_reference") == F.col("_ref"), "left")
+    from pyspark.sql import Window
+    w = Window.partitionBy("payment_reference")
+    first_valid = F.min(F.when(F.col("_valid"), F.struct("requested_at", "request_id"))).over(w)
+    r = r.withColumn("_first", first_valid)
+    outcome = (F.when(~F.col("_valid"), "invalid")
+               .when(F.col("_ref").isNotNull() | (F.struct("requested_at", "request_id") != F.col("_first")), "exists")
+               .otherwise("created"))
+    return r.withColumn("outcome", outcome).drop("_valid", "_ref", "_first")
+
+
+def create_bookings_from_requests(b: DataFrame, reqs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The booking webhook as a batch: returns (new booking rows, outcomes).
+    Defaults: currency INR, refundable, 24 h window, 1 traveller."""
+    r = booking_request_outcomes(b, reqs)
+    outcomes = r.select("request_id", "payment_reference", "outcome")
+    new = r.filter(F.col("outcome") == "created")
+    rows = new.select(
+        next_ids(b, F.col("request_id")).alias("id"),
+        booking_reference(F.col("requested_at"), F.col("payment_reference")).alias("booking_reference"),
+        F.when(F.col("user_id") != 0, F.col("user_id")).alias("user_id"), "booking_type",
+        F.lit("confirmed").alias("status"), F.lit("paid").alias("payment_status"),
+        F.trim("lead_first_name").alias("lead_first_name"), F.trim("lead_last_name").alias("lead_last_name"),
+        "lead_email", F.trim("lead_mobile").alias("lead_mobile"), F.trim("product_title").alias("product_title"),
+        F.col("payment_amount").cast("decimal(12,2)").alias("payment_amount"),
+        F.coalesce(F.trim(F.col("currency")), F.lit("INR")).alias("currency"),
+        F.trim("payment_gateway").alias("payment_gateway"), F.trim("payment_reference").alias("payment_reference"),
+        F.lit(True).alias("is_refundable"),
+        F.coalesce(F.col("refund_window_hours"), F.lit(24)).cast("int").alias("refund_window_hours"),
+        F.lit(1).alias("total_travellers"), F.col("requested_at").alias("created_at"))
+    return rows, outcomes
+
+
+# S5 rows for POST payment-attempts ------------------------------------------
+def attempts_from_requests(reqs: DataFrame) -> DataFrame:
+    """reqs(request_id, decision, gateway, gateway_reference, amount,
+    currency, message, booking_id, raw_payload, requested_at): the audit rows
+    (decision upper-cased as given; blank decisions are rejected)."""
+    ok = reqs.filter(F.coalesce(F.trim(F.col("decision")), F.lit("")) != "")
+    return ok.select(
+        F.col("request_id").alias("id"), "booking_id", F.upper(F.trim(F.col("decision"))).alias("decision"),
+        F.coalesce(F.nullif(F.trim(F.col("gateway")), F.lit("")), F.lit(GATEWAY)).alias("gateway"),
+        "gateway_reference", F.col("amount").cast("decimal(12,2)").alias("amount"), "currency", "message",
+        F.coalesce(F.col("raw_payload"), F.lit("{}")).alias("raw_payload"), F.col("requested_at").alias("created_at"))

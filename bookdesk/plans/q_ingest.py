@@ -195,3 +195,58 @@ def _slug_sql(x: str) -> str:
 @register("slug_titles", with_views(["blogs"], f"SELECT id, {_slug_sql('title')} AS slug FROM blogs"))
 def slug_titles(spark, sf):
     return bridge(spark, sf, "blogs").select("id", C.slug("title").alias("slug"))
+
+
+_BR_V = """
+SELECT r.*, (coalesce(booking_type IN ('hotel', 'package', 'tour', 'transfer', 'flight', 'excursion', 'rentcar', 'attraction'), false)
+  AND coalesce(trim(lead_first_name), '') <> '' AND coalesce(trim(lead_last_name), '') <> ''
+  AND coalesce(trim(lead_mobile), '') <> '' AND coalesce(trim(product_title), '') <> ''
+  AND coalesce(trim(payment_gateway), '') <> '' AND coalesce(trim(payment_reference), '') <> ''
+  AND coalesce(regexp_matches(lead_email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$'), false)
+  AND coalesce(payment_amount >= 0, false) AND coalesce(refund_window_hours BETWEEN 0 AND 720, true)) AS valid
+FROM booking_requests r"""
+_BR_O = """
+SELECT v.*, CASE WHEN NOT valid THEN 'invalid'
+  WHEN EXISTS (SELECT 1 FROM bookings b WHERE b.payment_reference = v.payment_reference) THEN 'exists'
+  WHEN EXISTS (SELECT 1 FROM v w WHERE w.valid AND w.payment_reference = v.payment_reference
+               AND (w.requested_at < v.requested_at OR (w.requested_at = v.requested_at AND w.request_id < v.request_id)))
+       THEN 'exists' ELSE 'created' END AS outcome
+FROM v"""
+
+
+def _booking_webhook(spark, sf):
+    b = B.conform(bridge(spark, sf, "bookings"), "bookings")
+    return I.create_bookings_from_requests(b, bridge(spark, sf, "booking_requests"))
+
+
+@register("booking_webhook_outcomes", with_views(["bookings", "booking_requests"],
+                                                 "SELECT request_id, payment_reference, outcome FROM o", v=_BR_V, o=_BR_O))
+def booking_webhook_outcomes(spark, sf):
+    return _booking_webhook(spark, sf)[1]
+
+
+@register("booking_webhook_rows", with_views(["bookings", "booking_requests"], """
+SELECT (SELECT max(id) FROM bookings) + o.request_id AS id,
+       concat('BS-', CAST(epoch_us(o.requested_at) // 1000 AS VARCHAR), '-', upper(substr(sha256(o.payment_reference), 1, 8))) AS booking_reference,
+       CASE WHEN o.user_id <> 0 THEN o.user_id END AS user_id, o.booking_type, trim(o.lead_first_name) AS lead_first_name,
+       CAST(o.payment_amount AS DECIMAL(12,2)) AS payment_amount, coalesce(trim(o.currency), 'INR') AS currency,
+       CAST(coalesce(o.refund_window_hours, 24) AS INTEGER) AS refund_window_hours, o.requested_at AS created_at
+FROM o WHERE o.outcome = 'created'""", v=_BR_V, o=_BR_O))
+def booking_webhook_rows(spark, sf):
+    return _booking_webhook(spark, sf)[0].select(
+        "id", "booking_reference", "user_id", "booking_type", "lead_first_name", "payment_amount", "currency",
+        "refund_window_hours", "created_at")
+
+
+@register("payment_attempt_requests", with_views(["payment_attempts"], """
+SELECT id, CAST(NULL AS BIGINT) AS booking_id, upper(trim(decision)) AS decision, 'cybersource' AS gateway,
+       nullif(transaction_id, '') AS gateway_reference, amount, currency, CAST(NULL AS VARCHAR) AS message,
+       raw_payload, created_at
+FROM payment_attempts WHERE coalesce(trim(decision), '') <> ''"""))
+def payment_attempt_requests(spark, sf):
+    p = bridge(spark, sf, "payment_attempts")
+    reqs = p.select(F.col("id").alias("request_id"), "decision", F.lit(None).cast("string").alias("gateway"),
+                    F.nullif(F.col("transaction_id"), F.lit("")).alias("gateway_reference"), "amount", "currency",
+                    F.lit(None).cast("string").alias("message"), F.lit(None).cast("bigint").alias("booking_id"),
+                    "raw_payload", F.col("created_at").alias("requested_at"))
+    return I.attempts_from_requests(reqs)

@@ -271,6 +271,22 @@ SELECT event_id AS form_id, user_id, ts AS submitted_at,
        CASE WHEN event_id % 3 = 0 THEN '' ELSE 'hotel' END AS category,
        concat('Need help with booking ', event_id, ' ') AS message
 FROM {events} WHERE event_type = 'signup'""",
+    "booking_requests": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, min(o_custkey) % 50 AS user_id,
+       CASE l_linenumber % 9 WHEN 0 THEN 'cruise' WHEN 1 THEN 'hotel' WHEN 2 THEN 'tour' WHEN 3 THEN 'flight'
+            WHEN 4 THEN 'package' WHEN 5 THEN 'transfer' WHEN 6 THEN 'excursion' WHEN 7 THEN 'rentcar' ELSE 'attraction' END
+         AS booking_type,
+       concat(' Lead', l_orderkey % 97) AS lead_first_name,
+       CASE WHEN l_linenumber = 4 THEN '  ' ELSE concat('Guest', l_orderkey % 31) END AS lead_last_name,
+       CASE WHEN l_linenumber = 5 THEN 'lead-at-example.com' ELSE concat('lead', l_orderkey, '@example.com') END AS lead_email,
+       concat('+248', l_orderkey) AS lead_mobile, concat('Product ', l_orderkey % 200) AS product_title,
+       CAST(min(l_extendedprice) AS DECIMAL(12,2)) AS payment_amount,
+       CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'EUR' END AS currency, 'cybersource' AS payment_gateway,
+       concat('TXN-', l_orderkey + 7 * l_linenumber) AS payment_reference,
+       CASE WHEN l_linenumber = 6 THEN 900 WHEN l_linenumber = 2 THEN NULL ELSE 24 * l_linenumber END AS refund_window_hours,
+       min(o_orderdate) + INTERVAL '1' HOUR * l_linenumber AS requested_at
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
+GROUP BY l_orderkey, l_linenumber""",
     "query_patches": """
 SELECT conv_id * 100 + turn AS request_id, conv_id AS query_id, (conv_id + turn) % 10 + 1 AS admin_id,
        CASE turn % 6 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'resolved' WHEN 2 THEN '' WHEN 3 THEN 'closed'
