@@ -109,9 +109,11 @@ def assign_slugs(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     mixed = d.filter(F.col("root") != F.col("slug")).select("root").distinct()
     simple = d.join(mixed, "root", "left_anti")
 
-    # taken candidate numbers per base of the simple drafts
+    # taken candidate numbers of every draft base, from one pass over the
+    # existing slugs; the simple and the mixed path both read this result
+    all_taken = _taken_numbers(existing, d.select(F.col("slug").alias("base")).distinct())
     bases = simple.select(F.col("slug").alias("base")).distinct()
-    taken = _taken_numbers(existing, bases)
+    taken = all_taken.join(bases, "base", "left_semi")
     wt = Window.partitionBy("base").orderBy("t")
     g = taken.withColumn("key", F.col("t") - F.row_number().over(wt) + 1).select(
         "base", "key", F.lit(1).alias("is_taken"), F.lit(None).cast("bigint").alias("draft_id"))
@@ -131,7 +133,7 @@ def assign_slugs(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     # exact fold for mixed roots: drafts + runs of taken numbers per base
     md = d.join(mixed, "root", "left_semi")
     mbases = md.select("root", F.col("slug").alias("base")).distinct()
-    mt = _taken_numbers(existing, mbases.select("base")).join(mbases, "base")
+    mt = all_taken.join(mbases, "base")
     wr = Window.partitionBy("root", "base").orderBy("t")
     runs = (mt.withColumn("_g", F.col("t") - F.row_number().over(wr)).groupBy("root", "base", "_g")
             .agg(F.min("t").alias("lo"), F.max("t").alias("hi")))

@@ -27,12 +27,37 @@ SCALE_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app: str = "bookdesk", extra: dict | None = None) -> SparkSession:
-    """Local session for tests and benchmarks (clusters bring their own)."""
-    b = SparkSession.builder.master(master).appName(app)
+# Starting points for a large cluster (≈1000 executors, ~100 TB of input);
+# applied by ``build_session(cluster=True)``, never by the operators.
+# Many initial shuffle partitions + AQE coalescing to ~256 MB keeps every
+# reducer within executor memory at full scale and still merges small ones;
+# 512 MB scan splits keep task counts manageable on 100 TB of parquet.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.windowExec.buffer.spill.threshold": "1048576",
+    "spark.sql.sortMergeJoinExec.buffer.spill.threshold": "1048576",
+}
+
+
+def build_session(master: str | None = "local[8]", shuffle_partitions: int = 8,
+                  app: str = "bookdesk", extra: dict | None = None, cluster: bool = False) -> SparkSession:
+    """Local session for tests and benchmarks; ``cluster=True`` (with
+    ``master=None``, taken from spark-submit) applies CLUSTER_CONF."""
+    b = SparkSession.builder.appName(app)
+    if master:
+        b = b.master(master)
     conf = dict(SCALE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if cluster:
+        conf.update(CLUSTER_CONF)
+    else:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("BOOKDESK_DRIVER_MEMORY", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
