@@ -39,7 +39,12 @@ def main() -> None:
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus, app="bookdesk-bench")
     registry.load_all()
     results, rows = {}, {}
+    jvm = spark.sparkContext._jvm
     for name in names:
+        # release the previous query's shuffle files and broadcasts (the
+        # context cleaner acts on JVM GC) so each query starts from the same state
+        jvm.System.gc()
+        time.sleep(0.5)
         fn = registry.QUERIES[name]
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
         times = []
