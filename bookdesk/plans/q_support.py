@@ -356,3 +356,15 @@ def open_queries_messages(spark, sf):
     q, m = bridge(spark, sf, "queries"), bridge(spark, sf, "query_messages")
     return S.open_queries(q, m, bridge(spark, sf, "query_forms"))[1].select(
         "id", "query_id", "sender_type", "sender_user_id", "message", "created_at")
+
+
+@register("mark_seen_user", with_views(["queries", "query_messages"], """
+SELECT q.id, q.admin_last_seen_at,
+       CASE WHEN v.seen IS NOT NULL THEN v.seen ELSE q.user_last_seen_at END AS user_last_seen_at,
+       CASE WHEN v.seen IS NOT NULL THEN v.seen ELSE q.updated_at END AS updated_at
+FROM queries q LEFT JOIN (SELECT query_id, max(created_at) AS seen FROM query_messages
+                          WHERE sender_type = 'user' GROUP BY query_id) v ON v.query_id = q.id"""))
+def mark_seen_user(spark, sf):
+    q, m = bridge(spark, sf, "queries"), bridge(spark, sf, "query_messages")
+    visits = m.filter(F.col("sender_type") == "user").select("query_id", F.col("created_at").alias("visited_at"))
+    return S.mark_seen(q, visits, "user").select("id", "admin_last_seen_at", "user_last_seen_at", "updated_at")

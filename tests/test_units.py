@@ -257,3 +257,12 @@ def test_reply_mail_addresses_and_cc(spark):
     assert out[10].cc == "ops@x.org, b@y.com" and out[10].greeting_name == "Ann"
     assert out[20].to_addr is None and out[20].error == "Recipient email is missing or invalid"
     assert out[20].greeting_name == "Traveler"
+
+
+def test_travel_label_branches(spark):
+    from datetime import date
+    df = spark.createDataFrame([(date(2024, 5, 1), date(2024, 4, 1), None), (None, date(2024, 4, 1), date(2024, 4, 3)),
+                                (None, date(2024, 4, 1), None), (None, None, None)],
+                               "t date, ci date, co date")
+    got = [r[0] for r in df.select(C.travel_label("t", "ci", "co")).collect()]
+    assert got == ["2024-05-01", "2024-04-01 → 2024-04-03", "2024-04-01", "—"]
