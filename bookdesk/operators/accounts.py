@@ -172,9 +172,11 @@ def patch_users(u: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]
 # M5 ---------------------------------------------------------------------
 def complete_profiles(u: DataFrame, forms: DataFrame) -> DataFrame:
     """forms(user_id, first_middle_name, last_name, mobile_number,
-    mobile_country_code, country, date_of_birth, gender, submitted_at): names
+    mobile_country_code, country, date_of_birth, gender, submitted_at[,
+    form_id]): names
     are set, the other five keep the old value when NULL; last form wins."""
-    f = latest_per_key(forms, ["user_id"], ["submitted_at"])
+    order = ["submitted_at"] + (["form_id"] if "form_id" in forms.columns else [])
+    f = latest_per_key(forms, ["user_id"], order)  # total order: re-running a task picks the same form
     n = f.select(*[F.col(c).alias(f"_n_{c}") for c in f.columns])
     j = u.join(broadcast_if_small(n), u["id"] == n["_n_user_id"], "left")
     hit = F.col("_n_user_id").isNotNull()

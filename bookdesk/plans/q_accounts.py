@@ -148,9 +148,11 @@ SELECT u.id,
   CASE WHEN f.user_id IS NOT NULL THEN true ELSE u.is_profile_complete END AS is_profile_complete,
   CASE WHEN f.user_id IS NOT NULL THEN f.submitted_at ELSE u.created_at END AS updated_at
 FROM users u LEFT JOIN (SELECT * FROM profile_forms x WHERE NOT EXISTS (
-    SELECT 1 FROM profile_forms y WHERE y.user_id = x.user_id AND y.submitted_at > x.submitted_at)) f ON f.user_id = u.id"""))
+    SELECT 1 FROM profile_forms y WHERE y.user_id = x.user_id
+      AND (y.submitted_at > x.submitted_at OR (y.submitted_at = x.submitted_at AND y.form_id > x.form_id)))) f
+  ON f.user_id = u.id"""))
 def complete_profiles(spark, sf):
-    forms = bridge(spark, sf, "profile_forms").drop("form_id")
+    forms = bridge(spark, sf, "profile_forms")
     return A.complete_profiles(_users(spark, sf), forms).select(
         "id", "first_middle_name", "last_name", "mobile_number", "mobile_country_code", "country", "date_of_birth",
         "gender", "is_profile_complete", "updated_at")

@@ -83,6 +83,12 @@ def test_thread_state_stream(spark, scratch):
     cols = ["query_id", "message_count", "last_message_at", "last_message", "last_sender_type"]
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
     assert got.count() == want.count()
+    q = bridge(spark, MEDIUM, "queries")
+    src = T.read_stream(spark, path, ddl, max_files_per_trigger=1)
+    got_u = run(spark, T.stream_thread_state(src, q, "admin"), "t5_unread", mode="complete")
+    want_u = S.thread_stats(q, m, "admin").select("query_id", "unread_count")
+    assert got_u.select("query_id", "unread_count").exceptAll(want_u).count() == 0
+    assert got_u.count() == want_u.count()
 
 
 def test_refund_expiry_stream(spark, scratch):
