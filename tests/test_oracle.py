@@ -25,3 +25,12 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_operator_has_an_oracle_or_is_listed():
     rows_only = {n for n in registry.QUERIES if n not in registry.ORACLES}
     assert rows_only <= {"create_blogs"}, rows_only
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_column_types_match_oracle(spark, con, name):
+    from bookdesk.plans.compare import spark_type_name
+    df = registry.QUERIES[name](spark, SMALL)
+    spark_types = {f.name: spark_type_name(f.dataType) for f in df.schema.fields}
+    rel = con.sql(registry.ORACLES[name])
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
