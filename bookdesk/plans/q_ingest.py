@@ -174,7 +174,7 @@ def scalars_events(spark, sf):
         "id", C.decision_code(C.norm_decision("decision")).alias("status_id"),
         C.norm_decision("decision").alias("decision"),
         C.js_int("raw_payload").alias("int_prefix"),
-        C.js_float(F.substring("raw_payload", 7, 1 << 20)).alias("float_prefix"),
+        C.js_float(F.substr(F.col("raw_payload"), F.lit(7))).alias("float_prefix"),
         C.norm_email(F.concat(F.lit("  User"), F.col("user_id").cast("string"), F.lit("@Example.COM "))).alias("email"),
         C.otp_hash("code").alias("code_hash"),
     )

@@ -212,7 +212,7 @@ SELECT doc_id AS draft_id,
        CASE WHEN doc_id % 5 = 0 THEN concat('Post ', doc_id % 7)
             WHEN doc_id % 5 = 1 THEN concat(upper(lang), ' & ', source, '!')
             ELSE concat(source, ' - ', lang, ' ', doc_id % 4) END AS title,
-       substr(text, 1, 80) AS content,
+       text AS content,
        CASE WHEN doc_id % 2 = 0 THEN 'published' ELSE 'draft' END AS status,
        doc_id % 10 AS author_admin_id,
        TIMESTAMP_NTZ '2024-02-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id % 97) AS requested_at
