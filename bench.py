@@ -5,7 +5,8 @@ full materialisation through the ``noop`` sink, and prints one JSON line:
 {"metric": "total_median_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-     BENCH_REPEAT (default 3), BENCH_QUERIES (comma list, default headline set)
+     BENCH_REPEAT (default 3), BENCH_QUERIES (comma list, default headline set),
+     BENCH_EVENT_LOG (optional folder: Spark event log for stage/task times)
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus, app="bookdesk-bench")
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus, app="bookdesk-bench", extra=extra)
     registry.load_all()
     results, rows = {}, {}
     jvm = spark.sparkContext._jvm
