@@ -41,6 +41,9 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # size estimates come from compressed file sizes; scale them so a side that
+    # passes a broadcast check is bounded in memory too
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     "spark.sql.windowExec.buffer.spill.threshold": "1048576",
     "spark.sql.sortMergeJoinExec.buffer.spill.threshold": "1048576",
 }
