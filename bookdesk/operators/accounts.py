@@ -22,19 +22,37 @@ def latest_otp(otps: DataFrame) -> DataFrame:
 
 
 # J7 ---------------------------------------------------------------------
-def latest_before(attempts: DataFrame, otps: DataFrame, a_ts: str = "attempted_at") -> DataFrame:
+def latest_before(attempts: DataFrame, otps: DataFrame, a_ts: str = "attempted_at",
+                  chunk_seconds: int = 86400) -> DataFrame:
     """Backward as-of join: for each attempt the newest OTP of its e-mail
-    issued at or before it (a tie counts as before). The attempts (with all
-    their columns) and the codes are unioned, shuffled once by e-mail and
-    scanned with a running ``last(ignorenulls)``; no pairing of attempts with
-    codes and no second pass over the attempts."""
+    issued at or before it (a tie counts as before).
+
+    A segmented scan, so one e-mail with a large share of the rows is not
+    one task: the timeline of each e-mail is cut into ``chunk_seconds``
+    chunks; (1) the last code of every (e-mail, chunk) is an aggregate,
+    (2) a small window over each e-mail's chunks carries the last code into
+    the chunks after it, (3) the running ``last(ignorenulls)`` then runs per
+    (e-mail, chunk) and falls back to the carried code. Attempts keep all
+    their columns; there is no pairing of attempts with codes."""
     cols = attempts.columns
+    width = F.lit(int(chunk_seconds) * 1_000_000)
     o = otps.select("email", F.col("created_at").alias("_t"), F.lit(0).alias("_kind"), F.col("id").alias("_oid"))
     a = attempts.select(*cols, F.col(a_ts).alias("_t"), F.lit(1).alias("_kind"),
                         F.lit(None).cast("bigint").alias("_oid"))
-    w = (Window.partitionBy("email").orderBy("_t", "_kind", F.coalesce("_oid", F.col("id")))
+    u = a.unionByName(o, allowMissingColumns=True).withColumn(
+        "_chunk", F.floor(epoch_micros(F.col("_t")) / width).cast("bigint"))
+    order = F.struct("_t", "_kind", F.coalesce("_oid", F.col("id")))
+    # (1) last code per chunk and (2) carried into later chunks of the e-mail
+    per_chunk = (u.groupBy("email", "_chunk")
+                 .agg(F.max_by(F.col("_oid"), F.when(F.col("_kind") == 0, order)).alias("_last")))
+    wc = Window.partitionBy("email").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_chunk.withColumn("_carry", F.last("_last", ignorenulls=True).over(wc)).select(
+        "email", "_chunk", "_carry")
+    # (3) running scan inside each chunk
+    w = (Window.partitionBy("email", "_chunk").orderBy("_t", "_kind", F.coalesce("_oid", F.col("id")))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tagged = a.unionByName(o, allowMissingColumns=True).withColumn("otp_id", F.last("_oid", ignorenulls=True).over(w))
+    tagged = (u.join(broadcast_if_small(carry), ["email", "_chunk"], "left")
+              .withColumn("otp_id", F.coalesce(F.last("_oid", ignorenulls=True).over(w), F.col("_carry"))))
     return tagged.filter(F.col("_kind") == 1).select(*cols, "otp_id")
 
 

@@ -266,3 +266,28 @@ def test_travel_label_branches(spark):
                                "t date, ci date, co date")
     got = [r[0] for r in df.select(C.travel_label("t", "ci", "co")).collect()]
     assert got == ["2024-05-01", "2024-04-01 → 2024-04-03", "2024-04-01", "—"]
+
+
+def test_as_of_join_segmented_matches_brute_force(spark):
+    rnd = random.Random(3)
+    t0 = ts("2024-01-01 00:00:00")
+    otps, atts = [], []
+    for i in range(400):
+        e = "hot@x" if i % 2 == 0 else f"u{i % 7}@x"
+        otps.append((i, e, t0 + dt.timedelta(seconds=rnd.randrange(0, 3600))))
+    for i in range(1500):
+        e = "hot@x" if i % 3 else f"u{i % 9}@x"
+        t = t0 + dt.timedelta(seconds=rnd.randrange(0, 4000))
+        if i % 50 == 0:  # exact tie with a code of the same e-mail
+            same = [o for o in otps if o[1] == e]
+            if same:
+                t = same[i % len(same)][2]
+        atts.append((10_000 + i, e, t))
+    o = spark.createDataFrame(otps, "id bigint, email string, created_at timestamp_ntz")
+    a = spark.createDataFrame(atts, "id bigint, email string, attempted_at timestamp_ntz")
+    got = {r.id: r.otp_id for r in A.latest_before(a, o, chunk_seconds=60).collect()}
+    want = {}
+    for aid, e, t in atts:
+        cands = [(ot, oid) for oid, oe, ot in otps if oe == e and ot <= t]
+        want[aid] = max(cands)[1] if cands else None
+    assert got == want
