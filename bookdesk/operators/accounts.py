@@ -57,7 +57,7 @@ def latest_before(attempts: DataFrame, otps: DataFrame, a_ts: str = "attempted_a
 
 
 # R5 ---------------------------------------------------------------------
-def otp_outcomes(attempts: DataFrame, otps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def otp_outcomes(attempts: DataFrame, otps: DataFrame, chunk_seconds: int = 86400) -> tuple[DataFrame, DataFrame]:
     """attempts(id, email, attempted_at, code); otps(id, email, created_at,
     code_hash | code, expires_at, max_attempts[, attempts, consumed_at]).
 
@@ -74,15 +74,32 @@ def otp_outcomes(attempts: DataFrame, otps: DataFrame) -> tuple[DataFrame, DataF
                      F.col("max_attempts").alias("_max"), F.col("attempts").alias("_a0"),
                      F.col("consumed_at").alias("_used0"))
     j = j.join(oo, "otp_id", "left")
-    wrong = (otp_hash(F.col("code")) != F.col("_hash"))
-    w = (Window.partitionBy("otp_id").orderBy("attempted_at", "id")
+    # Running counts per code as a segmented scan (a code with a huge number
+    # of attempts is split over time chunks): per-chunk totals are carried
+    # into later chunks by a small window, then added to the running value
+    # inside the chunk.
+    j = j.withColumns({
+        "_wrong": (otp_hash(F.col("code")) != F.col("_hash")).cast("int"),
+        "_expired": F.col("_exp") < F.col("attempted_at"),
+        "_chunk": F.floor(epoch_micros(F.col("attempted_at")) / F.lit(chunk_seconds * 1_000_000)).cast("bigint"),
+    })
+    w = (Window.partitionBy("otp_id", "_chunk").orderBy("attempted_at", "id")
          .rowsBetween(Window.unboundedPreceding, -1))
-    expired = F.col("_exp") < F.col("attempted_at")
-    tries = F.col("_a0") + F.coalesce(F.sum(wrong.cast("int")).over(w), F.lit(0))
-    j = j.withColumns({"_wrong": wrong, "_tries": tries, "_expired": expired})
-    okable = (~F.col("_wrong")) & (F.col("_tries") < F.col("_max")) & ~F.col("_expired")
-    j = j.withColumn("_used", F.col("_used0").isNotNull()
-                     | F.coalesce(F.max(okable.cast("int")).over(w), F.lit(0)).cast("boolean"))
+    wc = Window.partitionBy("otp_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(flag: str, agg) -> DataFrame:
+        per_chunk = j.groupBy("otp_id", "_chunk").agg(agg(F.col(flag)).alias("_v"))
+        return per_chunk.select("otp_id", "_chunk", F.coalesce(agg(F.col("_v")).over(wc), F.lit(0)).alias(f"_c{flag}"))
+
+    j = j.join(broadcast_if_small(carried("_wrong", F.sum)), ["otp_id", "_chunk"], "left")
+    j = j.withColumn("_tries", F.col("_a0") + F.coalesce(F.col("_c_wrong"), F.lit(0))
+                     + F.coalesce(F.sum("_wrong").over(w), F.lit(0)))
+    okable = (F.col("_wrong") == 0) & (F.col("_tries") < F.col("_max")) & ~F.col("_expired")
+    j = j.withColumn("_okable", okable.cast("int"))
+    j = j.join(broadcast_if_small(carried("_okable", F.max)), ["otp_id", "_chunk"], "left")
+    j = j.withColumn("_used", F.col("_used0").isNotNull() | (F.coalesce(F.col("_c_okable"), F.lit(0)) > 0)
+                     | (F.coalesce(F.max("_okable").over(w), F.lit(0)) > 0))
+    j = j.withColumn("_wrong", F.col("_wrong") == 1)
     outcome = (F.when(F.col("otp_id").isNull(), "no_otp")
                .when(F.col("_used"), "already_used")
                .when(F.col("_expired"), "expired")

@@ -291,3 +291,48 @@ def test_as_of_join_segmented_matches_brute_force(spark):
         cands = [(ot, oid) for oid, oe, ot in otps if oe == e and ot <= t]
         want[aid] = max(cands)[1] if cands else None
     assert got == want
+
+
+def brute_otp(otps, atts):
+    state = {oid: {"tries": 0, "used": False} for oid, *_ in otps}
+    out = {}
+    for aid, e, t, code in sorted(atts, key=lambda a: (a[2], a[0])):
+        cands = [(ct, oid, c, exp, mx) for oid, oe, ct, c, exp, mx in otps if oe == e and ct <= t]
+        if not cands:
+            out[aid] = "no_otp"
+            continue
+        _, oid, c, exp, mx = max(cands)
+        st = state[oid]
+        if st["used"]:
+            out[aid] = "already_used"
+        elif exp < t:
+            out[aid] = "expired"
+        elif st["tries"] >= mx:
+            out[aid] = "max_attempts"
+        elif code != c:
+            st["tries"] += 1
+            out[aid] = "invalid"
+        else:
+            st["used"] = True
+            out[aid] = "ok"
+    return out
+
+
+def test_otp_outcomes_segmented_match_brute_force(spark):
+    rnd = random.Random(9)
+    t0 = ts("2024-01-01 00:00:00")
+    otps = [(1, "hot@x", t0, "111111", t0 + dt.timedelta(minutes=50), 40),
+            (2, "hot@x", t0 + dt.timedelta(minutes=55), "222222", t0 + dt.timedelta(minutes=80), 3),
+            (3, "b@x", t0, "333333", t0 + dt.timedelta(minutes=5), 5)]
+    atts = []
+    for i in range(600):
+        e = "hot@x" if i % 4 else "b@x"
+        code = rnd.choice(["000000", "111111", "222222", "333333"]) if rnd.random() < 0.08 else "999999"
+        atts.append((i, e, t0 + dt.timedelta(seconds=rnd.randrange(0, 6000)), code))
+    o = spark.createDataFrame(otps, "id bigint, email string, created_at timestamp_ntz, code string, "
+                                    "expires_at timestamp_ntz, max_attempts int")
+    a = spark.createDataFrame(atts, "id bigint, email string, attempted_at timestamp_ntz, code string")
+    outcomes, _ = A.otp_outcomes(a, o, chunk_seconds=60)
+    got = {r.id: r.outcome for r in outcomes.collect()}
+    assert got == brute_otp(otps, atts)
+    assert "ok" in got.values() and "max_attempts" in got.values() and "already_used" in got.values()
