@@ -95,10 +95,12 @@ def otp_outcomes(attempts: DataFrame, otps: DataFrame, chunk_seconds: int = 8640
     j = j.withColumn("_tries", F.col("_a0") + F.coalesce(F.col("_c_wrong"), F.lit(0))
                      + F.coalesce(F.sum("_wrong").over(w), F.lit(0)))
     okable = (F.col("_wrong") == 0) & (F.col("_tries") < F.col("_max")) & ~F.col("_expired")
-    j = j.withColumn("_okable", okable.cast("int"))
-    j = j.join(broadcast_if_small(carried("_okable", F.max)), ["otp_id", "_chunk"], "left")
-    j = j.withColumn("_used", F.col("_used0").isNotNull() | (F.coalesce(F.col("_c_okable"), F.lit(0)) > 0)
-                     | (F.coalesce(F.max("_okable").over(w), F.lit(0)) > 0))
+    # "already used" only needs the first successful attempt of each code: a
+    # map-side-combined aggregate, joined back by code
+    first_ok = j.groupBy("otp_id").agg(F.min(F.when(okable, F.struct("attempted_at", "id"))).alias("_first_ok"))
+    j = j.join(broadcast_if_small(first_ok), "otp_id", "left")
+    j = j.withColumn("_used", F.col("_used0").isNotNull()
+                     | F.coalesce(F.struct("attempted_at", "id") > F.col("_first_ok"), F.lit(False)))
     j = j.withColumn("_wrong", F.col("_wrong") == 1)
     outcome = (F.when(F.col("otp_id").isNull(), "no_otp")
                .when(F.col("_used"), "already_used")
