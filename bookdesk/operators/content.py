@@ -3,8 +3,6 @@ and deletes (C10, A6, M10, M11, M12)."""
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -33,9 +31,6 @@ def blog_view_totals(blogs: DataFrame, views: DataFrame) -> DataFrame:
 
 
 # M10 --------------------------------------------------------------------
-_SUFFIX = re.compile(r"^(.*?)((?:-[0-9]+)+)$")
-
-
 def _root_of(c):
     return F.regexp_replace(c, r"(-[0-9]+)+$", "")
 

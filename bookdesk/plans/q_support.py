@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import support as S
 from ..sources.fixtures import EVENTS_AS_OF, bridge, with_views
-from ..functions.scalars import ts
 from .registry import register
 
 EPOCH_SQL = "TIMESTAMP '1970-01-01 00:00:00'"

@@ -2,7 +2,6 @@
 character-scanning implementations."""
 
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from bookdesk.functions import scalars as C
 

@@ -4,10 +4,8 @@ splits the skewed join partition."""
 import datetime as dt
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from bookdesk.operators import support as S
-from bookdesk.plans.strategy import plan_text
 
 
 def test_hot_thread_is_split_and_exact(spark):
