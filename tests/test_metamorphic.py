@@ -85,3 +85,23 @@ def test_delete_with_set_null_leaves_no_fk_violation(spark):
     assert gone.count() > 0 and v.count() == 0
     v_before = Q.check_constraints(b, "bookings", [("fk", "user_id", u2, "id")])
     assert v_before.count() > 0
+
+
+def test_backfill_and_insert_ignore_are_idempotent(spark):
+    from bookdesk.operators import support as S
+    from bookdesk.operators.mutate import insert_ignore
+    from bookdesk.sources.fixtures import EVENTS_AS_OF
+    q, m = bridge(spark, SMALL, "queries"), bridge(spark, SMALL, "query_messages")
+    m_cols = ["id", "query_id", "sender_type", "message", "created_at"]
+    first = S.backfill_first_message(q, m, EVENTS_AS_OF)
+    assert first.count() > 0
+    m2 = m.select(*m_cols).unionByName(first.select(*m_cols))
+    assert S.backfill_first_message(q, m2, EVENTS_AS_OF).count() == 0
+
+    u = bridge(spark, SMALL, "users").select("id", "email")
+    new = bridge(spark, SMALL, "otp_attempts").select(
+        F.concat(F.lit("n"), F.col("email")).alias("email"), "id", "attempted_at")
+    once = insert_ignore(u, new, ["email"], ["attempted_at", "id"])
+    assert once.count() > 0
+    u2 = u.unionByName(once.select("id", "email"))
+    assert insert_ignore(u2, new, ["email"], ["attempted_at", "id"]).count() == 0
