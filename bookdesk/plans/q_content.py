@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bookings as B, content as T
 from ..sources.fixtures import bridge, with_views
+from .q_ingest import _slug_sql
 from .registry import register
 
 
@@ -21,12 +22,34 @@ def blog_view_totals(spark, sf):
     return T.blog_view_totals(_blogs(spark, sf), bridge(spark, sf, "blog_view_events")).select("id", "views")
 
 
-@register("create_blogs")  # rows-only: the ordered slug rule is checked against a brute force in tests
+# Oracle: the shop's own sequential rule — walk the drafts in order, each
+# taking the first of s, s-1, s-2, ... not yet taken (recursive CTE).
+_DRAFTS = f"""SELECT draft_id, {_slug_sql('title')} AS base, title, status, author_admin_id, requested_at,
+                  row_number() OVER (ORDER BY requested_at, draft_id) AS rn FROM blog_drafts"""
+_WALK = """
+WITH RECURSIVE walk(rn, draft_id, slug, taken) AS (
+  SELECT 0, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), (SELECT list(concat('post-', id)) FROM blogs)
+  UNION ALL
+  SELECT d.rn, d.draft_id, s.pick, list_append(w.taken, s.pick)
+  FROM walk w JOIN d ON d.rn = w.rn + 1,
+  LATERAL (SELECT CASE WHEN n = 0 THEN d.base ELSE concat(d.base, '-', n) END AS pick
+           FROM range(0, len(w.taken) + 2) t(n)
+           WHERE NOT list_contains(w.taken, CASE WHEN n = 0 THEN d.base ELSE concat(d.base, '-', n) END)
+           ORDER BY n LIMIT 1) s)
+SELECT draft_id, slug FROM walk WHERE draft_id IS NOT NULL"""
+
+
+@register("create_blogs", with_views(["blogs", "blog_drafts"], """
+SELECT (SELECT max(id) FROM blogs) + d.draft_id AS id, w.slug, d.title, coalesce(d.status, 'draft') AS status,
+       CASE WHEN coalesce(d.status, 'draft') = 'published' THEN d.requested_at END AS published_at,
+       d.author_admin_id, 0 AS views, d.requested_at AS created_at
+FROM d JOIN walk w ON w.draft_id = d.draft_id""", d=_DRAFTS, walk=_WALK))
 def create_blogs(spark, sf):
     d = bridge(spark, sf, "blog_drafts").withColumns({
         "excerpt": F.lit(None).cast("string"), "cover_image": F.lit(None).cast("string"),
         "tags": F.lit(None).cast("string")})
-    return T.create_blogs(_blogs(spark, sf), d)
+    return T.create_blogs(_blogs(spark, sf), d).select(
+        "id", "slug", "title", "status", "published_at", "author_admin_id", "views", "created_at")
 
 
 def _blog_patches(spark, sf):
