@@ -57,13 +57,19 @@ def latest_before(attempts: DataFrame, otps: DataFrame, a_ts: str = "attempted_a
 
 
 # R5 ---------------------------------------------------------------------
-def otp_outcomes(attempts: DataFrame, otps: DataFrame, chunk_seconds: int = 86400) -> tuple[DataFrame, DataFrame]:
+def otp_outcomes(attempts: DataFrame, otps: DataFrame, chunk_seconds: int = 86400,
+                 materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """attempts(id, email, attempted_at, code); otps(id, email, created_at,
     code_hash | code, expires_at, max_attempts[, attempts, consumed_at]).
 
     Per attempt in time order on its code: no_otp → already_used → expired
     (expires_at < t) → max_attempts (wrong tries so far ≥ max) → invalid →
-    ok. Returns (outcomes, otps' with attempts and consumed_at)."""
+    ok. Returns (outcomes, otps' with attempts and consumed_at).
+
+    The segmented scans branch off one intermediate (attempts with their
+    code); lazily each branch recomputes it. ``materialize=True`` writes it
+    once as a reliable checkpoint under the session's spark.checkpoint.dir
+    (runs a job at call time), so large inputs are read once."""
     if "code_hash" not in otps.columns:
         otps = otps.withColumn("code_hash", otp_hash(F.col("code")))
     for c, v in (("attempts", F.lit(0)), ("consumed_at", F.lit(None).cast("timestamp_ntz"))):
@@ -74,6 +80,9 @@ def otp_outcomes(attempts: DataFrame, otps: DataFrame, chunk_seconds: int = 8640
                      F.col("max_attempts").alias("_max"), F.col("attempts").alias("_a0"),
                      F.col("consumed_at").alias("_used0"))
     j = j.join(oo, "otp_id", "left")
+    if materialize:
+        from ..session import cut_lineage
+        j = cut_lineage(j)
     # Running counts per code as a segmented scan (a code with a huge number
     # of attempts is split over time chunks): per-chunk totals are carried
     # into later chunks by a small window, then added to the running value

@@ -336,3 +336,12 @@ def test_otp_outcomes_segmented_match_brute_force(spark):
     got = {r.id: r.outcome for r in outcomes.collect()}
     assert got == brute_otp(otps, atts)
     assert "ok" in got.values() and "max_attempts" in got.values() and "already_used" in got.values()
+
+
+def test_otp_outcomes_materialized_equals_lazy(spark):
+    from bookdesk.sources.fixtures import bridge
+    from .conftest import SMALL
+    a, o = bridge(spark, SMALL, "otp_attempts"), bridge(spark, SMALL, "otp_requests")
+    lazy = A.otp_outcomes(a, o)[0]
+    mat = A.otp_outcomes(a, o, materialize=True)[0]
+    assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, mat.collect()))
