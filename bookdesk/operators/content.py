@@ -89,7 +89,7 @@ def _taken_numbers(existing: DataFrame, bases: DataFrame) -> DataFrame:
     return t0.unionByName(tn).join(bases, "base", "left_semi").distinct()
 
 
-def assign_slugs(existing: DataFrame, drafts: DataFrame) -> DataFrame:
+def assign_slugs(existing: DataFrame, drafts: DataFrame, materialize: bool = False) -> DataFrame:
     """drafts(draft_id, slug, requested_at) → (draft_id, final_slug) with the
     shop's rule: try ``s``, then ``s-1``, ``s-2``… against existing slugs and
     earlier drafts of the batch.
@@ -99,14 +99,21 @@ def assign_slugs(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     ``k-1 + #{i : t_i - i + 1 <= k-1}``, a running count over one ordered
     stream per base (no pairing of drafts with taken slugs). Roots where a
     draft's own slug ends in ``-<n>`` can collide across bases; those roots
-    alone go through an exact ordered fold per root."""
+    alone go through an exact ordered fold per root. ``materialize=True``
+    checkpoints the drafts and the taken numbers (shared by both paths) once
+    under spark.checkpoint.dir, so the existing slugs are read once."""
     d = drafts.select("draft_id", "slug", "requested_at").withColumn("root", _root_of(F.col("slug")))
+    if materialize:
+        from ..session import cut_lineage
+        d = cut_lineage(d)
     mixed = d.filter(F.col("root") != F.col("slug")).select("root").distinct()
     simple = d.join(mixed, "root", "left_anti")
 
     # taken candidate numbers of every draft base, from one pass over the
     # existing slugs; the simple and the mixed path both read this result
     all_taken = _taken_numbers(existing, d.select(F.col("slug").alias("base")).distinct())
+    if materialize:
+        all_taken = cut_lineage(all_taken)
     bases = simple.select(F.col("slug").alias("base")).distinct()
     taken = all_taken.join(bases, "base", "left_semi")
     wt = Window.partitionBy("base").orderBy("t")
@@ -142,13 +149,13 @@ def assign_slugs(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     return simple_out.unionByName(folded)
 
 
-def create_blogs(blogs: DataFrame, drafts: DataFrame) -> DataFrame:
+def create_blogs(blogs: DataFrame, drafts: DataFrame, materialize: bool = False) -> DataFrame:
     """drafts(draft_id, title, excerpt, content, cover_image, tags, status,
     author_admin_id, requested_at) → the new blog rows (ids after the
     existing ones, slugs unique, published_at when published)."""
     from ..plans.strategy import next_ids
     d = drafts.withColumn("slug", slug(F.col("title")))
-    s = assign_slugs(blogs, d)
+    s = assign_slugs(blogs, d, materialize)
     n = d.join(s, "draft_id")
     st = F.coalesce(F.col("status"), F.lit("draft"))
     return n.select(

@@ -345,3 +345,12 @@ def test_otp_outcomes_materialized_equals_lazy(spark):
     lazy = A.otp_outcomes(a, o)[0]
     mat = A.otp_outcomes(a, o, materialize=True)[0]
     assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, mat.collect()))
+
+
+def test_unique_slugs_materialized_equals_lazy(spark):
+    t0 = ts("2024-01-01 00:00:00")
+    ex = spark.createDataFrame([("foo",), ("foo-1",), ("bar-2",)], "slug string")
+    d = spark.createDataFrame([(1, "foo", t0), (2, "foo-1", t0), (3, "bar", t0), (4, "foo", t0)],
+                              "draft_id bigint, slug string, requested_at timestamp_ntz")
+    lazy = sorted(map(tuple, T.assign_slugs(ex, d).collect()))
+    assert lazy == sorted(map(tuple, T.assign_slugs(ex, d, materialize=True).collect()))
