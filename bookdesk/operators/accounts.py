@@ -23,7 +23,7 @@ def latest_otp(otps: DataFrame) -> DataFrame:
 
 # J7 ---------------------------------------------------------------------
 def latest_before(attempts: DataFrame, otps: DataFrame, a_ts: str = "attempted_at",
-                  chunk_seconds: int = 86400) -> DataFrame:
+                  chunk_seconds: int = 86400, materialize: bool = False) -> DataFrame:
     """Backward as-of join: for each attempt the newest OTP of its e-mail
     issued at or before it (a tie counts as before).
 
@@ -41,6 +41,9 @@ def latest_before(attempts: DataFrame, otps: DataFrame, a_ts: str = "attempted_a
                         F.lit(None).cast("bigint").alias("_oid"))
     u = a.unionByName(o, allowMissingColumns=True).withColumn(
         "_chunk", F.floor(epoch_micros(F.col("_t")) / width).cast("bigint"))
+    if materialize:  # both the chunk summary and the scan read this once-written copy
+        from ..session import cut_lineage
+        u = cut_lineage(u)
     order = F.struct("_t", "_kind", F.coalesce("_oid", F.col("id")))
     # (1) last code per chunk and (2) carried into later chunks of the e-mail
     per_chunk = (u.groupBy("email", "_chunk")
@@ -75,7 +78,7 @@ def otp_outcomes(attempts: DataFrame, otps: DataFrame, chunk_seconds: int = 8640
     for c, v in (("attempts", F.lit(0)), ("consumed_at", F.lit(None).cast("timestamp_ntz"))):
         if c not in otps.columns:
             otps = otps.withColumn(c, v)
-    j = latest_before(attempts, otps)
+    j = latest_before(attempts, otps, chunk_seconds=chunk_seconds, materialize=materialize)
     oo = otps.select(F.col("id").alias("otp_id"), F.col("code_hash").alias("_hash"), F.col("expires_at").alias("_exp"),
                      F.col("max_attempts").alias("_max"), F.col("attempts").alias("_a0"),
                      F.col("consumed_at").alias("_used0"))
