@@ -29,8 +29,8 @@ def main(argv):
     registry.load_all()
     spark = build_session()
     print(f"# Executed plans of the registered queries ({sf}, local[8], AQE on)\n")
-    print("Counts of physical nodes in the final adaptive plan after one full run "
-          "(noop sink). Shuffles include the ones AQE turned into local reads.\n")
+    print("Counts of node mentions in the final adaptive plan after one full run "
+          "(noop sink); an exchange that is reused is counted where it is mentioned.\n")
     print("| query | " + " | ".join(n for n, _ in NODES) + " |")
     print("| --- |" + " --- |" * len(NODES))
     for name in sorted(registry.QUERIES):
