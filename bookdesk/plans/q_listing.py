@@ -162,3 +162,27 @@ SELECT id, concat('post-', id) AS slug, title, CAST(NULL AS VARCHAR) AS excerpt,
 FROM blogs"""))
 def project_blog_card(spark, sf):
     return L.project(conform_blogs(bridge(spark, sf, "blogs")), "blog_card")
+
+
+@register("lookup_tokens_by_jti", with_views(["auth_tokens", "token_requests"], """
+SELECT t.id, t.jti, t.revoked_at FROM auth_tokens t WHERE t.jti IN (SELECT jti FROM token_requests)"""))
+def lookup_tokens_by_jti(spark, sf):
+    return L.lookup(bridge(spark, sf, "auth_tokens"), "jti", bridge(spark, sf, "token_requests")).select(
+        "id", "jti", "revoked_at")
+
+
+@register("lookup_users_by_email", with_views(["users", "otp_attempts"], """
+SELECT u.id, u.email, u.status FROM users u WHERE u.email IN (SELECT lower(trim(email)) FROM otp_attempts)"""))
+def lookup_users_by_email(spark, sf):
+    from ..functions.scalars import norm_email
+    emails = bridge(spark, sf, "otp_attempts").select(norm_email("email").alias("email"))
+    return L.lookup(bridge(spark, sf, "users"), "email", emails).select("id", "email", "status")
+
+
+@register("lookup_published_by_slug", with_views(["blogs", "blog_view_events"], """
+SELECT b.id, concat('post-', b.id) AS slug, b.title FROM blogs b
+WHERE b.status = 'published' AND concat('post-', b.id) IN (SELECT concat('post-', blog_id) FROM blog_view_events)"""))
+def lookup_published_by_slug(spark, sf):
+    slugs = bridge(spark, sf, "blog_view_events").select(
+        F.concat(F.lit("post-"), F.col("blog_id").cast("string")).alias("slug"))
+    return L.lookup(L.published(conform_blogs(bridge(spark, sf, "blogs"))), "slug", slugs).select("id", "slug", "title")
