@@ -186,3 +186,25 @@ def lookup_published_by_slug(spark, sf):
     slugs = bridge(spark, sf, "blog_view_events").select(
         F.concat(F.lit("post-"), F.col("blog_id").cast("string")).alias("slug"))
     return L.lookup(L.published(conform_blogs(bridge(spark, sf, "blogs"))), "slug", slugs).select("id", "slug", "title")
+
+
+@register("project_booking_list", with_views(["bookings", "users"], """
+SELECT b.id, b.booking_reference, b.booking_type, b.status, b.payment_status, b.payment_gateway, b.payment_reference,
+       CAST(NULL AS VARCHAR) AS voucher_path, CAST(NULL AS TIMESTAMP) AS voucher_generated_at, b.lead_first_name,
+       b.lead_last_name, b.lead_email, CAST(NULL AS VARCHAR) AS lead_mobile, b.product_title, b.product_code,
+       b.payment_amount, b.currency, CAST(NULL AS DATE) AS travel_date, b.check_in_date,
+       CAST(NULL AS DATE) AS check_out_date, 1 AS total_travellers, b.total_adults, b.total_children,
+       CAST(NULL AS VARCHAR) AS admin_notes, b.details, b.user_id, b.created_at, CAST(NULL AS TIMESTAMP) AS updated_at,
+       u.email AS user_email
+FROM bookings b LEFT JOIN users u ON b.user_id = u.id"""))
+def project_booking_list(spark, sf):
+    b = L.project(_b(spark, sf), "booking_list")
+    return B.bookings_with_user(b, bridge(spark, sf, "users"))
+
+
+@register("project_blog_page", with_views(["blogs"], """
+SELECT id, concat('post-', id) AS slug, title, CAST(NULL AS VARCHAR) AS excerpt, content,
+       CAST(NULL AS VARCHAR) AS cover_image, tags, published_at, 0 AS views
+FROM blogs WHERE status = 'published'"""))
+def project_blog_page(spark, sf):
+    return L.project(L.published(conform_blogs(bridge(spark, sf, "blogs"))), "blog_page")
