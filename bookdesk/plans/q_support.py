@@ -367,3 +367,8 @@ def mark_seen_user(spark, sf):
     q, m = bridge(spark, sf, "queries"), bridge(spark, sf, "query_messages")
     visits = m.filter(F.col("sender_type") == "user").select("query_id", F.col("created_at").alias("visited_at"))
     return S.mark_seen(q, visits, "user").select("id", "admin_last_seen_at", "user_last_seen_at", "updated_at")
+
+
+@register("support_inbox_by_category", _admin_inbox_sql("WHERE q.category = 'tour'"))
+def support_inbox_by_category(spark, sf):
+    return _inbox(spark, sf, category="tour")
