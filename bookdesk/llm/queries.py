@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat_format, packing, token_count, url_filter
+from . import byte_bpe, chat_format, packing, quality_rules, secrets, token_count, url_filter
 from .tables import table
 from .url_filter import Rule
 
@@ -59,3 +59,13 @@ PATTERN_RULES = [Rule("block", "^ref^x^"), Rule("block", "^blog^*^es^"), Rule("a
 @register("op8_url_filter", url_filter.oracle(DOMAIN_RULES, PATTERN_RULES))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), DOMAIN_RULES, PATTERN_RULES)
+
+
+@register("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents")).drop("votes")
+
+
+@register("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
