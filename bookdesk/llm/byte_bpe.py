@@ -53,7 +53,7 @@ class ByteBpe:
         self.shorter = {i: next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), -1)
                         for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
-        self.pairs: BoundedMemo = BoundedMemo(self.compatible, limit=1_000_000)
+        self.pairs: BoundedMemo = BoundedMemo(self.compatible, limit=500_000)
         self.pieces: BoundedMemo = BoundedMemo(self.piece, limit=300_000)
         self.decimal = {i: str(i) for i in self.bytes_of}
 

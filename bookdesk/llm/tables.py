@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,17 +34,29 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class BoundedMemo(dict):
-    """``memo[key]`` computes a missing value with ``make`` and keeps it; when
-    ``limit`` values are held the memo starts again, so memory stays bounded."""
+    """``memo[key]`` computes a missing value with ``make`` and keeps it. When
+    ``limit`` values are held, a new generation begins: values of the last one
+    that are asked for again move over and the rest go, so memory stays bounded
+    and common keys stay."""
 
-    def __init__(self, make, limit: int = 400_000, longest: int = 64):
+    def __init__(self, make, limit: int = 300_000, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.longest = make, limit, longest
+        self.make, self.limit, self.longest, self.last = make, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.last.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
+                self.last = dict(self)
                 self.clear()
             self[key] = value
         return value
+
+
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches cut to ``rows`` rows, where a row's outputs are large."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
