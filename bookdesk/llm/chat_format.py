@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import BYTE_BPE
+from .tables import BYTE_BPE, slices
 
 # The template's own marks and control strings of public chat templates.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
@@ -99,7 +99,7 @@ def format_conversations(conversations: DataFrame, path: str = BYTE_BPE,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer(path)
         names = ["conv_id", "formatted", "input_ids", "starts", "ends", "loss_mask", "loss_spans"]
-        for b in batches:
+        for b in slices(batches):
             cols: list[list] = [[] for _ in names]
             for conv, turns in zip(b.column("conv_id").to_pylist(), b.column("turns").to_pylist(), strict=True):
                 text, spans = render([(t["role"], t["text"]) for t in turns], roles)
@@ -153,7 +153,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for r in b.to_pylist():
                 turns = read_turns(r["formatted"])
