@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat_format, packing, quality_rules, secrets, token_count, url_filter
+from . import byte_bpe, chat_format, minhash, packing, quality_rules, secrets, token_count, url_filter
 from .tables import table
 from .url_filter import Rule
 
@@ -69,3 +69,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@register("op5_minhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
