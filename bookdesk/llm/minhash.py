@@ -18,6 +18,12 @@
    one component and only lets out pairs at the match threshold. Long lists are
    cut into blocks that different tasks compare. The pairs are confirmed likewise.
 
+A pair is only confirmed if its parity sketches allow it: each bit is the parity
+of a set's shingles that hash to it, so two sets differ in at least as many
+shingles as their sketches differ in bits, and sets that must differ in too many
+are no pair. That never drops a true pair and keeps the loose pairs of large
+groups inside the task that compares them.
+
 Nothing is capped: every pair that collides often enough and is not already
 joined is confirmed. Sets are compared as 64-bit hashes of their shingles.
 
@@ -50,6 +56,7 @@ class Plan(NamedTuple):
 
 
 PLAN = Plan()
+PARITY_WORDS = 32  # longs of a parity sketch
 U = np.uint64
 _memo = BoundedMemo(lambda w: xxhash.xxh3_64_intdigest(w))
 
@@ -89,24 +96,33 @@ def postings(hashes: np.ndarray, xor: np.ndarray, factor: np.ndarray) -> np.ndar
     return mixed(least + np.arange(1, len(xor) + 1, dtype=U) * U(0x9E3779B97F4A7C15)).astype(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as PARITY_WORDS longs."""
+    counts = np.bincount((hashes >> U(40)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
-    """``doc_id, n_shingles, set_key, sig`` per row; set_key is null without shingles."""
+    """``doc_id, n_shingles, set_key, sig, odd`` per row; the last three are null without shingles."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, factor = seeds(plan.coordinates)
         for b in slices(batches, 2048):
-            sizes, keys, sigs = [], [], []
+            sizes, keys, sigs, odd = [], [], [], []
             for t in b.column("text").to_pylist():
                 h = shingles(t, plan.words)
                 sizes.append(len(h))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sigs.append(postings(h, xor, factor) if len(h) else None)
+                odd.append(parities(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sig"])
+                 pa.array(sigs, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_key", "sig", "odd"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<long>")
+    return id_and_text(docs).mapInArrow(
+        run, "doc_id long, n_shingles long, set_key binary, sig array<long>, odd array<long>")
 
 
 def prefixes(reps: DataFrame, plan: Plan) -> DataFrame:
@@ -125,13 +141,15 @@ def prefixes(reps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def colliding(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs ``a, b`` whose signatures agree often enough and whose sets
-    are near enough in size."""
-    a = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
-    b = reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-    both = pairs.join(a, "a").join(b, "b")
+    """The pairs ``a, b`` whose signatures agree often enough and whose sizes
+    and parity sketches allow the similarity."""
+    side = lambda c: reps.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}")
+                                                            for x in ("sig", "odd", "n_shingles")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = F.expr("aggregate(zip_with(odd_a, odd_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    total = F.col("n_shingles_a") + F.col("n_shingles_b")
     return both.filter((F.size(F.array_intersect("sig_a", "sig_b")) >= plan.least)
-                       & (100 * F.least("n_a", "n_b") >= plan.percent * F.greatest("n_a", "n_b"))).select("a", "b")
+                       & ((100 + plan.percent) * differ <= (100 - plan.percent) * total)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
@@ -161,10 +179,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
 
 def across(lists: DataFrame, plan: Plan) -> DataFrame:
     """``a, b``: pairs of one list and different components that collide often
-    enough. ``lists`` has ``key, doc_id, component, n_shingles, sig``."""
+    enough. ``lists`` has ``key, doc_id, component, n_shingles, sig, odd``."""
     import pyarrow as pa
 
-    def compare(ids, comp, size, sig, left, right, whole):
+    def compare(ids, comp, size, sig, odd, left, right, whole):
         """Pairs of left and right rows; ``whole``: each pair once."""
         for at in range(0, len(left), 256):
             x = left[at:at + 256]
@@ -172,23 +190,27 @@ def across(lists: DataFrame, plan: Plan) -> DataFrame:
             for c in range(sig.shape[1]):
                 hits += sig[x, c][:, None] == sig[right, c][None, :]
             near = (hits >= plan.least) & (comp[x][:, None] != comp[right][None, :])
-            near &= 100 * np.minimum(size[x][:, None], size[right]) >= plan.percent * np.maximum(size[x][:, None], size[right])
             if whole:
                 near &= ids[x][:, None] < ids[right][None, :]
             i, j = np.nonzero(near)
-            yield ids[x[i]], ids[right[j]]
+            i, j = x[i], right[j]
+            for k in range(0, len(i), 65536):
+                p, q = i[k:k + 65536], j[k:k + 65536]
+                differ = np.bitwise_count(odd[p] ^ odd[q]).sum(axis=1, dtype=np.int64)
+                fits = (100 + plan.percent) * differ <= (100 - plan.percent) * (size[p] + size[q])
+                yield ids[p[fits]], ids[q[fits]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts):
             t = pa.Table.from_batches(parts)
             ids, comp, size = (t.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
             side = t.column("side").to_numpy()
-            sig = np.asarray(t.column("sig").combine_chunks().flatten()).reshape(len(ids), -1)
+            sig, odd = (np.asarray(t.column(c).combine_chunks().flatten()).reshape(len(ids), -1) for c in ("sig", "odd"))
             rows = np.arange(len(ids))
             if t.column("x")[0].as_py() == t.column("y")[0].as_py():
-                found = compare(ids, comp, size, sig, rows, rows, True)
+                found = compare(ids, comp, size, sig, odd, rows, rows, True)
             else:
-                found = compare(ids, comp, size, sig, rows[side == 0], rows[side == 1], False)
+                found = compare(ids, comp, size, sig, odd, rows[side == 0], rows[side == 1], False)
             for a, b in found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -212,7 +234,7 @@ def across(lists: DataFrame, plan: Plan) -> DataFrame:
     dealt = lists.join(sizes, "key").withColumn("own", F.expr("int(pmod(xxhash64(doc_id), blocks))"))
     units = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-        F.expr("int(own > other)").alias("side"), "doc_id", "component", "n_shingles", "sig")
+        F.expr("int(own > other)").alias("side"), "doc_id", "component", "n_shingles", "sig", "odd")
     return (units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
             .mapInArrow(run, "a long, b long").distinct())
 
@@ -227,7 +249,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     # several texts of one doc_id may stand for several classes: each is told apart by its set
     reps = (sets.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"])
             .groupBy("set_key").agg(F.first("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
-                                    F.first("sig").alias("sig")))
+                                    F.first("sig").alias("sig"), F.first("odd").alias("odd")))
     reps = checkpointed(reps)
     lists = checkpointed(prefixes(reps, plan))
     heads = lists.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -238,7 +260,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
               .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     open_lists = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                   .filter("low <> high").select("key"))
-    rest = placed.join(open_lists, "key").join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
+    rest = placed.join(open_lists, "key").join(reps.select("doc_id", "n_shingles", "sig", "odd"), "doc_id")
     # pairs with the head of a list are settled already
     further = checkpointed(across(rest, plan).join(tested, ["a", "b"], "left_anti"))
     more = checkpointed(confirmed(further, known, plan))
