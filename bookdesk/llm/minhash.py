@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .tables import BoundedMemo, checkpointed, id_and_text, slices
+from .tables import checkpointed, id_and_text, slices
 
 
 class Plan(NamedTuple):
@@ -58,7 +58,6 @@ class Plan(NamedTuple):
 PLAN = Plan()
 PARITY_WORDS = 32  # longs of a parity sketch
 U = np.uint64
-_memo = BoundedMemo(lambda w: xxhash.xxh3_64_intdigest(w))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,7 +73,7 @@ def shingles(text: str, words: int) -> np.ndarray:
     n = len(tokens)
     if not n:
         return np.empty(0, U)
-    ids = np.fromiter(map(_memo.__getitem__, tokens), U, n)
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), U, n)
     k = min(words, n)
     h = np.full(n - k + 1, U(k))
     for i in range(k):
