@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat_format, minhash, packing, quality_rules, secrets, token_count, url_filter
+from . import byte_bpe, chat_format, minhash, packing, quality_rules, secrets, suffix_dedup, token_count, url_filter
 from .tables import table
 from .url_filter import Rule
 
@@ -74,3 +74,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_minhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
