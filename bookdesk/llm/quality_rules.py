@@ -183,4 +183,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """The input's rows and columns, without the documents that are rejected."""
     voted = votes(statistics(docs), rules)
-    return judged(voted, fit(voted, rules), rules, threshold).filter("kept").select("row.*")
+    # a generator, unlike a filter, is not pushed down through the statistics,
+    # where every use of them would be spelled out and computed again
+    rows = judged(voted, fit(voted, rules), rules, threshold)
+    return rows.select(F.inline(F.expr("IF(kept, array(row), array())")))

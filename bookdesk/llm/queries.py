@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat_format, minhash, packing, quality_rules, secrets, suffix_dedup, token_count, url_filter
+from . import byte_bpe, chat_format, embedding_hnsw, minhash, packing, quality_rules, secrets, suffix_dedup, token_count, url_filter
 from .tables import table
 from .url_filter import Rule
 
@@ -79,3 +79,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_suffix_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
+@register("op1_embedding_hnsw")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))

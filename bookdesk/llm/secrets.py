@@ -142,7 +142,8 @@ def report(docs: DataFrame, entropy: Entropy = ENTROPY) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text", entropy: Entropy = ENTROPY) -> DataFrame:
     """The input's rows and columns; every span in the text is replaced by
-    ``[kind]``. Of overlapping spans the first names the whole stretch."""
+    ``[kind]``. Of overlapping spans the first names the whole stretch. A column
+    ``n_chars`` follows the text; null texts stay null."""
     df = scan(docs, text_col, entropy)
     names = "array(" + ", ".join(f"'[{k}]'" for k in KINDS) + ")"
     clean = F.expr(f"""aggregate(spans, named_struct('at', 0, 'out', ''), (acc, x) -> named_struct(
@@ -150,5 +151,5 @@ def redact(docs: DataFrame, text_col: str = "text", entropy: Entropy = ENTROPY)
         'out', IF(x.a >= acc.at, concat(acc.out, substr(t, acc.at + 1, x.a - acc.at), {names}[x.k]), acc.out)),
         acc -> concat(acc.out, substr(t, acc.at + 1)))""")
     text = F.when(F.size("spans") > 0, clean).otherwise(F.col(f"row.{text_col}").cast("string"))
-    return df.select(F.struct(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns)).alias("row")
-                     ).select("row.*")
+    given = {text_col: text, "n_chars": F.char_length(text).cast("long")}
+    return df.select(*(given[c].alias(c) if c in given else F.col(f"row.`{c}`") for c in docs.columns))

@@ -376,7 +376,7 @@ def without(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 
 def _per_text(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Each text with all its spans (null if none)."""
+    """Each row with all spans of its text (``found``, null if none)."""
     own = spans(docs.select("doc_id", "text", "crc"), plan).groupBy("doc_id", "crc").agg(
         F.collect_set(F.struct("a", "b")).alias("found"))
     return joined_texts(docs, own, "left")
@@ -402,3 +402,31 @@ def removed(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
 
     return _per_text(with_crc(docs), plan).select("doc_id", "text", "found").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_text(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
+    """The input's rows and columns, the repeated strings cut out of ``text``.
+    Where a cut divides a character, its remaining bytes go too; ``n_chars``, if
+    there, follows the text; null texts stay null."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1024):
+            texts = []
+            for t, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True):
+                cuts = merged([(s["a"], s["b"]) for s in found or ()])
+                texts.append(without(t.encode("utf-8"), cuts).decode("utf-8", "ignore") if cuts else t)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                       F.struct("*").alias("row")).withColumn("crc", F.hash("text"))
+    cut = _per_text(rows, plan).select("row", "text", "found")
+    schema = cut.select("row", "text").schema
+    return replaced(cut.mapInArrow(run, schema), docs.columns)
+
+
+def replaced(df: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The columns of the struct ``row``, with a new ``text`` and its length."""
+    new = F.when(F.col("row.text").isNotNull(), F.col(text))
+    given = {"text": new, "n_chars": F.char_length(new).cast("long")}
+    return df.select(*(given[c].alias(c) if c in given else F.col(f"row.`{c}`") for c in columns))
