@@ -57,6 +57,7 @@ class Plan(NamedTuple):
 
 PLAN = Plan()
 PARITY_WORDS = 32  # longs of a parity sketch
+BROADCAST_PAIRS = 500_000  # at most twice as many ids, 16 bytes each, in memory of a task
 U = np.uint64
 
 
@@ -169,7 +170,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
+    # few ids are sent to the texts, beyond that both are shuffled
+    small = pairs.count() <= BROADCAST_PAIRS
+    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
@@ -244,12 +247,11 @@ def near_duplicates(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     known = texts.filter("doc_id IS NOT NULL")
     sketched = checkpointed(sketches(docs, plan))
     sets = sketched.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    # several texts of one doc_id may stand for several classes: each is told apart by its set
-    reps = (sets.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"])
-            .groupBy("set_key").agg(F.first("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
-                                    F.first("sig").alias("sig"), F.first("odd").alias("odd")))
-    reps = checkpointed(reps)
+    # equal sets have equal sketches; several texts of one doc_id may stand for several classes
+    reps = checkpointed(sets.groupBy("set_key").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
+        F.first("odd").alias("odd")))
+    classes = reps.select("set_key", F.col("doc_id").alias("rep"))
     lists = checkpointed(prefixes(reps, plan))
     heads = lists.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = lists.join(heads, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
