@@ -208,6 +208,7 @@ def across(lists: DataFrame, plan: Plan) -> DataFrame:
             ids, comp, size = (t.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
             side = t.column("side").to_numpy()
             sig, odd = (np.asarray(t.column(c).combine_chunks().flatten()).reshape(len(ids), -1) for c in ("sig", "odd"))
+            odd = odd.view(U)  # signed numbers would be counted by their absolute value
             rows = np.arange(len(ids))
             if t.column("x")[0].as_py() == t.column("y")[0].as_py():
                 found = compare(ids, comp, size, sig, odd, rows, rows, True)
