@@ -198,8 +198,9 @@ PROFILE_FIELDS = [
 
 def patch_users(u: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """patches(request_id, user_id, patch map, requested_at): each whitelisted
-    key present is written (an explicit null clears); the profile is
-    complete when both names are non-empty (new value, else the old one)."""
+    key present is written (an explicit null clears). Each patch judges anew
+    whether the profile is complete: by its own names where it gives any, else
+    by those stored before it, so the last patch decides."""
     types = dict((f.name, f.dataType) for f in u.schema.fields)
     present_any = None
     for k in PROFILE_FIELDS:
@@ -208,13 +209,26 @@ def patch_users(u: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]
     p = patches.withColumn("_outcome", F.when(~present_any, "no_fields"))
     rules = {k: ((lambda m, k=k: F.element_at(m, F.lit(k)).cast(types[k])), "present") for k in PROFILE_FIELDS}
 
+    # the last patch of each user, and the names that the ones before it stored
+    order, names = F.struct("requested_at", "request_id"), ("first_middle_name", "last_name")
+    valid = p.filter("_outcome IS NULL").select("user_id", "patch", order.alias("_o"))
+    latest = valid.groupBy(F.col("user_id").alias("_cu")).agg(F.max("_o").alias("_lo"), F.max_by("patch", "_o").alias("_lp"))
+    earlier = valid.join(latest, valid["user_id"] == latest["_cu"]).filter(F.col("_o") < F.col("_lo"))
+    given = lambda k: F.map_contains_key("patch", F.lit(k))
+    stored = earlier.groupBy(F.col("user_id").alias("_su")).agg(
+        *(F.max_by(F.element_at("patch", F.lit(k)), F.when(given(k), F.col("_o"))).alias(f"_s_{k}") for k in names),
+        *(F.coalesce(F.max(given(k)), F.lit(False)).alias(f"_g_{k}") for k in names))
+    judged = latest.join(stored, latest["_cu"] == stored["_su"], "left").drop("_su", "_lo")
+
     def completeness(df):
-        first = F.coalesce(F.nullif(F.col("_v_first_middle_name"), F.lit("")), F.col("first_middle_name"))
-        last = F.coalesce(F.nullif(F.col("_v_last_name"), F.lit("")), F.col("last_name"))
-        touched = F.col("_touched").isNotNull()
-        done = (F.coalesce(first, F.lit("")) != "") & (F.coalesce(last, F.lit("")) != "")
+        df = df.join(judged, df["id"] == judged["_cu"], "left")
+        done = F.lit(True)
+        for k in names:
+            before = F.when(F.coalesce(F.col(f"_g_{k}"), F.lit(False)), F.col(f"_s_{k}")).otherwise(F.col(k))
+            own = F.nullif(F.element_at("_lp", F.lit(k)), F.lit(""))
+            done &= F.coalesce(own, before, F.lit("")) != ""
         return df.withColumn("is_profile_complete",
-                             F.when(touched, done).otherwise(F.col("is_profile_complete")))
+                             F.when(F.col("_touched").isNotNull(), done).otherwise(F.col("is_profile_complete")))
     return apply_patches(u, p, "user_id", rules, extra=completeness)
 
 
@@ -223,15 +237,19 @@ def complete_profiles(u: DataFrame, forms: DataFrame) -> DataFrame:
     """forms(user_id, first_middle_name, last_name, mobile_number,
     mobile_country_code, country, date_of_birth, gender, submitted_at[,
     form_id]): names
-    are set, the other five keep the old value when NULL; last form wins."""
-    order = ["submitted_at"] + (["form_id"] if "form_id" in forms.columns else [])
-    f = latest_per_key(forms, ["user_id"], order)  # total order: re-running a task picks the same form
-    n = f.select(*[F.col(c).alias(f"_n_{c}") for c in f.columns])
+    are set by the last form; each form keeps those of the other five that it
+    does not state, so the last stated value of each stays."""
+    # total order: re-running a task picks the same form
+    order = F.struct("submitted_at", *(["form_id"] if "form_id" in forms.columns else []))
+    kept = ("mobile_number", "mobile_country_code", "country", "date_of_birth", "gender")
+    n = forms.groupBy(F.col("user_id").alias("_n_user_id")).agg(
+        *(F.max_by(c, order).alias(f"_n_{c}") for c in ("first_middle_name", "last_name", "submitted_at")),
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_n_{c}") for c in kept))
     j = u.join(broadcast_if_small(n), u["id"] == n["_n_user_id"], "left")
     hit = F.col("_n_user_id").isNotNull()
     sets = {"first_middle_name": F.trim(F.col("_n_first_middle_name")), "last_name": F.trim(F.col("_n_last_name")),
             "is_profile_complete": F.lit(True), "updated_at": F.col("_n_submitted_at")}
-    for c in ("mobile_number", "mobile_country_code", "country", "date_of_birth", "gender"):
+    for c in kept:
         sets[c] = F.coalesce(F.col(f"_n_{c}").cast(u.schema[c].dataType), F.col(c))
     return j.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in sets.items()}).select(*u.columns)
 

@@ -94,10 +94,13 @@ def user_totals_map(b: DataFrame) -> DataFrame:
 def attach_supplier(b: DataFrame, refs: DataFrame) -> DataFrame:
     """refs(payment_reference, supplier_reference, supplier_status,
     requested_at, request_id): every booking with that payment reference
-    gets the latest supplier reference; status = coalesce(new, old)."""
-    last = latest_per_key(refs, ["payment_reference"], ["requested_at", "request_id"])
-    r = last.select(F.col("payment_reference").alias("_pref"), F.col("supplier_reference").alias("_sref"),
-                    F.col("supplier_status").alias("_sstat"), F.col("requested_at").alias("_t"))
+    gets the latest supplier reference; each request keeps the status it does
+    not state, so the latest stated one stays."""
+    order = F.struct("requested_at", "request_id")
+    r = refs.groupBy(F.col("payment_reference").alias("_pref")).agg(
+        F.max_by("supplier_reference", order).alias("_sref"),
+        F.max_by("supplier_status", F.when(F.col("supplier_status").isNotNull(), order)).alias("_sstat"),
+        F.max("requested_at").alias("_t"))
     j = b.join(broadcast_if_small(r), b["payment_reference"] == r["_pref"], "left")
     hit = F.col("_pref").isNotNull()
     return j.withColumns({

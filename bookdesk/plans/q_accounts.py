@@ -109,6 +109,13 @@ SELECT p.* FROM profile_patches p
 WHERE (p.has_first OR p.has_last OR p.has_city OR p.has_dob) AND EXISTS (SELECT 1 FROM users u WHERE u.id = p.user_id)"""
 
 
+def _name_before(col: str, has: str) -> str:
+    """What is stored when step ``s`` begins: the last one given before it, else the user's."""
+    return f"""(CASE WHEN EXISTS (SELECT 1 FROM steps t WHERE t.user_id = s.user_id AND t.n < s.n AND t.{has})
+      THEN (SELECT t.{col} FROM steps t WHERE t.user_id = s.user_id AND t.n < s.n AND t.{has} ORDER BY t.n DESC LIMIT 1)
+      ELSE u.{col} END)"""
+
+
 @register("patch_users", with_views(["users", "profile_patches"], f"""
 SELECT u.id,
   CASE WHEN EXISTS (SELECT 1 FROM ok p WHERE p.user_id = u.id AND p.has_first) THEN {_last_set('first_middle_name', 'has_first')}
@@ -119,12 +126,15 @@ SELECT u.id,
        END AS city_of_residence,
   CASE WHEN EXISTS (SELECT 1 FROM ok p WHERE p.user_id = u.id AND p.has_dob) THEN CAST({_last_set('date_of_birth', 'has_dob')} AS DATE)
        END AS date_of_birth,
-  CASE WHEN EXISTS (SELECT 1 FROM ok p WHERE p.user_id = u.id)
-       THEN coalesce(coalesce(nullif({_last_set('first_middle_name', 'has_first')}, ''), u.first_middle_name), '') <> ''
-        AND coalesce(coalesce(nullif({_last_set('last_name', 'has_last')}, ''), u.last_name), '') <> ''
-       ELSE u.is_profile_complete END AS is_profile_complete,
+  coalesce((SELECT j.complete FROM judged j WHERE j.user_id = u.id AND j.n = j.total), u.is_profile_complete) AS is_profile_complete,
   coalesce((SELECT max(p.requested_at) FROM ok p WHERE p.user_id = u.id), u.created_at) AS updated_at
-FROM users u""", ok=_PROFILE_OK))
+FROM users u""", ok=_PROFILE_OK, steps="""
+SELECT ok.*, row_number() OVER (PARTITION BY user_id ORDER BY requested_at, request_id) AS n,
+       count(*) OVER (PARTITION BY user_id) AS total FROM ok""", judged=f"""
+SELECT s.user_id, s.n, s.total,
+       coalesce(CASE WHEN s.has_first THEN nullif(s.first_middle_name, '') END, {_name_before('first_middle_name', 'has_first')}, '') <> ''
+   AND coalesce(CASE WHEN s.has_last THEN nullif(s.last_name, '') END, {_name_before('last_name', 'has_last')}, '') <> '' AS complete
+FROM steps s JOIN users u ON u.id = s.user_id"""))
 def patch_users(spark, sf):
     out, _ = A.patch_users(_users(spark, sf), _profile_patches(spark, sf))
     return out.select("id", "first_middle_name", "last_name", "city_of_residence", "date_of_birth",
@@ -139,12 +149,18 @@ def patch_users_outcomes(spark, sf):
     return A.patch_users(_users(spark, sf), _profile_patches(spark, sf))[1]
 
 
-@register("complete_profiles", with_views(["users", "profile_forms"], """
+def _stated(col: str) -> str:
+    return (f"(SELECT s.{col} FROM profile_forms s WHERE s.user_id = u.id AND s.{col} IS NOT NULL"
+            " ORDER BY s.submitted_at DESC, s.form_id DESC LIMIT 1)")
+
+
+@register("complete_profiles", with_views(["users", "profile_forms"], f"""
 SELECT u.id,
   CASE WHEN f.user_id IS NOT NULL THEN trim(f.first_middle_name) ELSE u.first_middle_name END AS first_middle_name,
   CASE WHEN f.user_id IS NOT NULL THEN trim(f.last_name) ELSE u.last_name END AS last_name,
-  CASE WHEN f.user_id IS NOT NULL THEN coalesce(f.mobile_number, u.mobile_number) ELSE u.mobile_number END AS mobile_number,
-  f.mobile_country_code, f.country, CAST(f.date_of_birth AS DATE) AS date_of_birth, f.gender,
+  coalesce({_stated('mobile_number')}, u.mobile_number) AS mobile_number,
+  {_stated('mobile_country_code')} AS mobile_country_code, {_stated('country')} AS country,
+  CAST({_stated('date_of_birth')} AS DATE) AS date_of_birth, {_stated('gender')} AS gender,
   CASE WHEN f.user_id IS NOT NULL THEN true ELSE u.is_profile_complete END AS is_profile_complete,
   CASE WHEN f.user_id IS NOT NULL THEN f.submitted_at ELSE u.created_at END AS updated_at
 FROM users u LEFT JOIN (SELECT * FROM profile_forms x WHERE NOT EXISTS (

@@ -144,7 +144,8 @@ SELECT *, (code IN ('eligible', 'no_paid_at') OR (code = 'expired' AND coalesce(
        (refund_amount > 0 AND refund_amount <= coalesce(b_paid, 0)) AS amount_ok FROM r"""
 _REFUND_O = """
 SELECT v.*,
-  CASE WHEN b_id IS NULL THEN 'not_found'
+  CASE WHEN amount < 0.01 THEN 'invalid_amount'
+       WHEN b_id IS NULL THEN 'not_found'
        WHEN EXISTS (SELECT 1 FROM v w WHERE w.booking_id = v.booking_id AND w.b_id IS NOT NULL AND w.allowed
                     AND w.amount_ok AND coalesce(w.gw_ok, false)
                     AND (w.requested_at < v.requested_at OR (w.requested_at = v.requested_at AND w.request_id < v.request_id)))
@@ -267,15 +268,16 @@ def cancel_events(spark, sf):
 
 # M2 / M3 / M14 ------------------------------------------------------------
 @register("attach_supplier", with_views(["bookings", "supplier_refs"], """
-SELECT b.id,
-       CASE WHEN l.payment_reference IS NOT NULL THEN l.supplier_reference END AS supplier_reference,
-       CASE WHEN l.payment_reference IS NOT NULL THEN l.supplier_status END AS supplier_status,
-       l.requested_at AS updated_at
-FROM bookings b LEFT JOIN (
-  SELECT * FROM supplier_refs s WHERE NOT EXISTS (
-    SELECT 1 FROM supplier_refs t WHERE t.payment_reference = s.payment_reference
-      AND (t.requested_at > s.requested_at OR (t.requested_at = s.requested_at AND t.request_id > s.request_id)))
-) l ON l.payment_reference = b.payment_reference"""))
+SELECT b.id, w.supplier_reference, w.supplier_status, w.requested_at AS updated_at
+FROM bookings b LEFT JOIN walk w ON w.payment_reference = b.payment_reference AND w.n = w.total""", **{
+    # request after request: the status of a step is the stated one, else that of the step before
+    "steps": """
+SELECT *, row_number() OVER (PARTITION BY payment_reference ORDER BY requested_at, request_id) AS n,
+       count(*) OVER (PARTITION BY payment_reference) AS total FROM supplier_refs""",
+    "walk": """
+SELECT s.payment_reference, s.supplier_reference, s.requested_at, s.n, s.total,
+       (SELECT t.supplier_status FROM steps t WHERE t.payment_reference = s.payment_reference AND t.n <= s.n
+          AND t.supplier_status IS NOT NULL ORDER BY t.n DESC LIMIT 1) AS supplier_status FROM steps s"""}))
 def attach_supplier(spark, sf):
     refs = bridge(spark, sf, "supplier_refs")
     return B.attach_supplier(_b(spark, sf), refs).select("id", "supplier_reference", "supplier_status", "updated_at")

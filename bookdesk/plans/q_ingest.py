@@ -162,7 +162,7 @@ SELECT p.id,
        WHEN 'ERROR' THEN '13' WHEN 'REVIEW' THEN '12' ELSE '13' END AS status_id,
   upper(coalesce(nullif(p.decision, ''), 'ERROR')) AS decision,
   TRY_CAST(nullif(regexp_extract(p.raw_payload, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT) AS int_prefix,
-  TRY_CAST(nullif(regexp_extract(substr(p.raw_payload, 7), '^\\s*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE) AS float_prefix,
+  TRY_CAST(nullif(regexp_extract(json_extract_string(p.raw_payload, '$.k'), '^\\s*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE) AS float_prefix,
   lower(trim(concat('  User', p.user_id, '@Example.COM '))) AS email,
   sha256(o.code) AS code_hash
 FROM payment_attempts p LEFT JOIN otp_requests o ON o.id = p.id - 1"""))
@@ -174,7 +174,7 @@ def scalars_events(spark, sf):
         "id", C.decision_code(C.norm_decision("decision")).alias("status_id"),
         C.norm_decision("decision").alias("decision"),
         C.js_int("raw_payload").alias("int_prefix"),
-        C.js_float(F.substr(F.col("raw_payload"), F.lit(7))).alias("float_prefix"),
+        C.js_float(F.get_json_object("raw_payload", "$.k")).alias("float_prefix"),
         C.norm_email(F.concat(F.lit("  User"), F.col("user_id").cast("string"), F.lit("@Example.COM "))).alias("email"),
         C.otp_hash("code").alias("code_hash"),
     )

@@ -21,15 +21,18 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer size estimate (file sizes scaled by the projection)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+# Columns of free text: the estimate counts 20 bytes for any string, so a side
+# that carries them is left to the planner, which sees real shuffle sizes.
+TEXT_COLUMNS = {"message", "content", "text", "raw_payload", "html", "last_message", "body_text", "payload"}
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    try:
-        size = estimated_bytes(df)
-    except Exception:  # no estimate: leave it to the planner
+    if TEXT_COLUMNS & {c.lower().lstrip("_") for c in df.columns}:
         return df
-    return F.broadcast(df) if size <= max_bytes else df
+    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
 
 
 def next_ids(base: DataFrame, offset: Column, id_col: str = "id") -> Column:

@@ -99,7 +99,14 @@ SELECT conv_id AS id,
             ELSE TIMESTAMP_NTZ '2024-01-01 00:01:00' + INTERVAL '1' HOUR * conv_id END AS user_last_seen_at,
        TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '1' HOUR * conv_id AS created_at,
        TIMESTAMP_NTZ '2024-01-02 00:00:00' + INTERVAL '1' HOUR * conv_id AS updated_at
-FROM {conversations} WHERE turn = 0""",
+FROM {conversations} WHERE turn = 0
+UNION ALL
+SELECT 1000000000 + event_id AS id, user_id % 100 AS user_id, concat('Name', user_id) AS name,
+       concat('user', user_id % 100, '@example.com') AS email, concat('Subject ', event_id % 12) AS subject,
+       'hotel' AS category, concat('Need help with booking ', event_id) AS message,
+       CASE WHEN event_id % 4 = 0 THEN 'closed' ELSE 'new' END AS status, NULL AS handled_by_admin_id,
+       NULL AS admin_last_seen_at, NULL AS user_last_seen_at, ts AS created_at, ts AS updated_at
+FROM {events} WHERE event_type = 'signup'""",
     "query_messages": """
 SELECT conv_id * 100 + turn AS id, conv_id AS query_id,
        CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'admin' ELSE 'system' END AS sender_type,
@@ -107,9 +114,9 @@ SELECT conv_id * 100 + turn AS id, conv_id AS query_id,
        CASE WHEN role = 'assistant' THEN conv_id % 10 END AS sender_admin_id,
        text AS message,
        TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '1' HOUR * conv_id + INTERVAL '1' MINUTE * (turn - turn % 2) AS created_at
-FROM {conversations} WHERE conv_id % 10 <> 7""",
+FROM {conversations}""",
     "blogs": """
-SELECT d.doc_id AS id, substr(d.text, 1, 40) AS title, d.text AS content,
+SELECT d.doc_id AS id, concat(d.source, ' - ', upper(d.lang), ' & Été ', d.doc_id % 400, CASE WHEN d.doc_id % 3 = 0 THEN '!' ELSE '' END) AS title, d.text AS content,
        concat(d.lang, ',', d.source) AS tags,
        CASE WHEN l.quality = 1 THEN 'published' ELSE 'draft' END AS status,
        CASE WHEN l.quality = 1 THEN TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '1' HOUR * d.doc_id END AS published_at,

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -82,8 +83,10 @@ def foreach_batch_insert(table_path: str, key: str = "payment_reference"):
         try:
             seen = spark.read.parquet(table_path).select(key).distinct()
             fresh = batch.join(seen, key, "left_anti")
-        except Exception:  # first batch: no table yet
-            fresh = batch
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            fresh = batch  # first batch: no table yet
         order = [c for c in ("created_at", "id") if c in fresh.columns]
         firsts = first_per_key(fresh, [key], order) if order else fresh.dropDuplicates([key])
         firsts.write.mode("append").parquet(table_path)
@@ -173,8 +176,7 @@ def _expiry(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd
         state.remove()
         yield pd.DataFrame({"booking_id": [key[0]], "expires_at": [pd.to_datetime(exp_ms, unit="ms")]})
         return
-    rows = pd.concat(list(pdfs), ignore_index=True)
-    exp_ms = int(rows["_exp_ms"].max())
+    exp_ms = max(int(pdf["_exp_ms"].max()) for pdf in pdfs)  # one batch of the key at a time
     if exp_ms <= state.getCurrentWatermarkMs():  # already closed
         if state.exists:
             state.remove()
@@ -188,7 +190,8 @@ def stream_refund_expiry(bookings: DataFrame, watermark: str = "1 hour") -> Data
     """Emit (booking_id, expires_at) once event time passes the end of a
     refundable booking's window (event-time timer per booking)."""
     b = to_event_time(bookings, "created_at").filter(
-        (F.col("payment_status") == "paid") & F.coalesce(F.col("is_refundable"), F.lit(True))
+        (F.col("payment_status") == "paid") & (F.coalesce(F.col("status"), F.lit("")) != "cancelled")
+        & F.coalesce(F.col("is_refundable"), F.lit(True))
         & (F.coalesce(F.col("refund_window_hours"), F.lit(24)) > 0))
     b = b.withWatermark("created_at", watermark).withColumn(
         "_exp_ms", F.unix_millis(F.col("created_at")) + F.coalesce(F.col("refund_window_hours"), F.lit(24)).cast("bigint") * F.lit(3600000))

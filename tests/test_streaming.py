@@ -92,7 +92,7 @@ def test_thread_state_stream(spark, scratch):
 
 
 def test_refund_expiry_stream(spark, scratch):
-    b = bridge(spark, MEDIUM, "bookings").select("id", "payment_status", "is_refundable", "refund_window_hours",
+    b = bridge(spark, MEDIUM, "bookings").select("id", "status", "payment_status", "is_refundable", "refund_window_hours",
                                                   "created_at")
     path = f"{scratch}/bookings"
     ddl = write_slices(b, path, "created_at")
@@ -100,7 +100,8 @@ def test_refund_expiry_stream(spark, scratch):
     got = run(spark, T.stream_refund_expiry(src, watermark="0 seconds"), "t6_expiry")
     last = b.agg(F.max("created_at")).first()[0]
     # every emitted booking is a paid, refundable one whose window ended before the final watermark
-    want = b.filter((F.col("payment_status") == "paid") & F.col("is_refundable") & (F.col("refund_window_hours") > 0))
+    want = b.filter((F.col("payment_status") == "paid") & F.col("is_refundable") & (F.col("refund_window_hours") > 0)
+                    & (F.col("status") != "cancelled"))
     want = want.withColumn("exp", F.col("created_at") + F.make_dt_interval(F.lit(0), F.col("refund_window_hours")))
     closed = want.filter(F.col("exp") <= F.lit(last))
     got_ids = got.select(F.col("booking_id").alias("id"))
