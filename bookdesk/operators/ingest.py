@@ -127,7 +127,11 @@ def booking_request_outcomes(b: DataFrame, reqs: DataFrame) -> DataFrame:
     lead_email, lead_mobile, product_title, payment_amount, currency,
     payment_gateway, payment_reference, refund_window_hours, requested_at):
     invalid (validator fails) → exists (payment_reference already booked, or
-    an earlier request of the batch took it) → created."""
+    an earlier request of the batch took it) → created. References are trimmed
+    before they are compared, as they are stored. The first valid request of a
+    reference is a partial minimum joined back, so a reference with very many
+    retries is combined before it is shuffled."""
+    reqs = reqs.withColumn("payment_reference", F.trim("payment_reference"))
     t = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
     valid = (F.coalesce(F.col("booking_type").isin(*BOOKING_TYPES), F.lit(False))
              & t("lead_first_name") & t("lead_last_name") & t("lead_mobile") & t("product_title")
@@ -141,19 +145,32 @@ def booking_request_outcomes(b: DataFrame, reqs: DataFrame) -> DataFrame:
             broadcast_if_small(reqs.select(F.col("payment_reference").alias("_ref")).distinct()), "_ref", "left_semi")
         .distinct())
     r = r.join(seen, F.col("payment_reference") == F.col("_ref"), "left")
-    from pyspark.sql import Window
-    w = Window.partitionBy("payment_reference")
-    first_valid = F.min(F.when(F.col("_valid"), F.struct("requested_at", "request_id"))).over(w)
-    r = r.withColumn("_first", first_valid)
+    firsts = r.filter("_valid").groupBy(F.col("payment_reference").alias("_pref")).agg(
+        F.min(F.struct("requested_at", "request_id")).alias("_first"))
+    r = r.join(firsts, F.col("payment_reference") == F.col("_pref"), "left").drop("_pref")
     outcome = (F.when(~F.col("_valid"), "invalid")
                .when(F.col("_ref").isNotNull() | (F.struct("requested_at", "request_id") != F.col("_first")), "exists")
                .otherwise("created"))
     return r.withColumn("outcome", outcome).drop("_valid", "_ref", "_first")
 
 
+OPTIONAL_REQUEST_FIELDS = {
+    "product_code": "string", "check_in_date": "string", "check_out_date": "string", "travel_date": "string",
+    "total_travellers": "int", "total_adults": "int", "total_children": "int", "details": "string",
+    "is_refundable": "boolean", "supplier_reference": "string", "supplier_status": "string",
+}
+
+
 def create_bookings_from_requests(b: DataFrame, reqs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The booking webhook as a batch: returns (new booking rows, outcomes).
-    Defaults: currency INR, refundable, 24 h window, 1 traveller."""
+    Fields that a request does not state take the defaults: currency INR,
+    refundable, 24 h window, one traveller, one adult, no child, empty details."""
+    for name, kind in OPTIONAL_REQUEST_FIELDS.items():
+        if name not in reqs.columns:
+            reqs = reqs.withColumn(name, F.lit(None).cast(kind))
+    count = lambda c, default: F.coalesce(F.nullif(F.col(c).cast("int"), F.lit(0)), F.lit(default)).alias(c)
+    text = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    day = lambda c: F.col(c).cast("string").try_cast("date").alias(c)
     r = booking_request_outcomes(b, reqs)
     outcomes = r.select("request_id", "payment_reference", "outcome")
     new = r.filter(F.col("outcome") == "created")
@@ -167,20 +184,27 @@ def create_bookings_from_requests(b: DataFrame, reqs: DataFrame) -> tuple[DataFr
         F.col("payment_amount").cast("decimal(12,2)").alias("payment_amount"),
         F.coalesce(F.trim(F.col("currency")), F.lit("INR")).alias("currency"),
         F.trim("payment_gateway").alias("payment_gateway"), F.trim("payment_reference").alias("payment_reference"),
-        F.lit(True).alias("is_refundable"),
+        text("product_code"), day("check_in_date"), day("check_out_date"), day("travel_date"),
+        count("total_travellers", 1), count("total_adults", 1), count("total_children", 0),
+        F.coalesce("details", F.lit("{}")).alias("details"), F.coalesce("is_refundable", F.lit(True)).alias("is_refundable"),
+        F.trim("supplier_reference").alias("supplier_reference"), F.trim("supplier_status").alias("supplier_status"),
         F.coalesce(F.col("refund_window_hours"), F.lit(24)).cast("int").alias("refund_window_hours"),
-        F.lit(1).alias("total_travellers"), F.col("requested_at").alias("created_at"))
+        F.col("requested_at").alias("created_at"))
     return rows, outcomes
 
 
 # S5 rows for POST payment-attempts ------------------------------------------
 def attempts_from_requests(reqs: DataFrame) -> DataFrame:
     """reqs(request_id, decision, gateway, gateway_reference, amount,
-    currency, message, booking_id, raw_payload, requested_at): the audit rows
-    (decision upper-cased as given; blank decisions are rejected)."""
+    currency, message, booking_id, raw_payload, requested_at[,
+    transaction_uuid]): the audit rows (decision upper-cased as given; blank
+    decisions are rejected; only an absent gateway takes the default)."""
+    if "transaction_uuid" not in reqs.columns:
+        reqs = reqs.withColumn("transaction_uuid", F.lit(None).cast("string"))
     ok = reqs.filter(F.coalesce(F.trim(F.col("decision")), F.lit("")) != "")
     return ok.select(
         F.col("request_id").alias("id"), "booking_id", F.upper(F.trim(F.col("decision"))).alias("decision"),
-        F.coalesce(F.nullif(F.trim(F.col("gateway")), F.lit("")), F.lit(GATEWAY)).alias("gateway"),
+        F.trim("transaction_uuid").alias("transaction_uuid"),
+        F.coalesce(F.trim(F.col("gateway")), F.lit(GATEWAY)).alias("gateway"),
         "gateway_reference", F.col("amount").cast("decimal(12,2)").alias("amount"), "currency", "message",
         F.coalesce(F.col("raw_payload"), F.lit("{}")).alias("raw_payload"), F.col("requested_at").alias("created_at"))

@@ -198,7 +198,7 @@ def slug_titles(spark, sf):
 
 
 _BR_V = """
-SELECT r.*, (coalesce(booking_type IN ('hotel', 'package', 'tour', 'transfer', 'flight', 'excursion', 'rentcar', 'attraction'), false)
+SELECT r.* REPLACE (trim(r.payment_reference) AS payment_reference), (coalesce(booking_type IN ('hotel', 'package', 'tour', 'transfer', 'flight', 'excursion', 'rentcar', 'attraction'), false)
   AND coalesce(trim(lead_first_name), '') <> '' AND coalesce(trim(lead_last_name), '') <> ''
   AND coalesce(trim(lead_mobile), '') <> '' AND coalesce(trim(product_title), '') <> ''
   AND coalesce(trim(payment_gateway), '') <> '' AND coalesce(trim(payment_reference), '') <> ''
@@ -230,22 +230,30 @@ SELECT (SELECT max(id) FROM bookings) + o.request_id AS id,
        concat('BS-', CAST(epoch_us(o.requested_at) // 1000 AS VARCHAR), '-', upper(substr(sha256(o.payment_reference), 1, 8))) AS booking_reference,
        CASE WHEN o.user_id <> 0 THEN o.user_id END AS user_id, o.booking_type, trim(o.lead_first_name) AS lead_first_name,
        CAST(o.payment_amount AS DECIMAL(12,2)) AS payment_amount, coalesce(trim(o.currency), 'INR') AS currency,
-       CAST(coalesce(o.refund_window_hours, 24) AS INTEGER) AS refund_window_hours, o.requested_at AS created_at
+       CAST(coalesce(o.refund_window_hours, 24) AS INTEGER) AS refund_window_hours, o.payment_reference, o.product_code,
+       TRY_CAST(o.check_in_date AS DATE) AS check_in_date, TRY_CAST(o.travel_date AS DATE) AS travel_date,
+       CASE WHEN o.total_travellers > 0 THEN o.total_travellers ELSE 1 END AS total_travellers, 1 AS total_adults,
+       CASE WHEN o.total_children > 0 THEN o.total_children ELSE 0 END AS total_children, '{}' AS details,
+       o.is_refundable IS DISTINCT FROM false AS is_refundable, trim(o.supplier_reference) AS supplier_reference,
+       o.supplier_status, o.requested_at AS created_at
 FROM o WHERE o.outcome = 'created'""", v=_BR_V, o=_BR_O))
 def booking_webhook_rows(spark, sf):
     return _booking_webhook(spark, sf)[0].select(
         "id", "booking_reference", "user_id", "booking_type", "lead_first_name", "payment_amount", "currency",
-        "refund_window_hours", "created_at")
+        "refund_window_hours", "payment_reference", "product_code", "check_in_date", "travel_date", "total_travellers",
+        "total_adults", "total_children", "details", "is_refundable", "supplier_reference", "supplier_status", "created_at")
 
 
 @register("payment_attempt_requests", with_views(["payment_attempts"], """
-SELECT id, CAST(NULL AS BIGINT) AS booking_id, upper(trim(decision)) AS decision, 'cybersource' AS gateway,
+SELECT id, CAST(NULL AS BIGINT) AS booking_id, concat('uuid-', id) AS transaction_uuid, upper(trim(decision)) AS decision,
+       CASE WHEN id % 2 = 0 THEN '' ELSE 'cybersource' END AS gateway,
        nullif(transaction_id, '') AS gateway_reference, amount, currency, CAST(NULL AS VARCHAR) AS message,
        raw_payload, created_at
 FROM payment_attempts WHERE coalesce(trim(decision), '') <> ''"""))
 def payment_attempt_requests(spark, sf):
     p = bridge(spark, sf, "payment_attempts")
-    reqs = p.select(F.col("id").alias("request_id"), "decision", F.lit(None).cast("string").alias("gateway"),
+    reqs = p.select(F.col("id").alias("request_id"), "decision", F.when(F.col("id") % 2 == 0, F.lit(" ")).alias("gateway"),
+                    F.concat(F.lit("uuid-"), F.col("id").cast("string"), F.lit(" ")).alias("transaction_uuid"),
                     F.nullif(F.col("transaction_id"), F.lit("")).alias("gateway_reference"), "amount", "currency",
                     F.lit(None).cast("string").alias("message"), F.lit(None).cast("bigint").alias("booking_id"),
                     "raw_payload", F.col("created_at").alias("requested_at"))

@@ -289,7 +289,11 @@ SELECT l_orderkey * 10 + l_linenumber AS request_id, min(o_custkey) % 50 AS user
        concat('+248', l_orderkey) AS lead_mobile, concat('Product ', l_orderkey % 200) AS product_title,
        CAST(min(l_extendedprice) AS DECIMAL(12,2)) AS payment_amount,
        CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'EUR' END AS currency, 'cybersource' AS payment_gateway,
-       concat('TXN-', l_orderkey + 7 * l_linenumber) AS payment_reference,
+       concat(CASE WHEN l_linenumber = 7 THEN ' ' ELSE '' END, 'TXN-', l_orderkey + 7 * l_linenumber) AS payment_reference,
+       concat('P', l_orderkey % 9) AS product_code, CAST(CAST(min(o_orderdate) AS DATE) AS STRING) AS check_in_date,
+       CASE WHEN l_orderkey % 2 = 0 THEN 'soon' END AS travel_date, CAST(l_orderkey % 4 AS INTEGER) AS total_travellers,
+       CAST(l_orderkey % 3 AS INTEGER) AS total_children, CASE WHEN l_orderkey % 5 = 0 THEN false WHEN l_orderkey % 5 = 1 THEN true END AS is_refundable,
+       concat(' SUP', l_orderkey, ' ') AS supplier_reference, CASE WHEN l_orderkey % 3 = 0 THEN 'held' END AS supplier_status,
        CASE WHEN l_linenumber = 6 THEN 900 WHEN l_linenumber = 2 THEN NULL ELSE 24 * l_linenumber END AS refund_window_hours,
        min(o_orderdate) + INTERVAL '1' HOUR * l_linenumber AS requested_at
 FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
