@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from public_tokenizers import PATTERN
@@ -85,6 +86,23 @@ def encoder(path: str, ranks_path: str):
     return _encoders[path]
 
 
+@cache
+def library(path: str):
+    """The vocabulary's own library, one per worker process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def encoded(text: str, path: str, ranks_path: str) -> np.ndarray:
+    """A text's ids. The merge engine gives up on runs of some hundred thousand
+    blanks, which its pattern backtracks over; such texts go to the library."""
+    try:
+        return encoder(path, ranks_path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, size) of a document's pieces; the remainder comes first."""
     first = length % capacity or capacity
@@ -97,11 +115,10 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str = B
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, ranks_path)
         for b in batches:
             doc, number, start, length, crc, kept = [], [], [], [], [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.append(enc.encode_to_numpy(t, allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(encoded(t, path, ranks_path), end_id).astype("<u4")
                 for k, (s, size) in enumerate(cut(len(ids), capacity)):
                     own = ids[s:s + size]
                     doc.append(d)

@@ -6,12 +6,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from bookdesk.llm import byte_bpe, chat_format, packing, token_count
+from bookdesk.llm import byte_bpe, chat_format, packing, tables, token_count
 from bookdesk.llm.tables import WORD_BPE, workers_find_package
 
 from .util import TEXTS, docs, empty
@@ -94,6 +95,13 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000"])
+def test_long_blank_runs_are_packed_whole(blank):
+    text = "<|endoftext|> a" + blank * 600_000 + "b c"
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert packing.encoded(text, tables.BYTE_BPE, tables.BYTE_BPE_RANKS).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_closes_the_fullest():
     bins = packing.BestFit(10, 2, 0)
     assert [bins.place(n) for n in (4, 7, 3, 9, 6, 1)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 4), (2, 9)]
