@@ -63,8 +63,9 @@ WHERE b.status = 'confirmed'
 ORDER BY b.created_at DESC, b.id DESC LIMIT 50 OFFSET 100"""))
 def bookings_page(spark, sf):
     b = L.filter_bookings(_b(spark, sf), status="confirmed")
-    rows = B.bookings_with_user(b, bridge(spark, sf, "users"))
-    return L.page(rows, L.newest_first(), page_no="3", limit=None, default_limit=L.DEFAULT_PAGE_SIZE["bookings"]).select(
+    # an account is looked up by a unique key, which cannot change the page: first the page, then its accounts
+    rows = L.page(b, L.newest_first(), page_no="3", limit=None, default_limit=L.DEFAULT_PAGE_SIZE["bookings"])
+    return B.bookings_with_user(rows, bridge(spark, sf, "users")).select(
         "id", "booking_reference", "status", "created_at", "user_email")
 
 
