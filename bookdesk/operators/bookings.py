@@ -51,14 +51,18 @@ def user_booking_lists(b: DataFrame) -> DataFrame:
 
 
 def booking_context(b: DataFrame, viewed: DataFrame) -> DataFrame:
-    """For a batch of viewed bookings (viewed.booking_id), every booking of
-    the same user, newest first. The output grows with the views, never
-    with all pairs of a user's bookings."""
-    v = (viewed.select(F.col("booking_id")).distinct()
-         .join(b.select(F.col("id").alias("booking_id"), "user_id"), "booking_id")
-         .filter(F.col("user_id").isNotNull()))
-    return v.join(user_booking_lists(b), "user_id").select(
-        "booking_id", "user_id", "other_id", "other_reference", "other_status", "other_created_at", "position")
+    """For a batch of viewed bookings (viewed.booking_id), the bookings of each
+    of their users once, newest first. ``viewed_users`` links a view to its
+    list, so views of one user's bookings share it and the output stays linear."""
+    users = viewed_users(b, viewed).select("user_id").distinct()
+    return user_booking_lists(b.join(broadcast_if_small(users), "user_id", "left_semi"))
+
+
+def viewed_users(b: DataFrame, viewed: DataFrame) -> DataFrame:
+    """(booking_id, user_id) of the viewed bookings that belong to an account."""
+    v = viewed.select(F.col("booking_id").alias("id")).distinct()
+    return (b.filter(F.col("user_id").isNotNull()).join(broadcast_if_small(v), "id", "left_semi")
+            .select(F.col("id").alias("booking_id"), "user_id"))
 
 
 # A4 / A5 ----------------------------------------------------------------

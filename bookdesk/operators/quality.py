@@ -55,27 +55,26 @@ def check_constraints(df: DataFrame, table: str, rules: list[tuple], key: str =
     · ("unique", col) · ("fk", col, parent_df, parent_col). Rules on
     columns the frame lacks are skipped. NULL passes every rule except
     not_null / non_empty."""
-    parts = []
+    parts, local = [], []
     for r in rules:
         kind, col = r[0], r[1]
         if col not in df.columns:
             continue
         c = F.col(col)
         if kind == "not_null":
-            parts.append(_out(df.filter(c.isNull()), table, kind, col, key, F.lit(None).cast("string")))
+            local.append((kind, col, c.isNull()))
         elif kind == "non_empty":
-            parts.append(_out(df.filter(F.coalesce(F.trim(c), F.lit("")) == ""), table, kind, col, key, col))
+            local.append((kind, col, F.coalesce(F.trim(c), F.lit("")) == ""))
         elif kind == "enum":
-            parts.append(_out(df.filter(c.isNotNull() & ~c.isin(*r[2])), table, kind, col, key, col))
+            local.append((kind, col, ~c.isin(*r[2])))
         elif kind == "range":
-            parts.append(_out(df.filter(c.isNotNull() & ((c < r[2]) | (c > r[3]))), table, kind, col, key, col))
+            local.append((kind, col, (c < r[2]) | (c > r[3])))
         elif kind == "max_len":
-            parts.append(_out(df.filter(F.length(c) > r[2]), table, kind, col, key, col))
+            local.append((kind, col, F.length(c) > r[2]))
         elif kind == "email":
-            parts.append(_out(df.filter(c.isNotNull() & ~c.rlike(EMAIL_PATTERN)), table, kind, col, key, col))
+            local.append((kind, col, ~c.rlike(EMAIL_PATTERN)))
         elif kind == "iso_date":
-            parts.append(_out(df.filter(c.isNotNull() & ~c.cast("string").rlike(ISO_DATE_PATTERN)),
-                              table, kind, col, key, col))
+            local.append((kind, col, ~c.cast("string").rlike(ISO_DATE_PATTERN)))
         elif kind == "unique":
             dup = df.filter(c.isNotNull()).groupBy(c.alias("_v")).count().filter(F.col("count") > 1)
             parts.append(dup.select(F.lit(table).alias("table_name"), F.lit(kind).alias("rule"),
@@ -87,6 +86,13 @@ def check_constraints(df: DataFrame, table: str, rules: list[tuple], key: str =
             parts.append(_out(orphans, table, kind, col, key, col))
         else:
             raise ValueError(f"unknown rule {kind}")
+    if local:  # rules on one row share one pass; a NULL condition is no violation
+        row_key = F.col(key).cast("string") if key in df.columns else F.lit(None).cast("string")
+        found = F.filter(F.array(*(F.when(broken, F.struct(
+            F.lit(kind).alias("rule"), F.lit(col).alias("column_name"), F.col(col).cast("string").alias("value")))
+            for kind, col, broken in local)), lambda x: x.isNotNull())
+        parts.append(df.select(row_key.alias("row_key"), F.inline(found)).select(
+            F.lit(table).alias("table_name"), "rule", "column_name", "row_key", "value"))
     if not parts:
         return df.sparkSession.createDataFrame(
             [], "table_name string, rule string, column_name string, row_key string, value string")

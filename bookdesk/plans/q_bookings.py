@@ -62,15 +62,25 @@ def user_booking_lists(spark, sf):
 
 # viewed bookings: detail pages opened while handling payment attempts
 @register("booking_context", with_views(["bookings", "payment_attempts"], """
-SELECT v.booking_id, b.user_id, o.id AS other_id, o.booking_reference AS other_reference, o.status AS other_status,
-       o.created_at AS other_created_at,
-       CAST(row_number() OVER (PARTITION BY v.booking_id ORDER BY o.created_at DESC, o.id DESC) AS INTEGER) AS position
-FROM (SELECT DISTINCT user_id * 7 AS booking_id FROM payment_attempts) v
-JOIN bookings b ON b.id = v.booking_id JOIN bookings o ON o.user_id = b.user_id
-WHERE b.user_id IS NOT NULL"""))
+SELECT user_id, id AS other_id, booking_reference AS other_reference, status AS other_status,
+       created_at AS other_created_at,
+       CAST(1 + (SELECT count(*) FROM bookings n WHERE n.user_id = o.user_id
+                 AND (n.created_at, n.id) > (o.created_at, o.id)) AS INTEGER) AS position
+FROM bookings o
+WHERE user_id IN (SELECT v.user_id FROM bookings v WHERE v.id IN (SELECT user_id * 7 FROM payment_attempts))"""))
 def booking_context(spark, sf):
-    viewed = bridge(spark, sf, "payment_attempts").select((F.col("user_id") * 7).alias("booking_id"))
-    return B.booking_context(_b(spark, sf), viewed)
+    return B.booking_context(_b(spark, sf), _viewed(spark, sf))
+
+
+@register("viewed_users", with_views(["bookings", "payment_attempts"], """
+SELECT id AS booking_id, user_id FROM bookings
+WHERE user_id IS NOT NULL AND id IN (SELECT user_id * 7 FROM payment_attempts)"""))
+def viewed_users(spark, sf):
+    return B.viewed_users(_b(spark, sf), _viewed(spark, sf))
+
+
+def _viewed(spark, sf):
+    return bridge(spark, sf, "payment_attempts").select((F.col("user_id") * 7).alias("booking_id"))
 
 
 # A4 / A5 ----------------------------------------------------------------
@@ -187,6 +197,8 @@ SELECT (SELECT coalesce(max(id), 0) FROM refund_events) + o.request_id * 4 + e.s
             WHEN 'gateway_initiated' THEN 'live gateway'
             ELSE CASE WHEN abs(o.refund_amount - coalesce(o.b_paid, 0)) < 0.005 THEN 'Full refund' ELSE 'Partial refund' END
        END AS notes,
+       CASE e.seq WHEN 0 THEN '{"initiatedBy":"admin"}' WHEN 1 THEN concat('{"success":', coalesce(o.gw_ok, false), ',"gatewayReference":"', o.gw_reference,
+                 '"', CASE WHEN o.gw_error IS NOT NULL THEN concat(',"error":"', o.gw_error, '"') ELSE '' END, '}') END AS payload,
        o.requested_at AS created_at, o.request_id
 FROM o JOIN (VALUES (0, 'requested', 'both'), (1, 'gateway_initiated', 'refunded'), (2, 'completed', 'refunded'),
                     (1, 'gateway_failed', 'gateway_failed')) AS e(seq, action, kind)
@@ -210,16 +222,19 @@ _CANCEL_R = f"""
 SELECT q.*, b.id AS b_id, b.status AS b_status, b.payment_amount AS b_paid, b.currency AS b_currency,
        coalesce(b.id IS NOT NULL AND CAST(b.user_id AS VARCHAR) = CAST(q.user_id AS VARCHAR), false) AS owner_ok,
        NOT coalesce(b.status IN ('cancelled', 'refunded'), false) AS is_open,
-       {policy_sql('q.requested_at', 'b.')} IN ('eligible', 'no_paid_at') AS eligible
+       {policy_sql('q.requested_at', 'b.')} AS code, code IN ('eligible', 'no_paid_at') AS eligible,
+       CAST(coalesce(b.refund_window_hours, 24) AS INTEGER) AS win,
+       (epoch_us(q.requested_at) - epoch_us(b.created_at)) / 3600e6 AS hours
 FROM cancel_requests q LEFT JOIN bookings b ON b.id = q.booking_id"""
 _CANCEL_W = """
 SELECT booking_id, request_id AS w_id, requested_at AS w_at FROM r a
-WHERE owner_ok AND is_open AND NOT EXISTS (
-  SELECT 1 FROM r b WHERE b.booking_id = a.booking_id AND b.owner_ok AND b.is_open
+WHERE owner_ok AND is_open AND length(trim(ifnull(reason, ''))) <= 500 AND NOT EXISTS (
+  SELECT 1 FROM r b WHERE b.booking_id = a.booking_id AND b.owner_ok AND b.is_open AND length(trim(ifnull(b.reason, ''))) <= 500
     AND (b.requested_at < a.requested_at OR (b.requested_at = a.requested_at AND b.request_id < a.request_id)))"""
 _CANCEL_O = """
 SELECT r.*,
-  CASE WHEN NOT owner_ok THEN 'not_found'
+  CASE WHEN length(trim(reason)) > 500 THEN 'invalid_reason'
+       WHEN NOT owner_ok THEN 'not_found'
        WHEN NOT is_open OR r.requested_at > w.w_at OR (r.requested_at = w.w_at AND r.request_id > w.w_id)
             THEN 'already_closed'
        WHEN NOT eligible THEN 'cancelled'
@@ -257,6 +272,11 @@ SELECT (SELECT coalesce(max(id), 0) FROM refund_events) + o.request_id * 4 + e.s
        CASE WHEN e.action IN ('gateway_initiated', 'completed') THEN o.gw_reference END AS gateway_reference,
        CASE e.action WHEN 'requested' THEN nullif(trim(coalesce(o.reason, '')), '') WHEN 'gateway_failed' THEN o.gw_error
             WHEN 'gateway_initiated' THEN 'live' ELSE 'User-initiated within window' END AS notes,
+       CASE e.seq WHEN 0 THEN concat('{"initiatedBy":"user","userId":', o.user_id, ',"eligibility":{"eligible":', o.eligible,
+            ',"reasonCode":"', o.code, '"', CASE WHEN o.code IN ('no_paid_at', 'expired', 'eligible') THEN concat(',"windowHours":', o.win) ELSE '' END,
+            CASE WHEN o.code IN ('expired', 'eligible') THEN concat(',"hoursElapsed":', CAST(o.hours AS DECIMAL(14,3))) ELSE '' END, '}}')
+          WHEN 1 THEN concat('{"success":', coalesce(o.gw_ok, false), ',"gatewayReference":"', o.gw_reference,
+                 '"', CASE WHEN o.gw_error IS NOT NULL THEN concat(',"error":"', o.gw_error, '"') ELSE '' END, '}') END AS payload,
        o.requested_at AS created_at, o.request_id
 FROM o JOIN (VALUES (0, 'requested', 'all'), (1, 'gateway_initiated', 'refunded'), (2, 'completed', 'refunded'),
                     (1, 'gateway_failed', 'cancelled_gateway_failed')) AS e(seq, action, kind)

@@ -24,8 +24,8 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet",
             r = r.option("header", options.get("header", "true"))
     df = r.load(path) if path else r.load()
     if fmt == "parquet":
-        st = schema(name)
-        df = df.select(*[F.col(f.name).cast(f.dataType) for f in st.fields if f.name in df.columns])
+        df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                         for f in schema(name).fields])
     return df
 
 

@@ -1,6 +1,7 @@
 """Hand-made rows for the traps and every branch of the state machines."""
 
 import datetime as dt
+import json
 import random
 from decimal import Decimal
 
@@ -85,9 +86,9 @@ def test_refund_policy_branches(spark):
         "already_refunded", "cancelled", "not_paid", "non_refundable", "zero_window", "no_paid_at", "expired",
         "eligible", "eligible"]
     assert out[9].hours_elapsed == 24.0 and out[9].eligible  # elapsed equal to the window is eligible
-    assert out[3].reason == "Only paid bookings can be refunded (current: pending)"
+    assert out[3].reason == "nothing to give back, payment is pending"
     assert out[6].eligible and out[6].hours_elapsed is None
-    assert out[7].reason == "Refund window expired (60.0h elapsed > 24h limit)"
+    assert out[7].reason == "60.0 h since payment, the window was 24 h"
 
 
 def test_admin_refund_state_machine(spark):
@@ -122,13 +123,15 @@ def test_cancellation_state_machine(spark):
     req = spark.createDataFrame([
         (10, 1, 7, " plans ", ts("2024-01-01 01:00:00")), (11, 1, 7, None, ts("2024-01-01 02:00:00")),
         (20, 2, 7, None, ts("2024-01-01 01:00:00")), (30, 3, 8, None, ts("2024-01-01 01:00:00")),
-        (40, 4, 7, None, ts("2024-01-01 01:00:00"))],
+        (40, 4, 7, None, ts("2024-01-01 01:00:00")), (9, 1, 7, "x" * 501, ts("2024-01-01 00:30:00"))],
         "request_id bigint, booking_id bigint, user_id bigint, reason string, requested_at timestamp_ntz")
     gw = spark.createDataFrame([(10, True, "G", None), (40, False, None, "timeout")],
                                "request_id bigint, ok boolean, reference string, error string")
-    b2, outcomes, _ = R.apply_cancellations(b, req, gw)
+    b2, outcomes, events = R.apply_cancellations(b, req, gw)
+    asked = json.loads(events.filter("request_id = 10 AND action = 'requested'").first().payload)
+    assert asked["initiatedBy"] == "user" and asked["eligibility"]["reasonCode"] == "eligible"
     o = {r.request_id: r.outcome for r in outcomes.collect()}
-    assert o == {10: "refunded", 11: "already_closed", 20: "cancelled", 30: "not_found",
+    assert o == {9: "invalid_reason", 10: "refunded", 11: "already_closed", 20: "cancelled", 30: "not_found",
                  40: "cancelled_gateway_failed"}
     st = {r.id: (r.status, r.payment_status, r.cancellation_reason) for r in b2.collect()}
     assert st[1] == ("refunded", "refunded", "plans") and st[4] == ("cancelled", "paid", None)
