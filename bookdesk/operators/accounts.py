@@ -95,7 +95,9 @@ def otp_outcomes(attempts: DataFrame, otps: DataFrame, chunk_seconds: int = 8640
         "_expired": F.col("_exp") < F.col("attempted_at"),
         "_chunk": F.floor(epoch_micros(F.col("attempted_at")) / F.lit(chunk_seconds * 1_000_000)).cast("bigint"),
     })
-    w = (Window.partitionBy("otp_id", "_chunk").orderBy("attempted_at", "id")
+    # attempts without any code need no counts: they are spread, not one group a chunk
+    j = j.withColumn("_spread", F.when(F.col("otp_id").isNull(), F.pmod(F.xxhash64("id"), F.lit(4096))))
+    w = (Window.partitionBy("otp_id", "_spread", "_chunk").orderBy("attempted_at", "id")
          .rowsBetween(Window.unboundedPreceding, -1))
     wc = Window.partitionBy("otp_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 

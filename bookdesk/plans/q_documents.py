@@ -51,12 +51,12 @@ def voucher_lines(spark, sf):
 
 @register("email_outbox", with_views(["bookings", "queries", "query_messages"], f"""
 SELECT 'voucher' AS kind, id AS ref_id, lead_email AS to_addr,
-       concat('Booking Confirmed · ', booking_reference, ' — {D.DEFAULT_BRAND}') AS subject, CAST(NULL AS VARCHAR) AS error
+       concat('{D.DEFAULT_BRAND}: booking ', booking_reference, ' is confirmed') AS subject, CAST(NULL AS VARCHAR) AS error
 FROM bookings WHERE coalesce(lead_email, '') <> ''
 UNION ALL
 SELECT 'reply', m.id, CASE WHEN trim(coalesce(q.email, '')) LIKE '%@%' THEN trim(q.email) END,
-       concat('Reply to your query · ', coalesce(nullif(q.subject, ''), 'Your {D.DEFAULT_BRAND} query'), ' — {D.DEFAULT_BRAND}'),
-       CASE WHEN trim(coalesce(q.email, '')) LIKE '%@%' THEN NULL ELSE 'Recipient email is missing or invalid' END
+       concat('{D.DEFAULT_BRAND}: answer to ', coalesce(nullif(q.subject, ''), 'your question')),
+       CASE WHEN trim(coalesce(q.email, '')) LIKE '%@%' THEN NULL ELSE 'no usable address' END
 FROM query_messages m JOIN queries q ON q.id = m.query_id WHERE m.sender_type = 'admin'"""))
 def email_outbox(spark, sf):
     m = bridge(spark, sf, "query_messages").filter(F.col("sender_type") == "admin").select(
@@ -66,7 +66,7 @@ def email_outbox(spark, sf):
 
 @register("refund_mails", with_views(["bookings", "refund_events"], f"""
 SELECT b.id AS booking_id, b.lead_email AS to_addr,
-       concat('Refund Processed · ', b.booking_reference, ' — {D.DEFAULT_BRAND}') AS subject,
+       concat('{D.DEFAULT_BRAND}: refund for booking ', b.booking_reference) AS subject,
        concat(coalesce(nullif(b.currency, ''), 'INR'), ' ', CAST(CAST(e.amount AS DECIMAL(14,2)) AS VARCHAR)) AS amount_text
 FROM bookings b JOIN refund_events e ON e.booking_id = b.id AND e.action = 'completed'
 WHERE coalesce(b.lead_email, '') <> ''"""))

@@ -153,17 +153,18 @@ def stream_thread_state(msgs: DataFrame, threads: DataFrame | None = None, side:
     """Per thread: count, last message time, last message and sender
     (update mode; ``max_by`` is an ordinary mergeable aggregate). With the
     threads table (static, read per micro-batch) also the unread count of
-    ``side``: messages of the other side after that side's last-seen mark."""
+    ``side``: messages of the other side after that side's last-seen mark
+    (threads that the table does not hold yet were never seen)."""
     k = F.struct("created_at", "id")
     aggs = [F.count(F.lit(1)).alias("message_count"), F.max("created_at").alias("last_message_at"),
             F.max_by("message", k).alias("last_message"), F.max_by("sender_type", k).alias("last_sender_type"),
             F.max_by("message", F.when(F.col("sender_type") == "admin", k)).alias("last_admin_reply")]
     if threads is not None:
         seen_col, other = ("admin_last_seen_at", "user") if side == "admin" else ("user_last_seen_at", "admin")
-        marks = threads.select(F.col("id").alias("query_id"),
-                               F.coalesce(F.col(seen_col), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-                               .alias("_seen"))
-        msgs = msgs.join(marks, "query_id")  # stream-static join
+        marks = threads.select(F.col("id").alias("query_id"), F.col(seen_col).alias("_seen"))
+        never = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        # stream-static join
+        msgs = msgs.join(marks, "query_id", "left").withColumn("_seen", F.coalesce(F.col("_seen"), never))
         aggs.append(F.count_if((F.col("sender_type") == other) & (F.col("created_at") > F.col("_seen")))
                     .alias("unread_count"))
     return msgs.groupBy("query_id").agg(*aggs)

@@ -89,6 +89,11 @@ def test_thread_state_stream(spark, scratch):
     want_u = S.thread_stats(q, m, "admin").select("query_id", "unread_count")
     assert got_u.select("query_id", "unread_count").exceptAll(want_u).count() == 0
     assert got_u.count() == want_u.count()
+    # threads that the table does not hold are counted too, as never seen
+    src = T.read_stream(spark, path, ddl, max_files_per_trigger=1)
+    got_n = run(spark, T.stream_thread_state(src, q.limit(0), "admin"), "t5_new", mode="complete")
+    want_n = m.groupBy("query_id").agg(F.count_if(F.col("sender_type") == "user").alias("unread_count"))
+    assert got_n.select("query_id", "unread_count").exceptAll(want_n).count() == 0 and got_n.count() == want_n.count()
 
 
 def test_refund_expiry_stream(spark, scratch):

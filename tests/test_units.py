@@ -256,9 +256,9 @@ def test_reply_mail_addresses_and_cc(spark):
     r = spark.createDataFrame([(10, 1, "hello"), (20, 2, "hi")], "message_id bigint, query_id bigint, message string")
     out = {x.message_id: x for x in D.reply_mails(q, r, cc=" ops@x.org, nobody ,, b@y.com ", brand="Desk").collect()}
     assert out[10].to_addr == "ann@x.org" and out[10].error is None
-    assert out[10].subject == "Reply to your query · Your Desk query — Desk"
+    assert out[10].subject == "Desk: answer to your question"
     assert out[10].cc == "ops@x.org, b@y.com" and out[10].greeting_name == "Ann"
-    assert out[20].to_addr is None and out[20].error == "Recipient email is missing or invalid"
+    assert out[20].to_addr is None and out[20].error == "no usable address"
     assert out[20].greeting_name == "Traveler"
 
 
