@@ -30,7 +30,7 @@ joined is confirmed. Sets are compared as 64-bit hashes of their shingles.
 Defined results: null, empty and blank texts have no shingles and link with
 nothing; a text shorter than a shingle is one shingle; rows of one doc_id are
 one node, so a link of one is a link of all; rows without a doc_id are returned
-unlinked and kept, with a null component. An empty table gives an empty result. Other input columns,
+unlinked and kept, with a null component (``keep_firsts`` keeps them all). An empty table gives an empty result. Other input columns,
 of any name, are ignored by ``near_duplicates`` and carried by ``keep_firsts``.
 """
 
@@ -276,6 +276,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
 
 def keep_firsts(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """The input's rows and columns: of each component the document with the
-    smallest doc_id stays, and of its repeated rows one."""
+    smallest doc_id stays. Rows without a doc_id stay all."""
     keep = near_duplicates(docs, plan).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    doc_id = F.col("doc_id").cast("long")
+    return docs.join(keep, doc_id == F.col("_kept_id"), "left_semi").unionAll(docs.filter(doc_id.isNull()))

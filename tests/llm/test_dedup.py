@@ -11,7 +11,7 @@ from bookdesk.llm import embedding_hnsw, minhash, suffix_dedup
 from bookdesk.llm.components import components
 from bookdesk.llm.tables import workers_find_package
 
-from .util import TEXTS, docs, empty, roots, shingles
+from .util import LONG, TEXTS, docs, empty, roots, shingles
 
 
 def family(n=60, seed=5):
@@ -52,6 +52,15 @@ def test_minhash_empty_and_kept(spark):
     assert 6 in ids and not {7, 8, 9} & set(ids)
 
 
+def test_keep_firsts_keeps_rows_without_id(spark):
+    workers_find_package(spark)
+    kept = minhash.keep_firsts(docs(spark)).filter("doc_id IS NULL").collect()
+    assert [tuple(r) for r in kept] == [(None, "no id here", None, 10, None, None, None)]
+    rows = [(None, LONG), (None, "some clean text"), (1, LONG), (2, LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, minhash.keep_firsts(df).collect())) == Counter(rows[:3])
+
+
 def test_parity_sketch_never_overstates():
     a, b = (np.unique(minhash.shingles(t, 4)) for t in family(2, 9))
     differ = int(np.bitwise_count((minhash.parities(a) ^ minhash.parities(b)).view(np.uint64)).sum())
