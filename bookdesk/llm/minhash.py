@@ -276,7 +276,20 @@ def near_duplicates(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
 
 def keep_firsts(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """The input's rows and columns: of each component the document with the
-    smallest doc_id stays. Rows without a doc_id stay all."""
-    keep = near_duplicates(docs, plan).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
+    smallest doc_id stays, and of its repeated rows (one doc_id, equal texts) one;
+    rows of one doc_id with different texts stay. Rows without a doc_id stay all."""
+    ids = checkpointed(near_duplicates(docs, plan).filter("kept AND doc_id IS NOT NULL")
+                       .groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_n_rows")))
     doc_id = F.col("doc_id").cast("long")
-    return docs.join(keep, doc_id == F.col("_kept_id"), "left_semi").unionAll(docs.filter(doc_id.isNull()))
+    again = ids.filter("_n_rows > 1")
+    n_again = again.count()
+    single = ids.filter("_n_rows = 1") if n_again else ids
+    out = docs.join(single, doc_id == F.col("_kept_id"), "left_semi").unionAll(docs.filter(doc_id.isNull()))
+    if not n_again:
+        return out
+    # few ids are sent to the rows, beyond that both are shuffled; equal rows are combined before the shuffle
+    small = F.broadcast(again) if n_again <= BROADCAST_PAIRS else again
+    repeated = docs.join(small, doc_id == F.col("_kept_id"), "left_semi").select(
+        doc_id.alias("id"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("same"), F.struct("*").alias("row"))
+    firsts = repeated.groupBy("id", "same").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+    return out.unionAll(firsts.select(*(F.col(f"row.`{c}`") for c in docs.columns)))

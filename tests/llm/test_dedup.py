@@ -61,6 +61,20 @@ def test_keep_firsts_keeps_rows_without_id(spark):
     assert Counter(map(tuple, minhash.keep_firsts(df).collect())) == Counter(rows[:3])
 
 
+def test_keep_firsts_keeps_one_of_repeated_rows(spark):
+    workers_find_package(spark)
+    once = [(1, LONG, "a"), (2, family(1)[0], "b"), (2, "another text of the same id", "b"), (4, None, "c"), (4, "", "c"), (None, "x", "d")]
+    copies = [once[0], once[1], once[3], (3, LONG, "a"), (3, LONG, "a")]
+    df = spark.createDataFrame(once + copies, "doc_id long, text string, row string")
+    kept = minhash.keep_firsts(df)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(once)
+    # so a document that the table merely repeats is not cut from each of its places
+    unique = [(1, family(1, 11)[0], "a"), (2, family(1, 12)[0], "b"), (None, family(1, 13)[0], "c")]
+    df = spark.createDataFrame(unique + unique[:2], "doc_id long, text string, row string")
+    assert Counter(map(tuple, suffix_dedup.cut_text(minhash.keep_firsts(df)).collect())) == Counter(unique)
+
+
 def test_parity_sketch_never_overstates():
     a, b = (np.unique(minhash.shingles(t, 4)) for t in family(2, 9))
     differ = int(np.bitwise_count((minhash.parities(a) ^ minhash.parities(b)).view(np.uint64)).sum())
