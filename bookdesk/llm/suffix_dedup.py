@@ -27,7 +27,8 @@ and, within a range, by the bytes that all strings of the range share; strings
 in different parts are never equal, and their tasks run apart. Memory of a task:
 one block of suffixes, or those of the largest part.
 
-Contexts and anchors are compared by 64-bit hashes, the sorted strings byte by byte.
+Contexts and anchors are compared by 64-bit hashes, the sorted strings byte by byte;
+spans find their text by 128 bits of a SHA-256.
 
 Defined results: null and empty texts have nothing to remove; repeated rows are
 copies of each other; rows without doc_id are treated alike; an empty table gives
@@ -128,7 +129,7 @@ def pieces(data: bytes, plan: Plan) -> list[tuple[int, bytes]]:
 
 
 def runs(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``doc_id, crc, lo, n, key, ctx``: every run of starts of every text."""
+    """``text_id, lo, n, off, key, ctx``: every run of starts of every text."""
     import pyarrow as pa
 
     def emit(ids, lows, group, plan):
@@ -136,23 +137,22 @@ def runs(docs: DataFrame, plan: Plan) -> DataFrame:
         first, count, place, key, ctx = anchored(np.frombuffer(b"".join(group), np.uint8), ends, plan)
         own = np.searchsorted(ends, first, side="right")
         base = np.r_[0, ends[:-1]][own]
-        crc = np.array([i[1] for i in ids], np.int32)[own]
-        doc = pa.array([i[0] for i in ids], pa.int64()).take(pa.array(own))
+        text_id = pa.array(ids, pa.binary()).take(pa.array(own))
         low = first - base + np.array(lows, np.int64)[own]
         return pa.RecordBatch.from_arrays(
-            [doc, pa.array(crc), pa.array(low.astype(np.int64)), pa.array(count.astype(np.int32)),
+            [text_id, pa.array(low.astype(np.int64)), pa.array(count.astype(np.int32)),
              pa.array((place - first).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64))],
-            ["doc_id", "crc", "lo", "n", "off", "key", "ctx"])
+            ["text_id", "lo", "n", "off", "key", "ctx"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lows, group, held = [], [], [], 0
         for b in slices(batches, 1024):
-            for d, c, t in zip(b.column("doc_id").to_pylist(), b.column("crc").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for i, t in zip(b.column("text_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 data = t.encode("utf-8")
                 if len(data) < plan.length:
                     continue
                 for low, part in pieces(data, plan):
-                    ids.append((d, c))
+                    ids.append(i)
                     lows.append(low)
                     group.append(part)
                     held += len(part)
@@ -162,7 +162,7 @@ def runs(docs: DataFrame, plan: Plan) -> DataFrame:
         if group:
             yield emit(ids, lows, group, plan)
 
-    return docs.mapInArrow(run, "doc_id long, crc int, lo long, n int, off int, key long, ctx long")
+    return docs.mapInArrow(run, "text_id binary, lo long, n int, off int, key long, ctx long")
 
 
 def words_of(rows: np.ndarray) -> np.ndarray:
@@ -232,8 +232,8 @@ def deep_shallow(rows: np.ndarray, group: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def repeated_starts(contexts: DataFrame, plan: Plan) -> DataFrame:
-    """``contexts``: ``bucket, doc_id, crc, lo, n, off, c, data``, each context
-    once. Gives ``doc_id, crc, a, b``: spans of repeated strings in the contexts
+    """``contexts``: ``bucket, text_id, lo, n, off, c, data``, each context
+    once. Gives ``text_id, a, b``: spans of repeated strings in the contexts
     that are counted once."""
     import pyarrow as pa
 
@@ -259,8 +259,8 @@ def repeated_starts(contexts: DataFrame, plan: Plan) -> DataFrame:
         last = np.r_[new[1:], True]
         i, a, b = own[hit[new]], step[hit[new]], step[hit[last]]
         return pa.RecordBatch.from_arrays(
-            [t.column("doc_id").combine_chunks().take(pa.array(i)), t.column("crc").combine_chunks().take(pa.array(i)),
-             pa.array(low[i] + a), pa.array(low[i] + b + plan.length)], ["doc_id", "crc", "a", "b"])
+            [t.column("text_id").combine_chunks().take(pa.array(i)), pa.array(low[i] + a), pa.array(low[i] + b + plan.length)],
+            ["text_id", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -283,18 +283,18 @@ def repeated_starts(contexts: DataFrame, plan: Plan) -> DataFrame:
                 yield out
 
     dealt = contexts.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "doc_id long, crc int, a long, b long")
+    return dealt.mapInArrow(run, "text_id binary, a long, b long")
 
 
 def contexts_of(wanted: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Adds to ``key, doc_id, crc, lo, n, off, c, hot`` the bytes of the context,
+    """Adds to ``key, text_id, lo, n, off, c, hot`` the bytes of the context,
     and the ``bucket`` that it is compared in: the anchor, or for a hot anchor the
     range of distances and the bytes that all strings in this range share."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "doc_id", "crc", "lo", "n", "off", "c", "data"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["bucket", "text_id", "lo", "n", "off", "c", "data"]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         import xxhash
         for batch in slices(batches, 256):
             cols: list[list] = [[] for _ in names]
@@ -313,36 +313,29 @@ def contexts_of(wanted: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
                             bucket = xxhash.xxh3_64_intdigest(core, seed=(w["key"] ^ band) & (1 << 63) - 1)
                             whole.append((lo, n, far, bucket - (1 << 63)))
                     for lo, n, off, bucket in whole:
-                        value = (bucket, r["doc_id"], r["crc"], lo, n, off, w["c"], data[lo:lo + n - 1 + plan.length])
+                        value = (bucket, r["text_id"], lo, n, off, w["c"], data[lo:lo + n - 1 + plan.length])
                         for col, v in zip(cols, value, strict=True):
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    own = wanted.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("key", "lo", "n", "off", "c", "hot")).alias("wanted"))
-    return joined_texts(docs, own, "inner").mapInArrow(
-        run, "bucket long, doc_id long, crc int, lo long, n int, off int, c long, data binary")
-
-
-def joined_texts(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """Texts with the rows of ``other`` for the same text; doc_id may be null."""
-    renamed = other.withColumnRenamed("doc_id", "_doc").withColumnRenamed("crc", "_crc")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("crc") == F.col("_crc"))
-    return docs.join(renamed, same, how).drop("_doc", "_crc")
+    own = wanted.groupBy("text_id").agg(F.collect_list(F.struct("key", "lo", "n", "off", "c", "hot")).alias("wanted"))
+    return docs.join(own, "text_id").mapInArrow(
+        run, "bucket long, text_id binary, lo long, n int, off int, c long, data binary")
 
 
 def spans(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
-    """``doc_id, crc, a, b``: byte spans of repeated strings, unmerged."""
+    """``text_id, a, b``: byte spans of repeated strings, unmerged."""
     found = runs(docs, plan)
     keys = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n_runs"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
             .filter("n_runs > 1").select("key", (F.col("low") != F.col("high")).alias("several")))
     again = checkpointed(found.join(keys, "key"))
-    span = lambda df: df.select("doc_id", "crc", F.col("lo").alias("a"),
+    span = lambda df: df.select("text_id", F.col("lo").alias("a"),
                                 (F.col("lo") + F.col("n") - 1 + plan.length).alias("b"))
     plain = span(again.filter("NOT several"))
     several = again.filter("several")
     # each context once, at one of its places
     once = several.groupBy("key", "ctx").agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "crc", "lo", "n", "off")).alias("at"))
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("text_id", "lo", "n", "off")).alias("at"))
     once = checkpointed(once.select("key", "ctx", "c", "at.*"))
     hot = once.groupBy("key").agg((F.count(F.lit(1)) > plan.many).alias("hot"))
     counted = once.filter("c > 1").select("key", "ctx")
@@ -351,9 +344,11 @@ def spans(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     return plain.unionAll(copies).unionAll(repeated_starts(contexts, plan))
 
 
-def with_crc(docs: DataFrame) -> DataFrame:
-    """A text is known by its doc_id and a hash: rows of one doc_id may differ."""
-    return id_and_text(docs).withColumn("crc", F.hash("text"))
+def with_text_id(docs: DataFrame) -> DataFrame:
+    """A text is known by 128 bits of SHA-256 over its doc_id and its bytes: rows
+    without doc_id, and rows of one doc_id, may differ."""
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.col("text")).cast("binary")
+    return docs.withColumn("text_id", F.unhex(F.substring(F.sha2(whole, 256), 1, 32)))
 
 
 def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -377,9 +372,9 @@ def without(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 def _per_text(docs: DataFrame, plan: Plan) -> DataFrame:
     """Each row with all spans of its text (``found``, null if none)."""
-    own = spans(docs.select("doc_id", "text", "crc"), plan).groupBy("doc_id", "crc").agg(
+    own = spans(docs.select("text_id", "text"), plan).groupBy("text_id").agg(
         F.collect_set(F.struct("a", "b")).alias("found"))
-    return joined_texts(docs, own, "left")
+    return docs.join(own, "text_id", "left")
 
 
 def removed(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
@@ -400,7 +395,7 @@ def removed(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", *names])
 
-    return _per_text(with_crc(docs), plan).select("doc_id", "text", "found").mapInArrow(
+    return _per_text(with_text_id(id_and_text(docs)), plan).select("doc_id", "text", "found").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -419,8 +414,8 @@ def cut_text(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                       F.struct("*").alias("row")).withColumn("crc", F.hash("text"))
-    cut = _per_text(rows, plan).select("row", "text", "found")
+                       F.struct("*").alias("row"))
+    cut = _per_text(with_text_id(rows), plan).select("row", "text", "found")
     schema = cut.select("row", "text").schema
     return replaced(cut.mapInArrow(run, schema), docs.columns)
 

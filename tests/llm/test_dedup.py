@@ -137,3 +137,13 @@ def test_suffixes(spark, many, segment):
     cut = suffix_dedup.cut_text(df, plan)
     assert cut.columns == df.columns and cut.count() == df.count()
     assert [r.text for r in cut.filter("doc_id = 0").collect()] == [None]
+
+
+def test_suffixes_tell_texts_of_one_id_and_equal_hash_apart(spark):
+    workers_find_package(spark)
+    one, two = (" ".join(f"{i}x{i * k % 9973}" for k in range(1, 61)) for i in (39418, 46940))
+    for doc_id in (None, 7):
+        df = spark.createDataFrame([(doc_id, one), (doc_id, two), (1, "begin " + one[100:400] + " end")], "doc_id long, text string")
+        assert df.selectExpr("hash(text) AS h").distinct().count() == 2  # the first two have equal hashes
+        got = sorted(r.text for r in suffix_dedup.cut_text(df).collect())
+        assert got == sorted([one[:100] + one[400:], two, "begin  end"])
