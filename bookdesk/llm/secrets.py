@@ -9,8 +9,9 @@ are found alike; a window of fixed size slides over each, its character
 counts change by the one that enters and the one that leaves, and with
 them the sum that the Shannon entropy needs. A candidate's character class
 (hex, letters and digits, base64) sets the threshold that its highest window must
-reach. Candidates on the allow list, those that hold no digit or letter mix,
-and those that overlap a base span are suppressed.
+reach. Base spans are cut out of a candidate; each part that is left and as long
+as the window is judged by itself. Candidates on the allow list and those that
+hold no digit or letter mix are suppressed.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated
 rows; an empty table gives an empty result; input columns of any name are
@@ -97,6 +98,15 @@ def candidates(text: Column, e: Entropy) -> Column:
     return matches(text, f"[A-Za-z0-9+/_=-]{{{e.window},}}")
 
 
+def _uncovered(e: Entropy) -> str:
+    """SQL of the parts of ``runs`` outside the sorted ``base`` spans, those as long as the window or longer."""
+    part = lambda end: (f"IF({end} - acc.at >= {e.window}, concat(acc.parts, array(named_struct("
+                        f"'s', substr(x.s, acc.at - x.a + 1, {end} - acc.at), 'a', acc.at, 'b', {end}))), acc.parts)")
+    return f"""flatten(transform(runs, x -> aggregate(filter(base, y -> y.a < x.b AND x.a < y.b),
+        named_struct('at', x.a, 'parts', cast(array() AS array<struct<s:string,a:int,b:int>>)),
+        (acc, y) -> named_struct('at', greatest(acc.at, y.b), 'parts', {part('y.a')}), acc -> {part('x.b')})))"""
+
+
 def _high(e: Entropy) -> str:
     bound = (f"CASE WHEN x.s RLIKE '^[0-9a-fA-F]+$' THEN {e.hex_bits} "
              f"WHEN x.s RLIKE '^[A-Za-z0-9]+$' THEN {e.alnum_bits} ELSE {e.base64_bits} END")
@@ -120,7 +130,7 @@ def scan(docs: DataFrame, text_col: str = "text", entropy: Entropy = ENTROPY) ->
         x["a"].alias("a"), F.lit(k).alias("k"), x["b"].alias("b")))
     df = df.withColumn("assign", value)
     df = df.withColumn("base", F.array_sort(F.concat(*(span(n, k) for k, n in enumerate(KINDS[:3])))))
-    added = F.expr(f"filter(filter(runs, x -> NOT exists(base, y -> y.a < x.b AND x.a < y.b)), x -> {_high(entropy)})")
+    added = F.expr(f"filter({_uncovered(entropy)}, x -> {_high(entropy)})")
     df = df.withColumn("entropy", F.when(F.size("runs") > 0, added).otherwise(F.col("runs")))
     return df.select("row", "t", "base", F.array_sort(F.concat("base", span("entropy", 3))).alias("spans"))
 

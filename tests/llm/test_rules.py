@@ -125,6 +125,17 @@ def test_secrets(spark):
     assert secrets.report(empty(spark)).collect() == []
 
 
+def test_secrets_beside_base_spans(spark):
+    key, hexes = "kJ8s0Qz7Lm2Xc9Vb4Nt6Rw1Yp3Ha5GeUf/oT+iDx", "0123456789abcdef01234567"
+    access = "AKIA" + "B7" * 8
+    texts = [f"id {access}/{key} end", f"{key}/{hexes}/{key}", f"{key[:20]}/{access}/{key[:20]}", f"{key}_password=hunter22/{key}"]
+    rows = {r.doc_id: r.spans for r in secrets.report(docs(spark, texts)).collect()}
+    assert [rows[i] for i in range(4)] == ["access:3:23,entropy:23:64", "entropy:0:41,hex:41:65,entropy:65:106",
+                                           "access:21:41", "entropy:0:41,assign:41:99"]
+    out = {r.doc_id: r.text for r in secrets.redact(docs(spark, texts)).collect()}
+    assert [out[0], out[1]] == ["id [access][entropy] end", "[entropy][hex][entropy]"]
+
+
 def test_redaction(spark):
     df = docs(spark, [None, "x password=hunter22 y AKIA" + "B" * 16, "clean"])
     out = {r.doc_id: r for r in secrets.redact(df).collect()}
