@@ -6,8 +6,8 @@ Each function returns a streaming DataFrame; ``start`` wires a sink with a
 checkpoint under the session's ``spark.checkpoint.dir`` so a restarted
 query resumes exactly where it stopped.
 
-Late data: rows older than the watermark are dropped by the windowed and
-de-duplicating operators (T2, T3); the stateful ones (T4, T6) keep state
+Late data: rows older than the watermark are dropped by the windowed
+operators (T3, and T2 only where it is given a watermark); the stateful ones (T4, T6) keep state
 only until the watermark passes the moment it can no longer matter.
 """
 
@@ -65,12 +65,30 @@ def stream_receipts(raw: DataFrame) -> DataFrame:
 
 
 # T2 ---------------------------------------------------------------------
-def stream_bookings(raw: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """One accepted receipt per transaction id despite gateway retries:
-    de-duplicated within the watermark (state is dropped once it passes).
-    For an unbounded dedup horizon use ``foreach_batch_insert`` instead."""
+def _accepted(raw: DataFrame) -> DataFrame:
     rc = to_event_time(parse_receipts(raw), "created_at")
-    acc = rc.filter((F.col("decision") == "ACCEPT") & (F.col("transaction_id") != ""))
+    return rc.filter((F.col("decision") == "ACCEPT") & (F.col("transaction_id") != ""))
+
+
+def start_bookings(raw: DataFrame, name: str, table_path: str, available_now: bool = True):
+    """The default path of T2: the first accepted receipt of each transaction id
+    is inserted into the stored bookings at ``table_path``, however late it or a
+    gateway retry arrives; the stored rows are the only state."""
+    w = _accepted(raw).writeStream.foreachBatch(foreach_batch_insert(table_path, "transaction_id"))
+    ck = ensure_checkpoint_dir(raw.sparkSession)
+    w = w.option("checkpointLocation", f"{ck.rstrip('/')}/streams/{name}")
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
+
+
+def stream_bookings(raw: DataFrame, watermark: str | None = None) -> DataFrame:
+    """One accepted receipt per transaction id despite gateway retries, as a
+    stream; however late they arrive, for which the state keeps every transaction
+    id (``start_bookings`` keeps none). With a ``watermark`` state is dropped once
+    it passes, and with it receipts and the knowledge of retries older than that."""
+    acc = _accepted(raw)
+    if watermark is None:
+        return acc.dropDuplicates(["transaction_id"])
     return acc.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["transaction_id"])
 
 
@@ -81,7 +99,7 @@ def foreach_batch_insert(table_path: str, key: str = "payment_reference"):
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            seen = spark.read.parquet(table_path).select(key).distinct()
+            seen = spark.read.parquet(table_path).select(key).join(batch.select(key), key, "left_semi").distinct()
             fresh = batch.join(seen, key, "left_anti")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":

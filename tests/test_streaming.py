@@ -130,3 +130,21 @@ def test_foreach_batch_insert_is_idempotent_across_replays(spark, scratch):
     stored = spark.read.parquet(table)
     assert stored.count() == accepted.count()
     assert stored.select("payment_reference").distinct().count() == stored.count()
+
+
+def test_bookings_stream_knows_retries_and_late_receipts_of_any_age(spark, scratch):
+    path, table = f"{scratch}/receipts_late", f"{scratch}/bookings_late"
+    receipt = bridge(spark, MEDIUM, "receipts_raw").join(
+        I.first_receipt(I.parse_receipts(bridge(spark, MEDIUM, "receipts_raw"))).select("id"), "id").orderBy("id").limit(3)
+    (_, _, one), (_, _, two), (_, _, three) = [(r.id, r.created_at, r.payload) for r in receipt.collect()]
+    # a retry after nine days, then a first receipt older than all others
+    for k, (day, payload) in enumerate([("01", one), ("05", two), ("10", one), ("20", two), ("02", three)]):
+        row = spark.createDataFrame([(k, payload)], "id long, payload string").selectExpr(
+            "id", f"TIMESTAMP_NTZ'2024-01-{day} 00:00:00' AS created_at", "payload")
+        row.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    src = T.read_stream(spark, path, T.RAW_RECEIPT_DDL, max_files_per_trigger=1)
+    assert sorted(r.id for r in run(spark, T.stream_bookings(src), "t2_late").collect()) == [0, 1, 4]
+    src = T.read_stream(spark, path, T.RAW_RECEIPT_DDL, max_files_per_trigger=1)
+    T.start_bookings(src, "t2_late_table", table).awaitTermination(300)
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [0, 1, 4]
