@@ -7,9 +7,12 @@ keeps a beam of the best nodes in the ground layer. The vectors of every shard
 are queries to every shard of their label, each pair of shards once.
 
 A beam whose worst node is still near enough may have missed some: it is widened
-until it isn't, at last to the whole shard. Then a sample of the queries is
-audited against all vectors of the shard; if recall is under the target, all
-beams start wider. Pairs are verified by cosine in double precision, counted for
+until it isn't, at last to the whole shard. Before that a sample of the queries is
+audited against all vectors of the shard, and so are known answers: copies of
+sampled vectors of the shard, moved to cosines between the threshold and 1, must
+find their originals. While either recall is under the target, all beams start
+wider. Each shard is audited when it is built; two shards start at the wider of
+their widths. Pairs are verified by cosine in double precision, counted for
 both vectors, and joined by union-find inside the task, which hands on one edge
 per vector; the edges of all tasks are joined by ``components``.
 
@@ -173,20 +176,36 @@ class Graph:
             sims = np.where(ids >= 0, np.einsum("bd,bkd->bk", self.x[own], self.x[ids]), -np.inf)
             layer[own] = self._select(ids, sims, most)
 
-    def near(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs that are near enough; beams widen until the audit passes."""
+    def known_answers(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes, and copies of them that are near enough, from the threshold up to 1."""
+        rng = np.random.default_rng((len(self.x), seed))
+        nodes = rng.choice(len(self.x), min(len(self.x), self.plan.audit), replace=False)
+        x = self.x[nodes].astype(np.float64)
+        off = rng.normal(size=x.shape)
+        off -= (off * x).sum(axis=1, keepdims=True) * x
+        off /= np.maximum(np.sqrt((off * off).sum(axis=1, keepdims=True)), 1e-9)
+        cos = np.linspace(self.plan.threshold, 1, len(nodes))[:, None]
+        return nodes, (cos * x + np.sqrt(1 - cos * cos) * off).astype(np.float32)
+
+    def audited(self, q: np.ndarray, width: int, seed: int = 0) -> int:
+        """The width, at least ``width``, at which the sampled queries and the known answers reach the recall."""
         plan, n = self.plan, len(self.x)
         bound = plan.threshold - NEAR
-        sample = np.unique(np.linspace(0, len(q) - 1, min(len(q), plan.audit)).astype(int))
-        truth = np.argwhere(q[sample] @ self.x.T >= bound)
-        want = set(zip(sample[truth[:, 0]].tolist(), truth[:, 1].tolist(), strict=True))
-        width = plan.beam
-        while True:
-            rows, nodes = self._search(q, width, bound)
-            got = want.intersection(zip(rows.tolist(), nodes.tolist(), strict=True))
-            if len(got) >= plan.recall * len(want) or width >= n:
-                return rows, nodes
-            width *= 4
+        sample = q[np.unique(np.linspace(0, len(q) - 1, min(len(q), plan.audit)).astype(int))]
+        nodes, copies = self.known_answers(seed)
+        truth = np.argwhere(sample @ self.x.T >= bound)
+        audits = [(sample, set(map(tuple, truth.tolist()))), (copies, set(enumerate(nodes.tolist())))]
+        for queries, want in audits:
+            while width < n:
+                rows, found = self._search(queries, width, bound)
+                if len(want.intersection(zip(rows.tolist(), found.tolist(), strict=True))) >= plan.recall * len(want):
+                    break
+                width *= 4
+        return width
+
+    def near(self, q: np.ndarray, width: int = 0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs that are near enough, at a width that passes the audit."""
+        return self._search(q, self.audited(q, width or self.plan.beam, seed), self.plan.threshold - NEAR)
 
     def _search(self, q: np.ndarray, width: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -229,7 +248,7 @@ def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 SHARD = ("label string, dim int, shard int, shards int, ids array<long>, counts array<long>, vectors binary, "
-         "layers array<binary>, top int")
+         "layers array<binary>, top int, width int")
 
 
 def build_shards(classes: DataFrame, plan: Plan) -> DataFrame:
@@ -247,7 +266,8 @@ def build_shards(classes: DataFrame, plan: Plan) -> DataFrame:
             "shard": pa.array([t.column("shard")[0].as_py()], pa.int32()),
             "shards": pa.array([t.column("shards")[0].as_py()], pa.int32()),
             "ids": [t.column("rep").to_pylist()], "counts": [t.column("n").to_pylist()], "vectors": [x.tobytes()],
-            "layers": [[k.tobytes() for k in g.layers]], "top": pa.array([g.top], pa.int32())})
+            "layers": [[k.tobytes() for k in g.layers]], "top": pa.array([g.top], pa.int32()),
+            "width": pa.array([g.audited(g.x, plan.beam)], pa.int32())})
 
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / plan.shard).cast("int").alias("shards"))
     dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.expr("int(pmod(xxhash64(rep), shards))"))
@@ -266,7 +286,8 @@ def link_shards(shards: DataFrame, plan: Plan) -> DataFrame:
         of = lambda r: np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
         n, x, y = len(low["ids"]), of(low), of(high)
         layers = [np.frombuffer(k, np.int32).reshape(n, -1) for k in low["layers"]]
-        q, node = Graph(x, plan, layers, low["top"]).near(y.astype(np.float32))
+        q, node = Graph(x, plan, layers, low["top"]).near(
+            y.astype(np.float32), max(low["width"], high["width"]), high["shard"] + 1)
         sure = np.concatenate([np.einsum("rd,rd->r", y[q[i:i + 65536]], x[node[i:i + 65536]]) >= plan.threshold
                                for i in range(0, len(q), 65536)] or [np.empty(0, bool)])
         q, node = q[sure], node[sure]

@@ -112,6 +112,17 @@ def test_embeddings(spark, shard):
     assert embedding_hnsw.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_an_audit_without_links_is_no_pass():
+    rng = np.random.default_rng(8)
+    x, q = (embedding_hnsw.unit(rng.normal(size=(n, 32))).astype(np.float32) for n in (400, 300))
+    q[1] = x[7]  # its one link; the audit does not sample it
+    g = embedding_hnsw.Graph(x, embedding_hnsw.PLAN)
+    g.layers = [np.full_like(k, -1) for k in g.layers]  # a graph that finds nothing
+    assert [a.tolist() for a in g.near(q)] == [[1], [7]]
+    nodes, copies = g.known_answers(3)
+    assert len(nodes) == 128 and ((copies * x[nodes]).sum(axis=1) >= 0.98 - embedding_hnsw.NEAR).all()
+
+
 @pytest.mark.parametrize("many,segment", [(1024, 1 << 20), (2, 700)])
 def test_suffixes(spark, many, segment):
     workers_find_package(spark)
