@@ -12,8 +12,8 @@ the escape character is doubled and set after the first character of any
 control string, which undoing reverses exactly.
 
 Defined results: null roles and texts are empty; rows of one turn number are
-ordered by role, then text; repeated rows are repeated turns; rows without a
-conversation id are one conversation; an empty table gives an empty result;
+ordered by role, then text; repeated rows are repeated turns; each row without a
+conversation id is a conversation of its own; an empty table gives an empty result;
 other columns are ignored; texts of any length are rendered whole. A
 conversation is one output row, so it is also the least unit of one task.
 """
@@ -120,7 +120,9 @@ def format_conversations(conversations: DataFrame, path: str = BYTE_BPE,
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), none).alias("role"),
         F.coalesce(F.col("text").cast("string"), none).alias("text"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turn = F.struct("turn", "role", "text")
+    whole = turns.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = whole.unionAll(turns.filter("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns")))
     return whole.mapInArrow(run, "conv_id long, formatted string, input_ids array<int>, starts array<int>, "
                                  "ends array<int>, loss_mask array<boolean>, loss_spans array<array<int>>")
 

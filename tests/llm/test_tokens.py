@@ -124,6 +124,14 @@ def test_chat(spark):
     assert chat_format.format_conversations(df.limit(0)).collect() == []
 
 
+def test_chat_rows_without_id_are_conversations_of_their_own(spark):
+    workers_find_package(spark)
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), *[(None, k // 2, "user", "same") for k in range(6)]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.read_back(chat_format.format_conversations(df)).collect()
+    assert sorted((r.conv_id or 0, r.n_turns) for r in out) == [(0, 1)] * 6 + [(1, 2)]
+
+
 @given(st.text("[]/INST<>s|\\ab", max_size=30))
 def test_escapes_are_reversible(text):
     e = chat_format.escape(text)
