@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat_format, embedding_hnsw, minhash, packing, quality_rules, secrets, suffix_dedup, token_count, url_filter
+from . import (byte_bpe, chat_format, embedding_hnsw, minhash, packing, periodic_runs, quality_rules, secrets, suffix_dedup,
+               token_count, url_filter)
 from .tables import table
 from .url_filter import Rule
 
@@ -84,3 +85,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_embedding_hnsw")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
