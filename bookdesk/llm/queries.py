@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (byte_bpe, chat_format, embedding_hnsw, minhash, packing, periodic_runs, quality_rules, secrets, suffix_dedup,
-               token_count, url_filter)
+               token_alignment, token_count, url_filter)
 from .tables import table
 from .url_filter import Rule
 
@@ -90,3 +90,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_periodic_runs")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
+@register("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digests(table(spark, sf_dir, "documents"))

@@ -175,7 +175,7 @@ def test_queries_with_sql(spark, name):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 12))
+    assert numbers == list(range(1, 13))
 
 
 def test_pipeline(spark, tmp_path):
