@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (byte_bpe, chat_format, embedding_hnsw, minhash, packing, periodic_runs, quality_rules, secrets, suffix_dedup,
+from . import (byte_bpe, chat_format, embedding_hnsw, html_extract, minhash, packing, periodic_runs, quality_rules, secrets, suffix_dedup,
                token_alignment, token_count, url_filter)
 from .tables import table
 from .url_filter import Rule
@@ -95,3 +95,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.digests(table(spark, sf_dir, "documents"))
+
+
+@register("op13_html_extraction")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
