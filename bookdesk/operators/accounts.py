@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import epoch_micros, norm_email, otp_hash
+from ..plans.ordered import in_order, scan, starts_of, summaries
 from ..plans.strategy import broadcast_if_small, next_ids
 from .mutate import apply_patches, first_per_key, latest_per_key
 
@@ -22,109 +23,212 @@ def latest_otp(otps: DataFrame) -> DataFrame:
 
 
 # J7 ---------------------------------------------------------------------
-def latest_before(attempts: DataFrame, otps: DataFrame, a_ts: str = "attempted_at",
-                  chunk_seconds: int = 86400, materialize: bool = False) -> DataFrame:
-    """Backward as-of join: for each attempt the newest OTP of its e-mail
-    issued at or before it (a tie counts as before).
-
-    A segmented scan, so one e-mail with a large share of the rows is not
-    one task: the timeline of each e-mail is cut into ``chunk_seconds``
-    chunks; (1) the last code of every (e-mail, chunk) is an aggregate,
-    (2) a small window over each e-mail's chunks carries the last code into
-    the chunks after it, (3) the running ``last(ignorenulls)`` then runs per
-    (e-mail, chunk) and falls back to the carried code. Attempts keep all
-    their columns; there is no pairing of attempts with codes."""
+def login_codes(otps: DataFrame) -> DataFrame:
+    """The codes that a login may use: of the purpose ``user_login`` where codes have one."""
+    return otps.filter(F.col("purpose") == "user_login") if "purpose" in otps.columns else otps
+
+
+def _timeline(attempts: DataFrame, codes: DataFrame, a_ts: str, parts: int | None) -> DataFrame:
+    """Attempts (``_kind`` 1) and codes (``_kind`` 0, their columns named ``_*``) in
+    order of e-mail and time, a code before an attempt of the same moment."""
+    a = attempts.withColumns({"_t": epoch_micros(F.col(a_ts)), "_kind": F.lit(1), "_tie": F.col("id").cast("bigint")})
+    o = codes.withColumns({"_kind": F.lit(0), "_tie": F.col("_oid")}).filter("email IS NOT NULL")
+    return in_order(a.unionByName(o, allowMissingColumns=True), "email", "_t", "_kind", "_tie", parts=parts)
+
+
+class _Newest:
+    """Which code is the newest of its e-mail, for each row of a sorted partition's batches."""
+
+    def __init__(self, email: str | None):
+        self.email = email  # of the row before the batch
+
+    def sources(self, batch) -> tuple[np.ndarray, np.ndarray]:
+        """Per row the place of its code in the batch, -1 if that came before the batch and
+        -2 if there is none; and where the rows of a code or an e-mail begin."""
+        starts = starts_of(batch.column("email"), self.email)
+        is_code = batch.column("_kind").to_numpy() == 0
+        at = np.arange(len(starts))
+        begin = np.maximum.accumulate(np.where(starts, at, -1))
+        last = np.maximum.accumulate(np.where(is_code, at, -1))
+        self.email = batch.column("email")[-1].as_py()
+        return np.where(last >= np.maximum(begin, 0), last, np.where(begin < 0, -1, -2)), starts | is_code
+
+
+_RECORD = ("_oid", "_hash", "_exp", "_max", "_a0", "_used0")
+
+
+def _record(batch, at: int, fields) -> tuple:
+    return tuple(batch.column(f)[at].as_py() for f in fields)
+
+
+def _last_code(fields: tuple[str, ...]):
+    """Summary of a partition: its first and last e-mail and the last one's newest code."""
+    def run(batches: Iterator):
+        first, newest, code = None, _Newest(None), None
+        for k, b in enumerate(batches):
+            first = b.column("email")[0].as_py() if k == 0 else first
+            at = int(newest.sources(b)[0][-1])
+            code = _record(b, at, fields) if at >= 0 else code if at == -1 else None
+        return first, newest.email, code
+    return run
+
+
+def _codes_before(found: list) -> dict[int, tuple]:
+    """(e-mail, newest code) of the row before each partition."""
+    carried, now = {}, None
+    for part, (first, last, code) in found:
+        carried[part] = now
+        if code is not None or first != last or now is None or now[0] != last:
+            now = (last, code)
+    return carried
+
+
+def latest_before(attempts: DataFrame, otps: DataFrame, a_ts: str = "attempted_at", parts: int | None = None) -> DataFrame:
+    """Backward as-of join: for each attempt the newest login code of its e-mail
+    issued at or before it (a tie counts as before; of codes of one moment the later id).
+
+    One scan over attempts and codes in order of (e-mail, time), dealt by ranges, so an
+    e-mail with a large share of the rows spreads over partitions; each starts with the
+    newest code before it. Attempts keep all their columns; those without e-mail have no code."""
+    ordered = _timeline(attempts, login_codes(otps).select("email", epoch_micros(F.col("created_at")).alias("_t"),
+                                                           F.col("id").cast("bigint").alias("_oid")), a_ts, parts)
+    carried = _codes_before(summaries(ordered, _last_code(("_oid",))))
     cols = attempts.columns
-    width = F.lit(int(chunk_seconds) * 1_000_000)
-    o = otps.select("email", F.col("created_at").alias("_t"), F.lit(0).alias("_kind"), F.col("id").alias("_oid"))
-    a = attempts.select(*cols, F.col(a_ts).alias("_t"), F.lit(1).alias("_kind"),
-                        F.lit(None).cast("bigint").alias("_oid"))
-    u = a.unionByName(o, allowMissingColumns=True).withColumn(
-        "_chunk", F.floor(epoch_micros(F.col("_t")) / width).cast("bigint"))
-    if materialize:  # both the chunk summary and the scan read this once-written copy
-        from ..session import cut_lineage
-        u = cut_lineage(u)
-    order = F.struct("_t", "_kind", F.coalesce("_oid", F.col("id")))
-    # (1) last code per chunk and (2) carried into later chunks of the e-mail
-    per_chunk = (u.groupBy("email", "_chunk")
-                 .agg(F.max_by(F.col("_oid"), F.when(F.col("_kind") == 0, order)).alias("_last")))
-    wc = Window.partitionBy("email").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_chunk.withColumn("_carry", F.last("_last", ignorenulls=True).over(wc)).select(
-        "email", "_chunk", "_carry")
-    # (3) running scan inside each chunk
-    w = (Window.partitionBy("email", "_chunk").orderBy("_t", "_kind", F.coalesce("_oid", F.col("id")))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tagged = (u.join(broadcast_if_small(carry), ["email", "_chunk"], "left")
-              .withColumn("otp_id", F.coalesce(F.last("_oid", ignorenulls=True).over(w), F.col("_carry"))))
-    return tagged.filter(F.col("_kind") == 1).select(*cols, "otp_id")
+
+    def step(before, batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        email, code = before or (None, None)
+        newest = _Newest(email)
+        for b in batches:
+            src, _ = newest.sources(b)
+            known = pa.concat_arrays([pa.array([code and code[0]], pa.int64()), b.column("_oid").cast(pa.int64())])
+            otp = known.take(pa.array(src + 1, mask=src == -2))
+            code = (otp[-1].as_py(),) if otp[-1].is_valid else None
+            mine = pa.array(b.column("_kind").to_numpy() == 1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(mine) for c in cols), otp.filter(mine)], [*cols, "otp_id"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in attempts.schema.fields)
+    return scan(ordered, carried, step, f"{schema}, otp_id bigint")
 
 
 # R5 ---------------------------------------------------------------------
-def otp_outcomes(attempts: DataFrame, otps: DataFrame, chunk_seconds: int = 86400,
-                 materialize: bool = False) -> tuple[DataFrame, DataFrame]:
+class _Tries:
+    """Outcomes of attempts on their codes over the sorted batches of a partition. State between
+    batches: the e-mail, its newest code, the wrong tries on it so far, and how many there were
+    at the first right and timely one (None: no such yet)."""
+
+    def __init__(self, email=None, code=None, tries=0, first=None):
+        self.newest, self.code, self.tries, self.first = _Newest(email), code, tries, first
+        self.inherited = True  # whether still at the code of before the partition
+
+    def outcomes(self, b):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        src, begins = self.newest.sources(b)
+        n = len(src)
+        none = pa.array(src == -2) if self.code is not None else pa.array(src < 0)
+        place = pa.array(src + 1, mask=src == -2)
+
+        def known(name: str, k: int):
+            col = b.column(name)
+            return pa.concat_arrays([pa.array([self.code and self.code[k]], col.type), col]).take(place)
+
+        flag = lambda x: pc.fill_null(x, False).to_numpy(zero_copy_only=False)
+        attempt = b.column("_kind").to_numpy() == 1
+        has_code = attempt & ~none.to_numpy(zero_copy_only=False)
+        right = flag(pc.equal(b.column("_code"), known("_hash", 1)))
+        expired = flag(pc.less(known("_exp", 2), b.column("_t")))
+        most = pc.fill_null(known("_max", 3), 1 << 62).to_numpy()
+        start_tries = pc.fill_null(known("_a0", 4), 0).to_numpy()
+        used = known("_used0", 5).is_valid().to_numpy(zero_copy_only=False)
+
+        wrong = (has_code & ~right).astype(np.int64)
+        before = np.cumsum(wrong) - wrong
+        begins = begins.copy()
+        begins[0] = True
+        seg_at = np.flatnonzero(begins)
+        seg = np.cumsum(begins) - 1
+        same = src[0] == -1  # the first rows go on with the code of before the batch
+        base = start_tries[seg_at].astype(np.int64)
+        if same:
+            base[0] = self.tries
+        tries = base[seg] + before - before[seg_at][seg]
+        hit = np.minimum.reduceat(np.where(has_code & right & ~expired, np.arange(n), n), seg_at)
+        first = np.where(hit < n, np.r_[tries, 0][hit], -1)
+        if same and self.first is not None:
+            first[0], hit[0] = self.first, -1
+        ok_at = np.where((first >= 0) & (first < most[seg_at]), hit, n)
+        used |= np.arange(n) > ok_at[seg]
+        out = np.select([~has_code, used, expired, tries >= most, ~right],
+                        ["no_otp", "already_used", "expired", "max_attempts", "invalid"], "ok")
+        otp = known("_oid", 0)
+        # the state after the batch
+        end = int(src[-1])
+        if end != -1:
+            self.code, self.inherited = (_record(b, end, _RECORD) if end >= 0 else None), False
+        self.tries = int(tries[-1] + wrong[-1])
+        self.first = int(first[-1]) if first[-1] >= 0 else None
+        return attempt, otp, out
+
+
+def _tries_after(found: list, newest: dict[int, tuple]) -> dict[int, tuple]:
+    """(e-mail, code, tries, first) of the row before each partition."""
+    carried, now = {}, None
+    for part, (email, code, tries, first, inherited) in found:
+        carried[part] = now
+        if inherited and now is not None:  # the counts go on with those of before
+            tries, first = now[2] + tries, now[3] if now[3] is not None else None if first is None else now[2] + first
+        now = (email, code, tries, first)
+    return carried
+
+
+def otp_outcomes(attempts: DataFrame, otps: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """attempts(id, email, attempted_at, code); otps(id, email, created_at,
-    code_hash | code, expires_at, max_attempts[, attempts, consumed_at]).
+    code_hash | code, expires_at, max_attempts[, attempts, consumed_at, purpose]).
 
     Per attempt in time order on its code: no_otp → already_used → expired
     (expires_at < t) → max_attempts (wrong tries so far ≥ max) → invalid →
-    ok. Returns (outcomes, otps' with attempts and consumed_at).
+    ok; a missing code is a wrong one. Returns (outcomes, otps' with attempts and consumed_at).
 
-    The segmented scans branch off one intermediate (attempts with their
-    code); lazily each branch recomputes it. ``materialize=True`` writes it
-    once as a reliable checkpoint under the session's spark.checkpoint.dir
-    (runs a job at call time), so large inputs are read once."""
+    One scan in order of (e-mail, time), dealt by ranges, whose partitions start with the newest
+    code, its wrong tries and its first success of before; a hot e-mail or code spreads over
+    partitions. Both inputs are read once, the ordered rows three times."""
     if "code_hash" not in otps.columns:
         otps = otps.withColumn("code_hash", otp_hash(F.col("code")))
     for c, v in (("attempts", F.lit(0)), ("consumed_at", F.lit(None).cast("timestamp_ntz"))):
         if c not in otps.columns:
             otps = otps.withColumn(c, v)
-    j = latest_before(attempts, otps, chunk_seconds=chunk_seconds, materialize=materialize)
-    oo = otps.select(F.col("id").alias("otp_id"), F.col("code_hash").alias("_hash"), F.col("expires_at").alias("_exp"),
-                     F.col("max_attempts").alias("_max"), F.col("attempts").alias("_a0"),
-                     F.col("consumed_at").alias("_used0"))
-    j = j.join(oo, "otp_id", "left")
-    if materialize:
-        from ..session import cut_lineage
-        j = cut_lineage(j)
-    # Running counts per code as a segmented scan (a code with a huge number
-    # of attempts is split over time chunks): per-chunk totals are carried
-    # into later chunks by a small window, then added to the running value
-    # inside the chunk.
-    j = j.withColumns({
-        "_wrong": (otp_hash(F.col("code")) != F.col("_hash")).cast("int"),
-        "_expired": F.col("_exp") < F.col("attempted_at"),
-        "_chunk": F.floor(epoch_micros(F.col("attempted_at")) / F.lit(chunk_seconds * 1_000_000)).cast("bigint"),
-    })
-    # attempts without any code need no counts: they are spread, not one group a chunk
-    j = j.withColumn("_spread", F.when(F.col("otp_id").isNull(), F.pmod(F.xxhash64("id"), F.lit(4096))))
-    w = (Window.partitionBy("otp_id", "_spread", "_chunk").orderBy("attempted_at", "id")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    wc = Window.partitionBy("otp_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-
-    def carried(flag: str, agg) -> DataFrame:
-        per_chunk = j.groupBy("otp_id", "_chunk").agg(agg(F.col(flag)).alias("_v"))
-        return per_chunk.select("otp_id", "_chunk", F.coalesce(agg(F.col("_v")).over(wc), F.lit(0)).alias(f"_c{flag}"))
-
-    j = j.join(broadcast_if_small(carried("_wrong", F.sum)), ["otp_id", "_chunk"], "left")
-    j = j.withColumn("_tries", F.col("_a0") + F.coalesce(F.col("_c_wrong"), F.lit(0))
-                     + F.coalesce(F.sum("_wrong").over(w), F.lit(0)))
-    okable = (F.col("_wrong") == 0) & (F.col("_tries") < F.col("_max")) & ~F.col("_expired")
-    # "already used" only needs the first successful attempt of each code: a
-    # map-side-combined aggregate, joined back by code
-    first_ok = j.groupBy("otp_id").agg(F.min(F.when(okable, F.struct("attempted_at", "id"))).alias("_first_ok"))
-    j = j.join(broadcast_if_small(first_ok), "otp_id", "left")
-    j = j.withColumn("_used", F.col("_used0").isNotNull()
-                     | F.coalesce(F.struct("attempted_at", "id") > F.col("_first_ok"), F.lit(False)))
-    j = j.withColumn("_wrong", F.col("_wrong") == 1)
-    outcome = (F.when(F.col("otp_id").isNull(), "no_otp")
-               .when(F.col("_used"), "already_used")
-               .when(F.col("_expired"), "expired")
-               .when(F.col("_tries") >= F.col("_max"), "max_attempts")
-               .when(F.col("_wrong"), "invalid")
-               .otherwise("ok"))
-    res = j.withColumn("outcome", outcome)
-    outcomes = res.select("id", "email", "attempted_at", "otp_id", "outcome")
-    per_otp = res.groupBy("otp_id").agg(
+    codes = login_codes(otps).select(
+        "email", epoch_micros(F.col("created_at")).alias("_t"), F.col("id").cast("bigint").alias("_oid"),
+        F.col("code_hash").alias("_hash"), epoch_micros(F.col("expires_at")).alias("_exp"),
+        F.col("max_attempts").cast("bigint").alias("_max"), F.col("attempts").cast("bigint").alias("_a0"),
+        epoch_micros(F.col("consumed_at")).alias("_used0"))
+    a = attempts.select("id", "email", "attempted_at", otp_hash(F.col("code")).alias("_code"))
+    ordered = _timeline(a, codes, "attempted_at", parts)
+    newest = _codes_before(summaries(ordered, _last_code(_RECORD)))
+
+    def counted(batches: Iterator):
+        from pyspark import TaskContext
+        scanned = _Tries(*(newest.get(TaskContext.get().partitionId()) or ()))
+        for b in batches:
+            scanned.outcomes(b)
+        return scanned.newest.email, scanned.code, scanned.tries, scanned.first, scanned.inherited
+
+    carried = _tries_after(summaries(ordered, counted), newest)
+
+    def step(before, batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        scanned = _Tries(*(before or ()))
+        for b in batches:
+            attempt, otp, out = scanned.outcomes(b)
+            mine = pa.array(attempt)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).filter(mine) for c in ("id", "email", "attempted_at")), otp.filter(mine), pa.array(out[attempt], pa.string())],
+                ["id", "email", "attempted_at", "otp_id", "outcome"])
+
+    schema = ", ".join(f"{c} {a.schema[c].dataType.simpleString()}" for c in ("id", "email", "attempted_at"))
+    outcomes = scan(ordered, carried, step, f"{schema}, otp_id bigint, outcome string")
+    per_otp = outcomes.groupBy("otp_id").agg(
         F.count_if(F.col("outcome") == "invalid").alias("_inv"),
         F.min(F.when(F.col("outcome") == "ok", F.col("attempted_at"))).alias("_ok_at"))
     o2 = otps.join(per_otp, otps["id"] == per_otp["otp_id"], "left").withColumns({
@@ -135,44 +239,116 @@ def otp_outcomes(attempts: DataFrame, otps: DataFrame, chunk_seconds: int = 8640
 
 
 # R6 ---------------------------------------------------------------------
-def _greedy(cooldown_us: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_email, next_ok = None, None  # carried across batches of the sorted partition
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            emails = pdf["email"].to_numpy()
-            t = pdf["_us"].to_numpy(dtype=np.int64)
-            keep = np.zeros(len(pdf), dtype=bool)
-            starts = np.flatnonzero(np.r_[True, emails[1:] != emails[:-1]])
-            bounds = np.r_[starts, len(pdf)]
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                if emails[s] != cur_email:
-                    cur_email, next_ok = emails[s], None
-                i = s
-                if next_ok is not None:
-                    i = s + int(np.searchsorted(t[s:e], next_ok, side="left"))
-                while i < e:
-                    keep[i] = True
-                    next_ok = t[i] + cooldown_us
-                    i = s + int(np.searchsorted(t[s:e], next_ok, side="left"))
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[keep]})
+def _next_allowed(key: np.ndarray, t: np.ndarray, cooldown: int) -> np.ndarray:
+    """For each request (sorted by key and time) the place of the first one of its key at
+    least ``cooldown`` later; the number of requests where there is none."""
+    n = len(t)
+    order = np.lexsort((np.repeat([1, 0], n), np.r_[t, t + cooldown], np.r_[key, key]))
+    is_request = order < n
+    place = np.empty(n, np.int64)
+    place[order[~is_request] - n] = np.cumsum(is_request)[~is_request]
+    end = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, n]  # of each key's requests
+    return np.where(place < end[np.searchsorted(end, np.arange(n), side="right")], place, n)
+
+
+def _accepted(follows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Requests on the chains from ``starts``, by pointer doubling."""
+    n = len(follows)
+    on = np.zeros(n + 1, bool)
+    on[starts] = True
+    jump, size = np.r_[follows, n], 0
+    while size != (size := int(on[:n].sum())) or (jump[:n][on[:n]] < n).any():
+        on[jump[:n][on[:n]]] = True
+        jump = jump[jump]
+    return on[:n]
+
+
+def _chain_ends(follows: np.ndarray) -> np.ndarray:
+    """The last request of the chain from each one."""
+    n = len(follows)
+    end = np.where(follows < n, follows, np.arange(n))
+    while (end != (end := end[end])).any():
+        pass
+    return end
+
+
+def _cooldown_summary(cooldown: int):
+    """(first e-mail, last e-mail, when the last may ask again if nothing was carried, and for a
+    partition of one e-mail: by the time allowed before it, the time allowed after it)."""
+    def run(batches: Iterator):
+        t, first, last = [], None, None
+        for k, b in enumerate(batches):
+            starts = np.flatnonzero(starts_of(b.column("email"), last))
+            first = b.column("email")[0].as_py() if k == 0 else first
+            last = b.column("email")[-1].as_py()
+            if len(starts):
+                t = []  # only the last e-mail's requests matter
+            t.append(b.column("_us").to_numpy()[starts[-1] if len(starts) else 0:])
+        t = np.concatenate(t)
+        ends = t[_chain_ends(_next_allowed(np.zeros(len(t), np.int64), t, cooldown))] + cooldown
+        table = None
+        if first is not None and first == last:
+            near = slice(0, int(np.searchsorted(t, t[0] + cooldown, side="left")) + 1)
+            ask, after = t[near], ends[near]
+            keep = np.r_[after[1:] != after[:-1], True]  # the latest request that leads there
+            table = ask[keep], after[keep], int(t[-1])
+        return first, last, int(ends[0]), table
     return run
 
 
-def otp_rate_limit(requests: DataFrame, cooldown_seconds: int = 60, ts_col: str = "created_at") -> DataFrame:
+def _allowed_before(found: list) -> dict[int, tuple]:
+    """(e-mail, when it may ask again) of the row before each partition."""
+    carried, now = {}, None
+    for part, (first, last, alone, table) in found:
+        carried[part] = now
+        if table is not None and now is not None and now[0] == last:
+            ask, after, latest = table
+            if now[1] <= latest:
+                now = (last, int(after[np.searchsorted(ask, now[1], side="left")]))
+        else:
+            now = (last, alone)
+    return carried
+
+
+def otp_rate_limit(requests: DataFrame, cooldown_seconds: int = 60, ts_col: str = "created_at",
+                   parts: int | None = None) -> DataFrame:
     """Accepted requests: one is accepted when the last *accepted* request
     of its e-mail is at least ``cooldown`` old (greedy; rejected requests do
-    not reset the clock).
-
-    Exact streaming fold: requests are hash-partitioned by e-mail and sorted
-    by (email, time, id) inside each partition; a vectorised pass carries
-    only (current e-mail, next allowed time) between batches, so memory is
-    constant even for an e-mail holding a large share of the rows."""
-    r = requests.select("id", "email", epoch_micros(F.col(ts_col)).alias("_us"))
-    ordered = r.repartition("email").sortWithinPartitions("email", "_us", "id")
-    ids = ordered.mapInPandas(_greedy(int(cooldown_seconds * 1_000_000)), "id bigint")
-    return requests.join(ids, "id", "left_semi")
+    not reset the clock). Requests without e-mail are all accepted.
+
+    One scan in order of (e-mail, time, id), dealt by ranges: an e-mail of any size spreads over
+    partitions. Each request points to the first one that may follow it, and the
+    accepted ones are the chain of these pointers from an e-mail's first, found by pointer
+    doubling. A partition within one e-mail is a step function from the time allowed
+    before it to the time allowed after it, of one step a distinct chain; these
+    functions are applied one after another, which gives each partition its start."""
+    cooldown = int(cooldown_seconds * 1_000_000)
+    timed = requests.withColumn("_us", epoch_micros(F.col(ts_col)))
+    ordered = in_order(timed, "email", "_us", "id", parts=parts)
+    carried = _allowed_before(summaries(ordered.select("email", "_us"), _cooldown_summary(cooldown)))
+    cols = requests.columns
+
+    def step(before, batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        email, allowed = before or (None, None)
+        for b in batches:
+            starts = starts_of(b.column("email"), email)
+            t = b.column("_us").to_numpy()
+            key = np.cumsum(starts)
+            begin = np.flatnonzero(starts)
+            if not starts[0]:  # goes on with the e-mail of before
+                end = begin[0] if len(begin) else len(t)
+                at = int(np.searchsorted(t[:end], allowed, side="left"))
+                begin = np.r_[at, begin] if at < end else begin
+            keep = _accepted(_next_allowed(key, t, cooldown), begin)
+            email = b.column("email")[-1].as_py()
+            mine = keep & (key == key[-1])
+            if mine.any():
+                allowed = int(t[np.flatnonzero(mine)[-1]]) + cooldown
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in cols], cols)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+    return scan(ordered, carried, step, schema)
 
 
 # J8 ---------------------------------------------------------------------
@@ -211,27 +387,32 @@ def patch_users(u: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]
     p = patches.withColumn("_outcome", F.when(~present_any, "no_fields"))
     rules = {k: ((lambda m, k=k: F.element_at(m, F.lit(k)).cast(types[k])), "present") for k in PROFILE_FIELDS}
 
-    # the last patch of each user, and the names that the ones before it stored
+    # What a name is judged by: the last patch's own, unless that is empty; then what the patches
+    # before it stored, else the user's. Only users whose last patch empties a name need
+    # the patches before it looked at once more.
     order, names = F.struct("requested_at", "request_id"), ("first_middle_name", "last_name")
-    valid = p.filter("_outcome IS NULL").select("user_id", "patch", order.alias("_o"))
-    latest = valid.groupBy(F.col("user_id").alias("_cu")).agg(F.max("_o").alias("_lo"), F.max_by("patch", "_o").alias("_lp"))
-    earlier = valid.join(latest, valid["user_id"] == latest["_cu"]).filter(F.col("_o") < F.col("_lo"))
     given = lambda k: F.map_contains_key("patch", F.lit(k))
-    stored = earlier.groupBy(F.col("user_id").alias("_su")).agg(
-        *(F.max_by(F.element_at("patch", F.lit(k)), F.when(given(k), F.col("_o"))).alias(f"_s_{k}") for k in names),
-        *(F.coalesce(F.max(given(k)), F.lit(False)).alias(f"_g_{k}") for k in names))
-    judged = latest.join(stored, latest["_cu"] == stored["_su"], "left").drop("_su", "_lo")
-
-    def completeness(df):
-        df = df.join(judged, df["id"] == judged["_cu"], "left")
+    own = lambda k: F.nullif(F.element_at("patch", F.lit(k)), F.lit(""))
+    emptied = reduce(lambda a, b: a | b, (given(k) & own(k).isNull() for k in names))
+    last = F.max_by(F.struct(*(given(k).alias(f"g_{k}") for k in names), *(own(k).alias(f"o_{k}") for k in names)), order)
+
+    def completeness(df: DataFrame, ok: DataFrame) -> DataFrame:
+        ends = ok.groupBy(F.col("user_id").alias("_eu")).agg(F.max(order).alias("_eo"), F.max_by(emptied, order).alias("_e"))
+        ends = ends.filter("_e").drop("_e")
+        before = ok.join(broadcast_if_small(ends), ok["user_id"] == ends["_eu"]).filter(order < F.col("_eo"))
+        stored = before.groupBy(F.col("user_id").alias("_su")).agg(
+            *(F.max_by(F.element_at("patch", F.lit(k)), F.when(given(k), order)).alias(f"_s_{k}") for k in names),
+            *(F.max(given(k)).alias(f"_g_{k}") for k in names))
+        df = df.join(broadcast_if_small(stored), df["id"] == stored["_su"], "left")
         done = F.lit(True)
         for k in names:
-            before = F.when(F.coalesce(F.col(f"_g_{k}"), F.lit(False)), F.col(f"_s_{k}")).otherwise(F.col(k))
-            own = F.nullif(F.element_at("_lp", F.lit(k)), F.lit(""))
-            done &= F.coalesce(own, before, F.lit("")) != ""
+            of_last = F.col(f"_last.g_{k}")
+            held = F.when(of_last & F.coalesce(F.col(f"_g_{k}"), F.lit(False)), F.col(f"_s_{k}")).when(
+                ~of_last & F.coalesce(F.col(f"_h_{k}"), F.lit(False)), F.col(f"_v_{k}")).otherwise(F.col(k))
+            done &= F.coalesce(F.col(f"_last.o_{k}"), held, F.lit("")) != ""
         return df.withColumn("is_profile_complete",
                              F.when(F.col("_touched").isNotNull(), done).otherwise(F.col("is_profile_complete")))
-    return apply_patches(u, p, "user_id", rules, extra=completeness)
+    return apply_patches(u, p, "user_id", rules, extra=completeness, aggs=(last.alias("_last"),))
 
 
 # M5 ---------------------------------------------------------------------

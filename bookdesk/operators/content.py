@@ -3,10 +3,14 @@ and deletes (C10, A6, M10, M11, M12)."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import slug, trim_required
+from ..plans.ordered import in_order, scan, starts_of, summaries
+from ..session import cut_lineage
 from .bookings import conform
 from .mutate import apply_patches, cascade_delete, delete_rows, set_null_on_delete
 
@@ -31,131 +35,224 @@ def blog_view_totals(blogs: DataFrame, views: DataFrame) -> DataFrame:
 
 
 # M10 --------------------------------------------------------------------
-def _root_of(c):
-    return F.regexp_replace(c, r"(-[0-9]+)+$", "")
-
-
-def _fold_slugs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact sequential slug assignment for one root whose drafts include a
-    slug ending in -<n>. Existing slugs arrive as runs [lo, hi] of taken
-    suffix numbers per base (0 = the base itself), so the group holds the
-    root's drafts plus a handful of intervals, not the existing rows."""
-    runs: dict[str, list[tuple[int, int]]] = {}
-    for r in pdf[pdf["kind"] == 0].itertuples():
-        runs.setdefault(r.base, []).append((int(r.lo), int(r.hi)))
-    for v in runs.values():
-        v.sort()
-    taken_now: set[str] = set()
-
-    def name(base: str, n: int) -> str:
-        return base if n == 0 else f"{base}-{n}"
-
-    def free(base: str, n: int) -> bool:
-        for lo, hi in runs.get(base, ()):
-            if lo <= n <= hi:
-                return False
-        return name(base, n) not in taken_now
-
-    out = []
-    start: dict[str, int] = {}  # taken sets only grow, so a base's next free number never decreases
-    for r in pdf[pdf["kind"] == 1].sort_values(["requested_at", "draft_id"]).itertuples():
-        n = start.get(r.base, 0)
-        while True:
-            jump = next((hi + 1 for lo, hi in runs.get(r.base, ()) if lo <= n <= hi), None)
-            if jump is not None:
-                n = jump
-            elif not free(r.base, n):
-                n += 1
-            else:
-                break
-        slug_ = name(r.base, n)
-        start[r.base] = n + 1
-        taken_now.add(slug_)
-        out.append((int(r.draft_id), slug_))
-    return pd.DataFrame(out, columns=["draft_id", "final_slug"])
+NUMBERED = r"^(.*)-([1-9][0-9]*)$"
 
 
 def _taken_numbers(existing: DataFrame, bases: DataFrame) -> DataFrame:
-    """(base, t) for every existing slug that is a candidate of ``base``:
-    the base itself (t = 0) or ``base-<t>``."""
+    """(base, num) for every existing slug that is a candidate of ``base``:
+    the base itself (num = 0) or ``base-<num>``."""
     ex = existing.select(F.col("slug").alias("ex_slug"))
-    ex_parsed = ex.select(
-        "ex_slug",
-        F.regexp_extract("ex_slug", r"^(.*)-([1-9][0-9]*)$", 1).alias("pre"),
-        F.regexp_extract("ex_slug", r"^(.*)-([1-9][0-9]*)$", 2).alias("num"))
-    t0 = ex_parsed.select(F.col("ex_slug").alias("base"), F.lit(0).cast("bigint").alias("t"))
-    tn = ex_parsed.filter(F.col("pre") != "").select(
-        F.col("pre").alias("base"), F.col("num").try_cast("bigint").alias("t")).filter(F.col("t") >= 1)
-    return t0.unionByName(tn).join(bases, "base", "left_semi").distinct()
+    own, pre = F.struct(F.col("ex_slug").alias("base"), F.lit(0).cast("bigint").alias("num")), F.regexp_extract("ex_slug", NUMBERED, 1)
+    numbered = F.struct(pre.alias("base"), F.regexp_extract("ex_slug", NUMBERED, 2).try_cast("bigint").alias("num"))
+    both = ex.select(F.explode(F.array(own, numbered)).alias("r")).select("r.*")
+    both = both.filter("base != '' AND num >= 0")
+    return both.join(bases, "base", "left_semi").distinct()
+
+
+class _Runs:
+    """Numbers taken of a base, as runs, and how many of its drafts have a number."""
+
+    def __init__(self, base=None, lo=None, hi=None, done=0):
+        self.base, self.done = base, done
+        self.lo, self.hi = (np.empty(0, np.int64) if x is None else x for x in (lo, hi))
+
+    def take(self, nums: np.ndarray) -> None:
+        """Sorted numbers, larger than those taken before."""
+        if len(nums):
+            new = np.r_[True, nums[1:] != nums[:-1] + 1]
+            lo, hi = nums[new], nums[np.r_[new[1:], True]]
+            joined = len(self.hi) and self.hi[-1] + 1 == lo[0]
+            self.lo = np.r_[self.lo, lo[1:] if joined else lo]
+            self.hi = np.r_[self.hi[:-1] if joined else self.hi, hi]
+
+    def numbers(self, n: int) -> np.ndarray:
+        """The free numbers of the next ``n`` drafts, in order."""
+        k = np.arange(self.done, self.done + n)
+        self.done += n
+        held = np.r_[0, np.cumsum(self.hi - self.lo + 1)]  # numbers taken before each run
+        return k + held[np.searchsorted(self.lo - held[:-1], k, side="right")]
+
+    def state(self) -> tuple:
+        return self.base, self.lo, self.hi, self.done
+
+
+def _by_base(batches: Iterator, before: _Runs) -> Iterator:
+    """(batch, rows of one base and kind, kind, state) in order; the state is of the base."""
+    now = before
+    for b in batches:
+        base, kind = b.column("base"), b.column("kind").to_numpy()
+        begin = np.flatnonzero(starts_of(base, now.base) | np.r_[False, kind[1:] != kind[:-1]])
+        cut = np.unique(np.r_[0, begin, len(kind)])
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            name = base[int(x)].as_py()
+            if name != now.base:
+                now = _Runs(name)
+            yield b, slice(int(x), int(y)), int(kind[x]), now
+
+
+TAKEN, PROBE, DRAFT = 0, 1, 2
+
+
+def _runs_summary(batches: Iterator):
+    first, now = None, _Runs()
+    for b, rows, kind, now in _by_base(batches, now):
+        first = now.base if first is None else first
+        if kind == TAKEN:
+            now.take(b.column("num")[rows].to_numpy())
+        elif kind == DRAFT:
+            now.done += rows.stop - rows.start
+    return first, now.state()
+
+
+def _runs_before(found: list) -> dict[int, tuple]:
+    carried, now = {}, None
+    for part, (first, (base, lo, hi, done)) in found:
+        carried[part] = now
+        if now is not None and first == base == now[0]:
+            both = _Runs(*now)
+            # runs of one base in consecutive partitions: only the bounds may join
+            if len(lo):
+                joined = len(both.hi) and both.hi[-1] + 1 == lo[0]
+                both.lo, both.hi = np.r_[both.lo, lo[1:] if joined else lo], np.r_[both.hi[:-1] if joined else both.hi, hi]
+            both.done += done
+            now = both.state()
+        else:
+            now = (base, lo, hi, done)
+    return carried
+
+
+_ORDER = ("base", "kind", "num", "requested_at", "draft_id")
 
 
-def assign_slugs(existing: DataFrame, drafts: DataFrame, materialize: bool = False) -> DataFrame:
+def _ordered_numbers(taken: DataFrame, drafts: DataFrame, parts: int | None) -> DataFrame:
+    """Taken numbers of each base before its drafts, both in order."""
+    t = taken.select("base", F.lit(TAKEN).alias("kind"), "num")
+    d = drafts.select("base", F.lit(DRAFT).alias("kind"), "requested_at", "draft_id")
+    return in_order(t.unionByName(d, allowMissingColumns=True).select(*_ORDER), *_ORDER, parts=parts)
+
+
+def _numbered(ordered: DataFrame) -> DataFrame:
+    """(base, draft_id, requested_at, place, num): each draft's place among those of its base, from
+    0, and its number: the free numbers in order."""
+    import pyarrow as pa
+
+    carried = _runs_before(summaries(ordered, _runs_summary))
+
+    def step(before, batches: Iterator) -> Iterator:
+        held, place, num = None, [], []
+
+        def out(b):
+            mine = pa.array(b.column("kind").to_numpy() == DRAFT)
+            cols = [b.column(c).filter(mine) for c in ("base", "draft_id", "requested_at")]
+            none = [np.empty(0, np.int64)]
+            return pa.RecordBatch.from_arrays(
+                [*cols, pa.array(np.concatenate(place or none)), pa.array(np.concatenate(num or none))],
+                ["base", "draft_id", "requested_at", "place", "num"])
+
+        for b, rows, kind, now in _by_base(batches, _Runs(*(before or ()))):
+            if held is not None and b is not held:
+                yield out(held)
+                place, num = [], []
+            held = b
+            if kind == TAKEN:
+                now.take(b.column("num")[rows].to_numpy())
+            else:
+                n = rows.stop - rows.start
+                place.append(np.arange(now.done, now.done + n))
+                num.append(now.numbers(n))
+        if held is not None:
+            yield out(held)
+
+    rt = ordered.schema["requested_at"].dataType.simpleString()
+    return scan(ordered, carried, step, f"base string, draft_id bigint, requested_at {rt}, place bigint, num bigint")
+
+
+def _contested(taken: DataFrame, drafts: DataFrame, bases: DataFrame) -> DataFrame:
+    """Names that two bases may take: ``name`` is a base of drafts and also ``base-<k>`` of
+    another; no slug has it yet. With the order of the name's first draft, and ``below``, how
+    many smaller numbers of ``base`` are taken."""
+    firsts = drafts.groupBy(F.col("base").alias("name")).agg(F.min(F.struct("requested_at", "draft_id")).alias("asked"))
+    k = firsts.select("name", "asked", F.regexp_extract("name", NUMBERED, 1).alias("base"),
+                      F.regexp_extract("name", NUMBERED, 2).try_cast("bigint").alias("k")).filter("k IS NOT NULL")
+    own = taken.filter("num = 0").select(F.col("base").alias("name"))
+    k = k.join(bases, "base", "left_semi").join(own, "name", "left_anti")
+    # smaller numbers taken: per stretch of numbers, then within the stretch
+    width = 1 << 16
+    parents = k.select("base").distinct()
+    t = taken.join(parents, "base", "left_semi").withColumn("stretch", F.expr(f"num div {width}"))
+    rows = t.select("base", "stretch", "num", F.lit(1).alias("one")).unionByName(
+        k.select("base", F.expr(f"k div {width}").alias("stretch"), F.col("k").alias("num"), F.lit(0).alias("one"), "name", "asked"),
+        allowMissingColumns=True)
+    inside = Window.partitionBy("base", "stretch").orderBy("num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_base = Window.partitionBy("base").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = t.groupBy("base", "stretch").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(of_base))
+    probes = rows.withColumn("inner", F.sum("one").over(inside)).filter("name IS NOT NULL")
+    # stretches without a taken number take the count of the last one that has some
+    steps = probes.select("base", "stretch").distinct().join(earlier, ["base", "stretch"], "full_outer")
+    steps = steps.withColumn("before", F.coalesce(F.sum("n").over(of_base), F.lit(0))).select("base", "stretch", "before")
+    return probes.join(steps, ["base", "stretch"]).select(
+        "name", "asked", "base", F.col("num").alias("k"), (F.col("before") + F.col("inner")).alias("below"))
+
+
+def _settled(contested: DataFrame, placed: DataFrame) -> DataFrame:
+    """Adds ``claimed``: whether the name's first draft comes before ``base`` gets to it.
+
+    ``base`` gets to its k-th number with the draft at place k less the smaller numbers that
+    are taken, by slugs, by names claimed before, or (0) by its own parent. So a name hangs on
+    names of shorter bases and smaller numbers alone; starting from all claimed, each
+    round settles at least the next of every such chain, and where a round changes nothing all are."""
+    asked = F.struct(F.col("requested_at"), F.col("draft_id"))
+    order = placed.select("base", "place", asked.alias("reached"))
+    now = cut_lineage(contested.withColumn("claimed", F.lit(True)))
+    smaller = Window.partitionBy("base").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        parent = now.select(F.col("name").alias("base"), (~F.col("claimed")).cast("int").alias("lost"))
+        place = (F.col("k") - F.col("below") - F.coalesce(F.sum(F.col("claimed").cast("int")).over(smaller), F.lit(0))
+                 - F.coalesce(F.col("lost"), F.lit(0)))
+        new = now.join(parent, "base", "left").withColumn("place", place).drop("lost")
+        new = new.join(order, ["base", "place"], "left").withColumn(
+            "next", F.col("reached").isNull() | (F.col("asked") < F.col("reached"))).drop("place", "reached")
+        new = cut_lineage(new)
+        changed = new.filter("next != claimed").limit(1).count()
+        now = new.drop("claimed").withColumnRenamed("next", "claimed")
+        if not changed:
+            return now
+
+
+def assign_slugs(existing: DataFrame, drafts: DataFrame, parts: int | None = None) -> DataFrame:
     """drafts(draft_id, slug, requested_at) → (draft_id, final_slug) with the
     shop's rule: try ``s``, then ``s-1``, ``s-2``… against existing slugs and
     earlier drafts of the batch.
 
-    For a base ``s`` the k-th draft takes the k-th free candidate; with the
-    taken suffix numbers t_1 < t_2 < … (``s`` itself is 0) that is
-    ``k-1 + #{i : t_i - i + 1 <= k-1}``, a running count over one ordered
-    stream per base (no pairing of drafts with taken slugs). Roots where a
-    draft's own slug ends in ``-<n>`` can collide across bases; those roots
-    alone go through an exact ordered fold per root. ``materialize=True``
-    checkpoints the drafts and the taken numbers (shared by both paths) once
-    under spark.checkpoint.dir, so the existing slugs are read once."""
-    d = drafts.select("draft_id", "slug", "requested_at").withColumn("root", _root_of(F.col("slug")))
-    if materialize:
-        from ..session import cut_lineage
-        d = cut_lineage(d)
-    mixed = d.filter(F.col("root") != F.col("slug")).select("root").distinct()
-    simple = d.join(mixed, "root", "left_anti")
-
-    # taken candidate numbers of every draft base, from one pass over the
-    # existing slugs; the simple and the mixed path both read this result
-    all_taken = _taken_numbers(existing, d.select(F.col("slug").alias("base")).distinct())
-    if materialize:
-        all_taken = cut_lineage(all_taken)
-    bases = simple.select(F.col("slug").alias("base")).distinct()
-    taken = all_taken.join(bases, "base", "left_semi")
-    wt = Window.partitionBy("base").orderBy("t")
-    g = taken.withColumn("key", F.col("t") - F.row_number().over(wt) + 1).select(
-        "base", "key", F.lit(1).alias("is_taken"), F.lit(None).cast("bigint").alias("draft_id"))
-    wd = Window.partitionBy("slug").orderBy("requested_at", "draft_id")
-    k = simple.withColumn("k", F.row_number().over(wd)).select(
-        F.col("slug").alias("base"), (F.col("k") - 1).cast("bigint").alias("key"), F.lit(0).alias("is_taken"),
-        "draft_id")
-    stream = g.unionByName(k)
-    ws = (Window.partitionBy("base").orderBy("key", F.col("is_taken").desc(), "draft_id")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = stream.withColumn("n_taken", F.sum("is_taken").over(ws)).filter(F.col("is_taken") == 0)
-    m = F.col("key") + F.col("n_taken")
-    simple_out = counted.select(
-        "draft_id",
-        F.when(m == 0, F.col("base")).otherwise(F.concat(F.col("base"), F.lit("-"), m.cast("string"))).alias("final_slug"))
-
-    # exact fold for mixed roots: drafts + runs of taken numbers per base
-    md = d.join(mixed, "root", "left_semi")
-    mbases = md.select("root", F.col("slug").alias("base")).distinct()
-    mt = all_taken.join(mbases, "base")
-    wr = Window.partitionBy("root", "base").orderBy("t")
-    runs = (mt.withColumn("_g", F.col("t") - F.row_number().over(wr)).groupBy("root", "base", "_g")
-            .agg(F.min("t").alias("lo"), F.max("t").alias("hi")))
-    rt = d.schema["requested_at"].dataType
-    fold_in = md.select("root", F.col("slug").alias("base"), "requested_at", "draft_id",
-                        F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi"),
-                        F.lit(1).alias("kind")).unionByName(
-        runs.select("root", "base", F.lit(None).cast(rt).alias("requested_at"), F.lit(None).cast("bigint").alias("draft_id"),
-                    "lo", "hi", F.lit(0).alias("kind")))
-    folded = fold_in.groupBy("root").applyInPandas(_fold_slugs, "draft_id bigint, final_slug string")
-    return simple_out.unionByName(folded)
-
-
-def create_blogs(blogs: DataFrame, drafts: DataFrame, materialize: bool = False) -> DataFrame:
+    For a base ``s`` the drafts take the free numbers in order (``s`` itself is 0). One scan in
+    order of (base, taken numbers, drafts), dealt by ranges, carries the runs of taken
+    numbers and the drafts served, so a base of any size spreads over partitions. A name
+    such as ``s-1`` may also be a draft's own base; who takes it is settled on the set of
+    these names alone (``_settled``), and the scan then runs over what that leaves."""
+    d = drafts.select("draft_id", F.col("slug").alias("base"), "requested_at")
+    bases = d.select("base").distinct()
+    taken = _taken_numbers(existing, bases)
+    ordered = _ordered_numbers(taken, d, parts)
+    # the ordered copy is read from here on
+    d, taken = ordered.filter(F.col("kind") == DRAFT), ordered.filter(F.col("kind") == TAKEN).select("base", "num")
+    numbered = _numbered(ordered)
+    contested = cut_lineage(_contested(taken, d, d.select("base").distinct()))
+    if contested.limit(1).count():
+        settled = _settled(contested, numbered.join(contested.select("base").distinct(), "base", "left_semi"))
+        claimed = settled.filter("claimed").select("base", F.col("k").alias("num"))
+        lost = settled.filter("NOT claimed").select(F.col("name").alias("base"), F.lit(0).cast("bigint").alias("num"))
+        numbered = _numbered(_ordered_numbers(taken.unionByName(claimed).unionByName(lost), d, parts))
+    return numbered.select("draft_id", F.when(F.col("num") == 0, F.col("base")).otherwise(
+        F.concat("base", F.lit("-"), F.col("num").cast("string"))).alias("final_slug"))
+
+
+def create_blogs(blogs: DataFrame, drafts: DataFrame, parts: int | None = None) -> DataFrame:
     """drafts(draft_id, title, excerpt, content, cover_image, tags, status,
     author_admin_id, requested_at) → the new blog rows (ids after the
     existing ones, slugs unique, published_at when published)."""
     from ..plans.strategy import next_ids
     d = drafts.withColumn("slug", slug(F.col("title")))
-    s = assign_slugs(blogs, d, materialize)
+    s = assign_slugs(blogs, d, parts)
     n = d.join(s, "draft_id")
     st = F.coalesce(F.col("status"), F.lit("draft"))
     return n.select(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import booking_reference, falsy_coalesce, js_float, js_int, norm_decision
 from ..plans.strategy import broadcast_if_small, next_ids
+from ..session import stored
 from .mutate import first_per_key
 
 
@@ -129,8 +130,8 @@ def booking_request_outcomes(b: DataFrame, reqs: DataFrame) -> DataFrame:
     invalid (validator fails) → exists (payment_reference already booked, or
     an earlier request of the batch took it) → created. References are trimmed
     before they are compared, as they are stored. The first valid request of a
-    reference is a partial minimum joined back, so a reference with very many
-    retries is combined before it is shuffled."""
+    reference is a partial minimum, written as a table and joined back, so a reference
+    with very many retries is combined before it is shuffled and split in the join."""
     reqs = reqs.withColumn("payment_reference", F.trim("payment_reference"))
     t = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
     valid = (F.coalesce(F.col("booking_type").isin(*BOOKING_TYPES), F.lit(False))
@@ -147,7 +148,7 @@ def booking_request_outcomes(b: DataFrame, reqs: DataFrame) -> DataFrame:
     r = r.join(seen, F.col("payment_reference") == F.col("_ref"), "left")
     firsts = r.filter("_valid").groupBy(F.col("payment_reference").alias("_pref")).agg(
         F.min(F.struct("requested_at", "request_id")).alias("_first"))
-    r = r.join(firsts, F.col("payment_reference") == F.col("_pref"), "left").drop("_pref")
+    r = r.join(broadcast_if_small(stored(firsts)), F.col("payment_reference") == F.col("_pref"), "left").drop("_pref")
     outcome = (F.when(~F.col("_valid"), "invalid")
                .when(F.col("_ref").isNotNull() | (F.struct("requested_at", "request_id") != F.col("_first")), "exists")
                .otherwise("created"))

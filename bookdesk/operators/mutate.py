@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.strategy import broadcast_if_small, next_ids
+from ..schemas import FOREIGN_KEYS
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -38,14 +39,16 @@ Rule = tuple[Callable[[Column], Column], str]
 
 def apply_patches(base: DataFrame, patches: DataFrame, key: str, rules: dict[str, Rule],
                   base_key: str = "id", touch: str | None = "updated_at",
-                  extra: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+                  extra: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+                  aggs: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Apply ``patches(request_id, <key>, patch map, requested_at[, _outcome])``.
 
     ``rules[col] = (value_fn(patch_map) -> Column, mode)`` where mode is
     ``present`` (key present in the map; an explicit null clears),
     ``value`` (the value is non-NULL) or ``coalesce`` (same as value).
-    Requests with a non-NULL ``_outcome`` are rejected and change nothing.
-    Returns (next state, outcomes(request_id, key, outcome))."""
+    Requests with a non-NULL ``_outcome`` are rejected and change nothing. ``aggs`` are more
+    aggregates over a key's accepted requests, for ``extra``, which gets the joined rows
+    (old values beside the new ones, ``_v_*``) and the accepted requests. Returns (next state, outcomes(request_id, key, outcome))."""
     if "_outcome" not in patches.columns:
         patches = patches.withColumn("_outcome", F.lit(None).cast("string"))
     # existing keys among the requested ones: the base key column is only
@@ -59,17 +62,17 @@ def apply_patches(base: DataFrame, patches: DataFrame, key: str, rules: dict[str
 
     ok = checked.filter(F.col("outcome") == "updated")
     order = F.struct("requested_at", "request_id")
-    aggs = [F.max("requested_at").alias("_touched")]
+    per = [F.max("requested_at").alias("_touched"), *aggs]
     for col, (fn, mode) in rules.items():
         val = fn(F.col("patch"))
         applies = F.map_contains_key("patch", F.lit(col)) if mode == "present" else val.isNotNull()
-        aggs.append(F.max_by(val, F.when(applies, order)).alias(f"_v_{col}"))
-        aggs.append(F.max(F.when(applies, order)).isNotNull().alias(f"_h_{col}"))
-    per_key = ok.groupBy(key).agg(*aggs)
+        per.append(F.max_by(val, F.when(applies, order)).alias(f"_v_{col}"))
+        per.append(F.max(F.when(applies, order)).isNotNull().alias(f"_h_{col}"))
+    per_key = ok.groupBy(key).agg(*per)
 
     j = base.join(broadcast_if_small(per_key), base[base_key] == per_key[key], "left")
-    if extra is not None:  # sees the old values next to the new ones (_v_*)
-        j = extra(j)
+    if extra is not None:
+        j = extra(j, ok)
     sets = {}
     for col in rules:
         sets[col] = F.when(F.coalesce(F.col(f"_h_{col}"), F.lit(False)), F.col(f"_v_{col}")).otherwise(F.col(col))
@@ -78,6 +81,45 @@ def apply_patches(base: DataFrame, patches: DataFrame, key: str, rules: dict[str
     return j.withColumns(sets).select(*base.columns), outcomes
 
 
+def found_outcomes(base: DataFrame, requests: DataFrame, key: str, base_key: str = "id", done: str = "updated",
+                   once: bool = False) -> DataFrame:
+    """(request_id, <key>, outcome) of requests that change the rows with their key: ``not_found``
+    where ``base`` has none. With ``once`` the first request of a key by (requested_at,
+    request_id) takes its rows away, and later ones find none."""
+    wanted = requests.select(F.col(key).alias("_bk")).distinct()
+    held = base.select(F.col(base_key).alias("_bk")).join(broadcast_if_small(wanted), "_bk", "left_semi").distinct()
+    j = requests.join(held, requests[key] == held["_bk"], "left")
+    hit = F.col("_bk").isNotNull()
+    if once:
+        order = F.struct("requested_at", "request_id")
+        firsts = requests.groupBy(F.col(key).alias("_fk")).agg(F.min(order).alias("_first"))
+        j = j.join(broadcast_if_small(firsts), j[key] == firsts["_fk"], "left")
+        hit &= order == F.col("_first")
+    return j.select("request_id", key, F.when(hit, done).otherwise("not_found").alias("outcome"))
+
+
+def delete_with_children(tables: dict[str, DataFrame], parent: str, ids: DataFrame) -> dict[str, DataFrame]:
+    """The next state of every given table after rows of ``parent`` (by ``ids.id``) went, along the
+    declared foreign keys: rows of a cascading child go too, and with them theirs in
+    turn; other children lose the reference. Tables that are not given are not followed."""
+    gone = {parent: ids.select("id").distinct()}
+    out, queue = dict(tables), [parent]
+    while queue:
+        table = queue.pop(0)
+        out[table] = delete_rows(out[table], gone[table])
+        for child, col, owner, action in FOREIGN_KEYS:
+            if owner != table or child not in tables:
+                continue
+            if action == "set_null":
+                out[child] = set_null_on_delete(out[child], gone[table], col)
+                continue
+            d = gone[table].select(F.col("id").alias("_del"))
+            lost = tables[child].join(broadcast_if_small(d), tables[child][col] == d["_del"], "left_semi").select("id")
+            gone[child] = lost if child not in gone else gone[child].unionByName(lost).distinct()
+            queue.append(child)
+    return out
+
+
 def insert_ignore(base: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not in ``base``; inside the batch the
     first by ``order`` wins. Returns only the rows to insert."""

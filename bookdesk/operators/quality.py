@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..schemas import DOMAINS, schema
+from ..schemas import DOMAINS, MAX_LENGTHS, schema
 from .bookings import conform
 
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -43,9 +43,10 @@ def _out(df: DataFrame, table: str, rule: str, col: str, key: str, value) -> Dat
 
 
 def default_rules(table: str) -> list[tuple]:
-    """NOT NULL and enum rules from the DDL and the value domains."""
+    """NOT NULL, enum and length rules from the DDL and the value domains."""
     rules: list[tuple] = [("not_null", f.name) for f in schema(table).fields if not f.nullable]
     rules += [("enum", c, vals) for (t, c), vals in DOMAINS.items() if t == table]
+    rules += [("max_len", c, n) for c, n in MAX_LENGTHS.get(table, {}).items()]
     return rules
 
 

@@ -198,12 +198,33 @@ def inbox_order() -> list[Column]:
 
 
 # M13 --------------------------------------------------------------------
+def _own_visits(q: DataFrame, visits: DataFrame) -> DataFrame:
+    """Visits of threads by the user whose thread it is."""
+    wanted = visits.select(F.col("query_id").alias("id")).distinct()
+    owner = q.join(broadcast_if_small(wanted), "id", "left_semi").select(F.col("id").alias("_q"), F.col("user_id").alias("_u"))
+    return visits.join(owner, (visits["query_id"] == owner["_q"]) & (visits["user_id"] == owner["_u"]), "left_semi")
+
+
+def mark_seen_outcomes(q: DataFrame, visits: DataFrame, side: str = "admin") -> DataFrame:
+    """(request_id, query_id, outcome): ``seen``, or ``not_found`` where there is no such thread or,
+    for the user side, it is another user's."""
+    from .mutate import found_outcomes
+    if side != "user" or "user_id" not in visits.columns:
+        return found_outcomes(q, visits, "query_id", done="seen")
+    own = _own_visits(q, visits).select(F.col("request_id").alias("_r"))
+    j = visits.join(own, visits["request_id"] == own["_r"], "left")
+    return j.select("request_id", "query_id", F.when(F.col("_r").isNotNull(), "seen").otherwise("not_found").alias("outcome"))
+
+
 def mark_seen(q: DataFrame, visits: DataFrame, side: str = "admin") -> DataFrame:
-    """visits(query_id, visited_at): set <side>_last_seen_at (and updated_at)
-    to the latest visit of each thread."""
+    """visits(query_id, visited_at[, user_id]): set <side>_last_seen_at (and updated_at)
+    to the latest visit of each thread; with user_id, a user's visits of other users' threads
+    do not count."""
     col = "admin_last_seen_at" if side == "admin" else "user_last_seen_at"
-    v = visits.groupBy("query_id").agg(F.max("visited_at").alias("_seen"))
     q = conform_queries(q)
+    if side == "user" and "user_id" in visits.columns:
+        visits = _own_visits(q, visits)
+    v = visits.groupBy("query_id").agg(F.max("visited_at").alias("_seen"))
     j = q.join(broadcast_if_small(v), q["id"] == v["query_id"], "left")
     hit = F.col("_seen").isNotNull()
     return j.withColumns({

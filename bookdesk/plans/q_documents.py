@@ -61,7 +61,78 @@ FROM query_messages m JOIN queries q ON q.id = m.query_id WHERE m.sender_type =
 def email_outbox(spark, sf):
     m = bridge(spark, sf, "query_messages").filter(F.col("sender_type") == "admin").select(
         F.col("id").alias("message_id"), "query_id", "message")
-    return D.email_outbox(_b(spark, sf), bridge(spark, sf, "queries"), m)
+    return D.email_outbox(_b(spark, sf), bridge(spark, sf, "queries"), m).select("kind", "ref_id", "to_addr", "subject", "error")
+
+
+_NAME = "coalesce(nullif(trim(concat(coalesce(lead_first_name, ''), ' ', coalesce(lead_last_name, ''))), ''), 'Guest')"
+_WHEN = "coalesce(strftime(check_in_date, '%Y-%m-%d'), '—')"  # the bookings have check-in dates alone
+
+
+def _confirmation(booking: str) -> str:
+    """The body of a booking's confirmation, line by line."""
+    return f"""concat('Dear ', {_NAME}, ',', chr(10), 'we confirm booking ', booking_reference, '.', chr(10),
+       'What: ', coalesce(nullif(product_title, ''), '—'), ' (', coalesce(nullif(booking_type, ''), '—'), ')', chr(10),
+       'When: ', {_WHEN}, chr(10), 'Who: 1 in all', chr(10), 'Received: ', {_MONEY}, chr(10),
+       'Your voucher is enclosed.', chr(10), '{D.DEFAULT_BRAND}')"""
+
+
+COPY_TO = " desk@example.com, nobody ,, audit@example.com "
+
+
+@register("email_outbox_bodies", with_views(["bookings", "queries", "query_messages", "refund_events"], f"""
+SELECT 'voucher' AS kind, id AS ref_id, CAST(NULL AS VARCHAR) AS cc, {_NAME} AS greeting_name, {_confirmation('bookings')} AS body_text
+FROM bookings WHERE coalesce(lead_email, '') <> ''
+UNION ALL
+SELECT 'reply', m.id, 'desk@example.com, audit@example.com', coalesce(nullif(q.name, ''), 'Traveler'), m.message
+FROM query_messages m JOIN queries q ON q.id = m.query_id WHERE m.sender_type = 'admin'
+UNION ALL
+SELECT 'refund', b.id, NULL, {_NAME}, concat('Dear ', {_NAME}, ',', chr(10), 'for booking ', booking_reference, ' we paid back ',
+       coalesce(nullif(b.currency, ''), 'INR'), ' ', CAST(CAST(e.amount AS DECIMAL(14,2)) AS VARCHAR), '.', chr(10),
+       CASE WHEN coalesce(e.gateway_reference, '') <> '' THEN concat('Gateway reference: ', e.gateway_reference, chr(10)) ELSE '' END,
+       CASE WHEN b.id % 3 = 0 THEN concat('Reason: plans of ', b.id, chr(10)) ELSE '' END,
+       'Banks take up to ten business days to show it.', chr(10), '{D.DEFAULT_BRAND}')
+FROM bookings b JOIN refund_events e ON e.booking_id = b.id AND e.action = 'completed'
+WHERE coalesce(b.lead_email, '') <> '' AND b.id % 5 <> 0"""))
+def email_outbox_bodies(spark, sf):
+    m = bridge(spark, sf, "query_messages").filter(F.col("sender_type") == "admin").select(
+        F.col("id").alias("message_id"), "query_id", "message")
+    ev = bridge(spark, sf, "refund_events").filter(F.col("action") == "completed").select(
+        "booking_id", "amount", F.lit(None).cast("string").alias("currency"),
+        F.when(F.col("booking_id") % 3 == 0, F.concat(F.lit("plans of "), F.col("booking_id"))).alias("reason"),
+        "gateway_reference", (F.col("booking_id") % 5 != 0).alias("notify"))
+    return D.email_outbox(_b(spark, sf), bridge(spark, sf, "queries"), m, ev, COPY_TO).select(
+        "kind", "ref_id", "cc", "greeting_name", "body_text")
+
+
+# requests to send a voucher again: some for no booking, some to another address
+_RESEND = """SELECT request_id, CASE WHEN request_id % 6 = 0 THEN booking_id + 100000000 ELSE booking_id END AS booking_id,
+    CASE request_id % 4 WHEN 0 THEN concat(' other', request_id, '@example.com ') WHEN 1 THEN '  ' END AS email, requested_at FROM booking_patches"""
+
+
+def _resend(spark, sf):
+    p = bridge(spark, sf, "booking_patches")
+    k = F.col("request_id")
+    return p.select("request_id", F.when(k % 6 == 0, F.col("booking_id") + 100000000).otherwise(F.col("booking_id")).alias("booking_id"),
+                    F.when(k % 4 == 0, F.concat(F.lit(" other"), k, F.lit("@example.com "))).when(k % 4 == 1, F.lit("  ")).alias("email"),
+                    "requested_at")
+
+
+_RESENT = """SELECT r.*, b.id AS found, coalesce(nullif(trim(r.email), ''), nullif(b.lead_email, '')) AS recipient
+FROM resend r LEFT JOIN bookings b ON b.id = r.booking_id"""
+
+
+@register("resend_vouchers_outcomes", with_views(["bookings", "booking_patches"], """
+SELECT request_id, booking_id, requested_at, CASE WHEN found IS NULL THEN 'not_found' WHEN recipient IS NULL THEN 'no_recipient' ELSE 'sent' END AS outcome
+FROM resent""", resend=_RESEND, resent=_RESENT))
+def resend_vouchers_outcomes(spark, sf):
+    return D.resend_vouchers(_b(spark, sf), _resend(spark, sf))[1]
+
+
+@register("resend_vouchers", with_views(["bookings", "booking_patches"], f"""
+SELECT s.request_id, s.recipient AS to_addr, concat('voucher-', b.booking_reference, '.pdf') AS attachment, {_confirmation('b')} AS body_text
+FROM resent s JOIN bookings b ON b.id = s.found WHERE s.recipient IS NOT NULL""", resend=_RESEND, resent=_RESENT))
+def resend_vouchers(spark, sf):
+    return D.resend_vouchers(_b(spark, sf), _resend(spark, sf))[0].select("request_id", "to_addr", "attachment", "body_text")
 
 
 @register("refund_mails", with_views(["bookings", "refund_events"], f"""

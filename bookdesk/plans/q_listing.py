@@ -209,3 +209,25 @@ SELECT id, concat('post-', id) AS slug, title, CAST(NULL AS VARCHAR) AS excerpt,
 FROM blogs WHERE status = 'published'"""))
 def project_blog_page(spark, sf):
     return L.project(L.published(conform_blogs(bridge(spark, sf, "blogs"))), "blog_page")
+
+
+@register("project_blog_public_card", with_views(["blogs"], """
+SELECT id, concat('post-', id) AS slug, title, CAST(NULL AS VARCHAR) AS excerpt, CAST(NULL AS VARCHAR) AS cover_image, tags,
+       published_at, 0 AS views
+FROM blogs WHERE status = 'published'"""))
+def project_blog_public_card(spark, sf):
+    return L.project(L.published(conform_blogs(bridge(spark, sf, "blogs"))), "blog_public_card")
+
+
+_UNKNOWN = ["gender", "marital_status", "city_of_residence", "state", "country", "mobile_country_code", "passport_no",
+            "passport_issuing_country", "pan_card_number", "profile_image"]
+
+
+@register("project_profile", with_views(["users"], f"""
+SELECT id, email, first_middle_name, last_name, nationality, mobile_number, is_profile_complete, status, created_at,
+       false AS mobile_verified, CAST(NULL AS DATE) AS date_of_birth, CAST(NULL AS DATE) AS anniversary,
+       CAST(NULL AS DATE) AS passport_expiry, CAST(NULL AS TIMESTAMP) AS updated_at,
+       {', '.join(f'CAST(NULL AS VARCHAR) AS {c}' for c in _UNKNOWN)}
+FROM users"""))
+def project_profile(spark, sf):
+    return L.project(B.conform(bridge(spark, sf, "users"), "users"), "profile")

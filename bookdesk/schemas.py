@@ -111,6 +111,40 @@ DOMAINS = {
     ("auth_tokens", "subject_type"): ["user", "admin"],
 }
 
+# Longest texts of the columns (fixed values of the DDL).
+MAX_LENGTHS = {
+    "users": {"email": 190, "first_middle_name": 120, "last_name": 120, "gender": 20, "nationality": 100, "marital_status": 30,
+              "city_of_residence": 120, "state": 120, "country": 120, "mobile_country_code": 10, "mobile_number": 30,
+              "passport_no": 50, "passport_issuing_country": 100, "pan_card_number": 20, "profile_image": 500, "status": 20},
+    "admins": {"email": 190, "password_hash": 255, "name": 150, "role": 30, "status": 20},
+    "email_otps": {"email": 190, "purpose": 30, "code_hash": 255, "ip_address": 64, "user_agent": 500},
+    "auth_tokens": {"jti": 36, "subject_type": 10, "ip_address": 64, "user_agent": 500},
+    "bookings": {"booking_reference": 50, "booking_type": 30, "status": 30, "payment_status": 30, "payment_gateway": 40,
+                 "payment_reference": 100, "currency": 10, "lead_first_name": 120, "lead_last_name": 120, "lead_email": 190,
+                 "lead_mobile": 30, "product_title": 255, "product_code": 100, "voucher_path": 500, "refund_currency": 10,
+                 "refund_reference": 120, "cancelled_by": 20, "supplier_reference": 120, "supplier_status": 40},
+    "blogs": {"slug": 220, "title": 255, "cover_image": 500, "tags": 500, "status": 20},
+    "queries": {"name": 150, "email": 190, "mobile": 30, "subject": 255, "category": 60, "source": 60, "status": 20},
+    "query_messages": {"sender_type": 20},
+    "refund_events": {"action": 40, "currency": 10, "gateway_reference": 120},
+    "payment_attempts": {"transaction_uuid": 80, "decision": 20, "gateway": 40, "gateway_reference": 120, "currency": 10},
+    "migrations_log": {"filename": 200},
+}
+
+# Foreign keys: child table, its column, parent table, and what becomes of the child's rows
+# when the parent's row goes (fixed values of the DDL).
+FOREIGN_KEYS = [
+    ("bookings", "user_id", "users", "set_null"),
+    ("blogs", "author_admin_id", "admins", "set_null"),
+    ("queries", "user_id", "users", "set_null"),
+    ("queries", "handled_by_admin_id", "admins", "set_null"),
+    ("refund_events", "booking_id", "bookings", "cascade"),
+    ("query_messages", "query_id", "queries", "cascade"),
+    ("query_messages", "sender_user_id", "users", "set_null"),
+    ("query_messages", "sender_admin_id", "admins", "set_null"),
+    ("payment_attempts", "booking_id", "bookings", "set_null"),
+]
+
 # Named projections used by list and detail reads.
 VIEWS = {
     "booking_list": [

@@ -21,9 +21,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ingest import attempt_rows, parse_receipts
+from ..operators.ingest import attempt_rows, create_bookings, first_receipt, parse_receipts
 from ..operators.mutate import first_per_key
-from ..session import ensure_checkpoint_dir
+from ..operators.refunds import DEFAULT_WINDOW_HOURS
+from ..session import ensure_checkpoint_dir, workers_find_package
 
 
 def to_event_time(df: DataFrame, col: str) -> DataFrame:
@@ -65,15 +66,53 @@ def stream_receipts(raw: DataFrame) -> DataFrame:
 
 
 # T2 ---------------------------------------------------------------------
+def start_bookings_store(raw: DataFrame, name: str, store: str, bookings: DataFrame | None = None, buckets: int = 256,
+                         available_now: bool = True):
+    """The default path of T2: receipts become booking rows (M1) in a store at ``store``.
+
+    Rows lie in ``buckets`` folders by a hash of their payment reference, and a micro-batch
+    reads the references of its own folders alone. A receipt whose reference is stored, or
+    among ``bookings`` (those of before the stream began), adds nothing, however old either
+    is; so does a micro-batch that is run again after a crash between its write and
+    its commit. Ids follow those of ``bookings``."""
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        receipts = first_receipt(parse_receipts(batch)).withColumn(
+            "_bucket", F.pmod(F.xxhash64("transaction_id"), F.lit(buckets)).cast("int")).persist()
+        try:
+            hit = [r[0] for r in receipts.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+            known = None
+            try:
+                known = (spark.read.parquet(store).filter(F.col("_bucket").isin(hit))
+                         .join(receipts.select(F.col("transaction_id").alias("payment_reference")), "payment_reference", "left_semi"))
+            except AnalysisException as e:
+                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise  # no store yet
+            base = bookings if bookings is not None else spark.createDataFrame([], "id bigint, payment_reference string")
+            fresh = receipts.drop("_bucket")
+            if known is not None:
+                fresh = fresh.join(known.select(F.col("payment_reference").alias("transaction_id")), "transaction_id", "left_anti")
+            made = create_bookings(base, fresh).withColumn(
+                "_bucket", F.pmod(F.xxhash64("payment_reference"), F.lit(buckets)).cast("int"))
+            made.write.mode("append").partitionBy("_bucket").parquet(store)
+        finally:
+            receipts.unpersist()
+
+    ck = ensure_checkpoint_dir(raw.sparkSession)
+    w = raw.writeStream.foreachBatch(run).option("checkpointLocation", f"{ck.rstrip('/')}/streams/{name}")
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
+
+
 def _accepted(raw: DataFrame) -> DataFrame:
     rc = to_event_time(parse_receipts(raw), "created_at")
     return rc.filter((F.col("decision") == "ACCEPT") & (F.col("transaction_id") != ""))
 
 
 def start_bookings(raw: DataFrame, name: str, table_path: str, available_now: bool = True):
-    """The default path of T2: the first accepted receipt of each transaction id
-    is inserted into the stored bookings at ``table_path``, however late it or a
-    gateway retry arrives; the stored rows are the only state."""
+    """The first accepted receipt of each transaction id is inserted into the
+    receipts stored at ``table_path``, however late it or a gateway retry arrives; the
+    stored rows are the only state."""
     w = _accepted(raw).writeStream.foreachBatch(foreach_batch_insert(table_path, "transaction_id"))
     ck = ensure_checkpoint_dir(raw.sparkSession)
     w = w.option("checkpointLocation", f"{ck.rstrip('/')}/streams/{name}")
@@ -188,7 +227,122 @@ def stream_thread_state(msgs: DataFrame, threads: DataFrame | None = None, side:
     return msgs.groupBy("query_id").agg(*aggs)
 
 
+EVENT_DDL = "query_id long, kind string, id long, sender_type string, message string, side string, at timestamp"
+
+
+def thread_events(messages: DataFrame, visits: DataFrame) -> DataFrame:
+    """Both kinds of events of a thread in one shape: messages(id, query_id, sender_type,
+    message, created_at) and visits(query_id, side, visited_at)."""
+    m = to_event_time(messages, "created_at").select(
+        "query_id", F.lit("message").alias("kind"), "id", "sender_type", "message", F.lit(None).cast("string").alias("side"),
+        F.col("created_at").alias("at"))
+    v = to_event_time(visits, "visited_at").select(
+        "query_id", F.lit("visit").alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("sender_type"),
+        F.lit(None).cast("string").alias("message"), "side", F.col("visited_at").alias("at"))
+    return m.unionByName(v)
+
+
+_THREAD_STATE = ("n_events long, message_count long, last_us long, last_id long, last_message string, last_sender string, "
+                 "user_mark long, admin_mark long, user_unread array<long>, admin_unread array<long>")
+
+
+def _thread(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    n, count, last_us, last_id, last, sender, user_mark, admin_mark, user_new, admin_new = state.get if state.exists else (
+        0, 0, None, None, None, None, None, None, [], [])
+    marks = {"user": user_mark, "admin": admin_mark}
+    # times of the other side's messages after the side's mark
+    unread = {"user": np.array(user_new, np.int64), "admin": np.array(admin_new, np.int64)}
+    for pdf in pdfs:
+        n += len(pdf)
+        us = pdf["at"].astype("datetime64[us]").astype("int64").to_numpy()
+        is_message = (pdf["kind"] == "message").to_numpy()
+        for side in marks:
+            seen = us[~is_message & (pdf["side"] == side).to_numpy()]
+            if len(seen):
+                marks[side] = int(max(seen.max(), seen[0] if marks[side] is None else marks[side]))
+            other = us[is_message & (pdf["sender_type"] == ("admin" if side == "user" else "user")).to_numpy()]
+            new = np.concatenate([unread[side], other])
+            unread[side] = new if marks[side] is None else new[new > marks[side]]
+        if is_message.any():
+            m = pdf[is_message]
+            count += len(m)
+            at = np.lexsort((m["id"].to_numpy(), us[is_message]))[-1]
+            newest = (int(us[is_message][at]), int(m["id"].iloc[at]))
+            if last_us is None or newest > (last_us, last_id):
+                (last_us, last_id), last, sender = newest, m["message"].iloc[at], m["sender_type"].iloc[at]
+    state.update((n, count, last_us, last_id, last, sender, marks["user"], marks["admin"],
+                  unread["user"].tolist(), unread["admin"].tolist()))
+    yield pd.DataFrame({
+        "query_id": [key[0]], "n_events": [n], "message_count": [count],
+        "last_message_at": [pd.NaT if last_us is None else pd.Timestamp(last_us, unit="us")], "last_message": [last],
+        "last_sender_type": [sender], "user_unread": [len(unread["user"])], "admin_unread": [len(unread["admin"])]})
+
+
+def stream_threads(events: DataFrame) -> DataFrame:
+    """Per thread (update mode): messages, the last one, and each side's unread count, from the
+    two kinds of ``thread_events``. The state holds each side's last visit and the times of the
+    other side's messages after it, so events may come in any order: a message that
+    arrives after a later visit counts as read, a visit that arrives late reads the
+    messages before it. ``n_events`` grows with every row of a thread, so the last is known."""
+    workers_find_package(events.sparkSession)
+    return events.groupBy("query_id").applyInPandasWithState(
+        _thread, "query_id long, n_events long, message_count long, last_message_at timestamp, last_message string, "
+        "last_sender_type string, user_unread long, admin_unread long", _THREAD_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
 # T6 ---------------------------------------------------------------------
+def refund_timer(changed: str = "changed_at") -> dict:
+    """Columns of a booking's change: when it came (ms), and when the refund window ends if the
+    booking can then be refunded (ms, else NULL)."""
+    hours = F.coalesce(F.col("refund_window_hours"), F.lit(DEFAULT_WINDOW_HOURS))
+    open_ = ((F.coalesce(F.col("payment_status"), F.lit("")) == "paid")
+             & ~F.coalesce(F.col("status"), F.lit("")).isin("cancelled", "refunded")
+             & F.coalesce(F.col("is_refundable"), F.lit(True)) & (hours > 0))
+    ends = F.unix_millis(F.col("created_at")) + hours.cast("bigint") * F.lit(3600000)
+    return {"_changed_ms": F.unix_millis(F.col(changed)), "_exp_ms": F.when(open_, ends)}
+
+
+def _window_end(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: the last change and the end of the window it leaves (-1: none)."""
+    changed, ends = state.get if state.exists else (None, -1)
+    fire = None
+    if state.hasTimedOut:
+        state.remove()
+        fire = ends
+    else:
+        rows = sorted({(int(c), -1 if pd.isna(e) else int(e)) for pdf in pdfs
+                       for c, e in zip(pdf["_changed_ms"], pdf["_exp_ms"], strict=True)})
+        for c, e in rows:
+            if changed is not None and c < changed:
+                continue  # an older change than the one known
+            if changed is None and 0 <= e < c:
+                continue  # its window ended before the change: that was settled then
+            if ends >= 0 and ends <= c and changed is not None:
+                break  # the window ended before this change
+            changed, ends = c, e
+        if 0 <= ends <= state.getCurrentWatermarkMs():
+            fire = ends
+            if state.exists:
+                state.remove()
+        elif changed is not None:
+            state.update((changed, ends))
+            if ends >= 0:
+                state.setTimeoutTimestamp(ends)
+    if fire is not None and fire >= 0:
+        yield pd.DataFrame({"booking_id": [key[0]], "expires_at": [pd.to_datetime(fire, unit="ms")]})
+
+
+def stream_refund_windows(changes: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """changes(id, status, payment_status, is_refundable, refund_window_hours, created_at,
+    changed_at): a booking's row at its creation and at each later change. Emits (booking_id,
+    expires_at) once event time passes the end of the window of a booking that can then be
+    refunded; a cancellation, refund or new window before that cancels or moves the timer."""
+    workers_find_package(changes.sparkSession)
+    c = to_event_time(to_event_time(changes, "created_at"), "changed_at").withWatermark("changed_at", watermark)
+    return c.withColumns(refund_timer()).groupBy("id").applyInPandasWithState(
+        _window_end, "booking_id long, expires_at timestamp", "changed long, ends long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def _expiry(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         (exp_ms,) = state.get
@@ -207,9 +361,10 @@ def _expiry(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd
 
 def stream_refund_expiry(bookings: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Emit (booking_id, expires_at) once event time passes the end of a
-    refundable booking's window (event-time timer per booking)."""
+    refundable booking's window (event-time timer per booking), from bookings that do
+    not change; ``stream_refund_windows`` follows their changes."""
     b = to_event_time(bookings, "created_at").filter(
-        (F.col("payment_status") == "paid") & (F.coalesce(F.col("status"), F.lit("")) != "cancelled")
+        (F.col("payment_status") == "paid") & ~F.coalesce(F.col("status"), F.lit("")).isin("cancelled", "refunded")
         & F.coalesce(F.col("is_refundable"), F.lit(True))
         & (F.coalesce(F.col("refund_window_hours"), F.lit(24)) > 0))
     b = b.withWatermark("created_at", watermark).withColumn(

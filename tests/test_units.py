@@ -5,6 +5,7 @@ import json
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from bookdesk.functions import scalars as C
@@ -175,8 +176,25 @@ def test_rate_limit_matches_brute_force_with_a_hot_key(spark):
         e = "hot@x" if i % 3 == 0 else f"u{rnd.randrange(40)}@x"
         rows.append((i, e, base + dt.timedelta(seconds=rnd.randrange(200000))))
     df = spark.createDataFrame(rows, "id bigint, email string, created_at timestamp_ntz").repartition(5)
-    got = sorted(r.id for r in A.otp_rate_limit(df, 600).collect())
-    assert got == brute_rate_limit(rows, 600)
+    want = brute_rate_limit(rows, 600)
+    for parts in (None, 1, 9, 200):
+        assert sorted(r.id for r in A.otp_rate_limit(df, 600, parts=parts).collect()) == want
+
+
+@pytest.mark.parametrize("cooldown,spread", [(60, 300_000), (7, 100_000), (100_000, 90_000), (3, 500)])
+def test_rate_limit_spreads_one_mail_over_tasks(spark, cooldown, spread):
+    """A third of the requests in one e-mail, without gaps of the cooldown in the dense cases."""
+    from pyspark.sql import functions as F
+    n, parts = 60_000, 30
+    i = F.col("id")
+    df = spark.range(n).select(
+        "id", F.when(i % 3 == 0, "hot@x").otherwise(F.concat(F.lit("u"), F.xxhash64("id") % 500)).alias("email"),
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.pmod(F.xxhash64(i, F.lit(1)), F.lit(spread * 1_000_000))).cast("timestamp_ntz").alias("created_at"))
+    rows = [(r.id, r.email, r.created_at) for r in df.collect()]
+    got = A.otp_rate_limit(df, cooldown, parts=parts)
+    assert sorted(r.id for r in got.collect()) == brute_rate_limit(rows, cooldown)
+    hot = A.in_order(df, "email", "created_at", "id", parts=parts).groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in hot.collect()) < 3 * n / parts
 
 
 def brute_slugs(existing, drafts):
@@ -235,20 +253,46 @@ def test_inbox_order_and_backfill(spark):
     assert inbox.count() == q.count()
 
 
-def test_unique_slugs_randomised_against_brute_force(spark):
-    rnd = random.Random(11)
+@pytest.mark.parametrize("seed,parts", [(11, None), (11, 1), (12, 30), (13, 7), (14, 100), (15, 3)])
+def test_unique_slugs_randomised_against_brute_force(spark, seed, parts):
+    rnd = random.Random(seed)
     t0 = ts("2024-01-01 00:00:00")
-    bases = ["foo", "foo-1", "foo-2", "foo-1-1", "bar", "bar-10", "x"]
-    existing = sorted({rnd.choice(["foo", "bar", "x"]) + ("" if rnd.random() < 0.2 else f"-{rnd.randrange(1, 15)}")
-                       for _ in range(25)} | {f"post-{i}" for i in range(1, 200)})
-    drafts = [(i, rnd.choice(bases + ["post"]), t0 + dt.timedelta(seconds=rnd.randrange(50))) for i in range(120)]
+    bases = ["foo", "foo-1", "foo-2", "foo-1-1", "foo-1-2", "foo-1-1-1", "foo-9", "foo-01", "foo-0", "bar", "bar-10", "x"]
+    existing = sorted({rnd.choice(["foo", "bar", "x", "foo-1"]) + ("" if rnd.random() < 0.2 else f"-{rnd.randrange(1, 15)}")
+                       for _ in range(rnd.randrange(25))} | {f"post-{i}" for i in range(1, 200)})
+    drafts = [(i, rnd.choice(bases + ["post"]), t0 + dt.timedelta(seconds=rnd.randrange(50))) for i in range(rnd.randrange(20, 120))]
     ex = spark.createDataFrame([(s,) for s in existing], "slug string")
     d = spark.createDataFrame(drafts, "draft_id bigint, slug string, requested_at timestamp_ntz")
-    got = {r.draft_id: r.final_slug for r in T.assign_slugs(ex, d).collect()}
+    got = {r.draft_id: r.final_slug for r in T.assign_slugs(ex, d, parts).collect()}
     assert got == brute_slugs(existing, drafts)
     assert len(set(got.values())) == len(got) and not set(got.values()) & set(existing)
 
 
+def test_a_hundred_thousand_drafts_of_one_title(spark):
+    """One base is spread over partitions; some numbers are taken, some are titles themselves."""
+    n = 100_000
+    ex = spark.createDataFrame([("hot",)] + [(f"hot-{i}",) for i in range(5, 3000, 7)], "slug string")
+    d = spark.range(n).select(F.col("id").alias("draft_id"),
+                              F.when(F.col("id") % 10_000 == 9_999, F.concat(F.lit("hot-"), (F.col("id") * 2).cast("string")))
+                              .otherwise("hot").alias("slug"),
+                              F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).cast("timestamp_ntz").alias("requested_at"))
+    got = {r.draft_id: r.final_slug for r in T.assign_slugs(ex, d, 20).collect()}
+    rows = d.collect()
+    taken, num, want = {r.slug for r in ex.collect()}, 0, {}
+    for r in rows:
+        name, k = r.slug, 0
+        if r.slug == "hot":
+            k, name = num, "hot" if num == 0 else f"hot-{num}"
+        while name in taken:
+            k += 1
+            name = f"{r.slug}-{k}"
+        if r.slug == "hot":
+            num = k + 1
+        taken.add(name)
+        want[r.draft_id] = name
+    assert got == want
+
+
 def test_reply_mail_addresses_and_cc(spark):
     from bookdesk.operators import documents as D
     q = spark.createDataFrame([(1, "Ann", " ann@x.org ", ""), (2, None, "not-an-address", "Trip")],
@@ -271,7 +315,8 @@ def test_travel_label_branches(spark):
     assert got == ["2024-05-01", "2024-04-01 → 2024-04-03", "2024-04-01", "—"]
 
 
-def test_as_of_join_segmented_matches_brute_force(spark):
+@pytest.mark.parametrize("parts", [None, 1, 23])
+def test_as_of_join_matches_brute_force(spark, parts):
     rnd = random.Random(3)
     t0 = ts("2024-01-01 00:00:00")
     otps, atts = [], []
@@ -288,7 +333,7 @@ def test_as_of_join_segmented_matches_brute_force(spark):
         atts.append((10_000 + i, e, t))
     o = spark.createDataFrame(otps, "id bigint, email string, created_at timestamp_ntz")
     a = spark.createDataFrame(atts, "id bigint, email string, attempted_at timestamp_ntz")
-    got = {r.id: r.otp_id for r in A.latest_before(a, o, chunk_seconds=60).collect()}
+    got = {r.id: r.otp_id for r in A.latest_before(a, o, parts=parts).collect()}
     want = {}
     for aid, e, t in atts:
         cands = [(ot, oid) for oid, oe, ot in otps if oe == e and ot <= t]
@@ -321,8 +366,9 @@ def brute_otp(otps, atts):
     return out
 
 
-def test_otp_outcomes_segmented_match_brute_force(spark):
-    rnd = random.Random(9)
+@pytest.mark.parametrize("parts,seed", [(None, 9), (1, 9), (17, 9), (40, 10), (64, 11)])
+def test_otp_outcomes_match_brute_force(spark, parts, seed):
+    rnd = random.Random(seed)
     t0 = ts("2024-01-01 00:00:00")
     otps = [(1, "hot@x", t0, "111111", t0 + dt.timedelta(minutes=50), 40),
             (2, "hot@x", t0 + dt.timedelta(minutes=55), "222222", t0 + dt.timedelta(minutes=80), 3),
@@ -335,25 +381,40 @@ def test_otp_outcomes_segmented_match_brute_force(spark):
     o = spark.createDataFrame(otps, "id bigint, email string, created_at timestamp_ntz, code string, "
                                     "expires_at timestamp_ntz, max_attempts int")
     a = spark.createDataFrame(atts, "id bigint, email string, attempted_at timestamp_ntz, code string")
-    outcomes, _ = A.otp_outcomes(a, o, chunk_seconds=60)
+    outcomes, state = A.otp_outcomes(a, o, parts=parts)
     got = {r.id: r.outcome for r in outcomes.collect()}
     assert got == brute_otp(otps, atts)
-    assert "ok" in got.values() and "max_attempts" in got.values() and "already_used" in got.values()
+    if seed == 9:
+        assert "ok" in got.values() and "max_attempts" in got.values() and "already_used" in got.values()
+    tries = {r.id: r.attempts for r in state.collect()}
+    codes = {r.id: r.otp_id for r in outcomes.collect()}
+    assert tries == {k: sum(v == "invalid" and codes[i] == k for i, v in got.items()) for k in (1, 2, 3)}
 
 
-def test_otp_outcomes_materialized_equals_lazy(spark):
+def test_codes_of_other_purposes_and_missing_values(spark):
+    t0 = ts("2024-01-01 00:00:00")
+    minute = lambda k: t0 + dt.timedelta(minutes=k)
+    o = spark.createDataFrame(
+        [(1, "a@x", t0, "111111", minute(60), 5, "user_login", None), (2, "a@x", minute(5), "222222", minute(60), 5, "admin_login", None),
+         (3, None, t0, "111111", minute(60), 5, "user_login", None), (4, "b@x", t0, "111111", None, None, "user_login", None),
+         (5, "c@x", t0, "111111", minute(60), 5, "user_login", minute(1))],
+        "id bigint, email string, created_at timestamp_ntz, code string, expires_at timestamp_ntz, max_attempts int, purpose string, "
+        "consumed_at timestamp_ntz")
+    a = spark.createDataFrame(
+        [(10, "a@x", minute(10), "111111"), (11, None, minute(10), "111111"), (12, "b@x", minute(10), None), (13, "b@x", minute(11), "111111"),
+         (14, "c@x", minute(10), "111111"), (15, "d@x", minute(10), "111111")],
+        "id bigint, email string, attempted_at timestamp_ntz, code string")
+    out, state = A.otp_outcomes(a, o)
+    assert {r.id: (r.otp_id, r.outcome) for r in out.collect()} == {
+        10: (1, "ok"), 11: (None, "no_otp"), 12: (4, "invalid"), 13: (4, "ok"), 14: (5, "already_used"), 15: (None, "no_otp")}
+    assert state.filter("id = 5").first().consumed_at == minute(1)
+    assert {r.id: r.otp_id for r in A.latest_before(a, o).collect()} == {10: 1, 11: None, 12: 4, 13: 4, 14: 5, 15: None}
+    assert A.otp_outcomes(a.limit(0), o)[0].collect() == [] == A.latest_before(a.limit(0), o.limit(0)).collect()
+
+
+def test_otp_outcomes_do_not_depend_on_the_ranges(spark):
     from bookdesk.sources.fixtures import bridge
     from .conftest import SMALL
     a, o = bridge(spark, SMALL, "otp_attempts"), bridge(spark, SMALL, "otp_requests")
-    lazy = A.otp_outcomes(a, o)[0]
-    mat = A.otp_outcomes(a, o, materialize=True)[0]
-    assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, mat.collect()))
-
-
-def test_unique_slugs_materialized_equals_lazy(spark):
-    t0 = ts("2024-01-01 00:00:00")
-    ex = spark.createDataFrame([("foo",), ("foo-1",), ("bar-2",)], "slug string")
-    d = spark.createDataFrame([(1, "foo", t0), (2, "foo-1", t0), (3, "bar", t0), (4, "foo", t0)],
-                              "draft_id bigint, slug string, requested_at timestamp_ntz")
-    lazy = sorted(map(tuple, T.assign_slugs(ex, d).collect()))
-    assert lazy == sorted(map(tuple, T.assign_slugs(ex, d, materialize=True).collect()))
+    one, many = (A.otp_outcomes(a, o, parts=n)[0] for n in (1, 50))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
