@@ -141,14 +141,13 @@ def booking_request_outcomes(b: DataFrame, reqs: DataFrame) -> DataFrame:
              & F.coalesce(F.col("payment_amount") >= 0, F.lit(False))
              & F.coalesce(F.col("refund_window_hours").between(0, 720), F.lit(True)))
     r = reqs.withColumn("_valid", valid)
-    seen = broadcast_if_small(
-        b.select(F.col("payment_reference").alias("_ref")).join(
-            broadcast_if_small(reqs.select(F.col("payment_reference").alias("_ref")).distinct()), "_ref", "left_semi")
-        .distinct())
-    r = r.join(seen, F.col("payment_reference") == F.col("_ref"), "left")
+    # what is known of a reference: the first valid request, and whether a booking has it
     firsts = r.filter("_valid").groupBy(F.col("payment_reference").alias("_pref")).agg(
         F.min(F.struct("requested_at", "request_id")).alias("_first"))
-    r = r.join(broadcast_if_small(stored(firsts)), F.col("payment_reference") == F.col("_pref"), "left").drop("_pref")
+    booked = (b.select(F.col("payment_reference").alias("_pref")).join(broadcast_if_small(firsts.select("_pref")), "_pref", "left_semi")
+              .distinct().withColumn("_ref", F.lit(True)))
+    known = stored(firsts.join(booked, "_pref", "left"))
+    r = r.join(broadcast_if_small(known), F.col("payment_reference") == F.col("_pref"), "left").drop("_pref")
     outcome = (F.when(~F.col("_valid"), "invalid")
                .when(F.col("_ref").isNotNull() | (F.struct("requested_at", "request_id") != F.col("_first")), "exists")
                .otherwise("created"))

@@ -88,7 +88,7 @@ FROM query_messages m JOIN queries q ON q.id = m.query_id WHERE m.sender_type =
 UNION ALL
 SELECT 'refund', b.id, NULL, {_NAME}, concat('Dear ', {_NAME}, ',', chr(10), 'for booking ', booking_reference, ' we paid back ',
        coalesce(nullif(b.currency, ''), 'INR'), ' ', CAST(CAST(e.amount AS DECIMAL(14,2)) AS VARCHAR), '.', chr(10),
-       CASE WHEN coalesce(e.gateway_reference, '') <> '' THEN concat('Gateway reference: ', e.gateway_reference, chr(10)) ELSE '' END,
+       CASE WHEN b.id % 2 = 0 THEN concat('Gateway reference: GW-', b.id, chr(10)) ELSE '' END,
        CASE WHEN b.id % 3 = 0 THEN concat('Reason: plans of ', b.id, chr(10)) ELSE '' END,
        'Banks take up to ten business days to show it.', chr(10), '{D.DEFAULT_BRAND}')
 FROM bookings b JOIN refund_events e ON e.booking_id = b.id AND e.action = 'completed'
@@ -99,7 +99,8 @@ def email_outbox_bodies(spark, sf):
     ev = bridge(spark, sf, "refund_events").filter(F.col("action") == "completed").select(
         "booking_id", "amount", F.lit(None).cast("string").alias("currency"),
         F.when(F.col("booking_id") % 3 == 0, F.concat(F.lit("plans of "), F.col("booking_id"))).alias("reason"),
-        "gateway_reference", (F.col("booking_id") % 5 != 0).alias("notify"))
+        F.when(F.col("booking_id") % 2 == 0, F.concat(F.lit("GW-"), F.col("booking_id"))).alias("gateway_reference"),
+        (F.col("booking_id") % 5 != 0).alias("notify"))
     return D.email_outbox(_b(spark, sf), bridge(spark, sf, "queries"), m, ev, COPY_TO).select(
         "kind", "ref_id", "cc", "greeting_name", "body_text")
 

@@ -77,6 +77,12 @@ def first_receipt(spark, sf):
     return I.first_receipt(_receipts(spark, sf)).select("transaction_id", "id", "created_at", "amount")
 
 
+NEW_BOOKING = [
+    "id", "booking_reference", "user_id", "booking_type", "status", "payment_status", "payment_amount", "currency",
+    "payment_reference", "lead_first_name", "lead_last_name", "check_in_date", "travel_date", "total_travellers",
+    "is_refundable", "created_at"]
+
+
 @register("create_bookings", with_views(["receipts_raw", "bookings"], """
 SELECT (SELECT coalesce(max(id), 0) FROM bookings) + f.id AS id,
        concat('BS-', CAST(epoch_us(f.created_at) // 1000 AS VARCHAR), '-', upper(substr(sha256(f.transaction_id), 1, 8))) AS booking_reference,
@@ -88,10 +94,7 @@ SELECT (SELECT coalesce(max(id), 0) FROM bookings) + f.id AS id,
 FROM f WHERE NOT EXISTS (SELECT 1 FROM bookings b WHERE b.payment_reference = f.transaction_id)""", p=_PARSED, f=_FIRST))
 def create_bookings(spark, sf):
     b = B.conform(bridge(spark, sf, "bookings"), "bookings")
-    return I.create_bookings(b, _receipts(spark, sf)).select(
-        "id", "booking_reference", "user_id", "booking_type", "status", "payment_status", "payment_amount",
-        "currency", "payment_reference", "lead_first_name", "lead_last_name", "check_in_date", "travel_date",
-        "total_travellers", "is_refundable", "created_at")
+    return I.create_bookings(b, _receipts(spark, sf)).select(*NEW_BOOKING)
 
 
 @register("create_bookings_idempotent", with_views(["receipts_raw"], """

@@ -35,4 +35,5 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{mod}")
 
 
-MODULES = ["q_support", "q_listing", "q_bookings", "q_ingest", "q_accounts", "q_content", "q_documents", "q_outcomes"]
+MODULES = ["q_support", "q_listing", "q_bookings", "q_ingest", "q_accounts", "q_content", "q_documents", "q_outcomes",
+           "q_streams"]

@@ -302,41 +302,36 @@ def refund_timer(changed: str = "changed_at") -> dict:
     return {"_changed_ms": F.unix_millis(F.col(changed)), "_exp_ms": F.when(open_, ends)}
 
 
+_SETTLED = -2
+
+
 def _window_end(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the last change and the end of the window it leaves (-1: none)."""
+    """State: the last change and the end of the window it leaves (-1: none, _SETTLED: emitted)."""
     changed, ends = state.get if state.exists else (None, -1)
-    fire = None
-    if state.hasTimedOut:
-        state.remove()
-        fire = ends
-    else:
+    if not state.hasTimedOut:
         rows = sorted({(int(c), -1 if pd.isna(e) else int(e)) for pdf in pdfs
                        for c, e in zip(pdf["_changed_ms"], pdf["_exp_ms"], strict=True)})
         for c, e in rows:
-            if changed is not None and c < changed:
-                continue  # an older change than the one known
-            if changed is None and 0 <= e < c:
-                continue  # its window ended before the change: that was settled then
-            if ends >= 0 and ends <= c and changed is not None:
+            if ends == _SETTLED or (changed is not None and c < changed):
+                continue  # settled, or an older change than the one known
+            if 0 <= ends <= c:
                 break  # the window ended before this change
             changed, ends = c, e
-        if 0 <= ends <= state.getCurrentWatermarkMs():
-            fire = ends
-            if state.exists:
-                state.remove()
-        elif changed is not None:
+        if changed is not None:
             state.update((changed, ends))
-            if ends >= 0:
-                state.setTimeoutTimestamp(ends)
-    if fire is not None and fire >= 0:
-        yield pd.DataFrame({"booking_id": [key[0]], "expires_at": [pd.to_datetime(fire, unit="ms")]})
+    if 0 <= ends <= state.getCurrentWatermarkMs() or state.hasTimedOut:
+        state.update((changed, _SETTLED))
+        yield pd.DataFrame({"booking_id": [key[0]], "expires_at": [pd.to_datetime(ends, unit="ms")]})
+    elif ends >= 0:
+        state.setTimeoutTimestamp(ends)
 
 
 def stream_refund_windows(changes: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """changes(id, status, payment_status, is_refundable, refund_window_hours, created_at,
     changed_at): a booking's row at its creation and at each later change. Emits (booking_id,
     expires_at) once event time passes the end of the window of a booking that can then be
-    refunded; a cancellation, refund or new window before that cancels or moves the timer."""
+    refunded; a cancellation, refund or new window before that cancels or moves the timer. The
+    state is two numbers a booking and stays, so that a booking's window ends once."""
     workers_find_package(changes.sparkSession)
     c = to_event_time(to_event_time(changes, "created_at"), "changed_at").withWatermark("changed_at", watermark)
     return c.withColumns(refund_timer()).groupBy("id").applyInPandasWithState(

@@ -1,11 +1,73 @@
 """A hot key holding a third of the rows: results stay exact and AQE
 splits the skewed join partition."""
 
+import contextlib
 import datetime as dt
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from bookdesk.operators import support as S
+from bookdesk.operators import ingest as I, refunds as R, support as S
+
+
+SPLIT_SMALL = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+               "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+               "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+               "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+
+@contextlib.contextmanager
+def small_splits(spark):
+    """Settings under which Spark splits partitions of some kilobytes."""
+    old = {k: spark.conf.get(k, None) for k in SPLIT_SMALL}
+    try:
+        for k, v in SPLIT_SMALL.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_booking_is_split_where_its_winner_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(R, "broadcast_if_small", lambda df: df)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, 0 if i % 3 == 0 else 1 + i % 997, base + dt.timedelta(seconds=(i * 7919) % 30011), i % 5 == 0) for i in range(30_000)]
+    r = spark.createDataFrame(rows, "request_id bigint, booking_id bigint, requested_at timestamp_ntz, won boolean").repartition(16)
+    with small_splits(spark):
+        out = R._with_winner(r, F.col("won"))
+        assert "skew=true" in final_plan(out)
+        got = {x.request_id: x._win for x in out.collect()}
+    best = {}
+    for i, b, t, won in rows:
+        if won and (b not in best or (t, i) < best[b]):
+            best[b] = (t, i)
+    assert len(got) == len(rows) and all((got[i] and tuple(got[i])) == best.get(b) for i, b, _, _ in rows)
+
+
+def test_hot_payment_reference_is_split(spark, monkeypatch):
+    monkeypatch.setattr(I, "broadcast_if_small", lambda df: df)
+    n = 20_000
+    reqs = spark.range(n).select(
+        F.col("id").alias("request_id"), F.lit(1).alias("user_id"), F.lit("hotel").alias("booking_type"),
+        F.lit("a").alias("lead_first_name"), F.lit("b").alias("lead_last_name"), F.lit("a@b.c").alias("lead_email"),
+        F.lit("1").alias("lead_mobile"), F.lit("p").alias("product_title"), F.lit(1).alias("payment_amount"), F.lit("EUR").alias("currency"),
+        F.lit("g").alias("payment_gateway"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 900)).alias("payment_reference"),
+        F.lit(24).alias("refund_window_hours"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).cast("timestamp_ntz").alias("requested_at")).repartition(16)
+    b = spark.createDataFrame([("r5",)], "payment_reference string")
+    with small_splits(spark):
+        out = I.booking_request_outcomes(b, reqs)
+        assert "skew=true" in final_plan(out)
+        got = {r.outcome: r["count"] for r in out.groupBy("outcome").count().collect()}
+    # the references r0..r899 that are no multiple of three, without the one booked already, and the hot one
+    refs = {f"r{i % 900}" for i in range(n) if i % 3} - {"r5"} | {"hot"}
+    assert got["created"] == len(refs) and got["exists"] == n - len(refs)
 
 
 def test_hot_thread_is_split_and_exact(spark):

@@ -148,3 +148,74 @@ def test_bookings_stream_knows_retries_and_late_receipts_of_any_age(spark, scrat
     src = T.read_stream(spark, path, T.RAW_RECEIPT_DDL, max_files_per_trigger=1)
     T.start_bookings(src, "t2_late_table", table).awaitTermination(300)
     assert sorted(r.id for r in spark.read.parquet(table).collect()) == [0, 1, 4]
+
+
+def test_bookings_store_takes_crashed_and_repeated_batches(spark, scratch):
+    """A retry after a year, and a micro-batch that wrote before it could commit, add nothing."""
+    raw = bridge(spark, MEDIUM, "receipts_raw")
+    path, store = f"{scratch}/receipts_store", f"{scratch}/store"
+    write_slices(raw, path, "created_at", 2)
+    later = raw.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 YEAR")).withColumn("id", F.col("id") + 10**7)
+    later.coalesce(1).write.mode("append").parquet(path)
+    b = bridge(spark, MEDIUM, "bookings")
+    want = I.create_bookings(b, I.parse_receipts(raw))
+    for k in range(2):  # a new checkpoint each time: all batches are run again over what the store holds
+        src = T.read_stream(spark, path, T.RAW_RECEIPT_DDL, max_files_per_trigger=1)
+        T.start_bookings_store(src, f"t2_store_{k}_{time.time_ns()}", store, b, buckets=8).awaitTermination(300)
+    got = spark.read.parquet(store).drop("_bucket")
+    assert got.count() == want.count() > 0
+    cols = ["id", "payment_reference", "booking_reference", "payment_amount", "user_id", "created_at"]
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+
+
+def test_threads_in_any_file_order(spark, scratch):
+    t0 = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
+    m = spark.sql(f"SELECT id, id % 3 AS query_id, IF(id % 2 = 0, 'user', 'admin') AS sender_type, concat('m', id) AS message, "
+                  f"{t0} + make_dt_interval(0, CAST(id AS INT)) AS created_at FROM range(60)")
+    v = spark.sql(f"SELECT id % 3 AS query_id, IF(id % 2 = 0, 'user', 'admin') AS side, "
+                  f"{t0} + make_dt_interval(0, CAST(id * 7 AS INT)) AS visited_at FROM range(7)")
+    events = T.thread_events(m, v)
+    want = None
+    for seed in range(3):
+        path = f"{scratch}/threads_{seed}"
+        for k in range(4):
+            events.filter(F.pmod(F.xxhash64("query_id", "id", "at", F.lit(seed)), F.lit(4)) == k).coalesce(1).write.mode("append").parquet(path)
+        out = f"{scratch}/threads_out_{seed}"
+        src = T.read_stream(spark, path, T.EVENT_DDL, max_files_per_trigger=1)
+        q = (T.stream_threads(src).writeStream.outputMode("update").option("checkpointLocation", f"{out}_ck")
+             .foreachBatch(lambda b, e, out=out: b.write.mode("append").parquet(out)).trigger(availableNow=True).start())
+        q.awaitTermination(300)
+        last = spark.read.parquet(out).groupBy("query_id").agg(F.max_by(F.struct("*"), "n_events").alias("r")).select("r.*")
+        got = sorted(map(tuple, last.collect()))
+        want = want or got
+        assert got == want
+    seen = {(r.query_id, r.side): r.visited_at for r in v.groupBy("query_id", "side").agg(F.max("visited_at").alias("visited_at")).collect()}
+    for r in got:
+        rows = [x for x in m.filter(F.col("query_id") == r[0]).collect()]
+        for side, unread in (("user", r[6]), ("admin", r[7])):
+            mark = seen.get((r[0], side))
+            assert unread == sum(x.sender_type != side and (mark is None or x.created_at > mark) for x in rows)
+
+
+def test_window_timers_are_cancelled_and_moved(spark, scratch):
+    def row(i, status, pay, hours, day, changed):
+        return (i, status, pay, True, hours, f"2024-01-{day:02d} 00:00:00", changed)
+    files = [
+        [row(k, "confirmed", "paid", 24, 1, "2024-01-01 00:00:00") for k in (1, 2, 3, 4, 5)] + [row(6, "refunded", "paid", 24, 1, "2024-01-01 00:00:00")],
+        [row(2, "cancelled", "paid", 24, 1, "2024-01-01 10:00:00"), row(3, "confirmed", "paid", 72, 1, "2024-01-01 10:00:00"),
+         row(4, "refunded", "refunded", 24, 1, "2024-01-01 12:00:00")],
+        [row(1, "refunded", "refunded", 24, 1, "2024-01-03 00:00:00"), row(5, "confirmed", "paid", 6, 1, "2024-01-01 11:00:00")],
+        [row(9, "cancelled", "paid", 24, 20, "2024-01-20 00:00:00")], [row(9, "cancelled", "paid", 24, 20, "2024-01-21 00:00:00")],
+    ]
+    ddl = ("id bigint, status string, payment_status string, is_refundable boolean, refund_window_hours int, created_at string, changed_at string")
+    path = f"{scratch}/changes"
+    for f in files:
+        df = spark.createDataFrame(f, ddl)
+        for c in ("created_at", "changed_at"):
+            df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    src = T.read_stream(spark, path, df.schema.simpleString()[7:-1].replace(":", " "), max_files_per_trigger=1)
+    got = run(spark, T.stream_refund_windows(src, "3 days"), f"t6_windows_{time.time_ns()}")
+    assert {(r.booking_id, str(r.expires_at)) for r in got.collect()} == {
+        (1, "2024-01-02 00:00:00"), (3, "2024-01-04 00:00:00"), (5, "2024-01-01 06:00:00")}
