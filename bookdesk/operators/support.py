@@ -139,13 +139,14 @@ def queries_with_handler(q: DataFrame, admins: DataFrame) -> DataFrame:
 
 
 def thread_messages(m: DataFrame, admins: DataFrame) -> DataFrame:
-    """Messages with the sending admin's name, ordered per thread by
-    (created_at, id) inside each partition (threads are co-partitioned)."""
+    """Messages with the sending admin's name, in order of (thread, created_at, id): dealt by
+    ranges of it and sorted, so a thread with very many messages spreads over partitions
+    that follow each other."""
     a = broadcast_if_small(admins.select(F.col("id").alias("_aid"), F.col("name").alias("admin_name")))
     cols = ["id", "query_id", "sender_type", "sender_user_id", "sender_admin_id", "message",
             "email_sent", "email_sent_at", "created_at"]
     out = conform_messages(m).select(*cols).join(a, F.col("sender_admin_id") == a["_aid"], "left").drop("_aid")
-    return out.repartition("query_id").sortWithinPartitions("query_id", "created_at", "id")
+    return out.repartitionByRange("query_id", "created_at", "id").sortWithinPartitions("query_id", "created_at", "id")
 
 
 def queries_with_stats(q: DataFrame, m: DataFrame) -> DataFrame:

@@ -75,3 +75,43 @@ def starts_of(key, before) -> np.ndarray:
         key = key.combine_chunks()
     same = pc.fill_null(pc.equal(key[1:], key[:-1]), False).to_numpy(zero_copy_only=False)
     return np.r_[before is None or key[0].as_py() != before, ~same]
+
+
+def _of_last_key(key: str) -> Summary:
+    """(first key, last key, rows of the last key) of a partition."""
+    def run(batches: Iterator):
+        first, last, n = None, None, 0
+        for k, b in enumerate(batches):
+            begin = np.flatnonzero(starts_of(b.column(key), last))
+            first = b.column(key)[0].as_py() if k == 0 else first
+            last = b.column(key)[-1].as_py()
+            n = b.num_rows - int(begin[-1]) if len(begin) else n + b.num_rows
+        return first, last, n
+    return run
+
+
+def positions(df: DataFrame, key: str, *order: Column, name: str, parts: int | None = None) -> DataFrame:
+    """Adds ``name``, the place (from 1) of each row among those of its ``key`` in ``order``,
+    which must be total. Rows come out in order of (key, order); a key of any size spreads
+    over partitions. Rows without a key are each the first of their own."""
+    import pyarrow as pa
+
+    ordered = in_order(df, key, *order, parts=parts)
+    carried, now = {}, None
+    for part, (first, last, n) in summaries(ordered, _of_last_key(key)):
+        carried[part] = now
+        now = (last, n + now[1] if now is not None and first == last == now[0] else n)
+    cols = df.columns
+
+    def step(before, batches: Iterator) -> Iterator:
+        last, n = before or (None, 0)
+        for b in batches:
+            starts = starts_of(b.column(key), last)
+            at = np.arange(b.num_rows)
+            begin = np.maximum.accumulate(np.where(starts, at, -1))
+            place = at - begin + np.where(begin < 0, n, 1)
+            last, n = b.column(key)[-1].as_py(), int(place[-1])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(place, pa.int32())], [*cols, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return scan(ordered, carried, step, f"{schema}, `{name}` int")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from bookdesk.operators import ingest as I, refunds as R, support as S
+from bookdesk.plans.ordered import positions
 
 
 SPLIT_SMALL = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
@@ -70,6 +71,21 @@ def test_hot_payment_reference_is_split(spark, monkeypatch):
     assert got["created"] == len(refs) and got["exists"] == n - len(refs)
 
 
+def test_positions_of_a_hot_user_spread_over_partitions(spark):
+    n, parts = 30_000, 20
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id") % 700 + 1).alias("user_id"),
+                               F.pmod(F.xxhash64("id"), F.lit(5000)).alias("at"))
+    got = positions(df, "user_id", F.col("at").desc(), F.col("id").desc(), name="position", parts=parts)
+    rows = df.toPandas().sort_values(["at", "id"], ascending=False)
+    known = rows[rows.user_id.notna()]
+    want = dict(zip(known.id, known.groupby("user_id").cumcount() + 1, strict=True))
+    out = got.collect()
+    assert len(out) == n and all(r.position == want.get(r.id, 1) for r in out)
+    spread = got.filter("user_id = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) > parts // 5 and max(r["count"] for r in spread) < 3 * n / parts
+    assert positions(df.limit(0), "user_id", F.col("id").desc(), name="position").collect() == []
+
+
 def test_hot_thread_is_split_and_exact(spark):
     base = dt.datetime(2024, 1, 1)
     n = 30000
