@@ -172,9 +172,12 @@ def _limiter(cooldown_us: int):
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "id"])
-        t = rows["_us"].to_numpy(dtype=np.int64)
-        keep = np.zeros(len(rows), dtype=bool)
+        # a trigger's requests of the e-mail: two numbers each
+        held = [(p["_us"].to_numpy(dtype=np.int64), p["id"].to_numpy(dtype=np.int64)) for p in pdfs]
+        t, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((ids, t))
+        t, ids = t[order], ids[order]
+        keep = np.zeros(len(t), dtype=bool)
         i = 0 if last is None else int(np.searchsorted(t, last + cooldown_us, side="left"))
         while i < len(t):
             keep[i] = True
@@ -189,9 +192,8 @@ def _limiter(cooldown_us: int):
                 state.setTimeoutTimestamp(until_ms)
             elif state.exists:
                 state.remove()
-        out = rows[keep]
-        yield pd.DataFrame({"id": out["id"].to_numpy(), "email": out["email"].to_numpy(),
-                            "created_at": pd.to_datetime(out["_us"].to_numpy(), unit="us")})
+        yield pd.DataFrame({"id": ids[keep], "email": np.repeat(key[0], int(keep.sum())),
+                            "created_at": pd.to_datetime(t[keep], unit="us")})
     return fn
 
 
