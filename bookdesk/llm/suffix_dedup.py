@@ -10,12 +10,12 @@ the end of a document.
    under one anchor hash and at one distance before it need to be compared. A
    document's starts fall into runs under one anchor, about one run in 85 bytes;
    the bytes that a run's strings span are its context.
-2. Anchor hashes are counted over the corpus, combined before the shuffle. Runs
-   of an anchor found once are unique. Where all runs of an anchor have
-   one context, all their starts are repeated. That settles exact copies.
-3. Other anchors have several contexts; each is taken once, with its count. Starts
-   of contexts counted twice are repeated. The starts of all contexts of an
-   anchor are suffixes of their contexts and are sorted deep-shallow: a multikey
+2. A first pass counts anchor hashes alone. Runs of an anchor found once are
+   unique. The second pass keeps the others, each with a 128-bit hash of its
+   context; equal contexts are taken once, with their count. Starts of contexts
+   counted twice are repeated. That settles exact copies.
+3. The starts of all contexts of an anchor that has several
+   are suffixes of their contexts and are sorted deep-shallow: a multikey
    quicksort over 8-byte keys down to a shallow depth leaves groups with long
    common prefixes; these grow blind tries, level by level, each node skipping
    to the first 8-byte word in which its suffixes differ. Leaves that reach the
@@ -24,7 +24,9 @@ the end of a document.
 
 An anchor with very many contexts is split by ranges of the distance to the start
 and, within a range, by the bytes that all strings of the range share; strings
-in different parts are never equal, and their tasks run apart. Memory of a task:
+in different parts are never equal, and their tasks run apart. Every table that
+runs or texts are joined with is written first, so that the join shuffles both sides and Spark
+splits a hot anchor, context or text. Memory of a task:
 one block of suffixes, or those of the largest part.
 
 Contexts and anchors are compared by 64-bit hashes, the sorted strings byte by byte;
@@ -45,7 +47,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import checkpointed, id_and_text, slices
+from .tables import id_and_text, slices, stored
 
 
 class Plan(NamedTuple):
@@ -87,11 +89,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def anchored(buf: np.ndarray, ends: np.ndarray, plan: Plan):
     """Runs of starts under one anchor in documents that lie end to end in
-    ``buf``: (first start, starts, anchor place, anchor hash, context hash)."""
+    ``buf``: (first start, starts, anchor place, anchor hash)."""
     n, length, gram = len(buf), plan.length, plan.gram
     none = np.empty(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, none.astype(U)
     power, inverse = powers(n + 1)
     sums = np.zeros(n + 1, U)
     np.cumsum((buf.astype(U) + U(1)) * power[:n], out=sums[1:])
@@ -111,13 +113,21 @@ def anchored(buf: np.ndarray, ends: np.ndarray, plan: Plan):
     inside = starts + length <= ends[own]
     starts, anchor, own = starts[inside], anchor[inside], own[inside]
     if not len(starts):
-        return none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, none.astype(U)
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])])
     first, place = starts[new], anchor[new]
     count = np.diff(np.r_[new, len(starts)])
-    span = first + count - 1 + length
-    context = mixed(((sums[span] - sums[first]) * inverse[first]) ^ mixed((place - first).astype(U) * U(1 << 20) + count.astype(U)))
-    return first, count, place, grams[place], context
+    return first, count, place, grams[place]
+
+
+def contexts_hashed(buf: bytes, first: np.ndarray, count: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """128 bits over each run's context and its place in it, as two columns."""
+    import xxhash
+
+    view, hashed = memoryview(buf), xxhash.xxh3_128_digest
+    ends, shapes = first + count - 1 + length, ((place - first) << 32) + count
+    digests = [hashed(view[a:b], seed) for a, b, seed in zip(first.tolist(), ends.tolist(), shapes.tolist(), strict=True)]
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
 def pieces(data: bytes, plan: Plan) -> list[tuple[int, bytes]]:
@@ -128,41 +138,56 @@ def pieces(data: bytes, plan: Plan) -> list[tuple[int, bytes]]:
     return [(at, data[at:at + step + plan.length - 1]) for at in range(0, len(data) - plan.length + 1, step)]
 
 
-def runs(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``text_id, lo, n, off, key, ctx``: every run of starts of every text."""
+def groups(batches: Iterator, plan: Plan) -> Iterator[tuple[list, list[int], list[bytes]]]:
+    """(text_ids, first bytes, bytes) of segments, about ``plan.segment`` bytes together."""
+    ids, lows, group, held = [], [], [], 0
+    for b in slices(batches, 1024):
+        for i, t in zip(b.column("text_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            data = t.encode("utf-8")
+            if len(data) < plan.length:
+                continue
+            for low, part in pieces(data, plan):
+                ids.append(i)
+                lows.append(low)
+                group.append(part)
+                held += len(part)
+                if held >= plan.segment:
+                    yield ids, lows, group
+                    ids, lows, group, held = [], [], [], 0
+    if group:
+        yield ids, lows, group
+
+
+def anchor_keys(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``key``: the anchor hash of every run of every text."""
     import pyarrow as pa
 
-    def emit(ids, lows, group, plan):
-        ends = np.cumsum([len(x) for x in group])
-        first, count, place, key, ctx = anchored(np.frombuffer(b"".join(group), np.uint8), ends, plan)
-        own = np.searchsorted(ends, first, side="right")
-        base = np.r_[0, ends[:-1]][own]
-        text_id = pa.array(ids, pa.binary()).take(pa.array(own))
-        low = first - base + np.array(lows, np.int64)[own]
-        return pa.RecordBatch.from_arrays(
-            [text_id, pa.array(low.astype(np.int64)), pa.array(count.astype(np.int32)),
-             pa.array((place - first).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64))],
-            ["text_id", "lo", "n", "off", "key", "ctx"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, group in groups(batches, plan):
+            key = anchored(np.frombuffer(b"".join(group), np.uint8), np.cumsum([len(x) for x in group]), plan)[3]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+    return docs.mapInArrow(run, "key long")
+
+
+def runs(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``text_id, lo, n, off, key, ctx, ctx2``: every run of starts of every text."""
+    import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lows, group, held = [], [], [], 0
-        for b in slices(batches, 1024):
-            for i, t in zip(b.column("text_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                data = t.encode("utf-8")
-                if len(data) < plan.length:
-                    continue
-                for low, part in pieces(data, plan):
-                    ids.append(i)
-                    lows.append(low)
-                    group.append(part)
-                    held += len(part)
-                    if held >= plan.segment:
-                        yield emit(ids, lows, group, plan)
-                        ids, lows, group, held = [], [], [], 0
-        if group:
-            yield emit(ids, lows, group, plan)
-
-    return docs.mapInArrow(run, "text_id binary, lo long, n int, off int, key long, ctx long")
+        for ids, lows, group in groups(batches, plan):
+            buf, ends = b"".join(group), np.cumsum([len(x) for x in group])
+            first, count, place, key = anchored(np.frombuffer(buf, np.uint8), ends, plan)
+            own = np.searchsorted(ends, first, side="right")
+            low = first - np.r_[0, ends[:-1]][own] + np.array(lows, np.int64)[own]
+            context = contexts_hashed(buf, first, count, place, plan.length)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.binary()).take(pa.array(own)), pa.array(low.astype(np.int64)), pa.array(count.astype(np.int32)),
+                 pa.array((place - first).astype(np.int32)), pa.array(key.view(np.int64)),
+                 pa.array(context[:, 0].copy()), pa.array(context[:, 1].copy())],
+                ["text_id", "lo", "n", "off", "key", "ctx", "ctx2"])
+
+    return docs.mapInArrow(run, "text_id binary, lo long, n int, off int, key long, ctx long, ctx2 long")
 
 
 def words_of(rows: np.ndarray) -> np.ndarray:
@@ -318,30 +343,25 @@ def contexts_of(wanted: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    own = wanted.groupBy("text_id").agg(F.collect_list(F.struct("key", "lo", "n", "off", "c", "hot")).alias("wanted"))
+    own = stored(wanted.groupBy("text_id").agg(F.collect_list(F.struct("key", "lo", "n", "off", "c", "hot")).alias("wanted")))
     return docs.join(own, "text_id").mapInArrow(
         run, "bucket long, text_id binary, lo long, n int, off int, c long, data binary")
 
 
 def spans(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """``text_id, a, b``: byte spans of repeated strings, unmerged."""
-    found = runs(docs, plan)
-    keys = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n_runs"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
-            .filter("n_runs > 1").select("key", (F.col("low") != F.col("high")).alias("several")))
-    again = checkpointed(found.join(keys, "key"))
-    span = lambda df: df.select("text_id", F.col("lo").alias("a"),
-                                (F.col("lo") + F.col("n") - 1 + plan.length).alias("b"))
-    plain = span(again.filter("NOT several"))
-    several = again.filter("several")
+    keys = anchor_keys(docs, plan).groupBy("key").agg(F.count(F.lit(1)).alias("n_runs"))
+    again = stored(runs(docs, plan).join(stored(keys.filter("n_runs > 1").select("key")), "key"))
     # each context once, at one of its places
-    once = several.groupBy("key", "ctx").agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct("text_id", "lo", "n", "off")).alias("at"))
-    once = checkpointed(once.select("key", "ctx", "c", "at.*"))
-    hot = once.groupBy("key").agg((F.count(F.lit(1)) > plan.many).alias("hot"))
-    counted = once.filter("c > 1").select("key", "ctx")
-    copies = span(several.join(counted, ["key", "ctx"]))
-    contexts = contexts_of(once.join(hot, "key").drop("ctx"), docs, plan)
-    return plain.unionAll(copies).unionAll(repeated_starts(contexts, plan))
+    context = ["key", "ctx", "ctx2"]
+    once = again.groupBy(*context).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("text_id", "lo", "n", "off")).alias("at"))
+    once = stored(once.select(*context, "c", "at.*"))
+    copies = again.join(once.filter("c > 1").select(*context), context).select(
+        "text_id", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + plan.length).alias("b"))
+    per_key = once.groupBy("key").agg(F.count(F.lit(1)).alias("n_contexts")).filter("n_contexts > 1")
+    several = stored(per_key.select("key", (F.col("n_contexts") > plan.many).alias("hot")))
+    contexts = contexts_of(once.drop("ctx", "ctx2").join(several, "key"), docs, plan)
+    return copies.unionAll(repeated_starts(contexts, plan))
 
 
 def with_text_id(docs: DataFrame) -> DataFrame:
@@ -370,11 +390,10 @@ def without(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def _per_text(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Each row with all spans of its text (``found``, null if none)."""
-    own = spans(docs.select("text_id", "text"), plan).groupBy("text_id").agg(
-        F.collect_set(F.struct("a", "b")).alias("found"))
-    return docs.join(own, "text_id", "left")
+def spans_by_text(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``text_id, found``: all spans of each text that has any."""
+    found = spans(docs.select("text_id", "text"), plan)
+    return stored(found.groupBy("text_id").agg(F.collect_set(F.struct("a", "b")).alias("found")))
 
 
 def removed(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
@@ -395,7 +414,8 @@ def removed(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", *names])
 
-    return _per_text(with_text_id(id_and_text(docs)), plan).select("doc_id", "text", "found").mapInArrow(
+    rows = with_text_id(id_and_text(docs))
+    return rows.join(spans_by_text(rows, plan), "text_id", "left").select("doc_id", "text", "found").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -413,9 +433,11 @@ def cut_text(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
                 texts.append(without(t.encode("utf-8"), cuts).decode("utf-8", "ignore") if cuts else t)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                       F.struct("*").alias("row"))
-    cut = _per_text(with_text_id(rows), plan).select("row", "text", "found")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = with_text_id(rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text")))
+    # the text is in the row; it is not shuffled beside it
+    cut = rows.select("row", "text_id").join(spans_by_text(rows, plan), "text_id", "left").select("row", text.alias("text"), "found")
     schema = cut.select("row", "text").schema
     return replaced(cut.mapInArrow(run, schema), docs.columns)
 

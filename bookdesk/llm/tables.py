@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -38,6 +39,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read again. Unlike a checkpoint it
+    forgets how the rows were dealt, so a join shuffles them anew and Spark can split
+    a hot key of the other side."""
+    spark = df.sparkSession
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just ``doc_id`` (long) and ``text`` (null becomes empty), whatever else
     the input carries and under whatever clashing names."""

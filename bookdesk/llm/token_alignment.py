@@ -27,7 +27,6 @@ are ignored; texts of any length are taken whole; ties for the highest count are
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -38,9 +37,8 @@ from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import ensure_checkpoint_dir
 from .byte_bpe import codec_ranks
-from .tables import BYTE_BPE, BYTE_BPE_RANKS, PIECE_BPE, id_and_text, slices
+from .tables import BYTE_BPE, BYTE_BPE_RANKS, PIECE_BPE, id_and_text, slices, stored
 
 
 class Plan(NamedTuple):
@@ -306,18 +304,10 @@ def chunks(docs: DataFrame, plan: Plan) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, _CHUNK)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder, read again."""
-    spark = df.sparkSession
-    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
-
-
 def pair_counts(held: DataFrame) -> DataFrame:
     """``pair, total, best``: how many links hold a pair, and whether no pair of its B id has more."""
     once = held.select(F.explode(F.arrays_zip("pair", "times")).alias("p")).select("p.pair", "p.times")
-    total = written(once.groupBy("pair").agg(F.sum("times").alias("total")), "align-pairs")
+    total = stored(once.groupBy("pair").agg(F.sum("times").alias("total")))
     b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     highest = total.groupBy(b_id.alias("b_id")).agg(F.max("total").alias("highest"))  # one row an entry of B
     rated = total.withColumn("b_id", b_id).join(F.broadcast(highest), "b_id")
@@ -329,7 +319,7 @@ def digests(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     n_group_links`` per document."""
     import pyarrow as pa
 
-    held = written(chunks(docs, plan), "align-chunks")
+    held = stored(chunks(docs, plan))
     asked = held.select("chunk", F.explode("pair").alias("pair"))
     rated = asked.join(pair_counts(held), "pair").groupBy("chunk").agg(
         F.collect_list(F.struct("pair", "total", "best")).alias("rated"))
