@@ -3,15 +3,16 @@
 Alternates two rounds until nothing changes: every node hands its larger
 neighbours the smallest node it knows (large star), then its smaller ones
 (small star). Each round is a partial minimum by node and one join, so a node
-with very many edges is combined before it is shuffled and split by the
-adaptive join; no neighbourhood is ever gathered. Edges are checkpointed after
-each round. A component ends as a star around its smallest node."""
+with very many edges is combined before it is shuffled. The minima are written as a
+table first: the join then shuffles both sides, and Spark splits such a node's edges
+(joined straight away, they would all follow the minimum into one task). No
+neighbourhood is ever gathered. Edges are checkpointed after each round. A component ends as a star around its smallest node."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import checkpointed
+from .tables import checkpointed, stored
 
 
 def _pointed(edges: DataFrame) -> DataFrame:
@@ -22,11 +23,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     # a larger neighbour u of node v takes v's minimum
-    return edges.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
+    return edges.join(stored(least.withColumnRenamed("u", "v")), "v").select("u", F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .tables import checkpointed, id_and_text, slices
+from .tables import checkpointed, id_and_text, slices, stored
 
 
 class Plan(NamedTuple):
@@ -129,7 +129,7 @@ def prefixes(reps: DataFrame, plan: Plan) -> DataFrame:
     """``key, doc_id``: the postings in the prefix of a document, rarest first,
     that another document's prefix holds too."""
     posted = reps.select("doc_id", F.explode("sig").alias("key"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = stored(posted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     own = (posted.join(shared, "key").groupBy("doc_id")
            .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared")))
     # postings that no other document has are the rarest and fill the prefix first
@@ -154,29 +154,41 @@ def colliding(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """The pairs that are near enough on their full sets. Texts are fetched for
-    the documents of the pairs alone."""
+    the documents of the pairs alone. A document ``a`` meets its partners in parts of
+    ``plan.block`` of them: its own text goes to each part once, a partner's to its part."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray | None] = (None, None)
-        for b in slices(batches, 512):
-            keep = []
-            for one, two in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
-                if last[0] != two:
-                    last = two, shingles(two, plan.words)
-                x, y = shingles(one, plan.words), last[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= plan.percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        unit, heads = None, []
+        for batch in slices(batches, 512):
+            out_a, out_b = [], []
+            cols = (batch.column(c).to_pylist() for c in ("a", "part", "b", "text"))
+            for a, part, b, text in zip(*cols, strict=True):
+                if (a, part) != unit:
+                    unit, heads = (a, part), []
+                own = shingles(text, plan.words)
+                if b is None:  # a's own texts come first
+                    heads.append(own)
+                    continue
+                for head in heads:
+                    both = len(np.intersect1d(head, own, assume_unique=True))
+                    if 100 * both >= plan.percent * (len(head) + len(own) - both):
+                        out_a.append(a)
+                        out_b.append(b)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # few ids are sent to the texts, beyond that both are shuffled
     small = pairs.count() <= BROADCAST_PAIRS
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
+    parts = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / plan.block).cast("int").alias("parts")))
+    dealt = pairs.join(parts, "a").select(F.expr("int(pmod(xxhash64(b), parts))").alias("part"), "a", F.col("b").alias("doc_id"))
+    partners = dealt.join(texts, "doc_id").select("a", "part", F.col("doc_id").alias("b"), "text")
+    own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = own.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    rows = own.unionAll(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def across(lists: DataFrame, plan: Plan) -> DataFrame:
@@ -233,7 +245,7 @@ def across(lists: DataFrame, plan: Plan) -> DataFrame:
             yield from flush(held)
 
     # a list of n members has ceil(n / block) blocks; each pair of blocks is a unit of its own
-    sizes = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / plan.block).cast("int").alias("blocks"))
+    sizes = stored(lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / plan.block).cast("int").alias("blocks")))
     dealt = lists.join(sizes, "key").withColumn("own", F.expr("int(pmod(xxhash64(doc_id), blocks))"))
     units = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
@@ -255,13 +267,13 @@ def near_duplicates(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     classes = reps.select("set_key", F.col("doc_id").alias("rep"))
     lists = checkpointed(prefixes(reps, plan))
     heads = lists.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = lists.join(heads, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    first = lists.join(stored(heads), "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     tested = checkpointed(colliding(first, reps, plan))
     links = checkpointed(confirmed(tested, known, plan))
     placed = (lists.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left")
               .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    open_lists = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                  .filter("low <> high").select("key"))
+    open_lists = stored(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                        .filter("low <> high").select("key"))
     rest = placed.join(open_lists, "key").join(reps.select("doc_id", "n_shingles", "sig", "odd"), "doc_id")
     # pairs with the head of a list are settled already
     further = checkpointed(across(rest, plan).join(tested, ["a", "b"], "left_anti"))
@@ -277,19 +289,24 @@ def near_duplicates(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
 def keep_firsts(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """The input's rows and columns: of each component the document with the
     smallest doc_id stays, and of its repeated rows (one doc_id, equal texts) one;
-    rows of one doc_id with different texts stay. Rows without a doc_id stay all."""
+    rows of one doc_id with different texts stay. Of rows without a doc_id one of each text stays."""
     ids = checkpointed(near_duplicates(docs, plan).filter("kept AND doc_id IS NOT NULL")
                        .groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_n_rows")))
     doc_id = F.col("doc_id").cast("long")
     again = ids.filter("_n_rows > 1")
     n_again = again.count()
     single = ids.filter("_n_rows = 1") if n_again else ids
-    out = docs.join(single, doc_id == F.col("_kept_id"), "left_semi").unionAll(docs.filter(doc_id.isNull()))
+    out = docs.join(single, doc_id == F.col("_kept_id"), "left_semi").unionAll(_one_of_equal(docs.filter(doc_id.isNull())))
     if not n_again:
         return out
-    # few ids are sent to the rows, beyond that both are shuffled; equal rows are combined before the shuffle
+    # few ids are sent to the rows, beyond that both are shuffled
     small = F.broadcast(again) if n_again <= BROADCAST_PAIRS else again
-    repeated = docs.join(small, doc_id == F.col("_kept_id"), "left_semi").select(
-        doc_id.alias("id"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("same"), F.struct("*").alias("row"))
-    firsts = repeated.groupBy("id", "same").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
-    return out.unionAll(firsts.select(*(F.col(f"row.`{c}`") for c in docs.columns)))
+    return out.unionAll(_one_of_equal(docs.join(small, doc_id == F.col("_kept_id"), "left_semi")))
+
+
+def _one_of_equal(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id and text; equal rows are combined before the shuffle."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"),
+                       F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("same"), F.struct("*").alias("row"))
+    firsts = rows.groupBy("id", "same").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+    return firsts.select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bookdesk.llm import embedding_hnsw, minhash, suffix_dedup
 from bookdesk.llm.components import components
-from bookdesk.llm.tables import workers_find_package
+from bookdesk.llm.tables import checkpointed, workers_find_package
 
 from .util import LONG, TEXTS, docs, empty, roots, shingles
 
@@ -90,6 +91,42 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_a_hub_is_split(spark):
+    """The edges of a node with a third of all are split where its minimum is joined."""
+    from bookdesk.llm import components as parts
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    i = F.col("id")
+    edges = spark.range(60_000, numPartitions=16).select((i + 1).alias("u"), F.when(i % 3 == 0, 0).otherwise(i - i % 20).alias("v"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        moved = parts._large_star(checkpointed(edges))
+        moved.collect()
+        assert "skew=true" in moved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("kind", ["pairs", "clusters", "blob"])
+def test_a_full_shard_is_searched_wholly(kind):
+    """4,096 vectors (1,536 in one blob) of 64 dimensions searched by as many others, against brute force."""
+    rng = np.random.default_rng(21)
+    n, dim, groups = {"blob": 1536}.get(kind, 4096), 64, {"pairs": 4096, "clusters": 800, "blob": 1}[kind]
+    near = {"pairs": 0.012, "clusters": 0.016, "blob": 0.012}[kind]
+    centres = embedding_hnsw.unit(rng.normal(size=(groups, dim)))
+    x, q = (embedding_hnsw.unit(centres[rng.integers(0, groups, n)] + near * rng.normal(size=(n, dim))).astype(np.float32) for _ in range(2))
+    want = int((q.astype(float) @ x.astype(float).T >= 0.98).sum())
+    graph = embedding_hnsw.Graph(x, embedding_hnsw.PLAN)
+    i, j = graph.near(q)
+    found = int((np.einsum("rd,rd->r", q[i].astype(float), x[j].astype(float)) >= 0.98).sum())
+    assert len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i)
+    assert want > 1000 and found >= 0.999 * want
+
+
 @pytest.mark.parametrize("shard", [4096, 40])
 def test_embeddings(spark, shard):
     workers_find_package(spark)
