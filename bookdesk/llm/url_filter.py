@@ -2,7 +2,8 @@
 
 A pattern is made of literals, ``^`` (one character that is neither a-z nor
 0-9, or an end of the URL) and ``*`` (anything). A literal between two ``^`` is
-a whole token of every URL that the pattern matches. Each pattern is indexed
+a whole token of every URL that the pattern matches, and so is one between other
+characters, as ``utm`` in ``^utm_source=``. Each pattern is indexed
 under the rarest of its tokens, by how many URLs of the table have them; a URL's
 own tokens fetch the candidate rules, and only those run their regular
 expression. Patterns without a whole token are always candidates.
@@ -44,15 +45,8 @@ def regex_of(pattern: str) -> str:
 
 
 def whole_tokens(pattern: str) -> list[str]:
-    """Literals that are bounded by ``^`` on both sides."""
-    found = []
-    for piece in pattern.split("*"):
-        parts = piece.split("^")
-        for part in parts[1:-1]:
-            tokens = _token.findall(part)
-            if tokens == [part]:
-                found.append(part)
-    return found
+    """Runs of a-z and 0-9 with another character, or ``^``, on both sides."""
+    return [m[0] for piece in pattern.split("*") for m in _token.finditer(piece) if 0 < m.start() and m.end() < len(piece)]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -110,9 +104,11 @@ def token_counts(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> d
     if not tokens:
         return {}
     low = F.translate(F.col(url_col).cast("string"), UPPER, LOWER)
-    # a URL's own distinct tokens, kept only where some rule has them
-    own = F.array_intersect(F.split(low, "[^a-z0-9]+"), F.array(*map(F.lit, tokens)))
-    rows = pages.select(F.explode(own).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()
+    # a URL's own distinct tokens, kept only where some rule has them (MAX_RULES bounds that table)
+    of_rules = pages.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+    own = pages.select(F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("token"))
+    rows = (own.join(F.broadcast(of_rules), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+            .collect())
     return {r["token"]: r["n"] for r in rows}
 
 
