@@ -26,7 +26,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import checkpointed
+from .tables import checkpointed, stored
 
 # Fixed values of the contract.
 WHITE = "\t\n\x0b\x0c\r"
@@ -160,11 +160,19 @@ def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 60, tol
 
         share = (n_good + START_SHARE) / (s["all"] + 1)
         after = Model(share, tuple(rates(i, True) for i in range(k)), tuple(rates(i, False) for i in range(k)))
-        done = abs(after.share - model.share) < tolerance
+        flat = lambda m: [m.share, *(x for r in (*m.good, *m.bad) for x in r)]
+        done = max(abs(x - y) for x, y in zip(flat(after), flat(model), strict=True)) < tolerance
         model = after
         if done:
             break
-    return model
+    return sided(model)
+
+
+def sided(model: Model) -> Model:
+    """The model with its classes named rightly: rules say more often good, and less often bad, of the
+    good one. (The likelihood is the same with the classes exchanged.)"""
+    lean = sum(g[2] - g[0] - (b[2] - b[0]) for g, b in zip(model.good, model.bad, strict=True))
+    return model if lean >= 0 else Model(1 - model.share, model.bad, model.good)
 
 
 def judged(voted: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
@@ -182,8 +190,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """The input's rows and columns, without the documents that are rejected."""
-    voted = votes(statistics(docs), rules)
-    # a generator, unlike a filter, is not pushed down through the statistics,
-    # where every use of them would be spelled out and computed again
-    rows = judged(voted, fit(voted, rules), rules, threshold)
-    return rows.select(F.inline(F.expr("IF(kept, array(row), array())")))
+    # written once with the votes, of which the fit reads a column
+    voted = stored(votes(statistics(docs), rules).select("row", "votes", base_failed().alias("base_failed")))
+    kept = ~F.col("base_failed") & (fit(voted, rules).posterior(rules) >= threshold)
+    return voted.filter(kept).select(*(F.col(f"row.`{c}`") for c in docs.columns))
