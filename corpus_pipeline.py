@@ -3,7 +3,7 @@
 Each stage works on all rows that the one before it kept, written as Parquet and
 read again; all but the last return the columns of ``documents``, the last the
 packed pieces. No SQL states the fits and sorts between, so ORACLE_SQL is None
-and the tests hold the stages against brute-force versions."""
+and ``tests/llm/test_pipeline.py`` holds every stage against a plain version."""
 
 from __future__ import annotations
 
@@ -49,8 +49,14 @@ STAGES = [("quality rules", quality), ("MinHash near-dedup", near_duplicates), (
 ORACLE_SQL = None
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what each keeps is written to the shared folder and read again."""
+    """All stages; what each keeps is written to the shared folder and read again, and goes
+    once the next stage's is written."""
     place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
@@ -58,4 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{place}/{k}")
             docs = spark.read.parquet(f"{place}/{k}")
+            if k:
+                removed(spark, f"{place}/{k - 1}")
     return docs
