@@ -217,6 +217,39 @@ def test_rules_are_indexed_by_the_rarest_token():
     assert list(index.by_token) == ["b"] and len(index.always) == 1
 
 
+def test_delimited_literals_are_tokens():
+    assert url_filter.whole_tokens("^utm_source=") == ["utm", "source"] and url_filter.whole_tokens(".exe^") == ["exe"]
+    assert url_filter.whole_tokens("exe^*/a") == [] and url_filter.whole_tokens("^a*b^c^d") == ["c"]
+
+
+def test_thousands_of_rules_like_trying_each(spark):
+    workers_find_package(spark)
+    rng = random.Random(31)
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url")
+    urls = {r.page_id: r.url for r in pages.collect()}
+    tokens = sorted({t for u in urls.values() for t in re.findall("[a-z0-9]+", u.lower())}) + [f"none{i}" for i in range(400)]
+    shapes = ["^{0}^", "^{0}^*^{1}^", ".{0}^", "^{0}=", "/{0}/{1}^", "^{0}^{1}^", "?{0}={1}^"]
+    texts = sorted({rng.choice(shapes).format(rng.choice(tokens), rng.choice(tokens)) for _ in range(4000)})
+    rules = [url_filter.Rule(rng.choice(["allow", "block"]), t) for t in texts]
+    assert len(rules) > 3000
+    index = url_filter.PatternIndex(rules, url_filter.token_counts(pages, rules))
+    assert not index.always and max(map(len, index.by_token.values())) < len(rules) / 20
+    compiled = [(r, re.compile(url_filter.regex_of(r.text))) for r in rules]
+    got = {r.page_id: (r.pattern, r.verdict) for r in url_filter.judge(pages, [], rules).collect()}
+    for page_id, u in urls.items():
+        fits = [r for r, p in compiled if p.search(u.lower())]
+        best = min(fits, key=lambda r: (-len(r.text), r.text), default=None)
+        assert got[page_id] == (best and best.text, best.action if best else "allow"), u
+    assert sum(p is not None for p, _ in got.values()) > 40
+
+
+def test_a_model_with_its_classes_exchanged_is_turned():
+    rules = quality_rules.RULES[:2]
+    model = quality_rules.Model(0.2, ((0.7, 0.2, 0.1),) * 2, ((0.1, 0.2, 0.7),) * 2)
+    turned = quality_rules.sided(model)
+    assert turned == quality_rules.Model(0.8, model.bad, model.good) and quality_rules.sided(turned) == turned and len(rules) == 2
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_with_sql(spark, name):
     r = compare(spark, name, queries.QUERIES[name], queries.ORACLES[name], SMALL, duck_connect(SMALL))
