@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.strategy import broadcast_if_small, next_ids
+from ..plans.strategy import broadcast_if_small, held, next_ids
 from ..schemas import FOREIGN_KEYS
 
 
@@ -51,10 +51,10 @@ def apply_patches(base: DataFrame, patches: DataFrame, key: str, rules: dict[str
     (old values beside the new ones, ``_v_*``) and the accepted requests. Returns (next state, outcomes(request_id, key, outcome))."""
     if "_outcome" not in patches.columns:
         patches = patches.withColumn("_outcome", F.lit(None).cast("string"))
-    # existing keys among the requested ones: the base key column is only
-    # probed against the (size-checked, broadcast) request keys, not shuffled
+    # existing keys; where the requested ones are few, the base key column is only
+    # probed against them, not shuffled
     wanted = patches.select(F.col(key).alias("_bk")).distinct()
-    keys = base.select(F.col(base_key).alias("_bk")).join(broadcast_if_small(wanted), "_bk", "left_semi")
+    keys = held(base.select(F.col(base_key).alias("_bk")), wanted, "_bk")
     checked = patches.join(keys, patches[key] == keys["_bk"], "left")
     outcome = F.coalesce(F.col("_outcome"), F.when(F.col("_bk").isNull(), F.lit("not_found")), F.lit("updated"))
     checked = checked.withColumn("outcome", outcome)
@@ -87,8 +87,8 @@ def found_outcomes(base: DataFrame, requests: DataFrame, key: str, base_key: str
     where ``base`` has none. With ``once`` the first request of a key by (requested_at,
     request_id) takes its rows away, and later ones find none."""
     wanted = requests.select(F.col(key).alias("_bk")).distinct()
-    held = base.select(F.col(base_key).alias("_bk")).join(broadcast_if_small(wanted), "_bk", "left_semi").distinct()
-    j = requests.join(held, requests[key] == held["_bk"], "left")
+    found = held(base.select(F.col(base_key).alias("_bk")), wanted, "_bk").distinct()
+    j = requests.join(found, requests[key] == found["_bk"], "left")
     hit = F.col("_bk").isNotNull()
     if once:
         order = F.struct("requested_at", "request_id")
