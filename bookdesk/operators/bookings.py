@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import DEFAULTS, schema
 from ..plans.ordered import positions
-from ..plans.strategy import broadcast_if_small
+from ..plans.strategy import broadcast_if_small, spread
 from .mutate import apply_patches, latest_per_key
 
 
@@ -101,7 +101,7 @@ def attach_supplier(b: DataFrame, refs: DataFrame) -> DataFrame:
     gets the latest supplier reference; each request keeps the status it does
     not state, so the latest stated one stays."""
     order = F.struct("requested_at", "request_id")
-    r = refs.groupBy(F.col("payment_reference").alias("_pref")).agg(
+    r = spread(refs.withColumnRenamed("payment_reference", "_pref"), "_pref").groupBy("_pref").agg(
         F.max_by("supplier_reference", order).alias("_sref"),
         F.max_by("supplier_status", F.when(F.col("supplier_status").isNotNull(), order)).alias("_sstat"),
         F.max("requested_at").alias("_t"))
