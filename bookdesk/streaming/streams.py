@@ -167,44 +167,52 @@ def stream_blog_view_totals(views: DataFrame) -> DataFrame:
 
 # T4 ---------------------------------------------------------------------
 def _limiter(cooldown_us: int):
+    """State of a group of e-mails: the last accepted request of those that still wait."""
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        # a trigger's requests of the e-mail: two numbers each
-        held = [(p["_us"].to_numpy(dtype=np.int64), p["id"].to_numpy(dtype=np.int64)) for p in pdfs]
-        t, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+        last = dict(zip(*state.get, strict=True)) if state.exists else {}
+        # a trigger's requests of the e-mails
+        held = [(p["_us"].to_numpy(dtype=np.int64), p["id"].to_numpy(dtype=np.int64), p["email"].to_numpy(dtype=object)) for p in pdfs]
+        t, ids, emails = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((ids, t))
-        t, ids = t[order], ids[order]
-        keep = np.zeros(len(t), dtype=bool)
-        i = 0 if last is None else int(np.searchsorted(t, last + cooldown_us, side="left"))
-        while i < len(t):
-            keep[i] = True
-            last = int(t[i])
-            i = int(np.searchsorted(t, last + cooldown_us, side="left"))
-        if last is not None:
-            # once the watermark is past last + cooldown any new request is
-            # accepted anyway, so the state can go
-            until_ms = int((last + cooldown_us) // 1000)
-            if until_ms > state.getCurrentWatermarkMs():
-                state.update((last,))
-                state.setTimeoutTimestamp(until_ms)
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame({"id": ids[keep], "email": np.repeat(key[0], int(keep.sum())),
-                            "created_at": pd.to_datetime(t[keep], unit="us")})
+        keep = []
+        for i, us, email in zip(order.tolist(), t[order].tolist(), emails[order], strict=True):
+            if email not in last or us >= last[email] + cooldown_us:
+                keep.append(i)
+                last[email] = us
+        # once the watermark is past last + cooldown any new request is
+        # accepted anyway, so the state can go
+        now = state.getCurrentWatermarkMs()
+        waits = {e: us for e, us in last.items() if (us + cooldown_us) // 1000 > now}
+        if waits:
+            state.update((list(waits), list(waits.values())))
+            state.setTimeoutTimestamp(int((max(waits.values()) + cooldown_us) // 1000))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"id": ids[keep], "email": emails[keep], "created_at": pd.to_datetime(t[keep], unit="us")})
     return fn
 
 
-def stream_otp_limiter(requests: DataFrame, cooldown_seconds: int = 60, watermark: str = "1 hour") -> DataFrame:
-    """R6 on a stream: per e-mail state = time of the last accepted request.
-    Rows inside a micro-batch are sorted by time before the greedy pass."""
+# Keyed state is kept by groups of keys, dealt by a hash: a call of Python for a key
+# costs a thousand times what its few numbers do.
+GROUPS = 1024
+
+
+def _group(key: str, groups: int):
+    return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
+
+
+def stream_otp_limiter(requests: DataFrame, cooldown_seconds: int = 60, watermark: str = "1 hour", groups: int = GROUPS) -> DataFrame:
+    """R6 on a stream: per e-mail the time of the last accepted request, kept by ``groups``
+    of e-mails. Rows inside a micro-batch are sorted by time before the greedy pass."""
+    workers_find_package(requests.sparkSession)
     r = to_event_time(requests.select("id", "email", "created_at"), "created_at").withWatermark("created_at", watermark)
-    r = r.withColumn("_us", F.unix_micros("created_at"))
-    return r.groupBy("email").applyInPandasWithState(
+    r = r.withColumns({"_us": F.unix_micros("created_at"), "_group": _group("email", groups)})
+    return r.groupBy("_group").applyInPandasWithState(
         _limiter(int(cooldown_seconds * 1_000_000)), "id long, email string, created_at timestamp",
-        "last long", "append", GroupStateTimeout.EventTimeTimeout)
+        "emails array<string>, last array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # T5 ---------------------------------------------------------------------
@@ -305,39 +313,54 @@ def refund_timer(changed: str = "changed_at") -> dict:
 
 
 _SETTLED = -2
+_NO_ID = -1  # the group of changes without a booking
 
 
 def _window_end(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the last change and the end of the window it leaves (-1: none, _SETTLED: emitted)."""
-    changed, ends = state.get if state.exists else (None, -1)
+    """State of a group of bookings, as numbers: ids, their last changes, and the ends of the
+    windows that those leave (-1: none, _SETTLED: emitted)."""
+    held = np.frombuffer(state.get[0] if state.exists else b"", np.int64).reshape(3, -1)
+    known = dict(zip(held[0].tolist(), zip(*held[1:].tolist(), strict=True), strict=True))
     if not state.hasTimedOut:
-        rows = sorted({(int(c), -1 if pd.isna(e) else int(e)) for pdf in pdfs
-                       for c, e in zip(pdf["_changed_ms"], pdf["_exp_ms"], strict=True)})
-        for c, e in rows:
+        rows = sorted({r for pdf in pdfs for r in zip(
+            pdf["_id"].tolist(), pdf["_changed_ms"].to_numpy(dtype=np.int64).tolist(),
+            pdf["_exp_ms"].to_numpy(dtype=np.int64).tolist(), strict=True)})
+        for i, c, e in rows:
+            changed, ends = known.get(i, (None, -1))
             if ends == _SETTLED or (changed is not None and c < changed):
                 continue  # settled, or an older change than the one known
             if 0 <= ends <= c:
-                break  # the window ended before this change
-            changed, ends = c, e
-        if changed is not None:
-            state.update((changed, ends))
-    if 0 <= ends <= state.getCurrentWatermarkMs() or state.hasTimedOut:
-        state.update((changed, _SETTLED))
-        yield pd.DataFrame({"booking_id": [key[0]], "expires_at": [pd.to_datetime(ends, unit="ms")]})
-    elif ends >= 0:
-        state.setTimeoutTimestamp(ends)
-
-
-def stream_refund_windows(changes: DataFrame, watermark: str = "1 hour") -> DataFrame:
+                continue  # the window ended before this change
+            known[i] = (c, e)
+    now = state.getCurrentWatermarkMs()
+    over = {i: ends for i, (_, ends) in known.items() if 0 <= ends <= now}
+    known.update((i, (known[i][0], _SETTLED)) for i in over)
+    if known:
+        numbers = np.array([[i, *v] for i, v in known.items()], np.int64)
+        state.update((np.ascontiguousarray(numbers.T).tobytes(),))
+        waits = numbers[numbers[:, 2] >= 0, 2]
+        if len(waits):
+            state.setTimeoutTimestamp(int(waits.min()))
+    if over:
+        yield pd.DataFrame({"booking_id": pd.array([None if key[0] == _NO_ID else i for i in over], "Int64"),
+                            "expires_at": pd.to_datetime(list(over.values()), unit="ms")})
+
+
+def stream_refund_windows(changes: DataFrame, watermark: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """changes(id, status, payment_status, is_refundable, refund_window_hours, created_at,
     changed_at): a booking's row at its creation and at each later change. Emits (booking_id,
     expires_at) once event time passes the end of the window of a booking that can then be
     refunded; a cancellation, refund or new window before that cancels or moves the timer. The
-    state is two numbers a booking and stays, so that a booking's window ends once."""
+    state is three numbers a booking, kept by ``groups`` of bookings, and stays, so that a
+    booking's window ends once."""
     workers_find_package(changes.sparkSession)
     c = to_event_time(to_event_time(changes, "created_at"), "changed_at").withWatermark("changed_at", watermark)
-    return c.withColumns(refund_timer()).groupBy("id").applyInPandasWithState(
-        _window_end, "booking_id long, expires_at timestamp", "changed long, ends long", "append", GroupStateTimeout.EventTimeTimeout)
+    timer = refund_timer()
+    c = c.withColumns({
+        "_changed_ms": timer["_changed_ms"], "_exp_ms": F.coalesce(timer["_exp_ms"], F.lit(-1)), "_id": F.coalesce("id", F.lit(0)),
+        "_group": F.when(F.col("id").isNull(), _NO_ID).otherwise(_group("id", groups))})
+    return c.select("_group", "_id", "_changed_ms", "_exp_ms", "changed_at").groupBy("_group").applyInPandasWithState(
+        _window_end, "booking_id long, expires_at timestamp", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _expiry(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
