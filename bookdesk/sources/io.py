@@ -152,6 +152,12 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def count_files(spark: SparkSession, path: str) -> int:
+    """Data files that lie in a folder itself."""
+    p, fs = _hadoop(spark, path)
+    return sum(st.getPath().getName().startswith("part-") for st in fs.listStatus(p))
+
+
 def _bucket(key: str, n: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
 
@@ -205,7 +211,8 @@ def _written(df: DataFrame, base: str, key: str, n: int) -> dict[str, str]:
     """Rows written by bucket into a folder of their own: bucket -> its folder under ``base``."""
     folder = f"data/{uuid.uuid4().hex}"
     place = f"{base.rstrip('/')}/{folder}"
-    df.withColumn("_bucket", _bucket(key, n)).repartition("_bucket").write.partitionBy("_bucket").parquet(place)
+    # buckets lie together, and a large one is dealt over several tasks, a file each
+    df.withColumn("_bucket", _bucket(key, n)).hint("rebalance", F.col("_bucket")).write.partitionBy("_bucket").parquet(place)
     p, fs = _hadoop(df.sparkSession, place)
     names = [st.getPath().getName() for st in fs.listStatus(p)]
     return {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith("_bucket=")}
