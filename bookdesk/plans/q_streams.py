@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bookings as B, refunds as R
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from ..sources import io as IO
 from ..sources.fixtures import bridge, with_views
 from ..streaming import streams as T
@@ -69,7 +69,7 @@ def checked_csv_rejects(spark, sf):
 @register("keyed_snapshot_patches", ORACLES["patch_bookings"])
 def keyed_snapshot_patches(spark, sf):
     """Patches applied to a keyed table in two versions, each rewriting the buckets it touches."""
-    b, patches = all_bookings(spark, sf), booking_patches(spark, sf)
+    b, patches = all_bookings(spark, sf), stored(booking_patches(spark, sf))
     base = _place(spark, "bookings-keyed")
     IO.create_keyed(b, base, "id", buckets=16)
     us = F.unix_micros(F.col("requested_at").cast("timestamp"))
@@ -81,16 +81,29 @@ def keyed_snapshot_patches(spark, sf):
 
 
 # T1-T6 ----------------------------------------------------------------------------------------------
-def _sliced(df: DataFrame, spark, what: str, by: str, n: int = 3) -> tuple[str, str]:
-    """The rows as files of rising modification time, oldest rows first; and their DDL."""
+FILE_ROWS = 25_000
+
+
+def _sliced(df: DataFrame, spark, what: str, by: str, n: int = 3) -> tuple[str, str, int]:
+    """The rows in slices of rising modification time, oldest rows first; their DDL; and the
+    number of files of a slice, the same for all, so that a trigger reads one slice."""
     path = _place(spark, what)
-    b = df.agg(F.percentile_approx(F.unix_micros(F.col(by).cast("timestamp")), [k / n for k in range(1, n)])).first()[0] or [0] * (n - 1)
     us = F.unix_micros(F.col(by).cast("timestamp"))
-    bounds = [None, *b, None]
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+    cuts, rows = df.agg(F.percentile_approx(us, [k / n for k in range(1, n)]), F.count(F.lit(1))).first()
+    bounds = [None, *(cuts or [0] * (n - 1)), None]
+    files = min(max(1, rows // n // FILE_ROWS), 1000)
+    for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1):
         part = df if lo is None else df.filter(us > lo)
-        (part if hi is None else part.filter(us <= hi)).coalesce(1).write.mode("append").parquet(path)
-    return path, df.schema.simpleString()[len("struct<"):-1].replace(":", " ")
+        part = part if hi is None else part.filter(us <= hi)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+        for _ in range(k * files - IO.count_files(spark, path)):  # a part without rows has no file
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return path, df.schema.simpleString()[len("struct<"):-1].replace(":", " "), files
+
+
+def _source(df: DataFrame, spark, what: str, by: str) -> DataFrame:
+    path, ddl, files = _sliced(df, spark, what, by)
+    return T.read_stream(spark, path, ddl, max_files_per_trigger=files)
 
 
 def _ended(spark, stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
@@ -108,35 +121,33 @@ def _ended(spark, stream: DataFrame, what: str, mode: str = "append") -> DataFra
 
 @register("stream_receipts", ORACLES["payment_attempt_rows"])
 def stream_receipts(spark, sf):
-    path, ddl = _sliced(bridge(spark, sf, "receipts_raw"), spark, "receipts", "created_at")
-    src = T.read_stream(spark, path, ddl, max_files_per_trigger=1)
+    src = _source(bridge(spark, sf, "receipts_raw"), spark, "receipts", "created_at")
     return _ended(spark, T.stream_receipts(src), "t1").drop("_epoch")
 
 
 @register("stream_bookings_store", ORACLES["create_bookings"])
 def stream_bookings_store(spark, sf):
     """The receipts run twice through the stream into one store: the second run adds nothing."""
-    path, ddl = _sliced(bridge(spark, sf, "receipts_raw"), spark, "receipts", "created_at")
+    path, ddl, files = _sliced(bridge(spark, sf, "receipts_raw"), spark, "receipts", "created_at")
     b = B.conform(bridge(spark, sf, "bookings"), "bookings")
     store = _place(spark, "bookings-store")
     for run in range(2):
-        src = T.read_stream(spark, path, ddl, max_files_per_trigger=1)
+        src = T.read_stream(spark, path, ddl, max_files_per_trigger=files)
         T.start_bookings_store(src, f"t2-{uuid.uuid4().hex}", store, b, buckets=16).awaitTermination()
     return spark.read.parquet(store).select(*NEW_BOOKING)
 
 
 @register("stream_blog_view_totals", with_views(["blog_view_events"], "SELECT blog_id, count(*) AS views FROM blog_view_events GROUP BY blog_id"))
 def stream_blog_view_totals(spark, sf):
-    path, ddl = _sliced(bridge(spark, sf, "blog_view_events"), spark, "views", "viewed_at")
-    out = _ended(spark, T.stream_blog_view_totals(T.read_stream(spark, path, ddl, max_files_per_trigger=1)), "t3", "update")
+    src = _source(bridge(spark, sf, "blog_view_events"), spark, "views", "viewed_at")
+    out = _ended(spark, T.stream_blog_view_totals(src), "t3", "update")
     return out.groupBy("blog_id").agg(F.max("views").alias("views"))
 
 
 @register("stream_otp_limiter", ORACLES["otp_rate_limit"])
 def stream_otp_limiter(spark, sf):
     r = bridge(spark, sf, "otp_requests").select("id", "email", "created_at")
-    path, ddl = _sliced(r, spark, "otp", "created_at")
-    src = T.read_stream(spark, path, ddl, max_files_per_trigger=1)
+    src = _source(r, spark, "otp", "created_at")
     out = _ended(spark, T.stream_otp_limiter(src, COOLDOWN_SECONDS, watermark="0 seconds"), "t4")
     return out.select("id", "email", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
@@ -161,8 +172,7 @@ def stream_threads(spark, sf):
         "query_id", F.col("sender_type").alias("side"),
         (F.col("created_at") + F.make_dt_interval(F.lit(0), (F.col("id") % 5).cast("int"))).alias("visited_at"))
     e = T.thread_events(m, v).withColumn("_mixed", F.timestamp_micros(F.pmod(F.xxhash64("query_id", "id", "at"), F.lit(1 << 50))))
-    path, ddl = _sliced(e, spark, "thread-events", "_mixed")
-    out = _ended(spark, T.stream_threads(T.read_stream(spark, path, ddl, max_files_per_trigger=1).drop("_mixed")), "t5", "update")
+    out = _ended(spark, T.stream_threads(_source(e, spark, "thread-events", "_mixed").drop("_mixed")), "t5", "update")
     last = out.groupBy("query_id").agg(F.max_by(F.struct("*"), "n_events").alias("r")).select("r.*")
     return last.filter("message_count > 0").select(
         "query_id", "message_count", F.col("last_message_at").cast("timestamp_ntz").alias("last_message_at"), "last_message",
@@ -212,7 +222,7 @@ def refund_expiries(spark, sf):
 @register("stream_refund_windows", with_views(["bookings"], _EXPIRIES, c=_CHANGES))
 def stream_refund_windows(spark, sf):
     changes, end = _changes(spark, sf)
-    path, ddl = _sliced(changes, spark, "booking-changes", "changed_at")
+    path, ddl, files = _sliced(changes, spark, "booking-changes", "changed_at")
     end.write.mode("append").parquet(path)
-    out = _ended(spark, T.stream_refund_windows(T.read_stream(spark, path, ddl, max_files_per_trigger=1), "0 seconds"), "t6")
+    out = _ended(spark, T.stream_refund_windows(T.read_stream(spark, path, ddl, max_files_per_trigger=files), "0 seconds"), "t6")
     return out.select("booking_id", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
